@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.shared import ship
+from tidemark.llm.simhash import as_hex, near_duplicates
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +18,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_documents(spark, sf_dir))
+    return found.withColumn("fingerprint", as_hex(F.col("fingerprint")))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(personal_data(_documents(spark, sf_dir)))
 
