@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_groups
+from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
@@ -27,6 +28,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(personal_data(_documents(spark, sf_dir)))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -36,6 +41,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op7_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+          FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (
+          SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no, 2 * source_size AS most,
+                 1.5::DOUBLE * sum(source_size) OVER () AS wanted FROM s),
+        r AS (SELECT *, [5, 2, 1][1 + no % 3] AS weight FROM w),
+        v AS (
+          SELECT *, (wanted - coalesce(sum(most) OVER (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY most / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM r),
+        t AS (
+          SELECT *, CASE WHEN most <= level * weight THEN CAST(most AS DOUBLE)
+                    ELSE weight * max(CASE WHEN most > level * weight THEN level END) OVER () END AS target
+          FROM v),
+        l AS (
+          SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS take,
+                 coalesce(sum(d.size) OVER (PARTITION BY t.no ORDER BY d.digest, d.doc_id, d.size
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(greatest(0, least(begin + size, take) - begin)
+                  + greatest(0, least(begin + size + source_size, take) - begin - source_size) AS BIGINT) AS taken
+        FROM l""",
     "op9_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_points,
