@@ -12,6 +12,7 @@ from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
+from tidemark.llm.sstable import encode_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(personal_data(_documents(spark, sf_dir)))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_documents(spark, sf_dir))
 
