@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact import exact_groups
+from tidemark.llm.kneser_ney import score_documents
 from tidemark.llm.langid import identify
+from tidemark.llm.lines import line_report
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.shared import ship
@@ -44,10 +46,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
