@@ -34,8 +34,10 @@ MAGIC = b"TMSST001"
 #: Bytes of a block before compression, bits of the filter per key, hashes per key.
 BLOCK, FILTER_BITS, FILTER_HASHES = 1 << 18, 10, 7
 _FOOTER = struct.Struct("<QQQQQQ8s")
+#: Marks that often follow a word.
+MARKS = ".,;:!?"
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 def key_bytes(key: int | None) -> bytes:
@@ -189,39 +191,42 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # by what follows one space, or by a line feed and what follows
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, into: dict[str, bytes], pieces: list[str], prefix: str) -> None:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = self.known[w] = array("I", e.ids).tobytes()
-                if w[0] == "\n" and not w[1:2].isspace() and len(w) > 1:
-                    self.spaced[w] = ids
-                elif w[0] == " " and not w[1:2].isspace() and len(w) > 1:
-                    self.spaced[w[1:]] = ids
+            whole = [p if p[0] == "\n" else prefix + p for p in part]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                into[p] = array("I", e.ids).tobytes()
+
+    @staticmethod
+    def _regular(part: str) -> bool:
+        """Whether the part of a text between spaces, or before a line feed, neither starts nor ends in more white space."""
+        return part != "" and not part[-1].isspace() and (not part[0].isspace() or (part[0] == "\n" and not part[1].isspace()))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), 256):  # what some texts lack is encoded at once
-            part = texts[at : at + 256]
-            if len(self.known) > REMEMBERED:
+            if len(self.known) + len(self.spaced) > REMEMBERED:
                 self.known.clear()
                 self.spaced.clear()
-            found = [self._quick(t) for t in part]
-            pieces = {i: self.PIECE.findall(t) for i, t in enumerate(part) if found[i] is None}
-            missing = {p for ps in pieces.values() for p in ps if p not in self.known}
-            if missing:
-                self._learn(list(missing))
-            for i, ids in enumerate(found):
-                yield np.frombuffer(b"".join([self.known[p] for p in pieces[i]]) if ids is None else ids, "<u4")
-
-    def _quick(self, text: str) -> bytes | None:
-        """The ids if single spaces and line feeds alone stand between words and all words are known."""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if not first or first[0].isspace() or first[-1].isspace() or first not in self.known:
-            return None
-        try:
-            return b"".join([self.known[first], *map(self.spaced.__getitem__, rest)])
-        except KeyError:
-            return None
+            plans: list[tuple[list[str], list[str]]] = []
+            spaced, known = set(), set()
+            for text in texts[at : at + 256]:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                lacking = [p for p in rest if p not in self.spaced]
+                if first and not first[0].isspace() and not first[-1].isspace() and all(map(self._regular, lacking)):
+                    plans.append(([first], rest))
+                    spaced.update(lacking)
+                else:
+                    plans.append((self.PIECE.findall(text), []))
+                known.update(p for p in plans[-1][0] if p not in self.known)
+            # letters and one mark after them are never joined: the letters alone often are known already
+            marked = {p for p in spaced if p[-1] in MARKS and p[:-1].isalpha()}
+            stems = {p[:-1] for p in marked}
+            self._learn(self.spaced, [p for p in (spaced - marked) | stems if p not in self.spaced], " ")
+            self._learn(self.known, [p for p in {*known, *(p[-1] for p in marked)} if p not in self.known], "")
+            self.spaced.update((p, self.spaced[p[:-1]] + self.known[p[-1]]) for p in marked)
+            for pieces, rest in plans:
+                yield np.frombuffer(b"".join([*map(self.known.__getitem__, pieces), *map(self.spaced.__getitem__, rest)]), "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
