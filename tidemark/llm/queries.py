@@ -13,6 +13,7 @@ from tidemark.llm.langid import identify
 from tidemark.llm.lines import line_report
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
+from tidemark.llm.segment import decoder, segmentations
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
 from tidemark.llm.sstable import encode_documents
@@ -42,6 +43,17 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = segmentations(_documents(spark, sf_dir), model)
+    return found.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2(decoder(model)("ids"), 256).alias("decoded_sha256"), "log_prob", "perturbed", "inclusion",
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_documents(spark, sf_dir))
 
