@@ -24,8 +24,8 @@ from tidemark.llm.shared import connected_components, cut, ship
 
 #: Code points handled together; ids of compared lines that are broadcast at most (beyond, they are joined by a shuffle).
 PORTION, SENT = 1 << 20, 500_000
-#: Pairs that are tested together.
-PAIRS = 1 << 21
+#: Pairs that are tested together; a key with more pairs than CROWD has its lines compared with their texts at hand.
+PAIRS, CROWD = 1 << 21, 128
 _U = np.uint64
 
 
@@ -96,10 +96,10 @@ class Lines:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def meetings(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of an indexed and a probing id with the same key whose parities differ in ``most`` bits at most.
+def meetings(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, kind): kind 0 for a pair of an indexed and a probing id with the same key whose parities differ in ``most`` bits at most.
 
-    Pairs are made and tested a bounded number at a time, however many share a key.
+    A key with a crowd gives no pairs but its rows: a is the key, b an id, kind 1 if that is indexed and 2 if it probes.
     """
     order = np.lexsort((probes, keys))
     keys, ids, probes = keys[order], ids[order], probes[order].astype(np.int64)
@@ -109,9 +109,12 @@ def meetings(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray, most: int) -
     size = np.diff(np.r_[heads, len(keys)])
     probing = np.add.reduceat(probes, heads)
     indexed = size - probing
+    crowded = np.repeat(indexed * probing > CROWD, size)
+    if crowded.any():
+        yield keys[crowded], ids[crowded], 1 + probes[crowded]
     # one job for each indexed row: it meets the probing rows of its key
-    row = np.flatnonzero(probes == 0)
-    group = np.repeat(np.arange(len(heads)), indexed)
+    row = np.flatnonzero((probes == 0) & ~crowded)
+    group = np.searchsorted(heads, row, "right") - 1
     first, count = heads[group] + indexed[group], probing[group]
     total = np.cumsum(count)
     at = 0
@@ -122,10 +125,27 @@ def meetings(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray, most: int) -
         b = ids[np.repeat(first[at:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         near = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64) >> _U(32)) <= most)
         if near.any():
-            yield a[near], b[near]
+            a, b = a[near], b[near]
+            yield np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
         at = end
 
 
+def crowd_links(ids: np.ndarray, probes: np.ndarray, lines: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that join all lines of one key within the threshold, without those between lines that are joined already."""
+    kinds, back = np.unique(ids, return_inverse=True)
+    labels, out = np.arange(len(kinds)), []
+    size = np.array([len(x) for x in lines])
+    other = np.flatnonzero(probes)
+    for i in np.flatnonzero(~probes):
+        near = np.bitwise_count((ids[other] ^ ids[i]).view(np.uint64) >> _U(32)) <= 2 * threshold
+        near &= np.abs(size[other] - size[i]) <= threshold
+        for j in other[near]:
+            if labels[back[j]] != labels[back[i]] and within(lines[i], lines[j], threshold):
+                labels[labels == labels[back[j]]] = labels[back[i]]
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
 def within(a: str, b: str, threshold: int) -> bool:
     """Whether two texts are within ``threshold`` edits.
 
@@ -179,7 +199,11 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(a, b): ids of different lines within the threshold; ``docs`` has text."""
+    """(a, b): ids of different lines within the threshold; ``docs`` has text.
+
+    Where many lines share a key, links between lines that others join already
+    are left out, so that the links of n lines alike grow with n.
+    """
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in portions(frames, PORTION):
@@ -187,14 +211,8 @@ def line_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames) or [pd.DataFrame({"key": [], "id": [], "probe": []}, dtype="int64")]).drop_duplicates()
-        for a, b in meetings(*(rows[c].to_numpy() for c in ("key", "id", "probe")), 2 * rule.threshold):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    keys = docs.select("text").where("text IS NOT NULL").mapInPandas(keyed, "key long, id long, probe boolean").repartition("key")
-    pairs = cut(keys.mapInPandas(met, "a long, b long").distinct(), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if wanted.count() <= SENT:
-        wanted = F.broadcast(wanted)
+        for a, b, kind in meetings(*(rows[c].to_numpy() for c in ("key", "id", "probe")), 2 * rule.threshold):
+            yield pd.DataFrame({"a": a, "b": b, "kind": kind}).drop_duplicates()
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in portions(frames, PORTION):
@@ -203,15 +221,27 @@ def line_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             where = zip(lines.start[some], lines.end[some], strict=True)
             yield pd.DataFrame({"id": ids, "line": [lines.points[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in where]})
 
-    known = docs.select("text").where("text IS NOT NULL").mapInPandas(texts, "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    known = cut(known, "line-texts")
-    a, b = known.select(F.col("id").alias("a"), F.col("line").alias("x")), known.select(F.col("id").alias("b"), F.col("line").alias("y"))
-
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.loc[[within(x, y, rule.threshold) for x, y in zip(f["x"], f["y"], strict=True)], ["a", "b"]]
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames) or [pd.DataFrame({"key": [], "id": [], "kind": [], "line": []})])
+        for _, f in rows.groupby("key"):
+            yield pd.DataFrame(crowd_links(f["id"].to_numpy(), f["kind"].to_numpy() == 2, f["line"].to_numpy(), rule.threshold), columns=["a", "b"])
+
+    source = docs.select("text").where("text IS NOT NULL")
+    keys = source.mapInPandas(keyed, "key long, id long, probe boolean").repartition("key")
+    found = cut(keys.mapInPandas(met, "a long, b long, kind long").distinct(), "line-meetings")
+    pairs, crowds = found.where("kind = 0").select("a", "b"), found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("id"), "kind")
+    wanted = cut(found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("id")).distinct(), "line-wanted")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    known = source.mapInPandas(texts, "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    known = cut(known, "line-texts")
+    a, b = known.select(F.col("id").alias("a"), F.col("line").alias("x")), known.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    single = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
+    return single.unionByName(crowds.join(known, "id").repartition("key").mapInPandas(joined, "a long, b long")).distinct()
 
 
 def line_classes(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
