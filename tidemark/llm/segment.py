@@ -30,7 +30,7 @@ from tidemark.llm.shared import ship
 
 SPACE = "▁"
 #: Code points handled together, paths remembered per unit, paths that a worker remembers.
-PORTION, BEST, REMEMBERED = 1 << 20, 3, 1_000_000
+PORTION, BEST, REMEMBERED = 1 << 20, 4, 1_000_000
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
@@ -104,10 +104,17 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.types: dict[int, int] = {}
-        self.texts: list[str] = []
+        self.keys, self.key_types = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.upto, self.log, self.rest = _Grown(np.int64), _Grown(float), _Grown(float), _Grown(bool)
-        self.ids: list[tuple[int, ...]] = []
+        self.ids, self.ends = _Grown(np.int32), _Grown(np.int64)  # ids of all paths one after the other, and where each path's end
+
+    def path_ids(self, path: int) -> tuple[int, ...]:
+        start = int(self.ends.all[path - 1]) if path else 0
+        return tuple(self.ids.all[start : int(self.ends.all[path])].tolist())
+
+    def text(self, unit: int) -> str:
+        """A unit, put together from its best path."""
+        return b"".join(self.surface[i] for i in self.path_ids(int(self.first.all[unit]))).decode("utf-8", "surrogatepass")
 
     def paths(self, unit: str, most: int) -> tuple[list[tuple[float, tuple[int, ...]]], bool]:
         """The best paths as (log-probability, ids), best first, and whether there are others."""
@@ -189,31 +196,27 @@ class Lattice:
             pass
         return path
 
-    def learn(self, keys: list[int], units: list[str], found: list[tuple[list[tuple[float, tuple[int, ...]]], bool]]) -> None:
-        first, upto, log, rest = [], [], [], []
-        for key, unit, (paths, more) in zip(keys, units, found, strict=True):
-            self.types[key] = len(self.texts)
-            self.texts.append(unit)
-            first.append(len(self.ids))
-            so_far = 0.0
-            for lp, ids in paths:
-                so_far += math.exp(lp)
-                upto.append(so_far)
-                log.append(lp)
-                rest.append(False)
-                self.ids.append(ids)
-            if more:
-                log.append(-math.inf)
-                rest.append(True)
-                self.ids.append(())
-                upto.append(math.inf)
-            else:
-                upto[-1] = math.inf
-        for grown, part in ((self.first, first), (self.upto, upto), (self.log, log), (self.rest, rest)):
-            grown.add(np.array(part))
-
-    def short_paths(self, points: np.ndarray, total: np.ndarray, down: np.ndarray, begin: np.ndarray, n: int) -> list[tuple[list[tuple[float, tuple[int, ...]]], bool]]:
-        """What paths() gives, for many units of one length at once."""
+    def learn(self, logs: np.ndarray, more: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember units: for each its paths' log-probabilities (-inf: none), whether there are others, and the ids of all paths."""
+        there = np.isfinite(logs)
+        count = there.sum(axis=1)
+        place = np.cumsum(count + more) - (count + more) + self.log.size
+        self.first.add(place)
+        total = int((count + more).sum())
+        log, upto, rest, size = np.full(total, -np.inf), np.full(total, np.inf), np.zeros(total, bool), np.zeros(total, np.int64)
+        at = (place - self.log.size)[:, None] + np.arange(logs.shape[1])
+        log[at[there]] = logs[there]
+        upto[at[there]] = np.cumsum(np.where(there, np.exp(np.where(there, logs, 0)), 0), axis=1)[there]
+        last = at[np.arange(len(count)), count - 1]
+        upto[last[~more]] = np.inf
+        rest[last[more] + 1] = True
+        size[at[there]] = sizes[there]
+        before = int(self.ends.all[-1]) if self.ends.size else 0
+        for grown, part in ((self.upto, upto), (self.log, log), (self.rest, rest), (self.ids, ids), (self.ends, before + np.cumsum(size))):
+            grown.add(part)
+
+    def short_paths(self, points: np.ndarray, total: np.ndarray, down: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What learn() takes, for many units of one length at once."""
         count = len(begin)
         best = np.full((n + 1, count, BEST), -np.inf)
         best[0, :, 0] = 0.0
@@ -245,22 +248,30 @@ class Lattice:
             got = np.take_along_axis(made, order, axis=1)
             best[end, :, : got.shape[1]] = got
             back[end, :, : got.shape[1]] = order + starts[0] * BEST
-        logs, ends_more, backs, edges = (best[n] - sums[n][:, None]).tolist(), more[n].tolist(), back.transpose(1, 0, 2).reshape(count, -1).tolist(), edge.transpose(2, 0, 1).reshape(count, -1).tolist()
-        out = []
-        for lps, others, steps, pieces in zip(logs, ends_more, backs, edges, strict=True):
-            paths = []
-            for rank, lp in enumerate(lps):
-                if lp == -math.inf:
-                    break
-                at, k, ids = n, rank, []
-                while at:
-                    start, k = divmod(steps[at * BEST + k], BEST)
-                    piece = pieces[start * (n + 1) + at]
-                    ids += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(chr(-1 - piece).encode("utf-8", "surrogatepass"))]
-                    at = start
-                paths.append((lp, tuple(reversed(ids))))
-            out.append((paths, others))
-        return out
+        logs = best[n] - sums[n][:, None]
+        pieces = np.full((count, BEST, n + 1), -1, np.int64)  # from the end to the start; -1: nothing
+        at, rank = np.full((count, BEST), n), np.broadcast_to(np.arange(BEST), (count, BEST)).copy()
+        unit, slot = np.broadcast_to(np.arange(count)[:, None], (count, BEST)), np.broadcast_to(np.arange(BEST), (count, BEST))
+        at = np.where(np.isfinite(logs), at, 0)
+        for step in range(n):
+            go = at > 0
+            if not go.any():
+                break
+            u, e = unit[go], at[go]
+            start, k = np.divmod(back[e, u, rank[go]], BEST)
+            pieces[u, slot[go], step] = np.where(edge[start, e, u] < 0, edge[start, e, u] - 1, edge[start, e, u])
+            at[go], rank[go] = start, k
+        flat = pieces[:, :, ::-1].reshape(-1)
+        owner = np.repeat(np.arange(count * BEST), n + 1)[flat != -1]
+        flat = flat[flat != -1]
+        if (raw := flat < -1).any():  # code points that become bytes
+            spelled = [[self.bytes[b] for b in chr(-2 - c).encode("utf-8", "surrogatepass")] for c in flat[raw].tolist()]
+            size = np.ones(len(flat), np.int64)
+            size[raw] = [len(x) for x in spelled]
+            owner, wide = np.repeat(owner, size), np.repeat(flat, size)
+            wide[np.repeat(raw, size)] = list(chain.from_iterable(spelled))
+            flat = wide
+        return logs, more[n], flat.astype(np.int32), np.bincount(owner, minlength=count * BEST).reshape(count, BEST)
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Types of the units of all texts, and how many each text has; the texts have their space marks."""
@@ -275,19 +286,34 @@ class Lattice:
         length = np.diff(np.r_[begin, len(points)]) if len(begin) else begin
         key = _substring_keys(total, down, begin, length)
         kinds, where, back = np.unique(key, return_index=True, return_inverse=True)
-        lacking = np.array([i for i, k in enumerate(kinds.tolist()) if k not in self.types], np.int64)
+        lacking = np.flatnonzero(~np.isin(kinds, self.keys, assume_unique=True))
         lengths = length[where[lacking]]
         for n in np.unique(lengths).tolist():
-            for some in np.array_split(lacking[lengths == n], max(1, (lengths == n).sum() * n * n // 4_000_000)):
-                names = [points[b : b + n].tobytes().decode("utf-32-le", "surrogatepass") for b in begin[where[some]].tolist()]
-                found = self.short_paths(points, total, down, begin[where[some]], n) if n <= SHORT else [self.paths(u, BEST) for u in names]
-                self.learn(kinds[some].tolist(), names, found)
-        types = np.array([self.types[k] for k in kinds.tolist()], np.int64)[back] if len(kinds) else np.zeros(0, np.int64)
+            of = lacking[lengths == n]
+            for some in np.array_split(of, len(of) * n * n // 1_000_000 + 1):
+                known = self.first.size
+                if n <= SHORT:
+                    self.learn(*self.short_paths(points, total, down, begin[where[some]], n))
+                else:
+                    for b in begin[where[some]].tolist():
+                        found, more = self.paths(points[b : b + n].tobytes().decode("utf-32-le", "surrogatepass"), BEST)
+                        logs, size = np.full((1, BEST), -np.inf), np.zeros((1, BEST), np.int64)
+                        logs[0, : len(found)], size[0, : len(found)] = [lp for lp, _ in found], [len(x) for _, x in found]
+                        self.learn(logs, np.array([more]), np.array([*chain.from_iterable(x for _, x in found)], np.int32), size)
+                self.keys = np.r_[self.keys, kinds[some]]
+                self.key_types = np.r_[self.key_types, np.arange(known, known + len(some))]
+        order = np.argsort(self.keys)
+        self.keys, self.key_types = self.keys[order], self.key_types[order]
+        types = self.key_types[np.searchsorted(self.keys, kinds)][back] if len(kinds) else np.zeros(0, np.int64)
         return types, np.searchsorted(begin, heads + size) - np.searchsorted(begin, heads)
 
 
 class Sampler:
-    """Draws segmentations of texts whose units are known."""
+    """Draws segmentations of many texts at once; their units are known.
+
+    Random numbers are hashes of the text's key, the place of the unit and the
+    number of the draw, so they depend on nothing else.
+    """
 
     def __init__(self, lattice: Lattice, sampling: Sampling) -> None:
         self.lattice, self.sampling = lattice, sampling
@@ -296,15 +322,23 @@ class Sampler:
 
     def path(self, choice: int) -> tuple[float, tuple[int, ...]]:
         known = len(self.log)
-        return self.extra[choice - known] if choice >= known else (float(self.log[choice]), self.lattice.ids[choice])
-
-    def pieces(self, choice: np.ndarray) -> np.ndarray:
-        """The ids of a segmentation, given as a path of each unit."""
-        known, ids = len(self.log), self.lattice.ids
-        return np.array([*chain.from_iterable([ids[c] if c < known else self.extra[c - known][1] for c in choice.tolist()])], np.int32)
-
-    def _other(self, unit: int, without: set[tuple[int, ...]], rng: np.random.Generator) -> int:
-        found = self.lattice.other(self.lattice.texts[unit], without, rng)
+        return self.extra[choice - known] if choice >= known else (float(self.log[choice]), self.lattice.path_ids(choice))
+
+    def pieces(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of paths one after the other, and how many each has."""
+        ids = np.r_[self.lattice.ids.all, np.array([*chain.from_iterable(x for _, x in self.extra)], np.int32)] if self.extra else self.lattice.ids.all
+        ends = np.r_[self.lattice.ends.all, (self.lattice.ids.size + np.cumsum([len(x) for _, x in self.extra])).astype(np.int64)] if self.extra else self.lattice.ends.all
+        begin = np.where(choice > 0, ends[choice - 1], 0)
+        size = ends[choice] - begin
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+
+    def _uniform(self, keys: np.ndarray, places: np.ndarray, draw: int) -> np.ndarray:
+        """Numbers over 0 and below 1."""
+        h = mix(mix(keys + np.uint64(self.sampling.seed << 32)) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(draw))
+        return ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+    def _other(self, unit: int, without: set[tuple[int, ...]], seed: list[int]) -> int:
+        found = self.lattice.other(self.lattice.text(unit), without, np.random.default_rng(seed))
         if found is None:
             return -1
         self.extra.append(found)
@@ -314,65 +348,96 @@ class Sampler:
         end = self.first[unit + 1] if unit + 1 < len(self.first) else len(self.log)
         return [i for i in range(self.first[unit], end) if not self.rest[i]]
 
-    def free(self, types: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def free(self, types: np.ndarray, u: np.ndarray, seeds: np.ndarray, draw: int) -> np.ndarray:
         """A path for each unit by its probability."""
-        at, u = self.first[types], rng.random(len(types))
+        at = self.first[types]
         todo = np.flatnonzero(u > self.upto[at])
         while len(todo):
             at[todo] += 1
             todo = todo[u[todo] > self.upto[at[todo]]]
-        for i in np.flatnonzero(self.rest[at]):
-            listed = self._listed(types[i])
-            other = self._other(types[i], {self.lattice.ids[j] for j in listed}, rng)
+        for i in np.flatnonzero(self.rest[at]).tolist():
+            listed = self._listed(int(types[i]))
+            other = self._other(int(types[i]), {self.lattice.path_ids(j) for j in listed}, [self.sampling.seed, draw, int(seeds[i]), i])
             at[i] = other if other >= 0 else listed[-1]
         return at
 
-    def but(self, unit: int, without: list[int], rng: np.random.Generator) -> int:
+    def but(self, unit: int, without: list[int], seed: list[int]) -> int:
         """A path for one unit by its probability, other than those given; -1 if there is none."""
+        rng = np.random.default_rng(seed)
         gone = {ids: lp for lp, ids in map(self.path, without)}
         every = self._listed(unit)
-        listed = [i for i in every if self.lattice.ids[i] not in gone]
+        listed = [i for i in every if i not in without]
         u = rng.random() * (1 - math.fsum(map(math.exp, gone.values())))
         for i in listed:
             u -= math.exp(self.log[i])
             if u < 0:
                 return i
         others = every[-1] + 1 < len(self.rest) and bool(self.rest[every[-1] + 1])
-        found = self._other(unit, {*gone, *(self.lattice.ids[i] for i in every)}, rng) if others else -1
+        found = self._other(unit, {*gone, *map(self.lattice.path_ids, every)}, [*seed, 1]) if others else -1
         return found if found >= 0 or not listed else listed[-1]
 
-    def sample(self, types: np.ndarray, key: int) -> list[tuple[np.ndarray, float, float, float]]:
-        """(path of each unit, log-probability, perturbed log-probability, probability of being included), best first."""
-        rng = np.random.default_rng([self.sampling.seed, key])
-        out: list[tuple[np.ndarray, float, float]] = []
-        heap: list[tuple[float, int, int, np.ndarray | None, list[int]]] = [(math.log(-math.log(rng.random() or 1e-300)), 0, 0, None, [])]
-        made, known = 1, len(self.log)
-        while heap and len(out) < self.sampling.samples:
-            low, _, at, parent, without = heapq.heappop(heap)
-            if parent is None:
-                choice = self.free(types, rng)
-            else:
-                one = self.but(types[at], without, rng)
-                if one < 0:
-                    continue
-                choice = np.concatenate([parent[:at], [one], self.free(types[at + 1 :], rng)])
-            lp = self.log[np.minimum(choice, known - 1)] if known else np.zeros(0)
-            for i in np.flatnonzero(choice >= known):
-                lp[i] = self.path(int(choice[i]))[0]
-            out.append((choice, float(lp.sum()), -low))
-            if not len(types):
-                break
-            p = np.exp(lp[at:])
-            p[0] += math.fsum(math.exp(self.path(i)[0]) for i in without)
-            left = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1 - 1e-12)), -np.inf) + np.cumsum(lp)[at:] - lp[at:]
-            score = np.where(np.isfinite(left), left - np.log(np.exp(np.minimum(left + low, 700)) - np.log(rng.random(len(left)))), -np.inf)
-            need = self.sampling.samples + 1 - len(out)
-            for j in np.argsort(-score)[:need] if len(score) <= need else np.argpartition(-score, need)[:need]:
-                if np.isfinite(score[j]):
-                    heapq.heappush(heap, (-float(score[j]), made, at + int(j), choice, [*(without if j == 0 else []), int(choice[at + j])]))
-                    made += 1
-        bound = -heap[0][0] if heap else -math.inf
-        return [(c, lp, g, 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(lp - bound, 700)))) for c, lp, g in out]
+    def sample(self, types: np.ndarray, count: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each round: texts that have such a sample, the path of each of their units, log-probability, perturbed one, probability of being included.
+
+        ``types`` are the units of all texts, ``count`` how many each has.
+        """
+        n, rounds = len(count), self.sampling.samples
+        start = np.cumsum(count) - count
+        doc = np.repeat(np.arange(n), count)
+        place, key = np.arange(len(types)) - start[doc], keys[doc]
+        draws = self._uniform(keys, np.full(n, 1 << 40), 0)
+        heaps: list[list[tuple[float, int, int, list[int]]]] = [[(math.log(-math.log(u)), 0, -1, [])] for u in draws.tolist()]
+        choices: list[np.ndarray] = []
+        out = []
+        for r in range(rounds):
+            low, at, parent = np.full(n, np.inf), np.zeros(n, np.int64), np.full(n, -2)
+            gone, turned = np.zeros(n), np.full(n, -1)
+            lists: list[list[int]] = [[]] * n
+            for d, heap in enumerate(heaps):
+                while heap:
+                    g, i, p, without = heapq.heappop(heap)
+                    if p >= 0:
+                        turned[d] = self.but(int(types[start[d] + i]), without, [self.sampling.seed, r, int(keys[d]), i])
+                        if turned[d] < 0:
+                            continue
+                        gone[d] = math.fsum(math.exp(self.path(x)[0]) for x in without)
+                    low[d], at[d], parent[d], lists[d] = g, i, p, without
+                    break
+            active = parent > -2
+            choice = self.free(types, self._uniform(key, place, 2 * r + 1), keys[doc] if r == 0 else key, r) if r == 0 else choices[0].copy()
+            if r:
+                for p in range(r):
+                    of = parent[doc] == p
+                    choice[of] = choices[p][of]
+                after = np.flatnonzero(active[doc] & (place > at[doc]))
+                choice[after] = self.free(types[after], self._uniform(key[after], place[after], 2 * r + 1), key[after], r)
+                moved = np.flatnonzero(turned >= 0)
+                choice[start[moved] + at[moved]] = turned[moved]
+            choices.append(choice)
+            lp = self.log[np.minimum(choice, max(len(self.log) - 1, 0))] if len(choice) else np.zeros(0)
+            for i in np.flatnonzero(choice >= len(self.log)).tolist():
+                lp[i] = self.extra[int(choice[i]) - len(self.log)][0]
+            total = np.bincount(doc, lp, n)
+            upto = np.cumsum(lp)
+            before = upto - lp - np.r_[0.0, upto][start][doc]
+            p = np.exp(lp)
+            own = np.flatnonzero(active & (count > 0))
+            p[start[own] + at[own]] += gone[own]
+            left = np.where(p < 1 - 1e-12, np.log1p(-np.minimum(p, 1 - 1e-12)), -np.inf) + before
+            left[(place < at[doc]) | ~active[doc]] = -np.inf
+            some = np.flatnonzero(np.isfinite(left))
+            score = left[some] - np.log(np.exp(np.minimum(left[some] + low[doc[some]], 700)) - np.log(self._uniform(key[some], place[some], 2 * r + 2)))
+            order = np.lexsort((-score, doc[some]))
+            d = doc[some][order]
+            heads = np.flatnonzero(np.r_[True, np.diff(d) != 0]) if len(d) else d
+            rank = np.arange(len(d)) - np.repeat(heads, np.diff(np.r_[heads, len(d)]))
+            best = order[rank < rounds - r]
+            for i, g in zip(some[best].tolist(), score[best].tolist(), strict=True):
+                t = int(doc[i])
+                heapq.heappush(heaps[t], (-g, int(place[i]), r, [*(lists[t] if place[i] == at[t] else []), int(choice[i])]))
+            out.append((active, choice, total, -low))
+        bound = np.array([-h[0][0] if h else -np.inf for h in heaps])
+        return [(a, c, lp, g, np.where(np.isfinite(bound), -np.expm1(-np.exp(np.minimum(lp - np.where(np.isfinite(bound), bound, 0), 700))), 1.0)) for a, c, lp, g in out]
 
 
 _lattices: dict[tuple[str, float], Lattice] = {}
@@ -405,15 +470,15 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = _lattice(model, sampling.alpha)
         for part in portions(frames, PORTION):
-            if len(lattice.ids) > REMEMBERED:
+            if lattice.log.size > REMEMBERED:
                 lattice.clear()
             types, count = lattice.units([marked(t) for t in part["text"]])
-            sampler, rows, at = Sampler(lattice, sampling), [], 0
-            for doc, key, n in zip(part["doc_id"], part["key"], count.tolist(), strict=True):
-                for i, (choice, lp, g, q) in enumerate(sampler.sample(types[at : at + n], int(key))):
-                    rows.append((doc, i, sampler.pieces(choice), lp, g, q))
-                at += n
-            yield pd.DataFrame(rows, columns=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+            sampler, ends = Sampler(lattice, sampling), np.cumsum(count)
+            for i, (active, choice, lp, g, q) in enumerate(sampler.sample(types, count, part["key"].to_numpy().astype(np.uint64))):
+                ids, size = sampler.pieces(choice)
+                cuts = np.r_[0, np.cumsum(size)][ends]
+                rows = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sample": i, "ids": np.split(ids, cuts[:-1]), "log_prob": lp, "perturbed": g, "inclusion": q})
+                yield rows[active]
 
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
@@ -425,8 +490,16 @@ def decoder(model: str):
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         surface = _lattice(model, Sampling().alpha).surface
-        for ids in batches:
-            yield pd.Series([b"".join([surface[i] for i in x]).decode("utf-8", "replace").replace(SPACE, " ")[1:] if x is not None else None for x in ids], dtype=object)
+        flat, ends = np.frombuffer(b"".join(surface), np.uint8), np.cumsum([len(x) for x in surface])
+        begins = ends - np.array([len(x) for x in surface])
+
+        def text(ids: np.ndarray) -> str:
+            size = ends[ids] - begins[ids]
+            places = np.repeat(begins[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            return flat[places].tobytes().decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
+        for part in batches:
+            yield pd.Series([text(np.asarray(x, np.int64)) if x is not None else None for x in part], dtype=object)
 
     decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return pandas_udf(decode, StringType())
