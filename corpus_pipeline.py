@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.langid import keep_identified
 from tidemark.llm.lines import drop_lines
 from tidemark.llm.mixing import repeated
-from tidemark.llm.segment import decoder, segmentations
+from tidemark.llm.segment import segmentations
 from tidemark.llm.shared import cut, ship
 from tidemark.llm.simhash import drop_near_duplicates
 
@@ -43,9 +43,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return segmentations(docs, model).select(
-        "doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", F.sha2(decoder(model)("ids"), 256).alias("decoded_sha256")
-    )
+    return segmentations(docs, model)
 
 
 STAGES = [("language", languages), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("pieces", pieces)]

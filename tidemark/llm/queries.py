@@ -14,7 +14,7 @@ from tidemark.llm.lines import line_report
 from tidemark.llm.media import cropped_and_lit, drawn, find_copies
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
-from tidemark.llm.segment import decoder, segmentations
+from tidemark.llm.segment import segmentations
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
 from tidemark.llm.sstable import encode_documents
@@ -58,7 +58,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = segmentations(_documents(spark, sf_dir), model)
     return found.select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        F.sha2(decoder(model)("ids"), 256).alias("decoded_sha256"), "log_prob", "perturbed", "inclusion",
+        "decoded_sha256", "log_prob", "perturbed", "inclusion",
     )
 
 

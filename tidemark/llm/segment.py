@@ -12,6 +12,7 @@ others by where they first differ from it.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from tidemark.llm.shared import ship
 
 SPACE = "▁"
 #: Code points handled together, paths remembered per unit, paths that a worker remembers.
-PORTION, BEST, REMEMBERED = 1 << 20, 4, 1_000_000
+PORTION, BEST, REMEMBERED = 1 << 20, 4, 2_000_000
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
@@ -154,47 +155,59 @@ class Lattice:
             out.append((lp - total[n], tuple(i for part in reversed(parts) for i in part)))
         return out, more[n]
 
-    def drawn(self, unit: str, rng: np.random.Generator) -> tuple[float, tuple[int, ...]]:
-        """One path by its probability: sums forwards, draws backwards."""
-        self.paths(unit, 1)
-        total, end, parts, lp = self.total, len(unit), [], 0.0
-        while end:
+    def forward(self, unit: str) -> list[list[tuple[float, int, tuple[int, ...]]]]:
+        """For each place the last pieces of ways to it: weight by that of all ways, start, ids; and at the end the log of all ways' weight."""
+        total, out = [0.0], [[]]
+        for end in range(1, len(unit) + 1):
             into = []
             for start in range(max(0, end - self.longest), end):
                 piece = self.pieces.get(unit[start:end])
                 if piece:
-                    into.append((total[start] + piece[1], start, (piece[0],), piece[1]))
+                    into.append((total[start] + piece[1], start, (piece[0],)))
                 elif end - start == 1:
                     raw = unit[start].encode("utf-8", "surrogatepass")
-                    w = self.byte_weight * len(raw)
-                    into.append((total[start] + w, start, tuple(self.bytes[b] for b in raw), w))
-            p = np.exp(np.array([x[0] for x in into]) - total[end])
-            _, end, ids, w = into[int(rng.choice(len(into), p=p / p.sum()))]
-            parts.append(ids)
-            lp += w
-        return lp - total[-1], tuple(i for part in reversed(parts) for i in part)
+                    into.append((total[start] + self.byte_weight * len(raw), start, tuple(self.bytes[b] for b in raw)))
+            top = max(into)[0]
+            weights = [math.exp(x[0] - top) for x in into]
+            every = sum(weights)
+            total.append(top + math.log(every))
+            out.append([(w / every, x[1], x[2]) for w, x in zip(weights, into, strict=True)])
+        return out
 
     def other(self, unit: str, known: set[tuple[int, ...]], rng: np.random.Generator) -> tuple[float, tuple[int, ...]] | None:
-        """A path that isn't known, by its probability among these; None if there is none."""
+        """A path that isn't known, by its probability among these; None if there is none.
+
+        Paths are drawn backwards until one is not known.  When the known ones
+        leave so little that this takes long, paths are listed, best first.
+        """
+        ways = self.forward(unit)
+        for _ in range(24):
+            end, parts, lp = len(unit), [], 0.0
+            while end:
+                u = rng.random()
+                for w, start, ids in ways[end]:  # noqa: B007
+                    u -= w
+                    if u < 0:
+                        break
+                parts.append(ids)
+                lp += math.log(w)
+                end = start
+            path = tuple(i for part in reversed(parts) for i in part)
+            if path not in known:
+                return lp, path
         most = 8 * BEST
-        while most <= 64 * BEST:
+        while True:
             found, more = self.paths(unit, most)
             left = [(lp, ids) for lp, ids in found if ids not in known]
             outside = max(0.0, 1 - math.fsum(math.exp(lp) for lp, _ in found)) if more else 0.0
-            total = outside + math.fsum(math.exp(lp) for lp, _ in left)
-            if total <= 0 or not (left or more):
-                return None
-            u = rng.random() * total
+            u = rng.random() * (outside + math.fsum(math.exp(lp) for lp, _ in left))
             for lp, ids in left:
                 u -= math.exp(lp)
                 if u < 0:
                     return lp, ids
-            if not more:
+            if not more or outside <= 0.0:
                 return left[-1] if left else None
             known, most = known | {ids for _, ids in found}, 8 * most
-        while (path := self.drawn(unit, rng))[1] in known:
-            pass
-        return path
 
     def learn(self, logs: np.ndarray, more: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember units: for each its paths' log-probabilities (-inf: none), whether there are others, and the ids of all paths."""
@@ -456,7 +469,9 @@ def marked(text: str | None) -> str:
 
 
 def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document and sample: doc_id, sample (from 0), ids, log_prob, perturbed, inclusion.
+    """A row per document and sample: doc_id, sample (from 0), ids, log_prob, perturbed, inclusion, decoded_sha256.
+
+    The last column is the digest of what the ids decode to, see decoder().
 
     Samples of a text are different segmentations, best perturbed score first;
     texts with fewer segmentations than samples have fewer rows.  Null and empty
@@ -468,7 +483,7 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
     ship(docs.sparkSession)
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = _lattice(model, sampling.alpha)
+        lattice, decode = _lattice(model, sampling.alpha), _Decoder(model)
         for part in portions(frames, PORTION):
             if lattice.log.size > REMEMBERED:
                 lattice.clear()
@@ -477,29 +492,50 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
             for i, (active, choice, lp, g, q) in enumerate(sampler.sample(types, count, part["key"].to_numpy().astype(np.uint64))):
                 ids, size = sampler.pieces(choice)
                 cuts = np.r_[0, np.cumsum(size)][ends]
-                rows = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sample": i, "ids": np.split(ids, cuts[:-1]), "log_prob": lp, "perturbed": g, "inclusion": q})
+                digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decode(ids, cuts)]
+                rows = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sample": i, "ids": np.split(ids, cuts[:-1]), "log_prob": lp, "perturbed": g, "inclusion": q, "decoded_sha256": digests})
                 yield rows[active]
 
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
-    return rows.mapInPandas(sampled, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return rows.mapInPandas(sampled, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded_sha256 string")
+
+
+class _Decoder:
+    """Texts of ids, many at once."""
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        kinds = [(i, model.id_to_piece(i)) for i in range(model.get_piece_size())]
+        surface = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else p.encode() for i, p in kinds]
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
+        self.size = np.array([len(x) for x in surface])
+        self.begin = np.cumsum(self.size) - self.size
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """``ids`` of all texts one after the other, and where each text's end."""
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        data = self.flat[np.repeat(self.begin[ids] - (upto - size), size) + np.arange(size.sum())].tobytes()
+        cuts = np.r_[0, np.r_[0, upto][ends]].tolist()
+        return [data[a:b].decode("utf-8", "replace").replace(SPACE, " ")[1:] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+_decoders: dict[str, _Decoder] = {}
 
 
 def decoder(model: str):
     """A function of a column of ids that gives the text."""
 
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        surface = _lattice(model, Sampling().alpha).surface
-        flat, ends = np.frombuffer(b"".join(surface), np.uint8), np.cumsum([len(x) for x in surface])
-        begins = ends - np.array([len(x) for x in surface])
-
-        def text(ids: np.ndarray) -> str:
-            size = ends[ids] - begins[ids]
-            places = np.repeat(begins[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            return flat[places].tobytes().decode("utf-8", "replace").replace(SPACE, " ")[1:]
-
+        if model not in _decoders:
+            _decoders[model] = _Decoder(model)
         for part in batches:
-            yield pd.Series([text(np.asarray(x, np.int64)) if x is not None else None for x in part], dtype=object)
+            there = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in part]
+            texts = _decoders[model](np.concatenate(there), np.cumsum([len(x) for x in there])) if len(there) else []
+            yield pd.Series([None if x is None else t for x, t in zip(part, texts, strict=True)], dtype=object)
 
     decode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return pandas_udf(decode, StringType())
