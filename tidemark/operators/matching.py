@@ -53,12 +53,9 @@ def require_complete(population: DataFrame, facts: DataFrame, keys: list[str]) -
 
 def violations(df: DataFrame, name: str, not_null: list[str] = [], unique: list[list[str]] = [], checks: dict[str, Column] = {}, foreign: dict[str, tuple[DataFrame, str]] = {}) -> DataFrame:  # noqa: B006
     """How many rows break each constraint: a row per constraint."""
-    total = df.agg(
-        *(F.count_if(F.col(c).isNull()).alias(f"{name}.{c} not null") for c in not_null),
-        *(F.count_if(~F.coalesce(c, F.lit(True))).alias(f"{name} check {k}") for k, c in checks.items()),
-        F.count("*").alias("__rows"),
-    ).drop("__rows")
-    parts = [total.unpivot([], total.columns, "constraint", "broken")] if total.columns else []
+    rules = {f"{name}.{c} not null": F.count_if(F.col(c).isNull()) for c in not_null} | {f"{name} check {k}": F.count_if(~F.coalesce(c, F.lit(True))) for k, c in checks.items()}
+    pairs = F.array(*(F.struct(F.lit(k).alias("constraint"), v.alias("broken")) for k, v in rules.items()))
+    parts = [df.agg(pairs.alias("p")).select(F.inline("p"))] if rules else []
     for keys in unique:
         again = df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("broken"))
         parts.append(again.select(F.lit(f"{name} unique {','.join(keys)}").alias("constraint"), "broken"))
