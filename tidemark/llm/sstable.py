@@ -37,7 +37,7 @@ _FOOTER = struct.Struct("<QQQQQQ8s")
 #: Marks that often follow a word.
 MARKS = ".,;:!?"
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 
 def key_bytes(key: int | None) -> bytes:
@@ -208,16 +208,17 @@ class Encoder:
             if len(self.known) + len(self.spaced) > REMEMBERED:
                 self.known.clear()
                 self.spaced.clear()
-            plans: list[tuple[list[str], list[str]]] = []
+            plans: list[tuple[list[str], list[str], list[bytes | None]]] = []
             spaced, known = set(), set()
             for text in texts[at : at + 256]:
                 first, *rest = text.replace("\n", " \n").split(" ")
-                lacking = [p for p in rest if p not in self.spaced]
+                ids = list(map(self.spaced.get, rest))
+                lacking = [p for p, x in zip(rest, ids, strict=True) if x is None] if None in ids else []
                 if first and not first[0].isspace() and not first[-1].isspace() and all(map(self._regular, lacking)):
-                    plans.append(([first], rest))
+                    plans.append(([first], rest, ids))
                     spaced.update(lacking)
                 else:
-                    plans.append((self.PIECE.findall(text), []))
+                    plans.append((self.PIECE.findall(text), [], []))
                 known.update(p for p in plans[-1][0] if p not in self.known)
             # letters and one mark after them are never joined: the letters alone often are known already
             marked = {p for p in spaced if p[-1] in MARKS and p[:-1].isalpha()}
@@ -225,8 +226,10 @@ class Encoder:
             self._learn(self.spaced, [p for p in (spaced - marked) | stems if p not in self.spaced], " ")
             self._learn(self.known, [p for p in {*known, *(p[-1] for p in marked)} if p not in self.known], "")
             self.spaced.update((p, self.spaced[p[:-1]] + self.known[p[-1]]) for p in marked)
-            for pieces, rest in plans:
-                yield np.frombuffer(b"".join([*map(self.known.__getitem__, pieces), *map(self.spaced.__getitem__, rest)]), "<u4")
+            for pieces, rest, ids in plans:
+                if None in ids:
+                    ids = [self.spaced[p] if x is None else x for p, x in zip(rest, ids, strict=True)]
+                yield np.frombuffer(b"".join([*map(self.known.__getitem__, pieces), *ids]), "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
