@@ -190,7 +190,9 @@ def settle(scores: DataFrame, draw: list[str], score: str, prizes: DataFrame) ->
     above = F.coalesce(F.sum("tied").over(W.partitionBy(*draw).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tied = tied.withColumn("rank", above + 1)
     each = prizes.select(F.explode(F.sequence("rank_from", "rank_to")).alias("place"), "prize", "rank_from")
-    each = each.groupBy("place").agg(F.min_by("prize", "rank_from").alias("prize"))
+    paid = each.groupBy("place").agg(F.min_by("prize", "rank_from").alias("prize"))
+    places = paid.agg(F.max("place").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(1), "last")).alias("place"))
+    each = places.join(paid, "place", "left").na.fill(0.0, ["prize"])
     upto = each.select("place", F.sum("prize").over(W.partitionBy(F.lit(0)).orderBy("place")).alias("upto"))  # a row a paid place
     last = upto.agg(F.max("place").alias("last"), F.max("upto").alias("all"))
     t = tied.join(F.broadcast(last)).withColumn("top", F.least(F.col("rank") + F.col("tied") - 1, F.col("last"))).withColumn("under", F.least(F.col("rank") - 1, F.col("last")))

@@ -534,3 +534,24 @@ def distribution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
     args = [F.col(c) for c in ("active", "scale", "shape")]
     return e.join(d, "event_type").select("event_id", F.round(numeric.mixture_cdf(F.col("value"), *args), 6).alias("cdf"), F.round(numeric.mixture_crps(F.col("value"), *args), 6).alias("crps"), F.round(numeric.mixture_log_score(F.col("value"), *args), 6).alias("log_score"), F.round("off", 6).alias("off"))
+
+
+@query()
+def simulated_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty seeded draws of every customer's outcome, correlated within nation and segment, settled per draw; return and chance of a prize."""
+    from tidemark.operators.simulation import factor_draws, lognormal_outcomes
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.greatest(F.col("c_acctbal"), F.lit(1.0)).alias("scale"))
+    z = factor_draws(c, 20, 7, {"c_nationkey": 0.3, "c_mktsegment": 0.2}, "c_custkey")
+    scores = lognormal_outcomes(z, F.lit(0.9), F.col("scale"), F.lit(0.5)).withColumn("score", F.round("value", 2))
+    won = metrics.settle(scores, ["draw"], "score", spark.createDataFrame(PRIZES, "rank_from int, rank_to int, prize double"))
+    return won.groupBy("c_custkey").agg(F.round(F.avg("won"), 6).alias("expected"), F.round(F.avg((F.col("won") > 0).cast("double")), 6).alias("cash_rate"), F.round(F.avg("won") / 25.0 - 1, 6).alias("roi"))
+
+
+@query()
+def fitted_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event type the effect of the hour's distance from noon on the rate of large values, beside a base rate."""
+    from tidemark.operators.simulation import offset_fit
+
+    e = facts(spark, sf_dir).withColumns({"noon": F.abs(F.pmod(F.col("observed_at"), F.lit(DAY)) / DAY - 0.5), "even": (F.col("user_id") % 2).cast("double"), "large": (F.col("cents") > 1500).cast("int"), "one": F.lit(1), "base": F.lit(0.3)})
+    return offset_fit(e, ["event_type"], "base", ["noon", "even"], "large", "one", steps=8)
