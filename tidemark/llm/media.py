@@ -12,6 +12,7 @@ numbers, then a byte for each pixel, row by row.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -117,21 +118,30 @@ def describe(image: np.ndarray, settings: Settings = Settings()) -> list[np.ndar
     return [x[order] for x in every]
 
 
+CORNERS = "array<struct<corner:int,x:double,y:double,scale:double,angle:double,bits:bigint>>"
+#: Images that a task describes, about.
+PER_TASK = 500
+
+
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The rows over enough tasks for the work that an image is, however few bytes they have."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PER_TASK)), key)
+
+
 def descriptors(images: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(id, corner, x, y, scale, angle, bits) of all images; ``images`` has id and image."""
+    """(id, digest, corners) of all images with bytes; ``images`` has id and image.  The images themselves aren't moved."""
 
     def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 256):
-                part = frame.iloc[at : at + 256]
-                out = [describe(unpack(data), settings) for data in part["image"]]
-                if out:
-                    count = [len(o[0]) for o in out]
-                    corner = np.concatenate([np.arange(n) for n in count])
-                    columns = [np.repeat(part["id"].to_numpy(), count), corner, *(np.concatenate(x) for x in zip(*out, strict=True))]
-                    yield pd.DataFrame(dict(zip(("id", "corner", "x", "y", "scale", "angle", "bits"), columns, strict=True)))
+            rows = []
+            for i, data in zip(frame["id"], frame["image"], strict=True):
+                columns = [c.tolist() for c in describe(unpack(data), settings)]
+                corners = [dict(zip(("corner", "x", "y", "scale", "angle", "bits"), (n, *c), strict=True)) for n, c in enumerate(zip(*columns, strict=True))]
+                rows.append((i, hashlib.sha256(data).digest(), corners))
+            yield pd.DataFrame(rows, columns=["id", "digest", "corners"])
 
-    return images.select("id", "image").where("id IS NOT NULL").mapInPandas(described, "id long, corner int, x double, y double, scale double, angle double, bits long")
+    given = images.select("id", "image").where("id IS NOT NULL AND image IS NOT NULL")
+    return given.mapInPandas(described, f"id bigint, digest binary, corners {CORNERS}")
 
 
 def _keys() -> Column:
@@ -172,17 +182,21 @@ def find_copies(queries: DataFrame, images: DataFrame, settings: Settings = Sett
     nothing.  Repeated ids of images count once per row.
     """
     ship(images.sparkSession)
-    classes = cut(image_classes(images).groupBy("class_id").agg(F.count("*").alias("members")), "image-classes")
-    firsts = images.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    asked = image_classes(queries)
-    query_firsts = queries.join(asked.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    q = cut(descriptors(query_firsts, settings), "query-corners").withColumn("key", _keys())
+    every = cut(descriptors(images, settings), "image-corners")
+    classes = cut(_classes(every), "image-classes")
+    members = classes.groupBy("class_id").agg(F.count("*").alias("members"))
+    asked = cut(descriptors(queries, settings), "query-corners")
+    asked_classes = _classes(asked)
+    corner = lambda df, ids: df.join(ids.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.inline("corners"))
+    q = corner(asked, asked_classes).withColumn("key", _keys())
     used = F.broadcast(_tables_used(q))
     renamed = {"id": "class_id", "corner": "corner2", "x": "u", "y": "v", "scale": "scale2", "angle": "angle2", "bits": "bits2"}
-    index = descriptors(firsts, settings).withColumn("key", _keys()).join(used, "key", "left_semi").withColumnsRenamed(renamed)
+    index = corner(every, classes).withColumn("key", _keys()).join(used, "key", "left_semi").withColumnsRenamed(renamed)
     q = q.withColumnRenamed("id", "query_id")
     close = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= settings.distance
     met = q.join(index, "key").where(close).drop("key", "bits", "bits2").dropDuplicates(["query_id", "class_id", "corner", "corner2"])
+    several = met.groupBy("query_id", "class_id").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= settings.agreeing)
+    met = met.join(several.drop("n"), ["query_id", "class_id"], "left_semi")
 
     def agreed(key: tuple[int, int], matches: pd.DataFrame) -> pd.DataFrame:
         n, *place = consensus(matches.sort_values(["corner", "corner2"]), settings)
@@ -190,15 +204,20 @@ def find_copies(queries: DataFrame, images: DataFrame, settings: Settings = Sett
         return pd.DataFrame(rows, columns=["first", "class_id", "agreeing", "dx", "dy", "turn", "scale"])
 
     found = met.groupBy("query_id", "class_id").applyInPandas(agreed, "first long, class_id long, agreeing int, dx double, dy double, turn double, scale double")
-    named = asked.select(F.col("id").alias("query_id"), F.col("class_id").alias("first"))
-    return named.join(found, "first").join(classes, "class_id").select("query_id", "class_id", "members", "agreeing", "dx", "dy", "turn", "scale")
+    named = asked_classes.select(F.col("id").alias("query_id"), F.col("class_id").alias("first"))
+    return named.join(found, "first").join(members, "class_id").select("query_id", "class_id", "members", "agreeing", "dx", "dy", "turn", "scale")
+
+
+def _classes(described: DataFrame) -> DataFrame:
+    """(id, class_id): the smallest id among images with equal bytes."""
+    rows = described.select("id", "digest")
+    return rows.join(rows.groupBy("digest").agg(F.min("id").alias("class_id")), "digest").select("id", "class_id")
 
 
 def image_classes(images: DataFrame) -> DataFrame:
-    """(id, class_id): the smallest id among images with equal bytes; null images and ids are left out."""
-    hashed = images.where("id IS NOT NULL AND image IS NOT NULL").select("id", F.sha2("image", 256).alias("h"))
-    hashed = cut(hashed, "image-hashes")
-    return hashed.join(hashed.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id")
+    """(id, class_id) of all images; null images and ids are left out."""
+    rows = images.where("id IS NOT NULL AND image IS NOT NULL").select("id", F.unhex(F.sha2("image", 256)).alias("digest"))
+    return _classes(rows)
 
 
 _bases: dict[tuple[int, int], np.ndarray] = {}

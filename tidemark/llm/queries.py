@@ -11,7 +11,7 @@ from tidemark.llm.exact import exact_groups
 from tidemark.llm.kneser_ney import score_documents
 from tidemark.llm.langid import identify
 from tidemark.llm.lines import line_report
-from tidemark.llm.media import cropped_and_lit, drawn, find_copies
+from tidemark.llm.media import cropped_and_lit, drawn, find_copies, spread
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.segment import segmentations
@@ -43,7 +43,8 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth drawing, cropped and edited, is sought among all drawings of the vectors."""
     ship(spark)
-    images = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), drawn("embedding").alias("image"))
+    vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"))
+    images = vectors.select("id", drawn("embedding").alias("image"))
     return find_copies(images.where("id % 100 = 0").select("id", cropped_and_lit("image").alias("image")), images)
 
 
