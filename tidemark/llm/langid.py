@@ -190,4 +190,4 @@ def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents whose language the model accepts, with all their columns."""
     model = learn(docs, settings)
-    return docs.withColumn("__p", predicted(docs, model)).where("__p.accepted").drop("__p")
+    return docs.withColumn("__language_found", predicted(docs, model)).where("__language_found.accepted").drop("__language_found")

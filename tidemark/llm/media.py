@@ -88,7 +88,7 @@ def _scaled(image: np.ndarray, scale: float) -> np.ndarray:
 def describe(image: np.ndarray, settings: Settings = Settings()) -> list[np.ndarray]:
     """x, y, scale, angle and bits of an image's corners; none for images too small or flat."""
     found = []
-    for scale in settings.scales:
+    for scale in settings.scales if min(image.shape) > 0 else ():
         level = _scaled(_smooth(image.astype(np.float32)), scale)
         if min(level.shape) <= 2 * RADIUS + 2:
             continue

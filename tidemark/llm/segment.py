@@ -31,7 +31,7 @@ from tidemark.llm.shared import ship
 
 SPACE = "▁"
 #: Code points handled together, paths remembered per unit, paths that a worker remembers.
-PORTION, BEST, REMEMBERED = 1 << 20, 4, 2_000_000
+PORTION, BEST, REMEMBERED = 1 << 19, 4, 600_000
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
@@ -303,7 +303,7 @@ class Lattice:
         lengths = length[where[lacking]]
         for n in np.unique(lengths).tolist():
             of = lacking[lengths == n]
-            for some in np.array_split(of, len(of) * n * n // 1_000_000 + 1):
+            for some in np.array_split(of, len(of) * n * n // 300_000 + 1):
                 known = self.first.size
                 if n <= SHORT:
                     self.learn(*self.short_paths(points, total, down, begin[where[some]], n))
@@ -339,11 +339,18 @@ class Sampler:
 
     def pieces(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of paths one after the other, and how many each has."""
-        ids = np.r_[self.lattice.ids.all, np.array([*chain.from_iterable(x for _, x in self.extra)], np.int32)] if self.extra else self.lattice.ids.all
-        ends = np.r_[self.lattice.ends.all, (self.lattice.ids.size + np.cumsum([len(x) for _, x in self.extra])).astype(np.int64)] if self.extra else self.lattice.ends.all
-        begin = np.where(choice > 0, ends[choice - 1], 0)
-        size = ends[choice] - begin
-        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
+        ids, ends, known = self.lattice.ids.all, self.lattice.ends.all, len(self.log)
+        rare = np.flatnonzero(choice >= known).tolist()
+        listed = np.where(choice < known, choice, 0)
+        begin = np.where(listed > 0, ends[listed - 1], 0)
+        size = ends[listed] - begin
+        size[rare] = [len(self.extra[int(choice[i]) - known][1]) for i in rare]
+        upto = np.cumsum(size)
+        places = np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+        out = ids[np.minimum(places, max(len(ids) - 1, 0))]
+        for i in rare:
+            out[upto[i] - size[i] : upto[i]] = self.extra[int(choice[i]) - known][1]
+        return out, size
 
     def _uniform(self, keys: np.ndarray, places: np.ndarray, draw: int) -> np.ndarray:
         """Numbers over 0 and below 1."""

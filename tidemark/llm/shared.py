@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Rows that go to a Python worker at once, where the session doesn't say: texts can be long, and workers' memory is small.
+BATCH_ROWS = 512
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the checkout that the driver uses."""
+    """Let Python workers import this package from the checkout that the driver uses, and send them few rows at a time."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # Spark's default
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
