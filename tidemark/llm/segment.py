@@ -310,9 +310,9 @@ class Lattice:
                 else:
                     for b in begin[where[some]].tolist():
                         found, more = self.paths(points[b : b + n].tobytes().decode("utf-32-le", "surrogatepass"), BEST)
-                        logs, size = np.full((1, BEST), -np.inf), np.zeros((1, BEST), np.int64)
-                        logs[0, : len(found)], size[0, : len(found)] = [lp for lp, _ in found], [len(x) for _, x in found]
-                        self.learn(logs, np.array([more]), np.array([*chain.from_iterable(x for _, x in found)], np.int32), size)
+                        logs, sizes = np.full((1, BEST), -np.inf), np.zeros((1, BEST), np.int64)
+                        logs[0, : len(found)], sizes[0, : len(found)] = [lp for lp, _ in found], [len(x) for _, x in found]
+                        self.learn(logs, np.array([more]), np.array([*chain.from_iterable(x for _, x in found)], np.int32), sizes)
                 self.keys = np.r_[self.keys, kinds[some]]
                 self.key_types = np.r_[self.key_types, np.arange(known, known + len(some))]
         order = np.argsort(self.keys)
