@@ -368,7 +368,7 @@ class Sampler:
         end = self.first[unit + 1] if unit + 1 < len(self.first) else len(self.log)
         return [i for i in range(self.first[unit], end) if not self.rest[i]]
 
-    def free(self, types: np.ndarray, u: np.ndarray, seeds: np.ndarray, draw: int) -> np.ndarray:
+    def free(self, types: np.ndarray, u: np.ndarray, keys: np.ndarray, places: np.ndarray, draw: int) -> np.ndarray:
         """A path for each unit by its probability."""
         at = self.first[types]
         todo = np.flatnonzero(u > self.upto[at])
@@ -377,7 +377,7 @@ class Sampler:
             todo = todo[u[todo] > self.upto[at[todo]]]
         for i in np.flatnonzero(self.rest[at]).tolist():
             listed = self._listed(int(types[i]))
-            other = self._other(int(types[i]), {self.lattice.path_ids(j) for j in listed}, [self.sampling.seed, draw, int(seeds[i]), i])
+            other = self._other(int(types[i]), {self.lattice.path_ids(j) for j in listed}, [self.sampling.seed, draw, int(keys[i]), int(places[i])])
             at[i] = other if other >= 0 else listed[-1]
         return at
 
@@ -424,13 +424,13 @@ class Sampler:
                     low[d], at[d], parent[d], lists[d] = g, i, p, without
                     break
             active = parent > -2
-            choice = self.free(types, self._uniform(key, place, 2 * r + 1), keys[doc] if r == 0 else key, r) if r == 0 else choices[0].copy()
+            choice = self.free(types, self._uniform(key, place, 1), key, place, 0) if r == 0 else choices[0].copy()
             if r:
                 for p in range(r):
                     of = parent[doc] == p
                     choice[of] = choices[p][of]
                 after = np.flatnonzero(active[doc] & (place > at[doc]))
-                choice[after] = self.free(types[after], self._uniform(key[after], place[after], 2 * r + 1), key[after], r)
+                choice[after] = self.free(types[after], self._uniform(key[after], place[after], 2 * r + 1), key[after], place[after], r)
                 moved = np.flatnonzero(turned >= 0)
                 choice[start[moved] + at[moved]] = turned[moved]
             choices.append(choice)
