@@ -31,7 +31,7 @@ from tidemark.llm.shared import ship
 
 SPACE = "▁"
 #: Code points handled together, paths remembered per unit, paths that a worker remembers.
-PORTION, BEST, REMEMBERED = 1 << 19, 4, 600_000
+PORTION, BEST, REMEMBERED = 1 << 19, 4, 2_500_000
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
@@ -299,7 +299,9 @@ class Lattice:
         length = np.diff(np.r_[begin, len(points)]) if len(begin) else begin
         key = _substring_keys(total, down, begin, length)
         kinds, where, back = np.unique(key, return_index=True, return_inverse=True)
-        lacking = np.flatnonzero(~np.isin(kinds, self.keys, assume_unique=True))
+        place = np.searchsorted(self.keys, kinds)
+        lacking = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != kinds) if len(self.keys) else np.arange(len(kinds))
+        new_types = np.zeros(len(kinds), np.int64)
         lengths = length[where[lacking]]
         for n in np.unique(lengths).tolist():
             of = lacking[lengths == n]
@@ -313,10 +315,8 @@ class Lattice:
                         logs, sizes = np.full((1, BEST), -np.inf), np.zeros((1, BEST), np.int64)
                         logs[0, : len(found)], sizes[0, : len(found)] = [lp for lp, _ in found], [len(x) for _, x in found]
                         self.learn(logs, np.array([more]), np.array([*chain.from_iterable(x for _, x in found)], np.int32), sizes)
-                self.keys = np.r_[self.keys, kinds[some]]
-                self.key_types = np.r_[self.key_types, np.arange(known, known + len(some))]
-        order = np.argsort(self.keys)
-        self.keys, self.key_types = self.keys[order], self.key_types[order]
+                new_types[some] = np.arange(known, known + len(some))
+        self.keys, self.key_types = np.insert(self.keys, place[lacking], kinds[lacking]), np.insert(self.key_types, place[lacking], new_types[lacking])
         types = self.key_types[np.searchsorted(self.keys, kinds)][back] if len(kinds) else np.zeros(0, np.int64)
         return types, np.searchsorted(begin, heads + size) - np.searchsorted(begin, heads)
 
