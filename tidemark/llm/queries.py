@@ -14,7 +14,7 @@ from tidemark.llm.lines import line_report
 from tidemark.llm.media import cropped_and_lit, drawn, find_copies, spread
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
-from tidemark.llm.segment import segmentations
+from tidemark.llm.segment import Sampling, segmentations
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
 from tidemark.llm.sstable import encode_documents
@@ -56,7 +56,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = segmentations(_documents(spark, sf_dir), model)
+    found = segmentations(_documents(spark, sf_dir), model, Sampling(remembered=2_500_000))
     return found.select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "decoded_sha256", "log_prob", "perturbed", "inclusion",
