@@ -14,7 +14,7 @@ from tidemark.llm.lines import drop_lines
 from tidemark.llm.mixing import repeated
 from tidemark.llm.segment import segmentations
 from tidemark.llm.shared import cut, ship
-from tidemark.llm.simhash import drop_near_duplicates
+from tidemark.llm.shingles import drop_similar
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest id of each group whose texts share 0.8 of their five-word shingles or more."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,3 +379,34 @@ def test_pipeline(spark, tmp_path):
     clean = set(range(60))
     assert kept[0] == clean | {100, 101} and kept[1] == clean | {101} and kept[2] >= clean and kept[3] <= kept[2] and kept[4] == kept[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_drops_similar(spark, odd, empty):
+    import corpus_pipeline
+    from tidemark.llm.shingles import Alike, drop_similar, shingles, similar_components, similarity, sketch
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, near = [], fresh(60)
+    near2 = list(near)
+    near2[20] = "changed"
+    docs += [(900, " ".join(near), "en", "s", 0), (901, " ".join(near2), "en", "s", 0)]
+    for i in range(60):
+        base = fresh(rng.randint(5, 300))
+        for k in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 40))):
+                t[rng.randrange(len(t))] = f"x{rng.randint(0, 10**6)}"
+            docs.append((len(docs), " ".join(t), "en", "s", 0))
+    frame = spark.createDataFrame(docs, DOCS)
+    sets = {d[0]: shingles(d[1], 5) for d in docs}
+    label = partition([(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8], sets)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
+    assert got == set(label.values()) and len(got) < len(docs) and 901 not in got
+    # pairs that no leader of a key reaches: one minimum a band lets texts of little similarity meet
+    rule = Alike(bands=60, minima=1)
+    nodes = frame.select(F.col("doc_id").alias("node"), "text")
+    distinct = nodes.select("node", sketch(F.col("text"), rule).alias("s")).select("node", "s.size", "s.keys")
+    found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
+    assert {i: found.get(i, i) for i in sets} == label
+    assert drop_similar(empty).count() == 0 and drop_similar(odd).columns == odd.columns
