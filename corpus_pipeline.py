@@ -18,7 +18,7 @@ from tidemark.llm.shingles import drop_similar
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language the model rejects: without letters, or hardly surer than chance."""
+    """Without the documents whose language the model rejects: without letters, less sure than held-back texts, or of unfamiliar subwords."""
     return keep_identified(docs)
 
 

@@ -410,3 +410,25 @@ def test_pipeline_drops_similar(spark, odd, empty):
     found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
     assert {i: found.get(i, i) for i in sets} == label
     assert drop_similar(empty).count() == 0 and drop_similar(odd).columns == odd.columns
+
+
+def test_language_rejects_unlearned(spark):
+    from tidemark.llm.langid import Settings, learn
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = learn(docs)
+    unknown = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "xqzv kjwq zzxq qqwk vbxz jjqx wvzk pqxj zxcv bnmq wrtp",
+        "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0IGVuY29kZWQgdGV4dA==",
+    ]
+    assert not any(model.predict(t)[2] for t in unknown)
+    clean = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(model.predict(t)[2] for t in clean) > 0.99 * len(clean)
+    rows = [(i, "ab cd ef " * 4000, "la", "s", 0) for i in range(40)] + [(i, "gh ij kl", "lb", "s", 0) for i in range(40, 80)]
+    found = learn(spark.createDataFrame(rows, DOCS), Settings(max_chars=100_000))
+    assert found.labels == ["la", "lb"] and found.predict("ab cd ef")[0] == "la"

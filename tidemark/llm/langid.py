@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -28,42 +29,49 @@ class Settings:
     """What bounds and shapes the training.
 
     per_language: labelled rows in the sample, about, for each language.
-    max_chars: longer texts aren't sampled (predictions have no such bound).
+    held: every so manieth text is held back for calibration.
+    max_chars: of the sample, the same part for each language; texts are whole, and a language has one at least.
     languages: the most frequent ones are learned.
-    kept: the part of labelled rows that rejection must keep at least.
+    kept: the part of held-back texts that each of the two measures of rejection keeps at least.
+    strange: the part of subwords never met in training that any text may have.
     """
 
-    per_language: int = 600
-    max_chars: int = 20_000
+    per_language: int = 1200
+    held: int = 2
+    max_chars: int = 40_000_000
     languages: int = 200
     buckets: int = 1 << 15
     size: int = 16
     epochs: int = 6
     rate: float = 4.0
     kept: float = 0.9995
+    strange: float = 0.1
     seed: int = 7
 
 
 @dataclass
 class Model:
-    """labels; votes: what each bucket adds to each label's logit; temperature and threshold from calibration."""
+    """labels; votes: what each bucket adds to each label's logit; known: buckets met in training; temperature, threshold and strange from calibration."""
 
     labels: list[str]
     votes: np.ndarray
+    known: np.ndarray
     temperature: float
     threshold: float
+    strange: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Label, its probability, and whether that is enough; und for texts without letters."""
-        total, count = np.zeros(len(self.labels)), 0
+        """Label, its probability, and whether that is enough and the subwords are familiar; und for texts without letters."""
+        total, count, met = np.zeros(len(self.labels)), 0, 0
         for h in subwords(text or "", self.votes.shape[0]):
             total += self.votes[h].sum(axis=0, dtype=np.float64)
             count += len(h)
+            met += np.count_nonzero(self.known[h])
         if not count or not self.labels:
             return UNKNOWN, 0.0, False
         p = _softmax(total / count / self.temperature)
         best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] >= self.threshold)
+        return self.labels[best], float(p[best]), bool(p[best] >= self.threshold and strangeness(count - met, count) <= self.strange)
 
 
 _letters: list[np.ndarray] = []
@@ -96,27 +104,35 @@ def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
             tail = tail[-2:]
 
 
+def strangeness(unmet: int, count: int) -> float:
+    """The part of subwords that training hasn't met; a few in a short text say little."""
+    return unmet / (count + 20)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
 def train(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
-    """Fit embeddings and softmax; every fifth text is held back to fit temperature and threshold."""
+    """Fit embeddings and softmax; every ``held``-th text is held back to fit temperature and thresholds."""
     names = sorted(set(labels))
-    bags, targets = [], []
+    bags, targets, sizes = [], [], []
     for text, label in zip(texts, labels, strict=True):
-        h = list(subwords(text or "", settings.buckets))
-        if h:
-            ids, counts = np.unique(np.concatenate(h), return_counts=True)
-            bags.append((ids, (counts / counts.sum())[:, None]))
+        counts = np.zeros(settings.buckets, np.int64)
+        for h in subwords(text or "", settings.buckets):
+            counts += np.bincount(h, minlength=settings.buckets)
+        ids = np.flatnonzero(counts)
+        if len(ids):
+            bags.append((ids, (counts[ids] / counts.sum())[:, None]))
+            sizes.append(int(counts.sum()))
             targets.append(names.index(label))
     if not bags:
-        return Model([], np.zeros((settings.buckets, 0)), 1.0, 0.0)
+        return Model([], np.zeros((settings.buckets, 0)), np.zeros(settings.buckets, bool), 1.0, 0.0, 1.0)
     rng = np.random.default_rng(settings.seed)
     e = rng.uniform(-1, 1, (settings.buckets, settings.size)) / settings.size
     w = np.zeros((settings.size, len(names)))
-    fit = [i for i in range(len(bags)) if i % 5 or len(bags) < 50]
+    fit = [i for i in range(len(bags)) if i % settings.held or len(bags) < 50]
     steps, done = settings.epochs * len(fit), 0
     for _ in range(settings.epochs):
         for i in rng.permutation(fit):
@@ -129,15 +145,19 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
             w -= rate * np.outer(v, g)
             e[ids] -= rate * part * back
             done += 1
-    held = [i for i in range(len(bags)) if i % 5 == 0]
+    held = [i for i in range(len(bags)) if i % settings.held == 0]
     logits = np.array([(e[bags[i][0]] * bags[i][1]).sum(axis=0) @ w for i in held])
     truth = np.array([targets[i] for i in held])
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-300).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
     sure = np.sort(_softmax(logits / temperature).max(axis=1))
-    threshold = min(1.25 / len(names), float(sure[int((1 - settings.kept) * len(sure))]))  # a little over chance at most
-    return Model(names, (e @ w).astype(np.float32), temperature, threshold)
+    most = int((1 - settings.kept) * len(held))
+    known = np.zeros(settings.buckets, bool)
+    for i in fit:
+        known[bags[i][0]] = True
+    strange = np.sort([strangeness(sizes[i] * float(bags[i][1][~known[bags[i][0]]].sum()), sizes[i]) for i in held])
+    return Model(names, (e @ w).astype(np.float32), known, temperature, float(sure[most]), max(settings.strange, float(strange[-1 - most])))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -154,7 +174,11 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         return train([], [], settings)
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.per_language / r["count"]))))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(settings.seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).where(F.length("text") <= settings.max_chars).toPandas()
+    sample = rows.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    sample = sample.withColumn("drawn", drawn).withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    before = F.sum("length").over(W.partitionBy("lang").orderBy("drawn", "id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
+    sample = sample.withColumn("before", before).where(F.col("before") + F.when(F.col("before") > 0, F.col("length")).otherwise(0) <= settings.max_chars // len(counts))
+    sample = sample.select("id", "text", "lang").toPandas()
     sample = sample.sort_values(["id", "lang", "text"]).sample(frac=1.0, random_state=settings.seed)
     return train(list(sample["text"]), list(sample["lang"]), settings)
 
