@@ -432,3 +432,20 @@ def test_language_rejects_unlearned(spark):
     rows = [(i, "ab cd ef " * 4000, "la", "s", 0) for i in range(40)] + [(i, "gh ij kl", "lb", "s", 0) for i in range(40, 80)]
     found = learn(spark.createDataFrame(rows, DOCS), Settings(max_chars=100_000))
     assert found.labels == ["la", "lb"] and found.predict("ab cd ef")[0] == "la"
+
+
+def test_repeated_rows_and_null_ids(spark):
+    from tidemark.llm.mixing import Mix, mix_documents, repeated
+    from tidemark.llm.shingles import drop_similar
+    from tidemark.llm.simhash import drop_near_duplicates
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(50))
+    same, alone = text(), [text() for _ in range(3)]
+    rows = [(7, same, "en", "s", 0)] * 20 + [(None, t, "en", "s", 0) for t in alone] + [(None, same, "en", "s", 0)]
+    docs, mix = spark.createDataFrame(rows, DOCS), Mix(share=2.0, most=2)
+    assert all(r.taken == 100 for r in mix_documents(docs, mix).collect())
+    got = repeated(docs, mix).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {7: 40, None: 8}
+    assert collections.Counter(r.doc_id for r in drop_similar(docs).collect()) == {7: 1, None: 3}
+    assert collections.Counter(r.doc_id for r in drop_near_duplicates(docs).collect()) == {7: 1, None: 4}

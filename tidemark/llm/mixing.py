@@ -78,6 +78,7 @@ def lines(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     two steps, within parts of a line and over the parts, so that no source's
     rows meet in one task.
     """
+    ids = [c for c in ("row", "doc_id") if c in sizes.columns]
     digest = F.md5(F.concat(F.lit(mix.seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = (
         sizes.join(sources.select("no", F.col("source").alias("s"), "source_size", "target", "take"), F.col("source").eqNullSafe(F.col("s")))
@@ -87,11 +88,11 @@ def lines(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     parts = rows.groupBy("no", "part").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("no", "part", before.alias("before"))
-    inner = W.partitionBy("no", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("no", "part").orderBy("key", "doc_id", "size", *ids[:-1]).rowsBetween(W.unboundedPreceding, -1)
     return (
         rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(parts, ["no", "part"])
-        .select("doc_id", "no", "size", "source_size", "target", "take", (F.col("before") + F.col("within")).alias("begin"))
+        .select(*ids, "no", "size", "source_size", "target", "take", (F.col("before") + F.col("within")).alias("begin"))
     )
 
 
@@ -150,17 +151,29 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tex
     their own.  Without any words, all targets are 0; an empty table gives an
     empty result; other columns are ignored.  Texts are read once and not moved.
     """
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return _mixed(sizes, mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(sizes: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of ``sizes`` (doc_id, source, size, and row where they have one) with source_size, target and taken."""
+    sizes = cut(sizes, "sizes")
     sources = cut(source_targets(sizes, mix), "sources")
     laid = cut(lines(sizes, sources, mix), "lines")
     slots = schedule(sources, mix).select("no", "turn")
     taken = pieces(laid, mix).join(slots, ["no", "turn"]).groupBy("no", "begin").agg(F.sum("words").alias("taken"))
     known = laid.join(taken.withColumn("some", F.lit(True)), (laid["no"] == taken["no"]) & (laid["begin"] == taken["begin"]) & (laid["size"] > 0), "left")
-    return known.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    ids = [c for c in ("row", "doc_id") if c in sizes.columns]
+    return known.select(*ids, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
-    """The documents as often as the mix takes them: taken words by size, rounded; those that it doesn't take are gone."""
-    copies = mix_documents(docs, mix, id_col).where("taken > 0").select(F.col("doc_id").alias(id_col), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies"))
-    out = docs.join(copies.where("__copies > 0"), id_col)
+    """The documents as often as the mix takes them: taken words by size, rounded; those that it doesn't take are gone.
+
+    Repeated rows and rows with a null id are rows of their own.
+    """
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    copies = _mixed(sizes, mix).where("taken > 0").select(F.col("row").alias("__row"), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies"))
+    out = rows.join(copies.where("__copies > 0"), "__row")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

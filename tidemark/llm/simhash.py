@@ -152,6 +152,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id")
-    return docs.join(found.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    """One row of each component, that with the smallest id, with all its columns; rows with a null id have no component and stay."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(rows, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    first = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("__row").alias("__row")).join(found, "__id", "left_semi")
+    stays = first.select("__row").unionByName(rows.where(F.col(id_col).isNull()).select("__row"))
+    return rows.join(stays, "__row", "left_semi").select(docs.columns)
