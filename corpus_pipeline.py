@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.langid import keep_identified
-from tidemark.llm.lines import drop_lines
+from tidemark.llm.lines import Rule, drop_lines
 from tidemark.llm.mixing import repeated
 from tidemark.llm.segment import segmentations
 from tidemark.llm.shared import cut, ship
@@ -24,7 +24,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier line is equal or near to; documents of which nothing is left go."""
-    out = drop_lines(docs)
+    out = drop_lines(docs, Rule(equal=1))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -449,3 +449,15 @@ def test_repeated_rows_and_null_ids(spark):
     assert {r.doc_id: r["count"] for r in got} == {7: 40, None: 8}
     assert collections.Counter(r.doc_id for r in drop_similar(docs).collect()) == {7: 1, None: 3}
     assert collections.Counter(r.doc_id for r in drop_near_duplicates(docs).collect()) == {7: 1, None: 4}
+
+
+def test_short_lines_repeat(spark):
+    import corpus_pipeline
+    from tidemark.llm.lines import Rule, line_report
+
+    rows = [(1, "Home\nsome words that stand alone in one", "en", "s", 0), (2, "other words, which stand alone too\n Home\nHome", "en", "s", 0), (3, "Home!\nfar from all the others it is", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.removed for r in line_report(docs, Rule(equal=1)).collect()}
+    assert got == {1: "", 2: "1,2", 3: ""}
+    assert {r.doc_id: r.removed for r in line_report(docs).collect()} == {1: "", 2: "", 3: ""}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}[2] == "other words, which stand alone too"

@@ -31,10 +31,12 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Rule:
-    """threshold: edits in code points within which lines are linked; shortest: lines with fewer code points are left alone."""
+    """threshold: edits in code points within which lines are linked; shortest: lines with fewer code points are left alone, except that
+    equal lines from ``equal`` code points on are repeats (shortest, where that is None)."""
 
     threshold: int = 2
     shortest: int = 20
+    equal: int | None = None
 
 
 class Lines:
@@ -254,7 +256,7 @@ def line_classes(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataF
     links = cut(line_links(docs, rule), "line-links")
     found = cut(line_occurrences(docs), "line-occurrences")
     components = connected_components(links)
-    joined = found.where(F.col("length") >= rule.shortest).join(components, found["id"] == components["node"], "left")
+    joined = found.where(F.col("length") >= (rule.shortest if rule.equal is None else min(rule.equal, rule.shortest))).join(components, found["id"] == components["node"], "left")
     classed = joined.select("doc_id", "no", "id", F.coalesce("component", "id").alias("class_id"))
     first = classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = classed.join(first, "class_id", "left")
@@ -270,8 +272,8 @@ def line_report(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
     """One row per document: doc_id, n_lines, n_near (lines linked to a different line), n_removed, removed (line numbers from 0, comma-joined).
 
     Lines end at line feeds; white space at their ends doesn't count, and blank
-    lines are no lines.  Lines shorter than the rule's shortest are never
-    removed.  Null and empty texts have no lines.  Documents with the same id are
+    lines are no lines.  Lines shorter than the rule's shortest are removed
+    only as repeats of an equal line, from the rule's equal on.  Null and empty texts have no lines.  Documents with the same id are
     one document to this report, their rows are returned each; rows with a null
     id keep their lines.  An empty table gives an empty result; other columns
     are ignored.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.exact import exact_groups
 from tidemark.llm.kneser_ney import score_documents
 from tidemark.llm.langid import identify
-from tidemark.llm.lines import line_report
+from tidemark.llm.lines import Rule, line_report
 from tidemark.llm.media import cropped_and_lit, drawn, find_copies, spread
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
@@ -68,7 +68,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(_documents(spark, sf_dir))
+    return line_report(_documents(spark, sf_dir), Rule(equal=1))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
