@@ -228,8 +228,9 @@ def test_mixing(spark, odd, empty):
     assert all(abs(half[n] - c / 2) <= 4 for n, c in collections.Counter(order).items())
 
 
-def test_lines(spark, odd, empty):
-    from tidemark.llm.lines import Rule, crowd_links, drop_lines, line_report, within
+def test_lines(spark, odd, empty, monkeypatch):
+    import tidemark.llm.lines as of_lines
+    from tidemark.llm.lines import Rule, drop_lines, group_links, line_report, within
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -266,16 +267,16 @@ def test_lines(spark, odd, empty):
             if label[x] in seen:
                 gone[i].append(n)
             seen.add(label[x])
-    got = {r.doc_id: r for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    for i, _ in docs:
-        assert got[i].removed == ",".join(map(str, gone[i])) and got[i].n_lines == sum(p[0] == i for p in places)
-    # a crowd's links join what all pairs join
-    from tidemark.llm.lines import Lines
-
-    own = Lines(["\n".join(kinds)]).id
-    crowd = crowd_links(np.r_[own, own], np.r_[np.zeros(len(own), bool), np.ones(len(own), bool)], np.array(kinds * 2, object), 2)
-    name = dict(zip(own.tolist(), kinds, strict=True))
-    assert partition([(name[a], name[b]) for a, b in crowd], kinds) == label
+    linked = {x for pair in links for x in pair}
+    crowded = of_lines.CROWD
+    for most in (crowded, 2):  # with few lines to a key all keys are split, some down to deletion variants
+        monkeypatch.setattr(of_lines, "CROWD", most)
+        got = {r.doc_id: r for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        for i, _ in docs:
+            own = [p[2] for p in places if p[0] == i]
+            assert got[i].removed == ",".join(map(str, gone[i])) and got[i].n_removed == len(gone[i])
+            assert got[i].n_lines == len(own) and got[i].n_near == sum(x in linked for x in own)
+    assert partition(group_links(list(range(len(kinds))), kinds, 2), range(len(kinds))) == {i: kinds.index(label[x]) for i, x in enumerate(kinds)}
     assert line_report(odd).count() == len(ODD) and line_report(empty).count() == 0 and drop_lines(odd).columns == odd.columns
 
 
@@ -451,6 +452,29 @@ def test_repeated_rows_and_null_ids(spark):
     assert collections.Counter(r.doc_id for r in drop_near_duplicates(docs).collect()) == {7: 1, None: 4}
 
 
+def test_lines_of_the_same_words_stay(spark):
+    from itertools import islice, permutations
+
+    from tidemark.llm.lines import line_report
+
+    words = [3 * x for x in "abcdefghij"]
+    rows = [(i, " ".join(p)) for i, p in enumerate(islice(permutations(words), 0, 3_000_000, 300))]
+    got = line_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("n_removed > 0 OR n_near > 0").count() == 0  # other orders of whole words are more than two edits apart
+    copies = spark.createDataFrame([(None, rows[0][1]), (3, rows[0][1]), (None, rows[0][1]), (3, rows[0][1])], "doc_id long, text string")
+    assert sorted(r.n_removed for r in line_report(copies).collect()) == [0, 1, 1, 1]
+    assert [r.doc_id for r in line_report(copies).where("n_removed = 0").collect()] == [3]
+
+
+def test_drop_lines_keeps_columns(spark):
+    from tidemark.llm.lines import drop_lines
+
+    rows = [(1, "the same line of some words\nand another", 5), (None, "the same line of some words\nelse", 6), (1, None, 7), (1, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int").selectExpr("*", "'r' AS row", "'g' AS gone", "1 AS h", "2 AS node")
+    got = {r["__gone"]: r.text for r in drop_lines(docs).collect()}
+    assert got == {5: rows[0][1], 6: "else", 7: None, 8: ""}
+
+
 def test_short_lines_repeat(spark):
     import corpus_pipeline
     from tidemark.llm.lines import Rule, line_report

@@ -1,32 +1,39 @@
 """Line duplicates within an edit distance, found by segments and substrings.
 
-If two lines are within ``threshold`` edits, one of threshold + 1 segments of
-one of them stands unchanged in the other, shifted by few places.  So each line
-is indexed by its segments and probes the segments of lines of its own length
-and of a few code points less.  Pairs that meet are compared by the parities of
-their characters, then by a banded bit-parallel edit distance.
+A line is split into threshold + 1 segments.  If a line is within ``threshold``
+edits of another, there is a segment i that stands unchanged in the other with
+exactly i edits before it: the first stands at the same place from the left, the
+last at the same place from the right, those between are shifted by i places
+or threshold - i at most.  Windows at these few places of a segment are the
+keys; lines whose lengths fall on one step of a grid have the same windows, and
+lines just above a step have those of the step below too.  Lines that share a
+key are compared by a banded bit-parallel edit distance.
+
+Keys with a crowd are split: what is left of their lines outside the shared
+segment is segmented in the same way, and so on.  A rest of a few code points
+has its deletion variants as keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tidemark.llm.hashing import mix, portions, powers
-from tidemark.llm.shared import connected_components, cut, ship
+from tidemark.llm.shared import WHITE, connected_components, cut, few, ship, spare
 
-#: Code points handled together; ids of compared lines that are broadcast at most (beyond, they are joined by a shuffle).
-PORTION, SENT = 1 << 20, 500_000
-#: Pairs that are tested together; a key with more pairs than CROWD has its lines compared with their texts at hand.
-PAIRS, CROWD = 1 << 21, 128
-_U = np.uint64
+#: Different lines of a key that are compared directly; a key with more is split.
+CROWD = 64
+_MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -38,116 +45,54 @@ class Rule:
     shortest: int = 20
     equal: int | None = None
 
-
-class Lines:
-    """The lines of some texts as places in one array of code points, without white space at their ends."""
-
-    def __init__(self, texts: list[str | None]) -> None:
-        texts = [t or "" for t in texts]
-        self.per_text = np.array([t.count("\n") + 1 for t in texts], np.int64)
-        joined = "\n".join(texts)
-        self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = len(self.points)
-        white = (self.points == 32) | ((self.points >= 9) & (self.points <= 13))
-        breaks = np.flatnonzero(self.points == 10)
-        start, end = np.r_[0, breaks + 1], np.r_[breaks, size]
-        places = np.arange(size)
-        after = np.minimum.accumulate(np.where(white, size, places)[::-1])[::-1]
-        before = np.maximum.accumulate(np.where(white, -1, places))
-        self.start = np.minimum(np.r_[after, size][start], end)
-        self.end = np.maximum(np.r_[-1, before][end] + 1, self.start)
-        self.length = self.end - self.start
-        value = mix(self.points.astype(np.uint64) + _U(77))
-        up, self.down = powers(size + 1)
-        self.total = np.r_[_U(0), np.cumsum(value * up[:size])]
-        flags = np.r_[_U(1) << (value >> _U(59)), _U(0)]
-        parity = np.bitwise_xor.reduceat(flags, np.c_[self.start, self.end].reshape(-1))[::2] if len(start) else flags[:0]
-        self.parity = np.where(self.length > 0, parity, _U(0))
-        whole = mix(self.hash(self.start, self.length) + self.length.astype(np.uint64))
-        self.id = ((self.parity << _U(32)) | (whole & _U(0xFFFFFFFF))).view(np.int64)
-
-    def hash(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hashes of substrings, wherever they stand."""
-        return (self.total[start + length] - self.total[start]) * self.down[start]
-
-    def keys(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, id, probe) of each distinct line's segments and probes."""
-        _, some = np.unique(self.id, return_index=True)
-        some = some[self.length[some] >= max(rule.shortest, rule.threshold + 1)]
-        start, length, ids = self.start[some], self.length[some], self.id[some]
-        parts, out = rule.threshold + 1, []
-
-        def add(i: int, of: np.ndarray, at: np.ndarray, size: np.ndarray, keep: np.ndarray, probe: bool) -> None:
-            at, size, of = at[keep], size[keep], of[keep]
-            key = mix(self.hash(start[keep] + at, size) + mix(of.astype(np.uint64) * _U(64) + _U(i)))
-            out.append((key.view(np.int64), ids[keep], np.full(len(key), probe)))
-
-        for less in range(parts):
-            of = length - less
-            short, extra = of // parts, of % parts
-            for i in range(parts):
-                size = short + (i >= parts - extra)
-                at = i * short + np.maximum(0, i - (parts - extra))
-                low = np.maximum(at - i, at + less - (rule.threshold - i))
-                high = np.minimum(at + i, at + less + (rule.threshold - i))
-                if not less:
-                    add(i, of, at, size, of > 0, False)
-                for shift in range(2 * rule.threshold + 1):
-                    place = low + shift
-                    add(i, of, np.maximum(place, 0), size, (place <= high) & (place >= 0) & (place + size <= length) & (of >= rule.shortest) & (size > 0), True)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def meetings(keys: np.ndarray, ids: np.ndarray, probes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, kind): kind 0 for a pair of an indexed and a probing id with the same key whose parities differ in ``most`` bits at most.
-
-    A key with a crowd gives no pairs but its rows: a is the key, b an id, kind 1 if that is indexed and 2 if it probes.
-    """
-    order = np.lexsort((probes, keys))
-    keys, ids, probes = keys[order], ids[order], probes[order].astype(np.int64)
-    heads = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.zeros(0, np.int64)
-    if not len(heads):
-        return
-    size = np.diff(np.r_[heads, len(keys)])
-    probing = np.add.reduceat(probes, heads)
-    indexed = size - probing
-    crowded = np.repeat(indexed * probing > CROWD, size)
-    if crowded.any():
-        yield keys[crowded], ids[crowded], 1 + probes[crowded]
-    # one job for each indexed row: it meets the probing rows of its key
-    row = np.flatnonzero((probes == 0) & ~crowded)
-    group = np.searchsorted(heads, row, "right") - 1
-    first, count = heads[group] + indexed[group], probing[group]
-    total = np.cumsum(count)
-    at = 0
-    while at < len(row):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
-        n = count[at:end]
-        a = np.repeat(ids[row[at:end]], n)
-        b = ids[np.repeat(first[at:end], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        near = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64) >> _U(32)) <= most)
-        if near.any():
-            a, b = a[near], b[near]
-            yield np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)
-        at = end
-
-
-def crowd_links(ids: np.ndarray, probes: np.ndarray, lines: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that join all lines of one key within the threshold, without those between lines that are joined already."""
-    kinds, back = np.unique(ids, return_inverse=True)
-    labels, out = np.arange(len(kinds)), []
-    size = np.array([len(x) for x in lines])
-    other = np.flatnonzero(probes)
-    for i in np.flatnonzero(~probes):
-        near = np.bitwise_count((ids[other] ^ ids[i]).view(np.uint64) >> _U(32)) <= 2 * threshold
-        near &= np.abs(size[other] - size[i]) <= threshold
-        for j in other[near]:
-            if labels[back[j]] != labels[back[i]] and within(lines[i], lines[j], threshold):
-                labels[labels == labels[back[j]]] = labels[back[i]]
-                out.append((int(ids[i]), int(ids[j])))
+    def steps(self, length: int) -> set[int]:
+        """The grid's steps that a line or rest of this length has windows for."""
+        return {n - n % (4 if n < 64 else 16) for n in range(max(0, length - self.threshold), length + 1)}
+
+
+def line_keys(line: str, rule: Rule, lo: int = 0, hi: int | None = None, parent: int = 0) -> list[tuple[int, int, int, bool]]:
+    """(key, lo, hi, last) of the stretch lo to hi of a line: keys of its windows, what is left outside each, and whether that can't be split."""
+    hi, t = len(line) if hi is None else hi, rule.threshold
+    out = []
+    for step in rule.steps(hi - lo):
+        seed = (parent * 0x9E3779B97F4A7C15 + step * 64) & _MASK
+        if step < 2 * t + 4:
+            rest = line[lo:hi]
+            kinds = {"".join(rest[i] for i in range(len(rest)) if i not in gone) for k in range(t + 1) for gone in map(set, combinations(range(len(rest)), min(k, len(rest))))}
+            out += [(_hash(x, seed), lo, hi, True) for x in kinds]
+            continue
+        size = step // (t + 1)
+        for i in range(t + 1):
+            wide = min(i, t - i)
+            for shift in range(wide + 1):
+                at = lo + i * size + shift if i <= t - i else hi - (t + 1 - i) * size + shift
+                end = at + size - wide
+                rest = (end, hi) if i <= t - i else (lo, at)
+                out.append((_hash(line[at:end], seed + i + 1), *rest, False))
     return out
 
 
+def _hash(part: str, seed: int) -> int:
+    h = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed & _MASK)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _digest(line: str) -> tuple[int, int]:
+    """The 128 bits that tell a line from others, as two signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), ">i8").tolist())
+
+
+def _same_head(a: str, b: str) -> int:
+    """How many code points two texts have in common at their start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
 def within(a: str, b: str, threshold: int) -> bool:
     """Whether two texts are within ``threshold`` edits.
 
@@ -157,17 +102,14 @@ def within(a: str, b: str, threshold: int) -> bool:
     """
     if abs(len(a) - len(b)) > threshold:
         return False
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    head = _same_head(a, b)
+    a, b = a[head:], b[head:]
+    tail = _same_head(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     width = 2 * threshold + 1
     whole = (1 << width) - 1
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a[: len(b) + threshold + 1]):
         places[c] = places.get(c, 0) | 1 << (i + threshold)
     reached = [((1 << (e + 1)) - 1) << threshold & whole for e in range(threshold + 1)]  # bit k: threshold less than k characters of a
     for j, c in enumerate(b):
@@ -185,87 +127,178 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reached[-1] >> end & 1)
 
 
-def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in portions(frames, PORTION):
-        lines = Lines(list(part["text"]))
-        first = np.cumsum(lines.per_text) - lines.per_text
-        no = np.arange(len(lines.id)) - np.repeat(first, lines.per_text)
-        keep = lines.length > 0
-        docs = part["doc_id"].repeat(lines.per_text)[keep]
-        yield pd.DataFrame({"doc_id": docs.to_numpy(), "no": no[keep], "id": lines.id[keep], "length": lines.length[keep]})
-
-
-def line_occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, id, length) for each line with more than white space; ``docs`` has doc_id and text."""
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(_occurrences, "doc_id long, no long, id long, length long")
-
+def group_links(nodes: list[int], lines: list[str], threshold: int) -> list[tuple[int, int]]:
+    """Links that join all lines of one key within the threshold, without those between lines that are joined already."""
+    label, out = list(range(len(lines))), []
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i, line in enumerate(lines):
+        for j in range(i):
+            x, y = root(i), root(j)
+            if x != y and within(lines[j], line, threshold):
+                label[max(x, y)] = min(x, y)
+                out.append((nodes[j], nodes[i]))
+    return out
 
-def line_links(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(a, b): ids of different lines within the threshold; ``docs`` has text.
 
-    Where many lines share a key, links between lines that others join already
-    are left out, so that the links of n lines alike grow with n.
+def _strip_lines(text: str | None) -> Iterator[tuple[int, str]]:
+    """Number and text of each line with more than white space."""
+    for no, line in enumerate((text or "").split("\n")):
+        line = line.strip(WHITE)
+        if line:
+            yield no, line
+
+
+def _occurrences(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (row, doc_id, h, text) a row per line; and one per document, with the number -1 and how many lines it has as length."""
+    least = max(rule.shortest, rule.threshold + 1)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            known: dict[bytes, list[int]] = {}  # keys of lines that this batch had already
+            place, no, digests, length, keys, counts = [], [], [], [], [], []
+            for i, text in enumerate(given["text"]):
+                first = len(place)
+                for n, line in _strip_lines(text.as_py()):
+                    digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                    if digest not in known:
+                        known[digest] = list({k for k, *_ in line_keys(line, rule)}) if len(line) >= least else []
+                    no.append(n)
+                    digests.append(digest)
+                    length.append(len(line))
+                    keys += known[digest]
+                    counts.append(len(known[digest]))
+                place += [i] * (len(no) - first + 1)
+                length.append(len(no) - first)
+                no.append(-1)
+                digests.append(b"\0" * 16)
+                counts.append(0)
+            halves = np.frombuffer(b"".join(digests), ">i8").astype("<i8").reshape(-1, 2)
+            own = given.select(["row", "doc_id", "h"]).take(pa.array(place, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts, dtype=np.int64)], pa.int32()), pa.array(keys, pa.int64()))
+            arrays = [pa.array(no, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(length, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays([*own.columns, *arrays], names=["row", "doc_id", "h", "no", "hi", "lo", "length", "keys"])
+
+    return made
+
+
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, line) of the wanted lines of texts; a line with another digest is of another text with the same hash."""
+    for given in batches:
+        nodes, lines = [], []
+        for text, wanted in zip(given["text"], given["wanted"].to_pylist(), strict=True):
+            parts = text.as_py().split("\n")
+            for w in wanted:
+                line = parts[w["no"]].strip(WHITE) if w["no"] < len(parts) else ""
+                if _digest(line) == (w["hi"], w["lo"]):
+                    nodes.append(w["node"])
+                    lines.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "line"])
+
+
+def _linked(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links within each key; rows (key, node, line) come in the order of keys."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, lines = None, [], []
+        for given in batches:
+            found = []
+            for key, node, line in zip(*(given[c].to_pylist() for c in ("key", "node", "line")), strict=True):
+                if key != now:
+                    found += group_links(nodes, lines, rule.threshold)
+                    now, nodes, lines = key, [], []
+                nodes.append(node)
+                lines.append(line)
+            yield _pairs(found)
+        yield _pairs(group_links(nodes, lines, rule.threshold))
+
+    return made
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _split(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of what is left of lines beside the key that they share; rows (key, node, lo, hi, line), lo null for keys of whole lines."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            out = set()
+            for key, node, lo, hi, line in zip(*(given[c].to_pylist() for c in ("key", "node", "lo", "hi", "line")), strict=True):
+                rests = {(lo, hi)} if lo is not None else {(x, y) for k, x, y, _ in line_keys(line, rule) if k == key}
+                out |= {(k, node, x, y, last) for a, b in rests for k, x, y, last in line_keys(line, rule, a, b, key)}
+            arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "lo", "hi", "last"])
+
+    return made
+
+
+def line_links(keyed: DataFrame, first: DataFrame, texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(a, b): nodes of different lines that join all within the threshold.
+
+    ``keyed`` has node and key, ``first`` where each node stands (node, hi, lo, no
+    and h, the hash of a text), ``texts`` h and text.  Links between lines that
+    others of the same key join already are left out, so that the links of n
+    lines alike grow with n.
     """
-
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in portions(frames, PORTION):
-            yield pd.DataFrame(dict(zip(("key", "id", "probe"), Lines(list(part["text"])).keys(rule), strict=True)))
-
-    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame({"key": [], "id": [], "probe": []}, dtype="int64")]).drop_duplicates()
-        for a, b, kind in meetings(*(rows[c].to_numpy() for c in ("key", "id", "probe")), 2 * rule.threshold):
-            yield pd.DataFrame({"a": a, "b": b, "kind": kind}).drop_duplicates()
-
-    def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in portions(frames, PORTION):
-            lines = Lines(list(part["text"]))
-            ids, some = np.unique(lines.id, return_index=True)
-            where = zip(lines.start[some], lines.end[some], strict=True)
-            yield pd.DataFrame({"id": ids, "line": [lines.points[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in where]})
-
-    def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.loc[[within(x, y, rule.threshold) for x, y in zip(f["x"], f["y"], strict=True)], ["a", "b"]]
-
-    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames) or [pd.DataFrame({"key": [], "id": [], "kind": [], "line": []})])
-        for _, f in rows.groupby("key"):
-            yield pd.DataFrame(crowd_links(f["id"].to_numpy(), f["kind"].to_numpy() == 2, f["line"].to_numpy(), rule.threshold), columns=["a", "b"])
-
-    source = docs.select("text").where("text IS NOT NULL")
-    keys = source.mapInPandas(keyed, "key long, id long, probe boolean").repartition("key")
-    found = cut(keys.mapInPandas(met, "a long, b long, kind long").distinct(), "line-meetings")
-    pairs, crowds = found.where("kind = 0").select("a", "b"), found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("id"), "kind")
-    wanted = cut(found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("id")).distinct(), "line-wanted")
-    if wanted.count() <= SENT:
-        wanted = F.broadcast(wanted)
-    known = source.mapInPandas(texts, "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    known = cut(known, "line-texts")
-    a, b = known.select(F.col("id").alias("a"), F.col("line").alias("x")), known.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    single = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
-    return single.unionByName(crowds.join(known, "id").repartition("key").mapInPandas(joined, "a long, b long")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(keyed.join(shared, "key").select("key", "node", "n"), "line-members")
+    wanted = cut(first.join(members.select("node").distinct(), "node", "left_semi"), "line-wanted")
+    asked = few(wanted.groupBy("h").agg(F.collect_list(F.struct("no", "node", "hi", "lo")).alias("wanted")), wanted)
+    known = texts.join(asked, "h").select("text", "wanted").mapInArrow(_texts_of, "node long, line string")
+    known = cut(known.groupBy("node").agg(F.min("line").alias("line")), "line-texts")
+
+    def links(rows: DataFrame) -> DataFrame:
+        dealt = rows.select("key", "node").join(known, "node").repartition("key").sortWithinPartitions("key", "node")
+        return dealt.select("key", "node", "line").mapInArrow(_linked(rule), "a long, b long")
+
+    out = links(members.where(F.col("n") <= CROWD))
+    crowd = members.where(F.col("n") > CROWD).select("key", "node", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    while not crowd.isEmpty():
+        parts = crowd.join(known, "node").select("key", "node", "lo", "hi", "line").mapInArrow(_split(rule), "key long, node long, lo int, hi int, last boolean")
+        parts = cut(parts.dropDuplicates(["key", "node"]), "line-crowd")
+        sizes = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        parts = cut(parts.join(sizes, "key"), "line-crowd")
+        out = out.unionByName(links(parts.where((F.col("n") <= CROWD) | F.col("last"))))
+        crowd = parts.where((F.col("n") > CROWD) & ~F.col("last")).select("key", "node", "lo", "hi")
+    return out.distinct()
 
 
 def line_classes(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """Occurrences with their class and whether they are removed, and the verified links.
+    """Lines that are repeated or linked, and the documents; ``docs`` has row (unique), doc_id and text.
 
-    Lines linked directly or over others are one class.  The occurrence with the
-    smallest (doc_id, line number) of a class stays.
+    The first has row, no, class_id, near (linked to a different line) and
+    removed; the second row, doc_id and n_lines.  Lines linked directly or over others
+    are one class.  The line with the smallest document id stays, null ids last,
+    then with the smallest row and number.
     """
     ship(docs.sparkSession)
-    links = cut(line_links(docs, rule), "line-links")
-    found = cut(line_occurrences(docs), "line-occurrences")
-    components = connected_components(links)
-    joined = found.where(F.col("length") >= (rule.shortest if rule.equal is None else min(rule.equal, rule.shortest))).join(components, found["id"] == components["node"], "left")
-    classed = joined.select("doc_id", "no", "id", F.coalesce("component", "id").alias("class_id"))
-    first = classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = classed.join(first, "class_id", "left")
-    removed = F.coalesce(F.struct("doc_id", "no") != F.col("first"), F.lit(False))
-    return marked.select("doc_id", "no", "id", "class_id", removed.alias("removed")), links
-
-
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    given = docs.select("row", "doc_id", F.xxhash64("text").alias("h"), "text")
+    lines = given.mapInArrow(_occurrences(rule), f"row long, doc_id {kind}, h long, no int, hi long, lo long, length int, keys array<long>")
+    lines = cut(lines, "line-occurrences")
+    least = rule.shortest if rule.equal is None else min(rule.equal, rule.shortest)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "no", "h")
+    kinds = lines.where((F.col("no") >= 0) & (F.col("length") >= least)).groupBy("hi", "lo")
+    kinds = kinds.agg(F.count("*").alias("n"), F.min(order).alias("first"), F.any_value("keys").alias("keys"))
+    kinds = cut(kinds.withColumn("node", F.monotonically_increasing_id()), "line-kinds")
+    keyed = kinds.select("node", F.explode("keys").alias("key"))
+    first = kinds.select("node", "hi", "lo", "first.no", "first.h")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
+    found = connected_components(cut(line_links(keyed, first, texts, rule), "line-links"))
+    known = kinds.select("node", "hi", "lo", "n", "first").join(found, "node", "left").where("n > 1 OR component IS NOT NULL")
+    known = cut(known.withColumn("class_id", F.coalesce("component", "node")).drop("n"), "line-classes")
+    stays = known.groupBy("class_id").agg(F.min("first").alias("stays"))
+    known = known.join(stays, "class_id").select("hi", "lo", "class_id", F.col("component").isNotNull().alias("near"), F.struct("stays.row", "stays.no").alias("stays"))
+    marked = lines.where("no >= 0").select("row", "no", "hi", "lo").join(few(known, known), ["hi", "lo"])
+    marked = marked.select("row", "no", "class_id", "near", (F.struct("row", "no") != F.col("stays")).alias("removed"))
+    return marked, lines.where("no < 0").select("row", "doc_id", F.col("length").cast("long").alias("n_lines"))
 
 
 def line_report(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,23 +306,26 @@ def line_report(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
 
     Lines end at line feeds; white space at their ends doesn't count, and blank
     lines are no lines.  Lines shorter than the rule's shortest are removed
-    only as repeats of an equal line, from the rule's equal on.  Null and empty texts have no lines.  Documents with the same id are
-    one document to this report, their rows are returned each; rows with a null
-    id keep their lines.  An empty table gives an empty result; other columns
-    are ignored.
+    only as repeats of an equal line, from the rule's equal on; equal are lines
+    with one 128-bit digest.  Of a class the line of the smallest id stays, null
+    ids last.  Null and empty texts have no lines.  Repeated rows and rows with a
+    null id are documents of their own.  An empty table gives an empty result;
+    other columns are ignored.
+
+    Keys that more than CROWD different lines share are split by further
+    segments instead of being compared directly; the classes are the same.
     """
-    source = _source(docs, id_col, text_col)
-    marked, links = line_classes(source, rule)
-    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("near", F.lit(1))
-    per = marked.join(linked, "id", "left").groupBy("doc_id").agg(
-        F.sum(F.coalesce("near", F.lit(0))).alias("n_near"),
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked, counted = line_classes(rows, rule)
+    numbers = F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("no"))))
+    per = marked.groupBy("row").agg(
+        F.sum(F.col("near").cast("long")).alias("n_near"),
         F.sum(F.col("removed").cast("long")).alias("n_removed"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("no")))), lambda n: n.cast("string")), ",").alias("removed"),
+        F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("removed"),
     )
     zero = F.lit(0).cast("long")
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0))
-    counted = source.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
-    return counted.join(per, "doc_id", "left").select("doc_id", "n_lines", *(F.coalesce(c, zero).alias(c) for c in ("n_near", "n_removed")), F.coalesce("removed", F.lit("")).alias("removed"))
+    found = counted.join(per, "row", "left")
+    return found.select("doc_id", "n_lines", *(F.coalesce(c, zero).alias(c) for c in ("n_near", "n_removed")), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 @pandas_udf(StringType())
@@ -306,10 +342,14 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
 def drop_lines(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their removed lines, with all their columns; documents of which no words are left are gone.
 
-    Documents that had no words before stay as they are.
+    Which lines are removed is as in line_report; repeated rows and rows with a
+    null id are documents of their own.  Documents that had no words before
+    stay as they are, null texts too.  An empty table gives an empty result.
     """
-    marked, _ = line_classes(_source(docs, id_col, text_col), rule)
-    gone = marked.where("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("no").alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    out = joined.withColumn(text_col, _without(F.col(text_col), F.col("__gone")))
-    return out.where(F.col("__gone").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    row, gone = spare(docs, "row", "gone")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    marked, _ = line_classes(rows.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rule)
+    lost = cut(marked.where("removed").groupBy(F.col("row").alias(row)).agg(F.collect_list("no").alias(gone)), "line-gone")
+    joined = rows.join(few(lost, lost), row, "left")
+    changed = joined.withColumn(text_col, F.when(F.col(gone).isNotNull(), _without(F.col(text_col), F.col(gone))).otherwise(F.col(text_col)))
+    return changed.where(F.col(gone).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

@@ -49,6 +49,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast, at most.
+FEW = 400_000
+
+
+def few(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if ``counted`` has few rows; beyond, it is joined by a shuffle."""
+    return F.broadcast(df) if counted.limit(FEW + 1).count() <= FEW else df
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that cut() has written."""
     spark = df.sparkSession
