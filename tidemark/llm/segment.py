@@ -104,10 +104,13 @@ class Lattice:
         order = np.argsort(keys)
         self.piece_keys, self.piece_ids = keys[order], np.array([i for i, _ in self.pieces.values()])[order]
         self.piece_weights = np.array([w for _, w in self.pieces.values()])[order]
+        self.maybe = np.zeros(1 << 20, bool)  # by a key's upper bits: most substrings are no pieces
+        self.maybe[self.piece_keys >> np.uint64(44)] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.key_types = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ways: dict[str, list[list[tuple[float, int, tuple[int, ...]]]]] = {}  # of units in this portion of texts
         self.first, self.upto, self.log, self.rest = _Grown(np.int64), _Grown(float), _Grown(float), _Grown(bool)
         self.ids, self.ends = _Grown(np.int32), _Grown(np.int64)  # ids of all paths one after the other, and where each path's end
 
@@ -176,40 +179,35 @@ class Lattice:
             out.append([(w / every, x[1], x[2]) for w, x in zip(weights, into, strict=True)])
         return out
 
-    def other(self, unit: str, known: set[tuple[int, ...]], rng: np.random.Generator) -> tuple[float, tuple[int, ...]] | None:
-        """A path that isn't known, by its probability among these; None if there is none.
+    def other(self, unit: str, known: dict[tuple[int, ...], float], rng: np.random.Generator) -> tuple[float, tuple[int, ...]] | None:
+        """A path that isn't known, by its probability among these; None if there is none.  ``known`` has log-probabilities.
 
-        Paths are drawn backwards until one is not known.  When the known ones
-        leave so little that this takes long, paths are listed, best first.
+        The path is drawn from its end: what known paths with the same pieces so
+        far weigh is taken off the weight of each way on.
         """
-        ways = self.forward(unit)
-        for _ in range(24):
-            end, parts, lp = len(unit), [], 0.0
-            while end:
-                u = rng.random()
-                for w, start, ids in ways[end]:  # noqa: B007
-                    u -= w
-                    if u < 0:
-                        break
-                parts.append(ids)
-                lp += math.log(w)
-                end = start
-            path = tuple(i for part in reversed(parts) for i in part)
-            if path not in known:
-                return lp, path
-        most = 8 * BEST
-        while True:
-            found, more = self.paths(unit, most)
-            left = [(lp, ids) for lp, ids in found if ids not in known]
-            outside = max(0.0, 1 - math.fsum(math.exp(lp) for lp, _ in found)) if more else 0.0
-            u = rng.random() * (outside + math.fsum(math.exp(lp) for lp, _ in left))
-            for lp, ids in left:
-                u -= math.exp(lp)
+        if unit not in self.ways:
+            self.ways[unit] = self.forward(unit)
+        ways = self.ways[unit]
+        like = [(ids, len(ids), math.exp(lp)) for ids, lp in known.items()]
+        end, parts, lp = len(unit), [], 0.0
+        while end:
+            now, options, total = math.exp(lp), [], 0.0
+            for w, start, ids in ways[end]:
+                same = [(k, n - len(ids), p) for k, n, p in like if k[max(0, n - len(ids)) : n] == ids and (start > 0) == (n > len(ids))]
+                left = max(0.0, now * w - math.fsum(p for _, _, p in same)) if same else now * w
+                total += left
+                options.append((left, w, start, ids, same))
+            if total <= 0:
+                return None
+            u = rng.random() * total
+            for left, w, start, ids, same in options:  # noqa: B007
+                u -= left
                 if u < 0:
-                    return lp, ids
-            if not more or outside <= 0.0:
-                return left[-1] if left else None
-            known, most = known | {ids for _, ids in found}, 8 * most
+                    break
+            parts.append(ids)
+            lp += math.log(w)
+            end, like = start, same
+        return lp, tuple(i for part in reversed(parts) for i in part)
 
     def learn(self, logs: np.ndarray, more: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember units: for each its paths' log-probabilities (-inf: none), whether there are others, and the ids of all paths."""
@@ -245,10 +243,13 @@ class Lattice:
             weights = []
             for start in starts:
                 key = _substring_keys(total, down, begin + start, end - start)
-                at = np.minimum(np.searchsorted(self.piece_keys, key), len(self.piece_keys) - 1)
-                is_piece = self.piece_keys[at] == key
-                weight = np.where(is_piece, self.piece_weights[at], -np.inf)
-                edge[start, end] = self.piece_ids[at]
+                some = np.flatnonzero(self.maybe[key >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.piece_keys, key[some]), len(self.piece_keys) - 1)
+                hit = self.piece_keys[at] == key[some]
+                some, at = some[hit], at[hit]
+                weight, is_piece = np.full(count, -np.inf), np.zeros(count, bool)
+                weight[some], is_piece[some] = self.piece_weights[at], True
+                edge[start, end, some] = self.piece_ids[at]
                 if end - start == 1 and not is_piece.all():
                     c = points[begin[~is_piece] + start].astype(np.int64)
                     weight[~is_piece] = self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
@@ -290,6 +291,7 @@ class Lattice:
 
     def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Types of the units of all texts, and how many each text has; the texts have their space marks."""
+        self.ways.clear()
         points, total, down = _hashed("".join(texts))
         size = np.array([len(t) for t in texts], np.int64)
         at = self.index[points]
@@ -359,7 +361,7 @@ class Sampler:
         h = mix(mix(keys + np.uint64(self.sampling.seed << 32)) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(draw))
         return ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
-    def _other(self, unit: int, without: set[tuple[int, ...]], seed: list[int]) -> int:
+    def _other(self, unit: int, without: dict[tuple[int, ...], float], seed: list[int]) -> int:
         found = self.lattice.other(self.lattice.text(unit), without, np.random.default_rng(seed))
         if found is None:
             return -1
@@ -379,7 +381,7 @@ class Sampler:
             todo = todo[u[todo] > self.upto[at[todo]]]
         for i in np.flatnonzero(self.rest[at]).tolist():
             listed = self._listed(int(types[i]))
-            other = self._other(int(types[i]), {self.lattice.path_ids(j) for j in listed}, [self.sampling.seed, draw, int(keys[i]), int(places[i])])
+            other = self._other(int(types[i]), {self.lattice.path_ids(j): float(self.log[j]) for j in listed}, [self.sampling.seed, draw, int(keys[i]), int(places[i])])
             at[i] = other if other >= 0 else listed[-1]
         return at
 
@@ -395,7 +397,7 @@ class Sampler:
             if u < 0:
                 return i
         others = every[-1] + 1 < len(self.rest) and bool(self.rest[every[-1] + 1])
-        found = self._other(unit, {*gone, *map(self.lattice.path_ids, every)}, [*seed, 1]) if others else -1
+        found = self._other(unit, gone | {self.lattice.path_ids(i): float(self.log[i]) for i in every}, [*seed, 1]) if others else -1
         return found if found >= 0 or not listed else listed[-1]
 
     def sample(self, types: np.ndarray, count: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
