@@ -302,7 +302,7 @@ def test_lines(spark, odd, empty, monkeypatch):
             seen.add(label[x])
     linked = {x for pair in links for x in pair}
     crowded = of_lines.CROWD
-    for most, levels in ((crowded, 2), (2, 2), (2, 4)):  # with few lines to a key all keys are split, some down to deletion variants
+    for most, levels in ((crowded, 2), (3, 1)):  # with few lines to a key keys are split, and then dealt in blocks
         monkeypatch.setattr(of_lines, "CROWD", most)
         monkeypatch.setattr(of_lines, "LEVELS", levels)
         got = {r.doc_id: r for r in line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -9,9 +9,11 @@ keys; lines whose lengths fall on one step of a grid have the same windows, and
 lines just above a step have those of the step below too.  Lines that share a
 key are compared by a banded bit-parallel edit distance.
 
-Keys with a crowd are split: what is left of their lines outside the shared
-segment is segmented in the same way, and so on.  A rest of a few code points
-has its deletion variants as keys.
+Keys that very many lines share are split: what is left of their lines outside
+the shared segment is segmented in the same way.  A rest of a few code points
+has its deletion variants as keys.  What is still a crowd after some levels is
+dealt in pairs of blocks.  Inside a key, parities of characters and of their
+pairs tell most lines apart before their distance is measured.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from tidemark.llm.hashing import mix
 from tidemark.llm.shared import WHITE, connected_components, cut, few, ship, spare
 
-#: Different lines of a key that are compared directly; a key with more is split.
-CROWD = 64
+#: Different lines of a key that are compared in one go; a key with more is split, LEVELS times at most, and then dealt in blocks.
+CROWD, LEVELS = 4096, 2
 _MASK = (1 << 64) - 1
 
 
@@ -50,8 +53,8 @@ class Rule:
         return {n - n % (4 if n < 64 else 16) for n in range(max(0, length - self.threshold), length + 1)}
 
 
-def line_keys(line: str, rule: Rule, lo: int = 0, hi: int | None = None, parent: int = 0) -> list[tuple[int, int, int, bool]]:
-    """(key, lo, hi, last) of the stretch lo to hi of a line: keys of its windows, what is left outside each, and whether that can't be split."""
+def line_keys(line: str, rule: Rule, lo: int = 0, hi: int | None = None, parent: int = 0) -> list[tuple[int, int, int]]:
+    """(key, lo, hi) of the stretch lo to hi of a line: keys of its windows, and what is left outside each."""
     hi, t = len(line) if hi is None else hi, rule.threshold
     out = []
     for step in rule.steps(hi - lo):
@@ -59,7 +62,7 @@ def line_keys(line: str, rule: Rule, lo: int = 0, hi: int | None = None, parent:
         if step < 2 * t + 4:
             rest = line[lo:hi]
             kinds = {"".join(rest[i] for i in range(len(rest)) if i not in gone) for k in range(t + 1) for gone in map(set, combinations(range(len(rest)), min(k, len(rest))))}
-            out += [(_hash(x, seed), lo, hi, True) for x in kinds]
+            out += [(_hash(x, seed), lo, hi) for x in kinds]
             continue
         size = step // (t + 1)
         for i in range(t + 1):
@@ -68,7 +71,7 @@ def line_keys(line: str, rule: Rule, lo: int = 0, hi: int | None = None, parent:
                 at = lo + i * size + shift if i <= t - i else hi - (t + 1 - i) * size + shift
                 end = at + size - wide
                 rest = (end, hi) if i <= t - i else (lo, at)
-                out.append((_hash(line[at:end], seed + i + 1), *rest, False))
+                out.append((_hash(line[at:end], seed + i + 1), *rest))
     return out
 
 
@@ -127,21 +130,39 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reached[-1] >> end & 1)
 
 
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each line that say which kinds of characters occur an odd number of times, and 64 for which neighbours do.
+
+    An edit changes 2 of the first at most, and 4 of the second: two characters
+    that were neighbours of the place, and two that are.
+    """
+    points = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines], np.int64)
+    start = np.cumsum(size + 1) - (size + 1)
+    value = mix(points + np.uint64(77))
+    one = np.uint64(1) << (value >> np.uint64(58))
+    two = np.uint64(1) << (mix(value[:-1] * np.uint64(3) + value[1:]) >> np.uint64(58))
+    ends = start + size
+    one[ends] = 0
+    two = np.append(two, np.uint64(0))
+    two[ends] = 0
+    two[np.maximum(ends - 1, 0)] = 0
+    return np.bitwise_xor.reduceat(one, start), np.bitwise_xor.reduceat(two, start)
+
+
 def group_links(nodes: list[int], lines: list[str], threshold: int) -> list[tuple[int, int]]:
     """Links that join all lines of one key within the threshold, without those between lines that are joined already."""
-    label, out = list(range(len(lines))), []
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for i, line in enumerate(lines):
-        for j in range(i):
-            x, y = root(i), root(j)
-            if x != y and within(lines[j], line, threshold):
-                label[max(x, y)] = min(x, y)
+    if len(lines) < 2:
+        return []
+    label, out = np.arange(len(lines)), []
+    one, two = parities(lines)
+    size = np.array([len(x) for x in lines])
+    for i in range(1, len(lines)):
+        near = (np.bitwise_count(one[:i] ^ one[i]) <= 2 * threshold) & (np.bitwise_count(two[:i] ^ two[i]) <= 4 * threshold)
+        near &= (np.abs(size[:i] - size[i]) <= threshold) & (label[:i] != label[i])
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i] and within(lines[j], lines[i], threshold):
+                label[label == label[j]] = label[i]
                 out.append((nodes[j], nodes[i]))
     return out
 
@@ -231,10 +252,10 @@ def _split(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for given in batches:
             out = set()
             for key, node, lo, hi, line in zip(*(given[c].to_pylist() for c in ("key", "node", "lo", "hi", "line")), strict=True):
-                rests = {(lo, hi)} if lo is not None else {(x, y) for k, x, y, _ in line_keys(line, rule) if k == key}
-                out |= {(k, node, x, y, last) for a, b in rests for k, x, y, last in line_keys(line, rule, a, b, key)}
-            arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "lo", "hi", "last"])
+                rests = {(lo, hi)} if lo is not None else {(x, y) for k, x, y in line_keys(line, rule) if k == key}
+                out |= {(k, node, x, y) for a, b in rests for k, x, y in line_keys(line, rule, a, b, key)}
+            arrays = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "lo", "hi"])
 
     return made
 
@@ -259,15 +280,21 @@ def line_links(keyed: DataFrame, first: DataFrame, texts: DataFrame, rule: Rule
         return dealt.select("key", "node", "line").mapInArrow(_linked(rule), "a long, b long")
 
     out = links(members.where(F.col("n") <= CROWD))
-    crowd = members.where(F.col("n") > CROWD).select("key", "node", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    while not crowd.isEmpty():
-        parts = crowd.join(known, "node").select("key", "node", "lo", "hi", "line").mapInArrow(_split(rule), "key long, node long, lo int, hi int, last boolean")
+    crowd = members.where(F.col("n") > CROWD).select("key", "node", "n", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+    for _ in range(LEVELS):
+        if crowd.isEmpty():
+            return out.distinct()
+        parts = crowd.join(known, "node").select("key", "node", "lo", "hi", "line").mapInArrow(_split(rule), "key long, node long, lo int, hi int")
         parts = cut(parts.dropDuplicates(["key", "node"]), "line-crowd")
         sizes = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         parts = cut(parts.join(sizes, "key"), "line-crowd")
-        out = out.unionByName(links(parts.where((F.col("n") <= CROWD) | F.col("last"))))
-        crowd = parts.where((F.col("n") > CROWD) & ~F.col("last")).select("key", "node", "lo", "hi")
-    return out.distinct()
+        out = out.unionByName(links(parts.where(F.col("n") <= CROWD)))
+        crowd = parts.where(F.col("n") > CROWD)
+    # a line is with each other one in the block of one pair of blocks at least
+    blocks, own = F.ceil(2 * F.col("n") / CROWD), F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("n") / CROWD))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = crowd.withColumn("own", own).withColumn("other", other)
+    return out.unionByName(links(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node"))).distinct()
 
 
 def line_classes(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +340,7 @@ def line_report(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", te
     other columns are ignored.
 
     Keys that more than CROWD different lines share are split by further
-    segments instead of being compared directly; the classes are the same.
+    segments, and at last dealt in blocks; the classes are the same.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked, counted = line_classes(rows, rule)
