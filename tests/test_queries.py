@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import SF, same_rows
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans.catalogue import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -401,10 +401,10 @@ def pattern_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, sha256(user_id || '|' || event_type || '|' || event_id) AS stable_id, round_even(value, 0) AS rounded,
 epoch_us(date_trunc('hour', ts)) AS hour, (epoch_us(ts) - 7200000000) // 21600000000 * 21600000000 AS cycle, round(ln((value + 1) / 100 / (1 - (value + 1) / 100)), 6) AS odds
-FROM (SELECT *, least(value, 97.0) AS v FROM events) WHERE value < 98""")
+FROM (SELECT event_id, props, user_id, event_type, ts, least(value, 98.0) AS value FROM events)""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values from JSON, stable ids, half-even rounding, floors of time, logits."""
-    e = table(spark, sf_dir, "events").where("value < 98")
+    e = table(spark, sf_dir, "events").withColumn("value", F.least("value", F.lit(98.0)))
     at = micros("ts")
     return e.select(
         "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")), 256).alias("stable_id"),
@@ -510,13 +510,23 @@ def beta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), q(0.05).alias("low"), q(0.95).alias("high"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT lang, ln(q / (1 - q)) AS x, quality AS y FROM (SELECT lang, quality, greatest(least(n_chars / 8000.0, 0.99), 1e-6)::DOUBLE AS q FROM documents JOIN labels USING (doc_id))),
+n AS (SELECT DISTINCT lang, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS i FROM d UNION ALL
+SELECT lang, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1 + 1e-12), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1 + 1e-12), i + 1 FROM (
+SELECT lang, a, b, i, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum(m * (1 - m)) AS h0, sum(m * (1 - m) * x) AS h1, sum(m * (1 - m) * x * x) AS h2
+FROM (SELECT n.lang, a, b, i, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM n JOIN d ON n.lang = d.lang WHERE i < 25) GROUP BY lang, a, b, i))
+SELECT lang, round(a, 5) AS intercept, round(b, 5) AS slope FROM n WHERE i = 25""")
 def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     return metrics.calibration_line(d.withColumn("p", F.least(F.col("n_chars") / 8000.0, F.lit(0.99))), ["lang"], "p", "quality")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, d AS (SELECT observed_at // {DAY} AS day, greatest(least(cents / 10000.0, 0.95), 0.01)::DOUBLE AS p FROM e),
+t AS (SELECT day, count(*) / 10 AS t FROM d GROUP BY day), x AS (SELECT day, ln(p / (1 - p)) AS x FROM d),
+b AS (SELECT day, -5.0::DOUBLE AS low, 5.0::DOUBLE AS high, 0 AS i FROM t UNION ALL
+SELECT day, CASE WHEN s < t THEN mid ELSE low END, CASE WHEN s < t THEN high ELSE mid END, i + 1 FROM (
+SELECT b.day, low, high, i, t, (low + high) / 2 AS mid, sum(1 / (1 + exp(-(x + (low + high) / 2)))) AS s FROM b JOIN x ON x.day = b.day JOIN t ON t.day = b.day WHERE i < 45 GROUP BY ALL))
+SELECT day, round((low + high) / 2, 6) AS shift FROM b WHERE i = 45""")
 def shifted_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shift of logits per day so that the day's probabilities add up to a tenth of its events."""
     e = facts(spark, sf_dir).withColumns({"day": F.floor(F.col("observed_at") / DAY), "p": F.greatest(F.least(F.col("cents") / 10000.0, F.lit(0.95)), F.lit(0.01))})
@@ -524,14 +534,32 @@ def shifted_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.shift_to_total(e.join(n, "day"), ["day"], "p", F.col("target"))
 
 
-@query()
-def distribution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log-normal for each event type from its mean and quantiles, and scores of each event's value under it."""
+@query("""WITH f AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type),
+t AS (SELECT event_type, count(*) AS every FROM events GROUP BY event_type), z AS (SELECT *, 1.2815515655446004 AS z FROM f JOIN t USING (event_type)),
+s AS (SELECT *, ln(hi / lo) / (2 * z) AS shape FROM z), d AS (SELECT *, m * exp(-shape * shape / 2) AS scale, n / (every + 1) AS active FROM s)
+SELECT event_id, round(CASE WHEN value = 0 THEN -ln(1 - active) WHEN value > 0 THEN -(ln(active) - ln(value * shape * sqrt(2 * pi())) - pow(ln(value / scale) / shape, 2) / 2) ELSE 'inf'::DOUBLE END, 5) AS log_score,
+round(greatest(abs(scale * exp(-shape * z) / lo - 1), abs(scale * exp(shape * z) / hi - 1)), 6) AS off FROM events JOIN d USING (event_type)""")
+def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log score of each event's value under its type's log-normal, and how far that is off its quantiles."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    d = _fitted(e)
+    score = numeric.mixture_log_score(F.col("value"), *(F.col(c) for c in ("active", "scale", "shape")))
+    return e.join(d, "event_type").select("event_id", F.round(score, 5).alias("log_score"), F.round("off", 6).alias("off"))
+
+
+def _fitted(e: DataFrame) -> DataFrame:
+    """A log-normal for each event type from its mean and quantiles; a row a type."""
     fit = e.where("value > 0").groupBy("event_type").agg(F.avg("value").alias("m"), F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi"), F.count("*").alias("n"))
     total = e.groupBy("event_type").agg(F.count("*").alias("all"))
     scale, shape, off = numeric.lognormal(F.col("m"), F.col("lo"), F.col("hi"))
-    d = fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
+    return fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
+
+
+@query()
+def distribution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log-normal for each event type from its mean and quantiles, and scores of each event's value under it."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    d = _fitted(e)
     args = [F.col(c) for c in ("active", "scale", "shape")]
     return e.join(d, "event_type").select("event_id", F.round(numeric.mixture_cdf(F.col("value"), *args), 6).alias("cdf"), F.round(numeric.mixture_crps(F.col("value"), *args), 6).alias("crps"), F.round(numeric.mixture_log_score(F.col("value"), *args), 6).alias("log_score"), F.round("off", 6).alias("off"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,18 +21,22 @@ def newest(stream: DataFrame, keys: list[str], instant: str, unique: str, values
     return stream.groupBy(*keys).agg(last).select(*keys, f"m.{instant}", f"m.{unique}", *(f"m.{v}" for v in values))
 
 
-def windowed(stream: DataFrame, instant: str, width: str, late: str, key: str, value: str) -> DataFrame:
-    """Counts and sums per window and key; late rows within the watermark count."""
-    w = F.window(instant, width)
+def windowed(stream: DataFrame, instant: str, width: str, late: str, key: str, value: str, slide: str | None = None) -> DataFrame:
+    """Counts and sums per window and key, windows beginning every ``slide`` (every width, if None); late rows within the watermark count."""
+    w = F.window(instant, width, slide or width)
     return stream.withWatermark(instant, late).groupBy(w, key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
 def sessions(stream: DataFrame, key: str, instant: str, gap: int, span: int, late: str = "1 hour") -> DataFrame:
     """(key, opened, closed, items) of closed sessions; one closes by a gap, by its span, or when the watermark passes its end plus the gap.
 
-    ``instant`` is a timestamp, limits are in seconds.  The state of a key is
-    its open session: two instants and a count.
+    ``instant`` is a timestamp, limits are in seconds, the instants returned in
+    microseconds.  The state of a key is its open session: two instants and a
+    count.  A row that comes late, but within the watermark, widens the open
+    session where it is within the gap of it; one earlier than that is a session
+    of its own.
     """
+    gap_us, span_us = gap * 1_000_000, span * 1_000_000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
@@ -40,18 +44,30 @@ def sessions(stream: DataFrame, key: str, instant: str, gap: int, span: int, lat
             out.append((*k, *state.get))
             state.remove()
         else:
-            opened, closed, items = state.get if state.exists else (None, None, 0)
-            for now in sorted(int(t.timestamp() * 1_000_000) for f in frames for t in f[instant]):
-                if opened is not None and (now - closed > gap * 1_000_000 or now - opened > span * 1_000_000):
+            held = [state.get] if state.exists else []
+            rows = [(now, now, 1) for f in frames for now in f["__us"].tolist()]
+            opened, closed, items = None, 0, 0
+            for first, last, n in sorted([*held, *rows]):
+                if opened is not None and (first - closed > gap_us or max(closed, last) - opened > span_us):
                     out.append((*k, opened, closed, items))
-                    opened, items = None, 0
-                opened, closed, items = (now if opened is None else opened), now, items + 1
+                    opened, closed, items = None, 0, 0
+                opened, closed, items = (first if opened is None else opened), max(closed, last), items + n
             if opened is not None:
                 state.update((opened, closed, items))
-                state.setTimeoutTimestamp(max(closed // 1000 + gap * 1000, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max((closed + gap_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "opened", "closed", "items"])
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.withWatermark(instant, late).groupBy(key).applyInPandasWithState(
+    marked = stream.withWatermark(instant, late).select(key, instant, F.unix_micros(instant).alias("__us"))
+    return marked.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, opened long, closed long, items long", "opened long, closed long, items long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def batch_once(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: a batch that comes again replaces what its number wrote before, so each counts once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
