@@ -199,7 +199,7 @@ def test_images(spark):
 
 def test_images_against_all_pairs(spark):
     """The join finds the matches that comparing all corners would find and that share a key, and a map is what trying all pairs gives."""
-    from tidemark.llm.media import Settings, consensus, describe, drawing, edit, find_copies, pack, table_keys, unpack
+    from tidemark.llm.media import Settings, consensus, describe, drawing, edit, find_copies, pack, probed_keys, table_keys, unpack
 
     rng, settings = np.random.default_rng(4), Settings()
     images = {i: drawing(rng.normal(0, 0.1, 64)) for i in range(24)}
@@ -210,7 +210,9 @@ def test_images_against_all_pairs(spark):
         for j in images:
             a, b = corners["q", i], corners["i", j]
             apart = sum(np.bitwise_count((a[f][:, None] ^ b[f]).view(np.uint64)).astype(int) for f in ("b0", "b1"))
-            shared = (table_keys(a["b0"], a["b1"])[:, None] == table_keys(b["b0"], b["b1"])).any(axis=2)
+            tried, there = probed_keys(*(a[f] for f in ("b0", "b1", "w0", "w1"))), table_keys(b["b0"], b["b1"])
+            assert all(set(x) <= set(y) for x, y in zip(table_keys(a["b0"], a["b1"]).tolist(), tried.tolist(), strict=True))
+            shared = np.array([[bool(set(x) & set(y)) for y in there.tolist()] for x in tried.tolist()])
             one, two = np.nonzero((apart <= settings.distance) & shared)
             if len(set(one)) >= settings.agreeing:
                 z, w = a["x"][one] + 1j * a["y"][one].astype(float), b["x"][two] + 1j * b["y"][two].astype(float)

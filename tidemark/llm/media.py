@@ -2,8 +2,8 @@
 
 Corners are found on several scales.  The patch around each is turned to its own
 direction and compared at fixed pairs of points, which gives 128 bits.  Bits are
-split into tables; descriptors that agree in one table meet in a join, and those
-within a Hamming distance are matches.  Two matches fix a shift, turn and change
+split into tables; descriptors that agree in one table, up to a query's weakest
+bits, meet in a join, and those within a Hamming distance are matches.  Two matches fix a shift, turn and change
 of size; images are copies when enough matches agree in one of these.
 
 An image is a value of a binary column: width and height as little-endian 32-bit
@@ -16,19 +16,25 @@ import hashlib
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
+from tidemark.llm.hashing import mix
 from tidemark.llm.shared import cut, ship
 
-#: Tables, and bits of each one's keys; half of the tables read each of a descriptor's two numbers.
-TABLES, TABLE_BITS = 6, 21
+#: Tables, each of which has a quarter of a descriptor's bits as key; bits of a table whose two points differ least,
+#: and how many of these a query flips at once, so that it also finds keys that an edit has changed there.
+TABLES, TABLE_BITS, WEAK, FLIPPED = 4, 32, 4, 2
+#: Keys fall into so many cells of a table, of which a bitmap says whether any query has a key there.
+CELL_BITS = 25
 #: How far the points of a descriptor lie from its corner at most, in pixels of its scale.
 RADIUS = 15
 #: Images of one size that are described together.
@@ -42,7 +48,7 @@ class Settings:
 
     scales: tuple[float, ...] = (1.0, 0.8, 0.64, 0.512)
     area: int = 200
-    distance: int = 34
+    distance: int = 18
     agreeing: int = 5
     slack: float = 3.0
 
@@ -104,7 +110,10 @@ def resized(images: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe(images: np.ndarray, settings: Settings = Settings()) -> dict[str, np.ndarray]:
-    """Corners of a stack of images of one size: image, x, y, scale, angle, b0, b1; none of images too small or flat."""
+    """Corners of a stack of images of one size: image, x, y, scale, angle, b0, b1, w0, w1; none of images too small or flat.
+
+    The last two hold the places of each table's weakest bits, five bits a place.
+    """
     found: list[dict[str, np.ndarray]] = []
     smooth = _smooth(images.astype(np.float32)) if images.size else images
     for scale in settings.scales if images.size else ():
@@ -133,10 +142,12 @@ def describe(images: np.ndarray, settings: Settings = Settings()) -> dict[str, n
         soft = _smooth(level)
         value = soft[n[:, None, None], py, px]
         bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1, bitorder="little").view("<i8")
+        order = np.argsort(np.abs(value[:, :, 0] - value[:, :, 1]).reshape(-1, TABLES, TABLE_BITS), axis=2)[:, :, :WEAK].reshape(-1, 2, TABLES // 2 * WEAK)
+        weak = (order << (5 * np.arange(TABLES // 2 * WEAK))).sum(axis=2)
         place = lambda v: ((v + 0.5) / scale - 0.5).astype(np.float32)  # noqa: B023, E731
-        found.append({"image": n, "x": place(x), "y": place(y), "scale": np.full(len(n), 1 / scale, np.float32), "angle": angle.astype(np.float32), "b0": bits[:, 0], "b1": bits[:, 1]})
+        found.append({"image": n, "x": place(x), "y": place(y), "scale": np.full(len(n), 1 / scale, np.float32), "angle": angle.astype(np.float32), "b0": bits[:, 0], "b1": bits[:, 1], "w0": weak[:, 0], "w1": weak[:, 1]})
     if not found:
-        return {k: np.zeros(0, t) for k, t in (("image", int), ("x", "f4"), ("y", "f4"), ("scale", "f4"), ("angle", "f4"), ("b0", "i8"), ("b1", "i8"))}
+        return {k: np.zeros(0, t) for k, t in (("image", int), ("x", "f4"), ("y", "f4"), ("scale", "f4"), ("angle", "f4"), ("b0", "i8"), ("b1", "i8"), ("w0", "i8"), ("w1", "i8"))}
     every = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
     order = np.argsort(every["image"], kind="stable")
     return {k: v[order] for k, v in every.items()}
@@ -146,7 +157,21 @@ def table_keys(b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
     """A key for each table of each descriptor, TABLES in a row."""
     half, mask = TABLES // 2, np.uint64((1 << TABLE_BITS) - 1)
     parts = [(b.view(np.uint64) >> np.uint64(TABLE_BITS * i)) & mask for b in (b0, b1) for i in range(half)]
-    return np.array([p.astype(np.int64) + (t << TABLE_BITS) for t, p in enumerate(parts)]).T
+    return np.array([p.astype(np.int64) | t << TABLE_BITS for t, p in enumerate(parts)]).T.reshape(-1, TABLES)
+
+
+def probed_keys(b0: np.ndarray, b1: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
+    """The keys of each descriptor, and those with up to FLIPPED of a table's weakest bits turned over."""
+    places = np.array([w >> 5 * (t * WEAK + j) & 31 for w in (w0, w1) for t in range(TABLES // 2) for j in range(WEAK)]).T.reshape(-1, TABLES, WEAK)
+    bits = np.int64(1) << places
+    flips = [bits[:, :, list(c)].sum(axis=2) for k in range(FLIPPED + 1) for c in combinations(range(WEAK), k)]
+    keys = table_keys(b0, b1)
+    return np.concatenate([keys ^ f for f in flips], axis=1)
+
+
+def cells(keys: np.ndarray) -> np.ndarray:
+    """The cell of each key's table that it falls into."""
+    return (mix(keys.astype(np.uint64)) >> np.uint64(64 - CELL_BITS)).astype(np.int64) + (keys >> TABLE_BITS << CELL_BITS)
 
 
 def consensus(z: np.ndarray, w: np.ndarray, turn: np.ndarray, ratio: np.ndarray, corner: np.ndarray, other: np.ndarray, settings: Settings = Settings()) -> tuple[int, complex, complex]:
@@ -176,8 +201,8 @@ def consensus(z: np.ndarray, w: np.ndarray, turn: np.ndarray, ratio: np.ndarray,
     return best
 
 
-_CORNER = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("b0", pa.int64()), ("b1", pa.int64())])
-CORNERS = "array<struct<x:float,y:float,scale:float,angle:float,b0:bigint,b1:bigint>>"
+_CORNER = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("scale", pa.float32()), ("angle", pa.float32()), ("b0", pa.int64()), ("b1", pa.int64()), ("w0", pa.int64()), ("w1", pa.int64())])
+CORNERS = "array<struct<x:float,y:float,scale:float,angle:float,b0:bigint,b1:bigint,w0:bigint,w1:bigint>>"
 #: Images that a task describes, about.
 PER_TASK = 500
 
@@ -213,42 +238,44 @@ def descriptors(images: DataFrame, settings: Settings = Settings()) -> DataFrame
     return given.mapInArrow(described, f"row bigint, id bigint, digest binary, corners {CORNERS}")
 
 
-def _keyed(seen: dict[int, np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (id, corners) a row per table and corner: key, id, corner, b0, b1; where ``seen`` is given, of its keys alone."""
+def _keyed(seen: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, corners) a row per key and corner: key, cell, id, corner, b0, b1; all keys that a query tries, or those of an image whose cell is ``seen``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = _bitmap(seen.value) if seen else None
         for given in batches:
             lists = given["corners"]
             flat = lists.flatten()
             sizes = np.diff(lists.offsets.to_numpy())
             ids, corner = np.repeat(given["id"].to_numpy(), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            b0, b1 = (np.asarray(flat.field(f)) for f in ("b0", "b1"))
-            keys = table_keys(b0, b1).reshape(-1, TABLES)
-            keep = np.ones(keys.shape, bool) if seen is None else _is_seen(keys, seen)
+            b0, b1, w0, w1 = (np.asarray(flat.field(f)) for f in ("b0", "b1", "w0", "w1"))
+            keys = probed_keys(b0, b1, w0, w1) if whole is None else table_keys(b0, b1)
+            cell = cells(keys)
+            keep = np.ones(keys.shape, bool) if whole is None else (whole[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
             of, _ = np.nonzero(keep)
-            columns = [keys[keep].astype(np.int32), ids[of], corner[of].astype(np.int32), b0[of], b1[of]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "id", "corner", "b0", "b1"])
+            columns = [keys[keep], cell[keep].astype(np.int32), ids[of], corner[of].astype(np.int32), b0[of], b1[of]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "cell", "id", "corner", "b0", "b1"])
 
     return made
 
 
-_ROW = "key int, id bigint, corner int, b0 bigint, b1 bigint"
-#: Keys that share a bitmap.
+_ROW = "key bigint, cell int, id bigint, corner int, b0 bigint, b1 bigint"
+#: Cells that share a row of the bitmap.
 _BUCKET = 32768
 
 
-def keys_in_use(keyed: DataFrame) -> dict[int, np.ndarray]:
-    """Bitmaps of the keys that occur: TABLES * 2 ** TABLE_BITS bits at most (1.6 MB), whatever the input."""
-    place = (F.col("key") + 1).cast("long")
+def cells_in_use(keyed: DataFrame) -> Broadcast:
+    """Bitmaps of the cells that occur: TABLES * 2 ** CELL_BITS bits at most (16 MB), whatever the input."""
+    place = (F.col("cell") + 1).cast("long")
     maps = keyed.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    return {r["bucket"] - 1: np.frombuffer(bytes(r["bits"]), np.uint8) for r in maps.collect()}
+    return keyed.sparkSession.sparkContext.broadcast({r["bucket"] - 1: bytes(r["bits"]) for r in maps.collect()})
 
 
-def _is_seen(keys: np.ndarray, seen: dict[int, np.ndarray]) -> np.ndarray:
-    whole = np.zeros((TABLES << TABLE_BITS) // 8, np.uint8)
-    for bucket, bits in seen.items():
-        whole[bucket * (_BUCKET // 8) :][: len(bits)] = bits
-    return (whole[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+def _bitmap(rows: dict[int, bytes]) -> np.ndarray:
+    whole = np.zeros((TABLES << CELL_BITS) // 8, np.uint8)
+    for bucket, bits in rows.items():
+        whole[bucket * (_BUCKET // 8) :][: len(bits)] = np.frombuffer(bits, np.uint8)
+    return whole
 
 
 def _agreed(settings: Settings) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -287,8 +314,8 @@ def find_copies(queries: DataFrame, images: DataFrame, settings: Settings = Sett
     classes, described = _represented(every)
     named, q = _represented(asked)
     q_rows = cut(q.select(F.col("node").alias("id"), "corners").mapInArrow(_keyed(), _ROW), "query-keys")
-    index = described.select(F.col("node").alias("id"), "corners").mapInArrow(_keyed(keys_in_use(q_rows)), _ROW)
-    index = index.withColumnsRenamed({"id": "node", "corner": "corner2", "b0": "c0", "b1": "c1"})
+    index = described.select(F.col("node").alias("id"), "corners").mapInArrow(_keyed(cells_in_use(q_rows)), _ROW)
+    index = index.drop("cell").withColumnsRenamed({"id": "node", "corner": "corner2", "b0": "c0", "b1": "c1"})
     apart = F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1")))
     met = q_rows.withColumnRenamed("id", "first").join(index, "key").where(apart <= settings.distance).select("first", "node", F.struct("corner", "corner2").alias("pair"))
     several = met.groupBy("first", "node").agg(F.collect_set("pair").alias("pairs"))
@@ -301,6 +328,14 @@ def find_copies(queries: DataFrame, images: DataFrame, settings: Settings = Sett
     return each.join(found, "first").join(counts, "node").select("query_id", "class_id", "members", "agreeing", "dx", "dy", "turn", "scale")
 
 
+def copies_report(found: DataFrame) -> DataFrame:
+    """A row for each query that has copies: how many classes and images, the class with most corners in agreement and where it lies, and all class ids."""
+    order = F.struct(F.col("agreeing"), -F.col("class_id"))
+    best = F.max_by(F.struct("class_id", "agreeing", "dx", "dy", "turn", "scale"), order).alias("best")
+    each = found.groupBy("query_id").agg(F.count("*").alias("n_classes"), F.sum("members").alias("n_images"), best, F.array_sort(F.collect_set("class_id")).alias("class_ids"))
+    return each.select("query_id", "n_classes", "n_images", "best.*", "class_ids")
+
+
 def _represented(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(digest, node, class_id, members) of images with equal bytes, and (node, corners) of one image of each class."""
     classes = described.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("members"))

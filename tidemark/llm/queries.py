@@ -11,7 +11,7 @@ from tidemark.llm.exact import exact_groups
 from tidemark.llm.kneser_ney import score_documents
 from tidemark.llm.langid import identify
 from tidemark.llm.lines import Rule, line_report
-from tidemark.llm.media import drawn, edited, find_copies, spread
+from tidemark.llm.media import copies_report, drawn, edited, find_copies, spread
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.segment import Sampling, segmentations
@@ -41,11 +41,12 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth drawing, with one of four edits, is sought among all drawings of the vectors."""
+    """Every hundredth drawing, with one of four edits, is sought among all drawings of the vectors; a row a query lists all that it finds."""
     ship(spark)
     vectors = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"))
     images = vectors.select("id", drawn("embedding").alias("image"))
-    return find_copies(images.where("id % 100 = 0").select("id", edited("image", F.expr("id div 100")).alias("image")), images)
+    asked = images.where("id % 100 = 0").select("id", edited("image", F.expr("id div 100")).alias("image"))
+    return copies_report(find_copies(asked, images))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
