@@ -240,7 +240,8 @@ def test_language(spark, odd, empty):
     assert spark.range(1).select(is_held_out(F.lit(None))).first()[0] is False
 
 
-def test_mixing(spark, odd, empty):
+def test_mixing(spark, odd, empty, monkeypatch):
+    from tidemark.llm import mixing
     from tidemark.llm.mixing import Mix, mix_documents, repeated, schedule, source_targets, word_count
 
     rows = mix_documents(odd).collect()
@@ -257,6 +258,16 @@ def test_mixing(spark, odd, empty):
     assert dict(by_source) == {r.no: r.take for r in targets.collect()}
     assert sum(r.taken for r in rows) == sum(by_source.values())
     assert abs(sum(by_source.values()) - 1.5 * sum(r["size"] for r in rows)) < 30
+    # the result is what the slots give: another step of the points gives other slots
+    placed = {r.doc_id: (r.first_slot, r.n_slots) for r in rows}
+    monkeypatch.setattr(mixing, "STEP", 1)
+    other = {r.doc_id: (r.first_slot, r.n_slots) for r in mix_documents(docs).collect()}
+    assert sum(placed[i] != other[i] for i in placed) > 0.5 * len(placed)
+    monkeypatch.undo()
+    firsts = {r.doc_id: r.first_slot for r in rows}
+    once = [r.doc_id for r in repeated(docs, Mix(most=1, share=0.5)).collect()]
+    again = {r.doc_id: r.first_slot for r in mix_documents(docs, Mix(most=1, share=0.5)).collect()}
+    assert len(once) == len(set(once)) > 50 and [again[i] for i in once] == sorted(again[i] for i in once) and firsts
     # every long stretch of the schedule holds about the sources' shares
     order = [r.no for r in slots.orderBy("slot").collect()]
     half = collections.Counter(order[: len(order) // 2])

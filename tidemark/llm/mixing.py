@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, spare
 
 #: The golden-ratio step of a sequence of 32-bit points.
 STEP, POINTS, PERIOD = 2654435769, 1 << 32, 1 << 31
 #: Points fall into so many cells by their upper bits, for the lookup of their source.
 CELLS = 1 << 10
-#: Rows whose running sum or rank is made together: documents by shuffle key, slots by number.
-KEY_BITS, SLOT_BITS = 12, 16
+#: Rows whose running sum or rank is made together: documents by shuffle key, slots by number; and parts whose running sum is.
+KEY_BITS, SLOT_BITS, PART_BITS = 12, 16, 6
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,16 @@ def source_targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return t.select("no", "source", "source_size", "target", "take", "lo", "hi")
 
 
+def sums_before(parts: DataFrame, value: str) -> DataFrame:
+    """(no, part, before): the sum of ``value`` over a source's parts of smaller numbers, made in groups of parts and then over the groups."""
+    parts = parts.withColumn("group", F.shiftright("part", PART_BITS))
+    groups = parts.groupBy("no", "group").agg(F.sum(value).alias("whole"))
+    upto = lambda of, by: F.coalesce(F.sum(of).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("no", "group", upto("whole", W.partitionBy("no").orderBy("group")).alias("above"))
+    inside = parts.withColumn("within", upto(value, W.partitionBy("no", "group").orderBy("part")))
+    return inside.join(groups, ["no", "group"]).select("no", "part", (F.col("above") + F.col("within")).alias("before"))
+
+
 def lines(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``sizes`` (doc_id, source, size) with no, source_size, target, take and begin: where each starts on its source's line.
 
@@ -78,21 +88,18 @@ def lines(sizes: DataFrame, sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     two steps, within parts of a line and over the parts, so that no source's
     rows meet in one task.
     """
-    ids = [c for c in ("row", "doc_id") if c in sizes.columns]
     digest = F.md5(F.concat(F.lit(mix.seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = (
         sizes.join(sources.select("no", F.col("source").alias("s"), "source_size", "target", "take"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("key", F.substring(digest, 1, 16))
-        .withColumn("part", F.substring("key", 1, KEY_BITS // 4))
+        .withColumn("part", F.conv(F.substring("key", 1, KEY_BITS // 4), 16, 10).cast("long"))
     )
-    parts = rows.groupBy("no", "part").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("no", "part", before.alias("before"))
-    inner = W.partitionBy("no", "part").orderBy("key", "doc_id", "size", *ids[:-1]).rowsBetween(W.unboundedPreceding, -1)
+    parts = sums_before(rows.groupBy("no", "part").agg(F.sum("size").alias("words")), "words")
+    inner = W.partitionBy("no", "part").orderBy("key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     return (
         rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(parts, ["no", "part"])
-        .select(*ids, "no", "size", "source_size", "target", "take", (F.col("before") + F.col("within")).alias("begin"))
+        .select("row", "doc_id", "no", "size", "source_size", "target", "take", (F.col("before") + F.col("within")).alias("begin"))
     )
 
 
@@ -114,9 +121,8 @@ def schedule(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     drawn = drawn.withColumn("cell", F.expr(f"u div {width}"))
     drawn = drawn.join(owners, "cell").where("u >= lo AND u < hi").select("slot", "no", "needed", F.shiftright("slot", SLOT_BITS).alias("part"))
     parts = drawn.groupBy("no", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(W.partitionBy("no", "part").orderBy("slot")) - 1
-    ranked = drawn.withColumn("rank", rank).join(parts.select("no", "part", before.alias("before")), ["no", "part"])
+    ranked = drawn.withColumn("rank", rank).join(sums_before(parts, "n"), ["no", "part"])
     main = ranked.select("slot", "no", (F.col("before") + F.col("rank")).alias("turn"), "needed").where("turn < needed")
     had = parts.groupBy("no").agg(F.sum("n").alias("had"))
     late = (
@@ -132,48 +138,57 @@ def schedule(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def pieces(laid: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per document and block that it has words in: no, begin, turn, from_word, words; only what the mix takes."""
-    passes = laid.where("size > 0").select(
-        "no", "begin", "size", "take", F.explode(F.transform(F.sequence(F.lit(0), F.lit(mix.most - 1)), lambda p: p * F.col("source_size") + F.col("begin"))).alias("at")
-    )
+    """One row per row of ``laid``, pass over its line and block that it has words in: its columns, pass, turn, from_word, words; only what the mix takes."""
+    own = [c for c in laid.columns if c not in ("source_size", "target")]
+    starts = F.transform(F.sequence(F.lit(0), F.lit(mix.most - 1)), lambda p: F.struct(p.alias("pass"), (p * F.col("source_size") + F.col("begin")).alias("at")))
+    passes = laid.where("size > 0").select(*own, F.inline(starts))
     parts = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("take"))).where("end > at")
     parts = parts.withColumn("turn", F.explode(F.expr(f"sequence(at div {mix.block}, (end - 1) div {mix.block})")))
     low, high = F.greatest("at", F.col("turn") * mix.block), F.least("end", (F.col("turn") + 1) * mix.block)
-    return parts.select("no", "begin", "turn", (low - F.col("at")).alias("from_word"), (high - low).alias("words"))
+    return parts.select(*own, "pass", "turn", (low - F.col("at")).alias("from_word"), (high - low).alias("words"))
+
+
+def scheduled(sizes: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sizes`` (row, doc_id, source, size) on their lines, and what slots take of them: row, pass, slot, words."""
+    sizes = cut(sizes, "sizes")
+    sources = cut(source_targets(sizes, mix), "sources")
+    laid = cut(lines(sizes, sources, mix), "lines")
+    slots = schedule(sources, mix).select("no", "turn", "slot")
+    return laid, pieces(laid, mix).join(slots, ["no", "turn"]).select("row", "pass", "slot", "words")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken, first_slot, n_slots.
 
-    A null text has no words; a null source is a source of its own, last in
+    ``taken`` are the words that the schedule's slots take of it, repeats
+    counted; the last two say which slot is the first to take any, null if none
+    does, and how many do.  A null text has no words; a null source is a source of its own, last in
     order.  A source's taken words are its target rounded down.  Documents
     without words are returned with nothing taken.  Repeated rows are rows of
     their own.  Without any words, all targets are 0; an empty table gives an
     empty result; other columns are ignored.  Texts are read once and not moved.
     """
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return _mixed(sizes, mix).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def _mixed(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of ``sizes`` (doc_id, source, size, and row where they have one) with source_size, target and taken."""
-    sizes = cut(sizes, "sizes")
-    sources = cut(source_targets(sizes, mix), "sources")
-    laid = cut(lines(sizes, sources, mix), "lines")
-    slots = schedule(sources, mix).select("no", "turn")
-    taken = pieces(laid, mix).join(slots, ["no", "turn"]).groupBy("no", "begin").agg(F.sum("words").alias("taken"))
-    known = laid.join(taken.withColumn("some", F.lit(True)), (laid["no"] == taken["no"]) & (laid["begin"] == taken["begin"]) & (laid["size"] > 0), "left")
-    ids = [c for c in ("row", "doc_id") if c in sizes.columns]
-    return known.select(*ids, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    id_, source, size = F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
+    laid, taken = scheduled(docs.select(F.monotonically_increasing_id().alias("row"), id_, source, size), mix)
+    per = taken.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.countDistinct("slot").alias("n_slots"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return laid.join(per, "row", "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))
 
 
-def repeated(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
-    """The documents as often as the mix takes them: taken words by size, rounded; those that it doesn't take are gone.
+def repeated(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents in the order of the mix, once for each pass over its source of which slots take half of its words at least.
 
-    Repeated rows and rows with a null id are rows of their own.
+    A document comes where the first slot stands that takes some of it, so rows
+    of different sources alternate as the schedule has it; those that no slot
+    takes are gone.  Repeated rows, rows with a null id, null texts (without
+    words, so never taken) and null sources count as in mix_documents; all
+    columns stay.  An empty table gives an empty result.
     """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    sizes = rows.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    copies = _mixed(sizes, mix).where("taken > 0").select(F.col("row").alias("__row"), F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("__copies"))
-    out = rows.join(copies.where("__copies > 0"), "__row")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    row, slot = spare(docs, "row", "slot")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    laid, taken = scheduled(sizes, mix)
+    passes = taken.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).join(laid.select("row", "size"), "row")
+    passes = passes.where("2 * words >= size").select(F.col("row").alias(row), F.col("slot").alias(slot))
+    out = rows.join(passes, row)
+    return out.repartitionByRange(slot, row).sortWithinPartitions(slot, row).select(docs.columns)

@@ -87,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 SQL = {
     "op7_mixing": r"""
         WITH d AS (
-          SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+          SELECT row_number() OVER () AS row, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
           FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -104,14 +104,28 @@ SQL = {
                     ELSE weight * max(CASE WHEN most > level * weight THEN level END) OVER () END AS target
           FROM v),
         l AS (
-          SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS take,
+          SELECT d.row, d.doc_id, t.no, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS take,
                  coalesce(sum(d.size) OVER (PARTITION BY t.no ORDER BY d.digest, d.doc_id, d.size
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(greatest(0, least(begin + size, take) - begin)
-                  + greatest(0, least(begin + size + source_size, take) - begin - source_size) AS BIGINT) AS taken
-        FROM l""",
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (
+          SELECT no, target, take, CAST(floor(sum(target) OVER (ORDER BY no) / greatest(sum(target) OVER (), 1e-300) * 4294967296) AS BIGINT) AS hi,
+                 (take + 255) // 256 AS needed, count(*) OVER () AS n_sources, (sum(take) OVER () + 255) // 256 AS slots
+          FROM (SELECT *, CAST(floor(target) AS BIGINT) AS take FROM t)),
+        q AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY no) AS lo FROM p),
+        u AS (SELECT i AS slot, (i % 2147483648) * 2654435769 % 4294967296 AS u FROM (SELECT unnest(range(CAST((SELECT coalesce(max(slots), 0) FROM q) AS BIGINT))) AS i)),
+        r2 AS (SELECT slot, no, needed, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS turn FROM u JOIN q ON u >= lo AND u < hi),
+        had AS (SELECT no, count(*) AS had FROM r2 GROUP BY no),
+        c AS (
+          SELECT slot, no, turn FROM r2 WHERE turn < needed
+          UNION ALL SELECT slots + turn * n_sources + no, no, turn FROM (
+            SELECT q.no, slots, n_sources, unnest(range(CAST(coalesce(had, 0) AS BIGINT), CAST(needed AS BIGINT))) AS turn FROM q LEFT JOIN had USING (no))),
+        a AS (SELECT l.*, pass, pass * source_size + begin AS low, least(pass * source_size + begin + size, take) AS high FROM l, (VALUES (0), (1)) v(pass) WHERE size > 0),
+        b AS (SELECT *, unnest(range(CAST(low // 256 AS BIGINT), CAST((high - 1) // 256 + 1 AS BIGINT))) AS turn FROM a WHERE high > low),
+        w2 AS (
+          SELECT row, CAST(sum(least(high, (b.turn + 1) * 256) - greatest(low, b.turn * 256)) AS BIGINT) AS taken, CAST(min(slot) AS BIGINT) AS first_slot, count(DISTINCT slot) AS n_slots
+          FROM b JOIN c ON c.no = b.no AND c.turn = b.turn GROUP BY row)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM l LEFT JOIN w2 USING (row)""",
     "op9_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_points,
