@@ -431,7 +431,8 @@ def test_pipeline(spark, tmp_path):
 
 def test_pipeline_drops_similar(spark, odd, empty):
     import corpus_pipeline
-    from tidemark.llm.shingles import Alike, drop_similar, shingles, similar_components, similarity, sketch
+    from tidemark.llm.shingles import Alike, shingles, similar_components, similarity, sketch
+    from tidemark.llm.simhash import drop_near_duplicates
 
     rng = random.Random(8)
     fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
@@ -457,7 +458,7 @@ def test_pipeline_drops_similar(spark, odd, empty):
     distinct = nodes.select("node", sketch(F.col("text"), rule).alias("s")).select("node", "s.size", "s.keys")
     found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
     assert {i: found.get(i, i) for i in sets} == label
-    assert drop_similar(empty).count() == 0 and drop_similar(odd).columns == odd.columns
+    assert drop_near_duplicates(empty).count() == 0 and drop_near_duplicates(odd).columns == odd.columns
 
 
 def test_language_rejects_unlearned(spark):
@@ -484,7 +485,6 @@ def test_language_rejects_unlearned(spark):
 
 def test_repeated_rows_and_null_ids(spark):
     from tidemark.llm.mixing import Mix, mix_documents, repeated
-    from tidemark.llm.shingles import drop_similar
     from tidemark.llm.simhash import drop_near_duplicates
 
     rng = random.Random(9)
@@ -495,8 +495,7 @@ def test_repeated_rows_and_null_ids(spark):
     assert all(r.taken == 100 for r in mix_documents(docs, mix).collect())
     got = repeated(docs, mix).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {7: 40, None: 8}
-    assert collections.Counter(r.doc_id for r in drop_similar(docs).collect()) == {7: 1, None: 3}
-    assert collections.Counter(r.doc_id for r in drop_near_duplicates(docs).collect()) == {7: 1, None: 4}
+    assert collections.Counter(r.doc_id for r in drop_near_duplicates(docs).collect()) == {7: 1, None: 3}
 
 
 def test_lines_of_the_same_words_stay(spark):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.shared import ship
+from tidemark.llm.shared import cut, few, ship, spare
 
 #: Code points that are turned into subwords at a time.
 STRIP = 1 << 18
@@ -29,9 +29,8 @@ class Settings:
     """What bounds and shapes the training.
 
     per_language: labelled rows in the sample, about, for each language.
-    held: every so manieth text is held back for calibration.
+    held: every so manieth text is held back for calibration; after that the model is fitted again to all.
     max_chars: of the sample, the same part for each language; texts are whole, and a language has one at least.
-    languages: the most frequent ones are learned.
     kept: the part of held-back texts that each of the two measures of rejection keeps at least.
     strange: the part of subwords never met in training that any text may have.
     """
@@ -39,7 +38,6 @@ class Settings:
     per_language: int = 1200
     held: int = 2
     max_chars: int = 40_000_000
-    languages: int = 200
     buckets: int = 1 << 15
     size: int = 16
     epochs: int = 6
@@ -115,7 +113,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
-    """Fit embeddings and softmax; every ``held``-th text is held back to fit temperature and thresholds."""
+    """Fit embeddings and softmax; every ``held``-th text is held back to fit temperature and thresholds, and learned from after that."""
     names = sorted(set(labels))
     bags, targets, sizes = [], [], []
     for text, label in zip(texts, labels, strict=True):
@@ -129,22 +127,27 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
             targets.append(names.index(label))
     if not bags:
         return Model([], np.zeros((settings.buckets, 0)), np.zeros(settings.buckets, bool), 1.0, 0.0, 1.0)
-    rng = np.random.default_rng(settings.seed)
-    e = rng.uniform(-1, 1, (settings.buckets, settings.size)) / settings.size
-    w = np.zeros((settings.size, len(names)))
-    fit = [i for i in range(len(bags)) if i % settings.held or len(bags) < 50]
-    steps, done = settings.epochs * len(fit), 0
-    for _ in range(settings.epochs):
-        for i in rng.permutation(fit):
-            ids, part = bags[i]
-            rate = settings.rate * (1 - done / steps)
-            v = (e[ids] * part).sum(axis=0)
-            g = _softmax(v @ w)
-            g[targets[i]] -= 1
-            back = w @ g
-            w -= rate * np.outer(v, g)
-            e[ids] -= rate * part * back
-            done += 1
+
+    def fitted(of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(settings.seed)
+        e = rng.uniform(-1, 1, (settings.buckets, settings.size)) / settings.size
+        w = np.zeros((settings.size, len(names)))
+        steps, done = settings.epochs * len(of), 0
+        for _ in range(settings.epochs):
+            for i in rng.permutation(of).astype(int):
+                ids, part = bags[i]
+                rate = settings.rate * (1 - done / steps)
+                v = (e[ids] * part).sum(axis=0)
+                g = _softmax(v @ w)
+                g[targets[i]] -= 1
+                back = w @ g
+                w -= rate * np.outer(v, g)
+                e[ids] -= rate * part * back
+                done += 1
+        return e, w
+
+    fit = [i for i in range(len(bags)) if i % settings.held]
+    e, w = fitted(fit)
     held = [i for i in range(len(bags)) if i % settings.held == 0]
     logits = np.array([(e[bags[i][0]] * bags[i][1]).sum(axis=0) @ w for i in held])
     truth = np.array([targets[i] for i in held])
@@ -157,6 +160,9 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     for i in fit:
         known[bags[i][0]] = True
     strange = np.sort([strangeness(sizes[i] * float(bags[i][1][~known[bags[i][0]]].sum()), sizes[i]) for i in held])
+    e, w = fitted(list(range(len(bags))))
+    for ids, _ in bags:
+        known[ids] = True
     return Model(names, (e @ w).astype(np.float32), known, temperature, float(sure[most]), max(settings.strange, float(strange[-1 - most])))
 
 
@@ -169,15 +175,13 @@ def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     """Train on labelled rows that aren't held out: a sample of about ``per_language`` rows a language, by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~is_held_out(F.col("id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
-    if not counts:
-        return train([], [], settings)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.per_language / r["count"]))))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("of")), "languages")
+    languages = max(1, counts.count())
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(settings.seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    sample = rows.join(few(counts, counts), "lang").where(drawn < settings.per_language / F.col("of")).drop("of")
     sample = sample.withColumn("drawn", drawn).withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     before = F.sum("length").over(W.partitionBy("lang").orderBy("drawn", "id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("length")
-    sample = sample.withColumn("before", before).where(F.col("before") + F.when(F.col("before") > 0, F.col("length")).otherwise(0) <= settings.max_chars // len(counts))
+    sample = sample.withColumn("before", before).where(F.col("before") + F.when(F.col("before") > 0, F.col("length")).otherwise(0) <= settings.max_chars // languages)
     sample = sample.select("id", "text", "lang").toPandas()
     sample = sample.sort_values(["id", "lang", "text"]).sample(frac=1.0, random_state=settings.seed)
     return train(list(sample["text"]), list(sample["lang"]), settings)
@@ -212,6 +216,10 @@ def identify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
 
 
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents whose language the model accepts, with all their columns."""
-    model = learn(docs, settings)
-    return docs.withColumn("__language_found", predicted(docs, model)).where("__language_found.accepted").drop("__language_found")
+    """The documents whose language the model accepts, with all their columns; null texts and texts without letters go.
+
+    Repeated rows and rows with a null id are judged each by their text.  With
+    no labels nothing is accepted.  An empty table gives an empty result.
+    """
+    (found,) = spare(docs, "language")
+    return docs.withColumn(found, predicted(docs, learn(docs, settings))).where(F.col(found)["accepted"]).select(docs.columns)

@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of word shingles: banded minima find pairs, their texts decide.
+"""Jaccard similarity of word shingles: banded minima find pairs that fingerprints miss, texts decide.
 
 Two texts of similarity s have equal minima in a band of five with probability
 s**5, so one of 25 bands meets at 0.8 with probability 0.99995.  All that meet in
@@ -51,6 +51,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: the bits that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STRIP):
+        ones += np.unpackbits(hashes[at : at + STRIP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of hashes; 1 for two empty ones."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -71,13 +79,14 @@ def band_keys(hashes: np.ndarray, rule: Alike) -> np.ndarray:
 
 
 def sketch(text: Column, rule: Alike) -> Column:
-    """(digest, size, keys) of a text's shingles."""
-    kind = StructType([StructField("digest", LongType()), StructField("size", LongType()), StructField("keys", ArrayType(LongType()))])
+    """(digest, size, fp, keys) of a text's shingles; fp is their SimHash, 0 without words."""
+    kind = StructType([StructField("digest", LongType()), StructField("size", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
 
     def sketches(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(t, rule.width) for t in texts]
         digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"digest": digest, "size": [len(s) for s in sets], "keys": [band_keys(s, rule) if len(s) else [] for s in sets]})
+        fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"digest": digest, "size": [len(s) for s in sets], "fp": fp, "keys": [band_keys(s, rule) if len(s) else [] for s in sets]})
 
     sketches.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     return pandas_udf(sketches, kind)(text)
@@ -98,12 +107,13 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
 
 
-def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
-    """(node, component) of nodes that are linked; ``distinct`` has node, size and keys, ``texts`` node and text."""
+def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike, proposed: DataFrame | None = None) -> DataFrame:
+    """(node, component) of nodes that are linked; ``distinct`` has node, size and keys, ``texts`` node and text; ``proposed`` are more pairs (a, b) to compare."""
     keyed = distinct.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(keyed.join(shared, "key"), "similar-members")
-    led = cut(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "similar-pairs")
+    led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    led = cut((led if proposed is None else led.unionByName(proposed)).distinct(), "similar-pairs")
     links = cut(similar_links(led, texts, rule), "similar-links")
     found = cut(connected_components(links), "similar-components")
     own, its = found.toDF("node", "own"), found.toDF("leader", "its")
@@ -116,20 +126,3 @@ def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike) -> Da
     crossed = crossed.where(F.least("m", "size") >= rule.least * F.greatest("m", "size"))
     crossed = cut(crossed.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "similar-pairs")
     return connected_components(links.unionByName(similar_links(crossed, texts, rule)))
-
-
-def drop_similar(docs: DataFrame, rule: Alike = Alike(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of documents that are alike, directly or over others, with all its columns.
-
-    The smallest id stays, null ids last; of repeated rows one.  Words are those
-    of simhash: lower-cased in A-Z, split at ASCII white space.  Texts without
-    words are alike.  An empty table gives an empty result.
-    """
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "similar-rows")
-    seen = rows.select("__row", F.col(id_col).alias("id"), sketch(F.col(text_col), rule).alias("s")).select("__row", "id", "s.digest", "s.size", "s.keys")
-    seen = cut(seen, "similar-sketches")
-    distinct = cut(seen.groupBy("digest").agg(F.min("__row").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "similar-distinct")
-    found = similar_components(distinct, rows.select(F.col("__row").alias("node"), F.col(text_col).alias("text")), rule)
-    classes = distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    stays = seen.join(classes, "digest").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("least"))
-    return rows.join(stays.select("least.__row"), "__row", "left_semi").select(docs.columns)

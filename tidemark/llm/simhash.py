@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tidemark.llm.shared import connected_components, cut
+from tidemark.llm.shared import connected_components, cut, spare
+from tidemark.llm.shingles import Alike, similar_components, sketch
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 WIDTH, BUDGET = 3, 3
@@ -151,10 +152,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp", "left").select("doc_id", F.col("fp").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id, with all its columns; rows with a null id have no component and stay."""
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
-    found = near_duplicates(rows, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("__row").alias("__row")).join(found, "__id", "left_semi")
-    stays = first.select("__row").unionByName(rows.where(F.col(id_col).isNull()).select("__row"))
-    return rows.join(stays, "__row", "left_semi").select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, rule: Alike = Alike(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of documents that are alike, directly or over others, with all its columns.
+
+    Alike are texts of which the sets of shingles (``rule.width`` words) have a
+    similarity of ``rule.least``.  Tries propose the pairs whose fingerprints
+    are within the budget; at that similarity many differ in more bits, so
+    bands of minima propose the others.  All proposed pairs are compared by
+    their shingles.  The smallest id stays, null ids last; of repeated rows one.
+    Words are lower-cased in A-Z and split at ASCII white space; null texts
+    and texts without words are alike.  An empty table gives an empty result.
+    """
+    (row,) = spare(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    seen = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), sketch(F.col(text_col), rule).alias("s")).select("row", "id", "s.*")
+    seen = cut(seen, "near-sketches")
+    distinct = seen.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    distinct = cut(distinct, "near-distinct")
+    firsts = cut(distinct.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    equal = distinct.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    proposed = fingerprint_links(firsts).unionByName(equal)
+    texts = rows.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
+    found = similar_components(distinct, texts, rule, proposed)
+    classes = distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    stays = seen.select("row", "id", "digest").join(classes, "digest").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"))
+    return rows.join(stays.select(F.col("least.row").alias(row)), row, "left_semi").select(docs.columns)
