@@ -18,9 +18,9 @@ BATCH_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the checkout that the driver uses, and send them few rows at a time."""
+    """Let Python workers import this package from the checkout that the driver uses; send them few rows at a time, where the session doesn't say how many."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":  # Spark's default
+    if batch not in spark.conf.getAll:
         spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
@@ -29,9 +29,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of this machine, if all runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
