@@ -37,11 +37,15 @@ def compare(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(population: DataFrame, facts: DataFrame, key: str, group: list[str], shown: int = 5) -> DataFrame:
     """Per group: eligible, covered and missing members, and the first few that are missing with how many more there are."""
     marked = population.join(facts.select(key).distinct().withColumn("__has", F.lit(1)), key, "left")
-    missing = F.sort_array(F.collect_list(F.when(F.col("__has").isNull(), F.col(key))))
-    out = marked.groupBy(*group).agg(F.count("*").alias("eligible"), F.count("__has").alias("covered"), missing.alias("__m"))
-    listed = F.concat_ws(",", F.transform(F.slice("__m", 1, shown), lambda x: x.cast("string")))
-    more = F.when(F.size("__m") > shown, F.concat(listed, F.lit(" +"), (F.size("__m") - shown).cast("string"), F.lit(" more"))).otherwise(listed)
-    return out.select(*group, "eligible", "covered", (F.col("eligible") - F.col("covered")).alias("missing"), more.alias("first_missing"))
+    counts = marked.groupBy(*group).agg(F.count("*").alias("eligible"), F.count("__has").alias("covered"))
+    lacking = marked.where("__has IS NULL").withColumn("__r", F.row_number().over(W.partitionBy(*group).orderBy(key))).where(F.col("__r") <= shown)
+    first = lacking.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("__m"))
+    same = [counts[g].eqNullSafe(first[g]) for g in group]
+    out = counts.join(first, same, "left").select(*(counts[g] for g in group), "eligible", "covered", "__m")
+    listed = F.coalesce(F.concat_ws(",", F.transform("__m", lambda x: x.cast("string"))), F.lit(""))
+    missing = F.col("eligible") - F.col("covered")
+    more = F.when(missing > shown, F.concat(listed, F.lit(" +"), (missing - shown).cast("string"), F.lit(" more"))).otherwise(listed)
+    return out.select(*group, "eligible", "covered", missing.alias("missing"), more.alias("first_missing"))
 
 
 def require_complete(population: DataFrame, facts: DataFrame, keys: list[str]) -> None:
@@ -76,22 +80,27 @@ def write_outcome(stored: DataFrame, offered: DataFrame, keys: list[str], conten
     return o.join(s, keys, "left").select(*keys, outcome.alias("outcome"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, limit: int = 50) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): everything reachable from each root along (child, parent) edges, shortest way first; cycles end.
 
     Each step keeps only what is new, so a step's work is that of its frontier.
     """
-    from tidemark.plans.scratch import cut
+    from tidemark.plans.scratch import cut, discard
 
     known = cut(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    front = known
-    for depth in range(1, limit + 1):
+    front, depth = known, 0
+    while True:  # every step adds rows of a finite set or is the last
+        depth += 1
         met = front.join(edges, front["node"] == edges["child"]).select("root", F.col("parent").alias("node")).distinct()
-        front = cut(met.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        new = cut(met.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        if front is not known:
+            discard(front)
+        front = new
         if front.isEmpty():
             return known
-        known = cut(known.unionByName(front), "closure")
-    raise RuntimeError("closure deeper than the limit")
+        whole = cut(known.unionByName(front), "closure")
+        discard(known)
+        known = whole
 
 
 def staged_match(inputs: DataFrame, pool: DataFrame, scope: str, least: float = 0.85, margin: float = 0.0) -> DataFrame:

@@ -207,9 +207,3 @@ def quantile_columns(value: str, parts: list[float]) -> list[Column]:
     lower = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"lower_{int(p * 100)}") for p in parts]
     return [*(F.round(exact[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(parts)), *lower]
 
-
-def np_seed(*parts: object) -> np.random.Generator:
-    """A generator seeded by the parts' text, the same on every machine."""
-    import zlib
-
-    return np.random.default_rng([zlib.crc32(str(p).encode()) for p in parts])
