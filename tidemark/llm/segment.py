@@ -31,7 +31,7 @@ from tidemark.llm.shared import ship
 
 SPACE = "▁"
 #: Code points handled together, paths remembered per unit.
-PORTION, BEST = 1 << 19, 4
+PORTION, BEST = 1 << 21, 4
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
