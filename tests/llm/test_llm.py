@@ -336,27 +336,42 @@ def test_language_model(spark, odd, empty):
     train = {i: x for i, x in tokens.items() if not held(i)}
     c = collections.Counter(w for x in train.values() for w in x)
     pairs = collections.Counter(p for x in train.values() for p in zip(["<s>", *x], x, strict=False))
+    triples = collections.Counter(p for x in train.values() for p in zip(["<s>", *x], x, x[1:], strict=False))
     before = collections.Counter(w for _, w in pairs)
-    d2, d1 = (kn.estimate_discounts([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]) for x in (pairs, before))
+    kinds = collections.Counter(t[1:] for t in triples) + collections.Counter({p: n for p, n in pairs.items() if p[0] == "<s>"})
+    assert set(kinds) == set(pairs)
+    d1, raw, kind, d3 = (kn.estimate_discounts([sum(v == k for v in x.values()) for k in (1, 2, 3, 4)]) for x in (before, pairs, kinds, triples))
     cut = lambda n, d: d[min(n, 3) - 1] if n else 0
-    rest, total, left = sum(cut(v, d1) for v in before.values()), collections.Counter(), collections.Counter()
-    for (v, _), n in pairs.items():
-        total[v] += n
-        left[v] += cut(n, d2)
-    n_all = sum(c.values())
+    rest, n_all = sum(cut(v, d1) for v in before.values()), sum(c.values())
+    after = collections.defaultdict(float)
+    for (u, v, _), n in triples.items():
+        after[u, v] += (n - cut(n, d3)) * (n > 1)  # those seen once are not stored
 
     def one(w):
         return (before[w] - cut(before[w], d1) + rest / (len(c) + 1)) / len(pairs)
 
-    def two(v, w):
-        return (pairs[v, w] - cut(pairs[v, w], d2) + left[v] * one(w)) / total[v] if total[v] else one(w)
-
-    for r in kn.score_documents(docs).collect():
-        x = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(c[w] > 0 for w in x), n_all, held(r.doc_id))
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n_all + len(c) + 1)) for w in x), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(two(v, w)) for v, w in zip(["<s>", *x], x, strict=False)), rel_tol=1e-9)
-    assert math.isclose(sum(two(b"the", w) for w in c) + two(b"the", b"unseen"), 1)
+    for order, counts, d2 in ((2, pairs, raw), (3, kinds, kind)):
+        total, left = collections.Counter(), collections.Counter()
+        for (v, _), n in counts.items():
+            total[v] += n
+            left[v] += cut(n, d2)
+
+        def two(v, w):
+            return (counts[v, w] - cut(counts[v, w], d2) + left[v] * one(w)) / total[v] if total[v] else one(w)
+
+        def three(u, v, w):
+            if order == 2 or u is None or not pairs[u, v]:
+                return two(v, w)
+            n = triples[u, v, w]
+            return ((n - cut(n, d3)) * (n > 1) + (pairs[u, v] - after[u, v]) * two(v, w)) / pairs[u, v]
+
+        for r in kn.score_documents(docs, order=order).collect():
+            x = tokens[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(c[w] > 0 for w in x), n_all, held(r.doc_id))
+            assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n_all + len(c) + 1)) for w in x), rel_tol=1e-9)
+            assert math.isclose(r.score, sum(math.log10(three(*t)) for t in zip([None, "<s>", *x], ["<s>", *x], x, strict=False)), rel_tol=1e-9)
+        u, v = max((p for p in pairs if p[0] != "<s>" and p[1] is not None), key=pairs.get)
+        assert math.isclose(sum(three(u, v, w) for w in c) + three(u, v, b"unseen"), 1) and math.isclose(sum(two(v, w) for w in c) + two(v, b"unseen"), 1)
     out = kn.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(r.n_tokens == 1 for r in out if r.doc_id <= 3) and kn.score_documents(empty).count() == 0
 
