@@ -87,3 +87,59 @@ def test_stream_sessions_and_newest(spark, tmp_path):
     assert {r.k: r.id for r in new} == {1: 3, 2: 4, 9: 5}
     done = run(continuous.sessions(stream, "k", "ts", 30, 50, "1 second"), "sessions", "append")
     assert {(r.k, r["items"]) for r in done} >= {(1, 2)}
+
+
+def test_late_rows_widen_their_session(spark, tmp_path):
+    t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    schema = "k int, ts timestamp"
+    batches = [[(1, t(1000)), (1, t(1010))], [(1, t(1005)), (1, t(985)), (1, t(900))], [(1, t(1030)), (2, t(1100))], [(9, t(9000))], [(9, t(9001))]]
+    us = lambda s: int((t(s) - datetime.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for name in ("UTC", "Asia/Tokyo"):
+        folder = tmp_path / name.replace("/", "-")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"in/b={k}"))
+        spark.conf.set("spark.sql.session.timeZone", name)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder / "in"))
+        out = continuous.sessions(stream, "k", "ts", 30, 500, "1 hour")
+        q = out.writeStream.foreachBatch(continuous.batch_once(str(folder / "out"))).outputMode("append").option("checkpointLocation", str(folder / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        got = {(r.k, r.opened, r.closed, r["items"]) for r in spark.read.option("mergeSchema", True).parquet(str(folder / "out")).collect()}
+        assert (1, us(900), us(900), 1) in got and (1, us(985), us(1030), 5) in got and (2, us(1100), us(1100), 1) in got
+    spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
+    write = continuous.batch_once(str(tmp_path / "out"))
+    for number, rows in ((0, 5), (1, 7), (1, 7)):
+        write(spark.range(rows), number)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_stream_windows_and_first_contents(spark, tmp_path):
+    t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("a", t(0), 1), ("a", t(59), 2), ("b", t(61), 4), ("a", t(61), 4), ("a", t(61), 4)]
+    spark.createDataFrame(rows, "k string, ts timestamp, v int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp, v int").parquet(str(tmp_path / "in"))
+
+    def run(frame, name, mode):
+        q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    tumbling = run(continuous.windowed(stream, "ts", "1 minute", "1 hour", "k", "v"), "tumbling", "complete")
+    assert {(r.start, r.k, r.n, r.total) for r in tumbling} == {(t(0), "a", 2, 3), (t(60), "a", 2, 8), (t(60), "b", 1, 4)}
+    sliding = run(continuous.windowed(stream, "ts", "1 minute", "1 hour", "k", "v", "30 seconds"), "sliding", "complete")
+    assert {(r.start, r.n) for r in sliding if r.k == "a"} == {(t(-30), 1), (t(0), 2), (t(30), 3), (t(60), 2)}
+    assert len(run(continuous.first_contents(stream, ["k", "v"], "ts"), "contents", "append")) == 4
+
+
+def test_retention(spark):
+    items = spark.createDataFrame([(1, "s", datetime.datetime(2024, 1, 1), 10, "x"), (2, "s", datetime.datetime(2024, 1, 9), 10, "y"), (3, "t", datetime.datetime(2024, 1, 1), 10, "z")], "item_id int, source_id string, captured_at timestamp, retention_days int, content string")
+    policies = spark.createDataFrame([("s", 5)], "source_id string, retention_days int")
+    kept, stones = sinks.purge(items, policies, datetime.date(2024, 1, 8))
+    assert {r.item_id: r.content for r in kept.collect()} == {1: None, 2: "y", 3: "z"}
+    assert [(r.item_id, r.reason) for r in stones.collect()] == [(1, "retention")]

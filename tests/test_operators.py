@@ -74,7 +74,90 @@ def test_staged_match_refuses_ties(spark):
     pool = spark.createDataFrame([(1, "x1", "john smith", "t"), (2, "x2", "jon smyth", "t"), (3, "x3", "mary lee", "t"), (4, "x4", "mary lee", "t")], "entity_id int, external_id string, name string, scope string")
     inputs = spark.createDataFrame([(1, "x3", "other", "t"), (2, None, "john smith jr", "t"), (3, None, "john smitth", "t"), (4, None, "mary lee", "t"), (5, None, "zz", "t")], "input_id int, external_id string, name string, scope string")
     got = {r.input_id: (r.entity_id, r.stage) for r in matching.staged_match(inputs, pool, "scope").collect()}
-    assert got == {1: (3, 1), 2: (1, 3), 3: (1, 4), 4: (None, 0), 5: (None, 0)}
+    assert got == {1: (3, 1), 2: (1, 4), 3: (1, 5), 4: (None, 0), 5: (None, 0)}
+    aliases = spark.createDataFrame([("zz", "john smith")], "alias string, name string")
+    got = {r.input_id: (r.entity_id, r.stage) for r in matching.staged_match(inputs, pool, "scope", aliases=aliases).collect()}
+    assert got[5] == (1, 3)
+    told = lambda df, **by: df.withColumn("born", F.element_at(F.create_map(*(F.lit(x) for kv in by["of"].items() for x in kv)), F.col(by["key"])))
+    p, i = told(pool, key="entity_id", of={3: 1990, 4: 1991, 1: 1980}), told(inputs, key="input_id", of={4: 1991, 3: 1981})
+    got = {r.input_id: (r.entity_id, r.stage) for r in matching.staged_match(i, p, "scope", evidence=["born"]).collect()}
+    assert got[4] == (4, 2) and got[3] == (None, 0) and got[2] == (1, 4)
+
+
+def test_staged_match_against_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9)))
+    names = [f"{word()} {word()}" for _ in range(60)]
+
+    def edited(x):
+        x = list(x)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(x))
+            x[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        return "".join(x)
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    pool = [(k, str(k), n, "st"[k % 2]) for k, n in enumerate(names)]
+    inputs = [(k, None, edited(rng.choice(names)) + "q", "st"[k % 2]) for k in range(120)]
+    schema = "id int, external_id string, name string, scope string"
+    frame = lambda rows, name: spark.createDataFrame(rows, schema).withColumnRenamed("id", name)
+    got = {r.input_id: (r.entity_id, r.stage) for r in matching.staged_match(frame(inputs, "input_id"), frame(pool, "entity_id"), "scope", least=0.8).collect()}
+    some = 0
+    for k, _, name, scope in inputs:
+        scores = {e: ratio(name, n) for e, _, n, s in pool if s == scope}
+        best = max(scores.values())
+        near = [e for e, x in scores.items() if x >= best - 0.03 and x >= 0.8]
+        some += len(near) == 1
+        assert got[k] == ((near[0], 5) if len(near) == 1 else (None, 0))
+    assert some > 10
+
+
+def test_band_join_against_brute_force(spark):
+    rng = random.Random(6)
+    bands = [(low := rng.randint(-50, 200), low + rng.randint(0, 60), f"b{k}") for k in range(25)]
+    values = [(v,) for v in range(-80, 290)] + [(None,)]
+    got = matching.band_join(spark.createDataFrame(values, "v int"), spark.createDataFrame(bands, "low int, high int, name string"), "v", "low", "high", 17, {"name": F.lit("none")}).collect()
+    assert len(got) == len(values)
+    for r in got:
+        inside = sorted((b for b in bands if r.v is not None and b[0] <= r.v <= b[1]))
+        assert r.name == (inside[0][2] if inside else "none")
+
+
+def test_visible_text():
+    page = """<!DOCTYPE html><html><head><style>p {color: red}</style><title>T</title></head><body><p style="opacity:0.5; border-width:0; line-height: 0">seen &amp; kept</p>
+    <p style="display: none">gone <b>too</b></p><div hidden>gone<br>gone</div><div aria-hidden="true"><div>gone</div></div><span style="OPACITY: 0.0">gone</span>
+    <span style="font-size:0px">gone</span><i style='text-indent:-9999px'>gone</i><script>if (a < b) { "</p>" }</script><!-- gone --><p>1 < 2<img alt="x"> end</p><p style="width:0.5em;">thin</p></body></html>"""
+    assert text.shown(page) == "T seen & kept 1 < 2 end thin"
+    assert text.shown("a <b hidden>never closed") == "a" and text.shown("") == "" and text.shown("<p>x</div></p>y") == "x y"
+
+
+def test_heat_and_quotes(spark):
+    row = spark.range(1).select(
+        numeric.heat(*(F.lit(x) for x in (-1.0, 0.5, 1.0, 0.4, 0.0, 9.0, 12.0)), 12.0).alias("heat"), text.folded(F.lit("“a”–b")).alias("folded"),
+        text.quote_place(F.lit("ab ab ab"), F.lit("ab"), F.lit(4)).alias("near"), text.quote_place(F.lit("ab"), F.lit("x"), F.lit(0)).alias("none"),
+    ).first()
+    assert math.isclose(row.heat, -1 * (0.15 + 0.85 * 0.5) * 1.0 * 0.4 * 0.15 * math.log1p(9) / 2)
+    assert (row.folded, row.near, row.none) == ('"a"-b', 3, -1)
+
+
+def test_incomplete_inputs_are_refused(spark):
+    from tidemark.operators import records
+
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1,)], "k int")
+    with pytest.raises(ValueError):
+        matching.require_complete(a, b, ["k"])
+    matching.require_complete(b, a, ["k"])
+    with pytest.raises(ValueError):
+        records.require_one_setting(spark.createDataFrame([(1, 1), (1, 2)], "k int, s int"), ["k"], ["s"])
+    assert records.allowed(a, None, ["k"]).count() == 2 and records.allowed(a, b.limit(0), ["k"]).count() == 0
 
 
 def test_constant_columns(spark):

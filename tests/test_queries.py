@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 
 from conftest import SF, same_rows
@@ -9,9 +12,60 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["visible_page_text", "beta_intervals", "distribution_scores", "matched_names"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_beta_intervals(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
+    x = (np.arange(400_000) + 0.5) / 400_000
+    got = QUERIES["beta_intervals"](spark, SF).collect()
+    assert {r.user_id for r in got} == set(events["user_id"])
+    for r in got:
+        own = events[events["user_id"] == r.user_id]["event_type"]
+        a, b = (own == "error").sum() + 1, (own != "error").sum() + 1
+        density = np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+        total = np.cumsum(density) / len(x)
+        assert math.isclose(r.mean, a / (a + b)) and abs(total[int(r.low * len(x))] - 0.05) < 1e-4 and abs(total[int(r.high * len(x))] - 0.95) < 1e-4
+
+
+def test_distribution_scores(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
+    got = {r.event_id: r for r in QUERIES["distribution_scores"](spark, SF).collect()}
+    assert set(got) == set(events["event_id"])
+    phi = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
+    for _, own in events.groupby("event_type"):
+        v = own["value"][own["value"] > 0]
+        low, high = np.quantile(v, [0.1, 0.9])
+        shape = math.log(high / low) / (2 * 1.2815515655446004)
+        scale, active = v.mean() * math.exp(-shape * shape / 2), len(v) / (len(own) + 1)
+        grid = np.r_[0, np.geomspace(1e-4, 1e5, 200_001)]
+        cdf = 1 - active + active * np.array([phi(math.log(max(g, 1e-300) / scale) / shape) for g in grid[::50]])
+        for r in own.head(5).itertuples():
+            wanted = 1 - active + active * phi(math.log(r.value / scale) / shape) if r.value > 0 else 1 - active
+            assert abs(got[r.event_id].cdf - wanted) < 2e-6
+            crps = np.trapezoid((cdf - (grid[::50] >= r.value)) ** 2, grid[::50])
+            assert abs(got[r.event_id].crps - crps) < 0.02 * max(1, crps)
+
+
+def test_fitted_offsets(spark):
+    got = {r.event_type: r for r in QUERIES["fitted_offsets"](spark, SF).collect()}
+    events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
+    for kind, own in events.groupby("event_type"):
+        us = own["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        x = np.c_[np.abs(us % 86_400_000_000 / 86_400_000_000 - 0.5), own["user_id"] % 2]
+        y = (np.round(own["value"].to_numpy() * 100) > 1500).astype(float)
+        b = np.array([got[kind].noon, got[kind].even])
+        p = 1 / (1 + np.exp(-(math.log(0.3 / 0.7) + x @ b)))
+        slope = x.T @ (y - p) - b  # of the log posterior
+        assert abs(slope[1]) < 0.05 and (abs(slope[0]) < 0.05 or (b[0] == 0 and slope[0] < 0.05))
+
+
+def test_matched_names(spark):
+    got = QUERIES["matched_names"](spark, SF).collect()
+    assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count() and sum(r.stage > 0 for r in got) > 0.3 * len(got)
+
+
+def test_page_text(spark):
+    got = QUERIES["visible_page_text"](spark, SF).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert all("<" not in r.text and len(r.text) < len(pages[r.page_id]) for r in got) and sum(bool(r.text) for r in got) == len(got)
 
 
 def test_entry(spark):

@@ -129,7 +129,7 @@ def shown(page: str) -> str:
                 until = ends.get(i, len(tokens))
             continue
         parts.append(html.unescape(token[0]))
-    return " ".join("".join(parts).split())
+    return " ".join(" ".join(parts).split())
 
 
 @pandas_udf(StringType())

@@ -7,17 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bands that are broadcast, at most.
+FEW_BANDS = 100_000
+
+
 def band_join(df: DataFrame, bands: DataFrame, value: str, low: str, high: str, width: int, default: dict[str, Column]) -> DataFrame:
     """Each row with its band, bounds inclusive; the band with the lowest start wins, defaults stand in where there is none.
 
-    Bands are cut at multiples of ``width``, so rows meet only the bands of their
-    own cell by an equality, whatever the number of bands.
+    Overlaps are resolved among the bands first, into stretches that belong to
+    one band each.  Stretches are cut at multiples of ``width``, so rows meet
+    only those of their own cell by an equality, and no row meets two.
     """
-    cells = bands.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    rows = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__cell", F.floor(F.col(value) / width))
-    met = rows.join(cells, (rows["__cell"] == cells["__cell"]) & F.col(value).between(F.col(low), F.col(high)), "left").drop(cells["__cell"])
-    best = met.withColumn("__rank", F.row_number().over(W.partitionBy("__id").orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high)))).where("__rank = 1")
-    return best.drop("__cell", "__rank", "__id").withColumns({k: F.coalesce(F.col(k), v) for k, v in default.items()})
+    cell = lambda c: F.floor(c / width)
+    cut_at = bands.select(F.col(low).alias("__from")).union(bands.select(F.col(high) + 1)).distinct()
+    cut_at = cut_at.withColumn("__cell", cell(F.col("__from")))
+    # every cell that a band reaches also begins a stretch
+    edges = bands.select(F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))).alias("__cell")).distinct().select((F.col("__cell") * width).alias("__from"), "__cell")
+    starts = cut_at.unionByName(edges).distinct()
+    ends = F.coalesce(F.lead("__from").over(W.partitionBy("__cell").orderBy("__from")), (F.col("__cell") + 1) * width) - 1
+    parts = starts.withColumn("__to", ends)
+    held = bands.withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    met = parts.join(held, "__cell").where((F.col(low) <= F.col("__from")) & (F.col("__to") <= F.col(high)))
+    best = met.groupBy("__cell", "__from", "__to").agg(F.min(F.struct(low, high, *(c for c in bands.columns if c not in (low, high)))).alias("__b"))
+    best = best.select("__cell", "__from", "__to", "__b.*")
+    if bands.limit(FEW_BANDS + 1).count() <= FEW_BANDS:
+        best = F.broadcast(best)
+    rows = df.withColumn("__cell", cell(F.col(value)))
+    out = rows.join(best, (rows["__cell"] == best["__cell"]) & F.col(value).between(F.col("__from"), F.col("__to")), "left").drop(best["__cell"])
+    return out.drop("__cell", "__from", "__to").withColumns({k: F.coalesce(F.col(k), v) for k, v in default.items()})
 
 
 def overlapping(bands: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
@@ -103,13 +120,26 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         known = whole
 
 
-def staged_match(inputs: DataFrame, pool: DataFrame, scope: str, least: float = 0.85, margin: float = 0.0) -> DataFrame:
-    """(input_id, entity_id, stage, score): by external id, then by exact name in scope, then without suffix, then by similarity.
+def _segment_size(length: Column, least: float) -> tuple[Column, Column]:
+    """How many segments a name of a length has and their size, so that a name as similar as ``least`` has one of them unchanged.
+
+    Names a and b with a similarity of ``least`` differ in (1 - least) (|a| + |b|)
+    insertions and deletions at most, and |b| is (2 - least) / least |a| at most.
+    """
+    edits = F.floor((1 - least) * (1 + (2 - least) / least) * length + 1e-9)
+    parts = F.least(edits + 1, F.greatest(length, F.lit(1))).cast("int")
+    return parts, F.greatest(F.floor(length / parts), F.lit(1)).cast("int")
+
+
+def staged_match(inputs: DataFrame, pool: DataFrame, scope: str, least: float = 0.92, margin: float = 0.03, aliases: DataFrame | None = None, evidence: list[str] = []) -> DataFrame:  # noqa: B006
+    """(input_id, entity_id, stage, score): by external id, then in scope by exact name, by alias, without suffix, then by similarity.
 
     ``inputs`` has input_id, external_id, name, ``scope``; ``pool`` the same with
-    entity_id.  A stage answers only if exactly one entity fits; equal best
-    similarities stay unresolved.  Similarity is compared inside a scope and for
-    names with the same first letter or the same last word, never all with all.
+    entity_id; ``aliases`` alias and name.  A stage answers only if exactly one
+    entity fits; the best similarity must lead the next by more than the margin.
+    Candidates whose ``evidence`` columns say otherwise than the input's, where
+    both say something, fit in no stage but the first.  Similarity is compared
+    inside a scope for names that share a segment, which all similar ones do.
     """
     from tidemark.functions.text import indel_ratio, without_suffix
 
@@ -118,17 +148,31 @@ def staged_match(inputs: DataFrame, pool: DataFrame, scope: str, least: float =
         return one.where("n = 1").select("input_id", "entity_id", F.lit(stage).alias("stage"), "score")
 
     i = inputs.withColumn("base", without_suffix(F.col("name")))
-    p = pool.withColumn("base", without_suffix(F.col("name")))
+    p = pool.withColumn("base", without_suffix(F.col("name"))).withColumnsRenamed({e: f"its_{e}" for e in evidence})
+    its = [f"its_{e}" for e in evidence]
+
+    def agreeing(met: DataFrame) -> DataFrame:
+        for e in evidence:
+            met = met.where(~F.coalesce(F.col(e) != F.col(f"its_{e}"), F.lit(False)))
+        return met
+
     sure = F.lit(1.0).alias("score")
     by_id = only(i.join(p.select("entity_id", "external_id"), "external_id").select("input_id", "entity_id", sure), 1)
-    by_name = only(i.join(p.select("entity_id", "name", scope), ["name", scope]).select("input_id", "entity_id", sure), 2)
-    by_base = only(i.join(p.select("entity_id", "base", scope), ["base", scope]).select("input_id", "entity_id", sure), 3)
-    blocks = lambda df: df.withColumn("block", F.explode(F.array_distinct(F.array(F.substring("base", 1, 1), F.substring_index("base", " ", -1)))))
-    near = blocks(i).join(blocks(p).select("entity_id", F.col("base").alias("other"), scope, "block"), ["block", scope]).select("input_id", "entity_id", "base", "other").distinct()
+    by_name = only(agreeing(i.join(p.select("entity_id", "name", scope, *its), ["name", scope])).select("input_id", "entity_id", sure), 2)
+    by_base = only(agreeing(i.join(p.select("entity_id", "base", scope, *its), ["base", scope])).select("input_id", "entity_id", sure), 4)
+    parts, size = _segment_size(F.length("base"), least)
+    asked = i.select("input_id", "base", scope, *evidence, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.substring("base", k * size + 1, size)))).alias("segment"))
+    sizes = asked.select(F.length("segment").alias("size")).distinct()  # a few small numbers
+    pieces = p.select("entity_id", F.col("base").alias("other"), scope, *its).join(F.broadcast(sizes), F.length("other") >= F.col("size"))
+    pieces = pieces.withColumn("segment", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("other") - F.col("size") + 1), lambda k: F.substring("other", k, F.col("size"))))))
+    near = agreeing(asked.join(pieces.drop("size"), ["segment", scope])).select("input_id", "entity_id", "base", "other").distinct()
     scored = near.select("input_id", "entity_id", indel_ratio(F.col("base"), F.col("other")).alias("score")).where(F.col("score") >= least)
     w = W.partitionBy("input_id")
     best = scored.withColumn("top", F.max("score").over(w)).where(F.col("score") >= F.col("top") - margin)
-    by_score = only(best, 4)
+    by_score = only(best, 5)
     every = by_id.unionByName(by_name).unionByName(by_base).unionByName(by_score)
+    if aliases is not None:
+        called = i.withColumnRenamed("name", "alias").join(aliases.select("alias", "name"), "alias")
+        every = every.unionByName(only(agreeing(called.join(p.select("entity_id", "name", scope, *its), ["name", scope])).select("input_id", "entity_id", sure), 3))
     first = every.withColumn("r", F.row_number().over(w.orderBy("stage"))).where("r = 1").drop("r")
     return inputs.select("input_id").join(first, "input_id", "left").withColumn("stage", F.coalesce("stage", F.lit(0)))
