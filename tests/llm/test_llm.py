@@ -72,6 +72,10 @@ def test_exact(odd, empty):
         same = [(-len(t or ""), i) for i, t in ODD if hashlib.sha256(strip(t).encode()).hexdigest() == r.text_sha256]
         assert r.keep_id == min(same)[1] and r.group_size == len(same) and r.kept == (r.doc_id == r.keep_id)
     assert exact_groups(empty).count() == 0 and drop_exact(odd).columns == odd.columns
+    s = odd.sparkSession
+    twice = s.createDataFrame([(None, "a b", 1), (3, "ab", 2), (3, "ab", 3), (2, "a b", 4), (2, "a b", 5), (None, "c", 6), (None, None, 7), (9, " ", 8)], "doc_id long, text string, row int")
+    assert sorted(r["row"] for r in drop_exact(twice).collect()) == [4, 6, 8]
+    assert all(r.kept == (r.doc_id == 2) for r in exact_groups(twice).collect() if r.group_size == 5)
     # two texts with one hash
     s = odd.sparkSession
     source = s.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
@@ -546,3 +550,100 @@ def test_short_lines_repeat(spark):
     assert got == {1: "", 2: "1,2", 3: ""}
     assert {r.doc_id: r.removed for r in line_report(docs).collect()} == {1: "", 2: "", 3: ""}
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}[2] == "other words, which stand alone too"
+
+
+CLASHING = ("row", "row_", "gone", "slot", "language", "__gone", "__copies", "__copy", "__language_found", "__row", "node", "h", "key", "keys", "fp", "digest", "component", "begin", "sample")
+
+
+def test_stages_on_odd_rows(spark, empty):
+    """Null ids, repeated rows, empty and very long texts, ties and clashing names in every stage; each has its defined result."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    fresh = lambda n=40: " ".join(rng.choice(words) for _ in range(n))
+    plain, twin = [fresh() for _ in range(12)], fresh(60)
+    rows = [(k, t, "en", "st"[k % 2]) for k, t in enumerate(plain)]
+    rows += [(None, fresh(), "en", "s"), (None, fresh(), "en", None), (50, twin, "en", "s"), (50, twin, "en", "s"), (None, twin, "en", "t"), (60, None, "en", "s"), (61, "", "en", "s"), (62, " \n ", None, None), (63, fresh(60_000), "en", "t")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], DOCS).withColumns({c: F.lit("clash") for c in CLASHING})
+    stages = dict(corpus_pipeline.STAGES)
+    count = lambda df: collections.Counter((r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest()) for r in df.collect())
+    name = lambda i, t: (i, hashlib.md5((t or "").encode()).hexdigest())
+
+    kept = stages["language"](spark, docs, "")
+    assert kept.columns == docs.columns and count(kept) == collections.Counter(name(i, t) for i, t, *_ in rows if t and t.strip())
+    lines = stages["lines"](spark, docs, "")
+    want = collections.Counter(name(i, t) for i, t, *_ in rows if t != twin)
+    assert lines.columns == docs.columns and count(lines) == want + collections.Counter([name(50, twin)])
+    near = stages["near_duplicates"](spark, docs, "")
+    want = collections.Counter(name(i, t) for i, t, *_ in rows if t and t.strip() and t != twin)
+    assert near.columns == docs.columns and count(near) == want + collections.Counter([name(50, twin), name(60, None)])
+    mixed = stages["mixing"](spark, docs, "")
+    got = count(mixed)
+    assert mixed.columns == docs.columns and all(n <= 2 * sum(name(i, t) == k for i, t, *_ in rows) for k, n in got.items())
+    assert not set(got) & {name(60, None), name(61, ""), name(62, " \n ")}
+    pieces = stages["pieces"](spark, docs, "").collect()
+    assert collections.Counter(r.doc_id for r in pieces if r["sample"] == 0) == collections.Counter(r[0] for r in rows)
+    by = {hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in rows}
+    assert all(r.decoded_sha256 in by for r in pieces)
+    for stage in stages.values():
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_against_a_slow_version(spark, tmp_path):
+    """run() against plain Python over the same model of languages: the texts that each stage keeps, and what the last one decodes to."""
+    import corpus_pipeline
+    from tidemark.llm.langid import learn
+    from tidemark.llm.mixing import mix_documents
+    from tidemark.llm.shingles import shingles, similarity
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(500)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(6, 20)))
+    pool = [line() for _ in range(12)]
+
+    def near(x):
+        k = rng.randrange(len(x))
+        return x[:k] + rng.choice(["", "z"]) + x[k + 1 :]
+
+    def text():
+        return "\n".join(near(rng.choice(pool)) if rng.random() < 0.15 else rng.choice(pool) if rng.random() < 0.15 else line() for _ in range(rng.randint(1, 6)))
+
+    texts = [text() for _ in range(50)]
+    texts += [" ".join([*t.split()[:-1], "changed"]).replace("changed", "changed " + line()) for t in texts[:5]] + ["123 ?!", None]
+    rows = [(k, t, "en", "stu"[k % 3], len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = learn(docs)
+    now = [(k, t) for k, t, *_ in rows if model.predict(t)[2]]
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    every = sorted({x.strip() for _, t in now for x in t.split("\n")})
+    links = [(a, b) for i, a in enumerate(every) for b in every[:i] if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and apart(a, b) <= 2]
+    label, seen, left = partition(links, every), set(), []
+    for k, t in now:
+        keep = []
+        for x in t.split("\n"):
+            if label[x.strip()] not in seen:
+                keep.append(x)
+            seen.add(label[x.strip()])
+        if any(x.strip() for x in keep):
+            left.append((k, "\n".join(keep)))
+    sets = {k: shingles(t, 5) for k, t in left}
+    group = partition([(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8], sets)
+    left = [(k, t) for k, t in left if group[k] == k]
+    frame = spark.createDataFrame([(k, t, "en", "stu"[k % 3], 0) for k, t in left], DOCS)
+    size = {k: len(t.split()) for k, t in left}
+    times = {r.doc_id: (2 * r.taken + size[r.doc_id]) // (2 * size[r.doc_id]) for r in mix_documents(frame).collect()}
+    digest = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in left}
+    got = collections.Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["sample"] == 0)
+    assert got == collections.Counter({(k, digest[k]): n for k, n in times.items() if n})
+    assert len(left) < len(now) < len(rows)
