@@ -163,7 +163,7 @@ def test_incomplete_inputs_are_refused(spark):
 def test_constant_columns(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("b", 2.0, 3.0)], "k string, x double, y double")
     assert {r.k: r.spearman for r in metrics.spearman(df, ["k"], "x", "y").collect()} == {"a": None, "b": 1.0}
-    assert df.select(metrics.winsorized_z(["k"], "x").alias("z")).where("z = 0").count() == 2
+    assert metrics.winsorized(df, ["k"], "x", "z").where("z = 0").count() == 2
     assert metrics.entropy(df.limit(0), ["k"], "x").count() == 0
 
 

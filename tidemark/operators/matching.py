@@ -43,6 +43,24 @@ def overlapping(bands: DataFrame, keys: list[str], low: str, high: str) -> DataF
     return bands.withColumn("reach", F.max(high).over(before)).where(F.col("reach") >= F.col(low))
 
 
+def overlapping_sets(members: DataFrame, key: str, element: str, least: int) -> DataFrame:
+    """(x, y, shared): pairs of sets, x < y, that have ``least`` elements in common at least.
+
+    Elements are ordered rare first.  Sets that share ``least`` have one of these
+    before their last ``least`` - 1 elements, so the commonest ones, which most
+    sets would meet over, aren't met over.  A pair is kept where it meets over
+    its first common element, so it comes once and needs no grouping.  A set
+    has to fit in a row.
+    """
+    rows = members.select(key, element).distinct()
+    often = rows.groupBy(element).agg(F.count("*").alias("__n"))
+    ordered = F.array_sort(F.collect_list(F.struct("__n", element)))
+    sets = rows.join(often, element).groupBy(F.col(key).alias("x")).agg(F.transform(ordered, lambda e: e[element]).alias("a")).where(F.size("a") >= least)
+    met = sets.select("x", "a", F.explode(F.slice("a", F.lit(1), F.size("a") - (least - 1))).alias("__e"))
+    met = met.join(met.withColumnsRenamed({"x": "y", "a": "b"}), "__e").where("x < y").withColumn("__c", F.array_intersect("a", "b"))
+    return met.where((F.size("__c") >= least) & (F.get("__c", F.lit(0)) == F.col("__e"))).select("x", "y", F.size("__c").cast("long").alias("shared"))
+
+
 def compare(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Every key of either side, and whether it is in ``left_only``, ``right_only`` or ``both``."""
     l = left.select(*keys).distinct().withColumn("__l", F.lit(True))  # noqa: E741

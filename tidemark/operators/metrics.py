@@ -19,12 +19,16 @@ def share_of_total(df: DataFrame, keys: list[str], value: str) -> Column:
     return F.round(F.col(value) / F.when(total != 0, total), 6)
 
 
-def winsorized_z(keys: list[str], value: str, limit: float = 4.0) -> Column:
-    """Distance from the group's mean in population standard deviations, cut at the limit; 0 where all are equal."""
-    w = W.partitionBy(*keys)
-    sd = F.stddev_pop(value).over(w)
-    z = F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd)).otherwise(0.0)
-    return F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))
+def winsorized(df: DataFrame, keys: list[str], value: str, name: str, limit: float = 4.0) -> DataFrame:
+    """The rows with their distance from the group's mean in population standard deviations, cut at the limit; 0 where all are equal.
+
+    Means come from an aggregation that each task begins for its rows, and are
+    joined back, so that no group's rows meet in one task.
+    """
+    of = df.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    z = F.when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.when(F.col("__s") > 0, F.col("__s"))).otherwise(0.0)
+    return df.join(of, same, "left").withColumn(name, F.greatest(F.least(z, F.lit(limit)), F.lit(-limit))).select(*df.columns, name)
 
 
 def entropy(df: DataFrame, keys: list[str], kind: str, kinds: int | None = None) -> DataFrame:

@@ -134,3 +134,21 @@ def counter_evidence(df: DataFrame, key: str, value: str, unique: str, top: int)
 def seeded_sample(df: DataFrame, unique: str, seed: str, n: int) -> DataFrame:
     """n rows without replacement, the same on every run: those with the smallest digests of seed and id."""
     return df.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(unique).cast("string")), 256), unique).limit(n)
+
+
+def subjects(refs: DataFrame, key: str, ref: str, canonical: DataFrame, team: str) -> DataFrame:
+    """(key, subject): the canonical names of what a claim refers to, those with several dropped, and the team if all are of one.
+
+    ``canonical`` has ``ref``, name and ``team``; a claim fans out to a row a subject.
+    """
+    sure = canonical.groupBy(ref).agg(F.min("name").alias("name"), F.min(team).alias(team), F.countDistinct("name").alias("__n")).where("__n = 1")
+    met = refs.select(key, ref).join(sure, ref)
+    teams = met.groupBy(key).agg(F.min(team).alias("subject"), F.countDistinct(team).alias("__n")).where("__n = 1")
+    return met.select(key, F.col("name").alias("subject")).unionByName(teams.select(key, "subject")).distinct()
+
+
+def roster(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """Each key's newest row by the first of ``order`` (the others break ties), and whether rows of that instant differ in the values."""
+    top = df.groupBy(key).agg(F.max(order[0]).alias("__t"))
+    newest = df.join(top, key).where(F.col(order[0]) == F.col("__t"))
+    return newest.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__v"), (F.count_distinct(F.struct(*values)) > 1).alias("conflict")).select(key, "__v.*", "conflict")

@@ -261,7 +261,8 @@ def share_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH z AS (SELECT o_orderkey, o_totalprice AS v, avg(o_totalprice) OVER w AS m, stddev_pop(o_totalprice) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_orderpriority))
 SELECT o_orderkey, round(CASE WHEN s > 0 THEN greatest(least((v - m) / s, 4.0), -4.0) ELSE 0 END, 5) AS z FROM z""")
 def winsorized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(metrics.winsorized_z(["o_orderpriority"], "o_totalprice"), 5).alias("z"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return metrics.winsorized(rows, ["o_orderpriority"], "o_totalprice", "z").select("o_orderkey", F.round("z", 5).alias("z"))
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)
@@ -469,10 +470,8 @@ def nested_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), p AS (SELECT a.l_orderkey AS x, b.l_orderkey AS y, count(*) AS shared FROM f a JOIN f b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY ALL)
 SELECT * FROM p WHERE shared >= 2""")
 def order_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of orders that share two parts at least, met over the parts they share."""
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("x"), "l_partkey").distinct()
-    met = f.join(f.withColumnRenamed("x", "y"), "l_partkey").where("x < y")
-    return met.groupBy("x", "y").agg(F.count("*").alias("shared")).where("shared >= 2")
+    """Pairs of orders that share two parts at least."""
+    return matching.overlapping_sets(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 2)
 
 
 @query("""WITH f AS (SELECT c.c_custkey, c.c_acctbal, e.n FROM customer c LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey)

@@ -401,3 +401,23 @@ def grading_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(rule == "availability", word(F.col("n") >= 60, "incorrect")).when(rule == "usage", word(F.col("bad") * 5 <= F.col("n"), "incorrect")).otherwise(word(F.col("bad") == 0, "indeterminate"))
     g = c.where("c_mktsegment IS NOT NULL").groupBy(rule.alias("rule"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
     return g.withColumn("share", F.round(numeric.ratio(F.col("n"), F.sum("n").over(W.partitionBy("rule"))), 6))
+
+
+@query("""WITH p AS (SELECT p_name, min(p_brand) AS name, min(p_type) AS team FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1),
+m AS (SELECT DISTINCT o_custkey, name, team FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN p USING (p_name))
+SELECT o_custkey, name AS subject FROM m UNION SELECT o_custkey, min(team) FROM m GROUP BY o_custkey HAVING count(DISTINCT team) = 1""")
+def claim_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' parts by name: names of one brand stand for it, and for their type where there is only one."""
+    part = table(spark, sf_dir, "part")
+    names = part.select("p_name", F.col("p_brand").alias("name"), F.col("p_type").alias("team"))
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_name")
+    refs = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "p_name").distinct()
+    return records.subjects(refs, "o_custkey", "p_name", names, "team")
+
+
+@query(f"""WITH {O}, w AS (SELECT *, placed // {30 * DAY} AS month FROM o), t AS (SELECT o_custkey, max(month) AS month FROM w GROUP BY o_custkey), n AS (SELECT w.* FROM w JOIN t USING (o_custkey, month))
+SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS o_orderstatus, max_by(o_orderpriority, o_orderkey) AS o_orderpriority, count(DISTINCT (o_orderstatus, o_orderpriority)) > 1 AS conflict FROM n GROUP BY o_custkey""")
+def roster_of_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's status and priority of the newest month, with conflicts inside that month."""
+    rows = orders(spark, sf_dir).withColumn("month", F.floor(F.col("placed") / (30 * DAY)))
+    return records.roster(rows, "o_custkey", ["month", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
