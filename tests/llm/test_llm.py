@@ -647,3 +647,45 @@ def test_pipeline_against_a_slow_version(spark, tmp_path):
     got = collections.Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["sample"] == 0)
     assert got == collections.Counter({(k, digest[k]): n for k, n in times.items() if n})
     assert len(left) < len(now) < len(rows)
+
+
+def test_language_against_a_slow_version(spark):
+    """Subwords, votes, softmax and calibration in plain Python."""
+    from tidemark.llm.langid import STRIP, Settings, learn, strangeness, subwords
+
+    settings = Settings()
+    m32 = 0xFFFFFFFF
+
+    def slow(text):
+        plain = "".join(c if c.isalpha() else " " for c in text.lower())
+        plain = " " + "".join(w + " " for w in plain.split(" ") if w)
+        out = collections.Counter()
+        for size in (2, 3):
+            for k in range(len(plain) - size + 1) if len(plain) > 2 else ():
+                a, b, *c = map(ord, plain[k : k + size])
+                h = (a * 0x9E3779B1 & m32) ^ (b * 0x85EBCA77 & m32)
+                h = (h * 0xC2B2AE3D & m32) ^ (c[0] * 0x27D4EB2F & m32) if c else h
+                h ^= h >> 15
+                out[(h * 0x2C1B3C6D & m32) >> 17] += 1
+        return out
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [r.text for r in docs.limit(60).collect()] + ["", "a", "ab", " éß ", "1 2", "Ça\nva?", "x" * 5, "ab cd " * (STRIP // 3)]
+    model = learn(docs)
+    for t in texts:
+        counts = slow(t)
+        got = collections.Counter()
+        for h in subwords(t, settings.buckets):
+            got.update(h.tolist())
+        assert got == counts
+        lang, score, accepted = model.predict(t)
+        if not counts:
+            assert (lang, score, accepted) == ("und", 0.0, False)
+            continue
+        n = sum(counts.values())
+        logit = [sum(float(model.votes[b, k]) * c for b, c in counts.items()) / n / model.temperature for k in range(len(model.labels))]
+        p = [math.exp(x - max(logit)) for x in logit]
+        best = max(range(len(p)), key=p.__getitem__)
+        assert lang == model.labels[best] and math.isclose(score, p[best] / sum(p), rel_tol=1e-4)
+        unmet = sum(c for b, c in counts.items() if not model.known[b])
+        assert accepted == (score >= model.threshold and strangeness(unmet, n) <= model.strange)
