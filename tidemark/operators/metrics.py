@@ -111,34 +111,36 @@ def frequencies(df: DataFrame, value: str) -> DataFrame:
     return counts.join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("__total"), 6)).drop("__total")  # one row
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Distribution function of beta distributions inside (0, 1), by a continued fraction; ``whole`` is the log of 1 / B(a, b)."""
+    flip = x > (a + 1) / (a + b + 2)  # from the side where it converges fast
+    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) + whole) / a
+    c, d = np.ones_like(x), 1 / np.maximum(1 - (a + b) * x / (a + 1), 1e-300)
+    h = d.copy()
+    for m in range(1, 500):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d), 1 + term / c
+            h *= c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
+            break
+    return np.where(flip, 1 - front * h, front * h)
+
+
 @pandas_udf(DoubleType())
 def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """Quantile of a beta distribution, by bisection of its distribution function."""
-
-    def cdf(x: float, a: float, b: float) -> float:
-        if x <= 0 or x >= 1:
-            return float(x >= 1)
-        if x > (a + 1) / (a + b + 2):
-            return 1 - cdf(1 - x, b, a)
-        front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)  # continued fraction
-        h = d
-        for m in range(1, 500):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / (1 + num * d), 1 + num / c
-                h *= c * d
-            if abs(c * d - 1) < 1e-14:
-                break
-        return front * h
-
-    def one(p: float, a: float, b: float) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if cdf(mid, a, b) < p else (low, mid)
-        return (low + high) / 2
-
-    return pd.Series([one(*x) for x in zip(p, a, b, strict=True)])
+    """Quantile of a beta distribution, by bisection of its distribution function; a batch of rows at once."""
+    p, a, b = (v.to_numpy(float) for v in (p, a, b))
+    whole = _lgamma(a + b) - _lgamma(a) - _lgamma(b) if len(p) else p
+    low, high = np.zeros(len(p)), np.ones(len(p))
+    for _ in range(60 if len(p) else 0):
+        mid = (low + high) / 2
+        under = _beta_cdf(mid, a, b, whole) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return pd.Series((low + high) / 2)
 
 
 def calibration_line(df: DataFrame, keys: list[str], p: str, y: str, steps: int = 25) -> DataFrame:

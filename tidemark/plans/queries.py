@@ -581,4 +581,4 @@ def fitted_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.simulation import offset_fit
 
     e = facts(spark, sf_dir).withColumns({"noon": F.abs(F.pmod(F.col("observed_at"), F.lit(DAY)) / DAY - 0.5), "even": (F.col("user_id") % 2).cast("double"), "large": (F.col("cents") > 1500).cast("int"), "one": F.lit(1), "base": F.lit(0.3)})
-    return offset_fit(e, ["event_type"], "base", ["noon", "even"], "large", "one", steps=8)
+    return offset_fit(e, ["event_type"], "base", ["noon", "even"], "large", "one")

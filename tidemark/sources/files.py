@@ -104,9 +104,10 @@ def hourly_weather(spark: SparkSession, path: str, kickoff: Column) -> DataFrame
 
 
 def verify_manifest(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(path, state) of every file in the folder or the manifest (path, size, sha256): ok, missing, unmanifested, size or hash."""
+    """(path, state) of every file in the folder or the manifest (path below the folder, size, sha256): ok, missing, unmanifested, size or hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    name = F.regexp_replace("path", r"^.*/", "")
+    top = "/" + folder.partition("://")[2].partition("/")[2] if "://" in folder else folder
+    name = F.substring_index("path", f"{top.rstrip('/')}/", -1)
     there = files.select(name.alias("path"), F.col("length").alias("__n"), F.sha2("content", 256).alias("__h"))
     state = F.when(F.col("__h").isNull(), "missing").when(F.col("sha256").isNull(), "unmanifested").when(F.col("__n") != F.col("size"), "size").when(F.col("__h") != F.col("sha256"), "hash").otherwise("ok")
     return manifest.join(there, "path", "full").select("path", state.alias("state"))

@@ -14,7 +14,7 @@ from tidemark.plans.scratch import cut
 
 
 def append_new(stored: DataFrame | None, offered: DataFrame, path: str, keys: list[str], content: list[str]) -> dict[str, int]:
-    """Append the offered rows whose key is new; counts of inserted, duplicate and conflict.
+    """Append the offered rows whose key is new; counts of inserted, duplicate and conflict.  For a single writer at a time.
 
     Any conflict refuses the whole write.  Existing rows are never changed.
     """
