@@ -125,8 +125,8 @@ def test_personal_data(spark, odd, empty):
     assert redact(spark.createDataFrame([(1, "é x@y.zz, 10.0.0.1.")], "doc_id long, text string")).first().text == "é <email>, <ip>."
 
 
-def test_simhash(spark, odd, empty):
-    from tidemark.llm.simhash import as_hex, drop_near_duplicates, fingerprint, near_duplicates, trie_links
+def test_simhash(spark, odd, empty, monkeypatch):
+    from tidemark.llm.simhash import SLICE, as_hex, drop_near_duplicates, fingerprint, near_duplicates, trie_links
 
     assert spark.range(1).select(as_hex(F.xxhash64(F.lit("abc def ghi")))).first()[0] == f"{fingerprint('ABC def\nghi'):016x}"
     rng = np.random.default_rng(1)
@@ -139,6 +139,16 @@ def test_simhash(spark, odd, empty):
     v = np.array(sorted(values), np.uint64)
     close = [(i, j) for i in range(len(v)) for j in range(i) if v[i] >> np.uint64(48) == v[j] >> np.uint64(48) and (int(v[i]) ^ int(v[j])).bit_count() <= 3]
     assert partition(trie_links(v).tolist(), range(len(v))) == partition(close, range(len(v)))
+    import pandas as pd
+
+    import tidemark.llm.simhash as of_simhash
+
+    frame = pd.DataFrame({"turn": 0, "fp": np.r_[v, v ^ np.uint64(1 << 60)].view(np.int64), "first": np.arange(2 * len(v))})
+    joined = []
+    for size in (SLICE, 7):  # blocks by themselves give what all together do
+        monkeypatch.setattr(of_simhash, "SLICE", size)
+        joined.append(partition(pd.concat(of_simhash._trie_tasks(iter([frame]))).to_numpy().tolist(), range(2 * len(v))))
+    assert joined[0] == joined[1]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fp = {r.doc_id: fingerprint(r.text) for r in docs.collect()}
     want = partition([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3], fp)

@@ -28,8 +28,8 @@ BITS, BLOCK = 64, 16
 SEED = 42
 #: Node pairs that are taken down together; more are split, which bounds memory.
 FRONT = 1 << 21
-#: Shingles whose bits are counted together.
-STRIP = 1 << 15
+#: Shingles whose bits are counted together, and fingerprints whose tries are built together.
+STRIP, SLICE = 1 << 15, 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -120,9 +120,13 @@ def _trie_tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shift = np.uint64(int(turn) * BLOCK)
         turned = (fp << shift) | (fp >> ((np.uint64(BITS) - shift) % np.uint64(BITS))) if turn else fp
         order = np.argsort(turned)
-        first = part["first"].to_numpy()[order]
-        links = trie_links(turned[order])
-        yield pd.DataFrame({"a": first[links[:, 0]], "b": first[links[:, 1]]})
+        turned, first = turned[order], part["first"].to_numpy()[order]
+        # whole blocks, about SLICE values at a time: a trie's counts take 256 bytes a value
+        heads = np.flatnonzero(np.diff(turned >> np.uint64(BITS - BLOCK)) != 0) + 1
+        cuts = heads[np.flatnonzero(np.diff(heads // SLICE, prepend=0) > 0)]
+        for values, names in zip(np.split(turned, cuts), np.split(first, cuts), strict=True):
+            links = trie_links(values)
+            yield pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]]})
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
