@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WHITE, cut, few, spare
+from tidemark.llm.shared import WHITE, cut, few, numbered, spare
 
 
 def normalised(text: Column) -> Column:
@@ -87,7 +87,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null, empty and blank texts are one group.  An empty table gives an empty result.
     """
     (row,) = spare(docs, "row")
-    whole = cut(docs.withColumn(row, F.monotonically_increasing_id()), "exact-rows")
+    whole = numbered(docs, row)
     source = whole.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(source.select("row", "doc_id", *_digests(F.col("text"))), "exact")
     found = _resolve(rows, _collisions(rows, source), source)

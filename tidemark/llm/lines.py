@@ -32,7 +32,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from tidemark.llm.hashing import mix
-from tidemark.llm.shared import WHITE, connected_components, cut, few, ship, spare
+from tidemark.llm.shared import WHITE, connected_components, cut, few, numbered, ship, spare
 
 #: Different lines of a key that are compared in one go; a key with more is split, LEVELS times at most, and then dealt in blocks.
 CROWD, LEVELS = 4096, 2
@@ -374,7 +374,7 @@ def drop_lines(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     stay as they are, null texts too.  An empty table gives an empty result.
     """
     row, gone = spare(docs, "row", "gone")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    rows = numbered(docs, row)
     marked, _ = line_classes(rows.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rule)
     lost = cut(marked.where("removed").groupBy(F.col("row").alias(row)).agg(F.collect_list("no").alias(gone)), "line-gone")
     joined = rows.join(few(lost, lost), row, "left")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, spare
+from tidemark.llm.shared import cut, few, numbered, spare
 
 #: The golden-ratio step of a sequence of 32-bit points.
 STEP, POINTS, PERIOD = 2654435769, 1 << 32, 1 << 31
@@ -185,10 +185,11 @@ def repeated(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     columns stay.  An empty table gives an empty result.
     """
     row, slot = spare(docs, "row", "slot")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    rows = numbered(docs, row)
     sizes = rows.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     laid, taken = scheduled(sizes, mix)
     passes = taken.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")).join(laid.select("row", "size"), "row")
     passes = passes.where("2 * words >= size").select(F.col("row").alias(row), F.col("slot").alias(slot))
-    out = rows.join(passes, row)
+    passes = cut(passes, "passes")
+    out = rows.join(few(passes, passes), row)
     return out.repartitionByRange(slot, row).sortWithinPartitions(slot, row).select(docs.columns)

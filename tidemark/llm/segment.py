@@ -30,8 +30,8 @@ from tidemark.llm.hashing import mix, portions, powers
 from tidemark.llm.shared import ship
 
 SPACE = "▁"
-#: Code points handled together, paths remembered per unit.
-PORTION, BEST = 1 << 21, 4
+#: Paths remembered per unit.
+BEST = 4
 #: Units up to this length are taken together, by length.
 SHORT = 48
 
@@ -67,12 +67,13 @@ def _hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Sampling:
     """samples: segmentations per text; alpha: exponent of the pieces' weights, larger is closer to the best path;
-    remembered: paths that a task keeps, which changes its memory and time but no result."""
+    remembered: paths that a task keeps; portion: code points handled together; both change memory and time but no result."""
 
     samples: int = 2
     alpha: float = 1.0
     seed: int = 11
     remembered: int = 600_000
+    portion: int = 1 << 19
 
 
 class Lattice:
@@ -495,7 +496,7 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice, decode = _lattice(model, sampling.alpha), _Decoder(model)
-        for part in portions(frames, PORTION):
+        for part in portions(frames, sampling.portion):
             if lattice.log.size > sampling.remembered:
                 lattice.clear()
             types, count = lattice.units([marked(t) for t in part["text"]])

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the text contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -71,6 +72,28 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a unique number as column ``name``, which is the same whenever the result is read.
+
+    Rows of Parquet files are numbered by their file and their place in it, so
+    nothing is copied; any other table is written to the shared folder first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # nodes that neither repeat nor join rows
+        plan = plan.children().head()
+    path, index, number = spare(docs, "file", "index", "number")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    except AnalysisException:
+        placed = None
+    if placed is None or plan.nodeName() != "LogicalRelation":
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    files = placed.select(path).distinct().select(path, F.row_number().over(Window.orderBy(path)).alias(number))  # a row a file
+    files = cut(files, "files")
+    row = F.shiftleft(F.col(number).cast("long"), 40).bitwiseOR(F.col(index))
+    return placed.join(few(files, files), path).select(*(placed[c] for c in docs.columns), row.alias(name))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that cut() has written."""
     spark = df.sparkSession

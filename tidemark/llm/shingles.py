@@ -20,7 +20,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tidemark.llm.hashing import mix
-from tidemark.llm.shared import connected_components, cut
+from tidemark.llm.shared import connected_components, cut, few
 
 #: Shingles whose minima are made together.
 STRIP = 1 << 12
@@ -101,8 +101,8 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
             keep = [similarity(firsts[a], shingles(y, rule.width)) >= rule.least for a, y in zip(f["a"], f["y"], strict=True)]
             yield f.loc[keep, ["a", "b"]]
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = cut(texts.join(wanted, "node", "left_semi"), "similar-texts")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
+    known = cut(texts.join(few(wanted, wanted), "node", "left_semi"), "similar-texts")
     a, b = known.select(F.col("node").alias("a"), F.col("text").alias("x")), known.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from tidemark.llm.shared import connected_components, cut, spare
+from tidemark.llm.shared import connected_components, cut, few, numbered, spare
 from tidemark.llm.shingles import Alike, similar_components, sketch
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -168,7 +168,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Alike = Alike(), id_col: str = "
     and texts without words are alike.  An empty table gives an empty result.
     """
     (row,) = spare(docs, "row")
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    rows = numbered(docs, row)
     seen = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), sketch(F.col(text_col), rule).alias("s")).select("row", "id", "s.*")
     seen = cut(seen, "near-sketches")
     distinct = seen.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
@@ -179,5 +179,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Alike = Alike(), id_col: str = "
     texts = rows.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
     found = similar_components(distinct, texts, rule, proposed)
     classes = distinct.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    stays = seen.select("row", "id", "digest").join(classes, "digest").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"))
-    return rows.join(stays.select(F.col("least.row").alias(row)), row, "left_semi").select(docs.columns)
+    each = cut(seen.select("row", "id", "digest").join(classes, "digest").select("row", "id", "component"), "near-components")
+    stays = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    gone = cut(each.join(stays, "component").where("row <> least.row").select(F.col("row").alias(row)), "near-gone")
+    return rows.join(few(gone, gone), row, "left_anti").select(docs.columns)
