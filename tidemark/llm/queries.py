@@ -57,7 +57,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = segmentations(_documents(spark, sf_dir), model, Sampling(remembered=2_500_000, portion=1 << 21))
+    found = segmentations(_documents(spark, sf_dir), model, Sampling(remembered=2_500_000, held=True, portion=1 << 21))
     return found.select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         "decoded_sha256", "log_prob", "perturbed", "inclusion",

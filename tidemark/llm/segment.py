@@ -67,12 +67,14 @@ def _hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Sampling:
     """samples: segmentations per text; alpha: exponent of the pieces' weights, larger is closer to the best path;
-    remembered: paths that a task keeps; portion: code points handled together; both change memory and time but no result."""
+    remembered: paths that a task keeps; held: whether its worker holds them for its next task, or frees their memory for other stages;
+    portion: code points handled together.  These three change memory and time but no result."""
 
     samples: int = 2
     alpha: float = 1.0
     seed: int = 11
     remembered: int = 600_000
+    held: bool = False
     portion: int = 1 << 19
 
 
@@ -507,7 +509,8 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decode(ids, cuts)]
                 rows = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "sample": i, "ids": np.split(ids, cuts[:-1]), "log_prob": lp, "perturbed": g, "inclusion": q, "decoded_sha256": digests})
                 yield rows[active]
-        lattice.clear()  # the worker goes on to other stages, which need its memory
+        if not sampling.held:
+            lattice.clear()
 
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
