@@ -1,11 +1,14 @@
-"""Vectorised 64-bit hashing of pieces of a text, and portions of a task's rows."""
+"""Vectorised 64-bit hashing of pieces of a text, portions of a task's rows, and a worker's memory."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -38,3 +41,10 @@ def portions(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame
     for frame in frames:
         portion = np.cumsum([len(t) if t else 0 for t in frame["text"]], dtype=np.int64) // most
         yield from (part for _, part in frame.groupby(portion, sort=False))
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the machine: workers wait for other stages beside an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

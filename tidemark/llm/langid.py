@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from tidemark.llm.hashing import release
 from tidemark.llm.shared import cut, few, ship, spare
 
 #: Code points that are turned into subwords at a time.
@@ -196,6 +197,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in part], columns=["lang", "score", "accepted"])
+        release()
 
     predict.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return pandas_udf(predict, kind)(F.col(text_col))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tidemark.llm.hashing import mix
+from tidemark.llm.hashing import mix, release
 from tidemark.llm.shared import WHITE, connected_components, cut, few, numbered, ship, spare
 
 #: Different lines of a key that are compared in one go; a key with more is split, LEVELS times at most, and then dealt in blocks.
@@ -204,6 +204,7 @@ def _occurrences(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts, dtype=np.int64)], pa.int32()), pa.array(keys, pa.int64()))
             arrays = [pa.array(no, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(length, pa.int32()), lists]
             yield pa.RecordBatch.from_arrays([*own.columns, *arrays], names=["row", "doc_id", "h", "no", "hi", "lo", "length", "keys"])
+        release()
 
     return made
 
@@ -237,6 +238,7 @@ def _linked(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 lines.append(line)
             yield _pairs(found)
         yield _pairs(group_links(nodes, lines, rule.threshold))
+        release()
 
     return made
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tidemark.llm.hashing import mix, portions, powers
+from tidemark.llm.hashing import mix, portions, powers, release
 from tidemark.llm.shared import ship
 
 SPACE = "▁"
@@ -511,6 +511,7 @@ def segmentations(docs: DataFrame, model: str, sampling: Sampling = Sampling(),
                 yield rows[active]
         if not sampling.held:
             lattice.clear()
+            release()
 
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.hashing import mix
+from tidemark.llm.hashing import mix, release
 from tidemark.llm.shared import connected_components, cut, few
 
 #: Shingles whose minima are made together.
@@ -82,13 +82,15 @@ def sketch(text: Column, rule: Alike) -> Column:
     """(digest, size, fp, keys) of a text's shingles; fp is their SimHash, 0 without words."""
     kind = StructType([StructField("digest", LongType()), StructField("size", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
 
-    def sketches(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, rule.width) for t in texts]
-        digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"digest": digest, "size": [len(s) for s in sets], "fp": fp, "keys": [band_keys(s, rule) if len(s) else [] for s in sets]})
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(t, rule.width) for t in texts]
+            digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"digest": digest, "size": [len(s) for s in sets], "fp": fp, "keys": [band_keys(s, rule) if len(s) else [] for s in sets]})
+        release()
 
-    sketches.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    sketches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return pandas_udf(sketches, kind)(text)
 
 
@@ -100,6 +102,7 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
             firsts = {a: shingles(x, rule.width) for a, x in f.drop_duplicates("a")[["a", "x"]].itertuples(index=False)}
             keep = [similarity(firsts[a], shingles(y, rule.width)) >= rule.least for a, y in zip(f["a"], f["y"], strict=True)]
             yield f.loc[keep, ["a", "b"]]
+        release()
 
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
     known = cut(texts.join(few(wanted, wanted), "node", "left_semi"), "similar-texts")
