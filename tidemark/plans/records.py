@@ -235,12 +235,12 @@ def training_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {E}, i AS (SELECT user_id, observed_at // {DAY} AS item, avg(cents) AS m, count(*) AS n FROM e WHERE event_type <> 'error' GROUP BY ALL),
 r AS (SELECT user_id, count(DISTINCT event_type) AS reach FROM e GROUP BY user_id), f AS (SELECT user_id, avg(m) AS mean, count(*) AS items FROM i GROUP BY user_id)
-SELECT r.user_id, round(mean, 4) AS mean, coalesce(items, 0) AS items, reach FROM r LEFT JOIN f USING (user_id)""")
+SELECT r.user_id, round(mean, 8) AS mean, coalesce(items, 0) AS items, reach FROM r LEFT JOIN f USING (user_id)""")
 def two_level_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means within items, then over items, derivatives left out; reach counts all sources and everyone is listed."""
     e = facts(spark, sf_dir)
     items = e.where("event_type <> 'error'").groupBy("user_id", F.floor(F.col("observed_at") / DAY).alias("item")).agg(F.avg("cents").alias("m"))
-    means = items.groupBy("user_id").agg(F.round(F.avg("m"), 4).alias("mean"), F.count("*").alias("items"))
+    means = items.groupBy("user_id").agg(F.round(F.avg("m"), 8).alias("mean"), F.count("*").alias("items"))
     reach = e.groupBy("user_id").agg(F.countDistinct("event_type").alias("reach"))
     return reach.join(means, "user_id", "left").na.fill(0, ["items"]).select("user_id", "mean", "items", "reach")
 
