@@ -159,7 +159,8 @@ def calibration_line(df: DataFrame, keys: list[str], p: str, y: str, steps: int
         sums = z.groupBy(*keys, "a", "b").agg(*(F.sum(e).alias(k) for k, e in {"g0": F.col("y") - F.col("m"), "g1": (F.col("y") - F.col("m")) * F.col("x"), "h0": F.col("w"), "h1": F.col("w") * F.col("x"), "h2": F.col("w") * F.col("x") * F.col("x")}.items()))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1") + 1e-12
         da, db = (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det, (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det
-        new = cut(sums.select(*keys, (F.col("a") + da).alias("a"), (F.col("b") + db).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")), "calibration")
+        far = F.greatest(F.lit(1.0), F.abs(da), F.abs(db))  # a step goes no further than 1, which keeps steep groups from swinging away
+        new = cut(sums.select(*keys, (F.col("a") + da / far).alias("a"), (F.col("b") + db / far).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")), "calibration")
         moved = new.agg(F.max("moved")).first()[0]
         now = new.drop("moved")
         if moved is None or moved < 1e-9:

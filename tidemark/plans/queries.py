@@ -511,9 +511,10 @@ def beta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE d AS (SELECT lang, ln(q / (1 - q)) AS x, quality AS y FROM (SELECT lang, quality, greatest(least(n_chars / 8000.0, 0.99), 1e-6)::DOUBLE AS q FROM documents JOIN labels USING (doc_id))),
 n AS (SELECT DISTINCT lang, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS i FROM d UNION ALL
-SELECT lang, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1 + 1e-12), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1 + 1e-12), i + 1 FROM (
+SELECT lang, a + da / greatest(1.0, abs(da), abs(db)), b + db / greatest(1.0, abs(da), abs(db)), i + 1 FROM (
+SELECT lang, a, b, i, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1 + 1e-12) AS da, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1 + 1e-12) AS db FROM (
 SELECT lang, a, b, i, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum(m * (1 - m)) AS h0, sum(m * (1 - m) * x) AS h1, sum(m * (1 - m) * x * x) AS h2
-FROM (SELECT n.lang, a, b, i, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM n JOIN d ON n.lang = d.lang WHERE i < 25) GROUP BY lang, a, b, i))
+FROM (SELECT n.lang, a, b, i, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM n JOIN d ON n.lang = d.lang WHERE i < 25) GROUP BY lang, a, b, i)))
 SELECT lang, round(a, 5) AS intercept, round(b, 5) AS slope FROM n WHERE i = 25""")
 def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
