@@ -12,6 +12,7 @@ from tidemark.llm.kneser_ney import score_documents
 from tidemark.llm.langid import identify
 from tidemark.llm.lines import Rule, line_report
 from tidemark.llm.media import copies_report, drawn, edited, find_copies, spread
+from tidemark.llm.merkle import document_manifest
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.segment import Sampling, segmentations
@@ -80,6 +81,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_documents(spark, sf_dir))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -136,4 +141,46 @@ SQL = {
                  count(*) OVER (PARTITION BY t) AS group_size
           FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256, n_points FROM g""",
+    "op11_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS row, doc_id, lang, n_chars,
+                 coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                 || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS front,
+                 coalesce(octet_length(encode(text)) || ':' || text, '-') AS back
+          FROM documents),
+        crc AS (
+          SELECT list(v ORDER BY i) AS crc FROM (
+            SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+            FROM range(256) t(i))),
+        e AS (
+          SELECT row, doc_id, lang, sha256(front || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || back) AS leaf,
+                 CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) % 7 = 0
+                 THEN sha256(front || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || back) END AS tampered
+          FROM d, crc),
+        l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i FROM e),
+        t AS (
+          SELECT lang, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM l
+          UNION ALL
+          SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, level, i // 2, n),
+        s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM t WHERE n = 1),
+        u AS (
+          SELECT 0 AS level, i, subroot AS h, count(*) OVER () AS n FROM s
+          UNION ALL
+          SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+        beside AS (
+          SELECT l.row, a.level, o.h, l.i >> a.level AS place FROM l JOIN (SELECT DISTINCT lang, level FROM t WHERE n > 1) a ON a.lang IS NOT DISTINCT FROM l.lang
+          LEFT JOIN t o ON o.lang IS NOT DISTINCT FROM l.lang AND o.level = a.level AND o.i = xor(l.i >> a.level, 1)
+          UNION ALL
+          SELECT l.row, 1000 + a.level, o.h, s.i >> a.level FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (SELECT DISTINCT level FROM u WHERE n > 1) a
+          LEFT JOIN u o ON o.level = a.level AND o.i = xor(s.i >> a.level, 1)),
+        p AS (
+          SELECT row, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256,
+                 list(CASE WHEN h IS NULL THEN '-' WHEN place % 2 = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY level) AS steps
+          FROM beside GROUP BY row),
+        f AS (
+          SELECT l.row, doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+                 list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(steps, [])), lambda h, x: CASE WHEN x = '-' THEN sha256(h) WHEN x[1] = 'L' THEN sha256(x[2:] || h) ELSE sha256(h || x[2:]) END) AS folded_root
+          FROM l LEFT JOIN p ON p.row = l.row JOIN s ON s.lang IS NOT DISTINCT FROM l.lang)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""",
 }
