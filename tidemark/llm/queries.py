@@ -18,6 +18,7 @@ from tidemark.llm.pii import personal_data, personal_data_digest
 from tidemark.llm.segment import Sampling, segmentations
 from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
+from tidemark.llm.spelling import variants
 from tidemark.llm.sstable import encode_documents
 
 
@@ -85,6 +86,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(_documents(spark, sf_dir))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -183,4 +188,37 @@ SQL = {
                  list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(steps, [])), lambda h, x: CASE WHEN x = '-' THEN sha256(h) WHEN x[1] = 'L' THEN sha256(x[2:] || h) ELSE sha256(h || x[2:]) END) AS folded_root
           FROM l LEFT JOIN p ON p.row = l.row JOIN s ON s.lang IS NOT DISTINCT FROM l.lang)
         SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""",
+    "op12_spelling": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list(v ORDER BY i) AS crc FROM (
+            SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+            FROM range(256) t(i))),
+        m AS (
+          SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS front,
+                 unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+          FROM documents),
+        k AS (SELECT front, run, count(*) AS n FROM m GROUP BY ALL),
+        h AS (
+          SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(front || run))), lambda i: CAST('0x' || substr(hex(encode(front || run)), 2 * i + 1, 2) AS BIGINT))),
+                             lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS h
+          FROM k, crc WHERE length(run) >= 7),
+        w AS (
+          SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+          FROM h GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+        cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+        less AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM cuts),
+        holes AS (SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS rest FROM cuts),
+        near AS (
+          SELECT a.word, b.word AS near, b.n FROM holes a JOIN holes b USING (rest) WHERE a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON b.word = a.rest
+          UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON b.word = a.rest),
+        top AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS most FROM near GROUP BY word),
+        f AS (
+          SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN near END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+          FROM w LEFT JOIN top USING (word)),
+        chain AS (
+          SELECT word, form AS root FROM f WHERE form IS NOT NULL
+          UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+        ends AS (SELECT c.word, c.root FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+        SELECT f.word, n, n_near, form, form_n, coalesce(root, f.word) AS root FROM f LEFT JOIN ends USING (word)""",
 }
