@@ -20,6 +20,7 @@ from tidemark.llm.shared import ship
 from tidemark.llm.simhash import as_hex, near_duplicates
 from tidemark.llm.spelling import variants
 from tidemark.llm.sstable import encode_documents
+from tidemark.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_documents(spark, sf_dir))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
