@@ -458,8 +458,9 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
-def test_pipeline_drops_similar(spark, odd, empty):
+def test_pipeline_drops_similar(spark, odd, empty, monkeypatch):
     import corpus_pipeline
+    from tidemark.llm import shingles as module
     from tidemark.llm.shingles import Alike, shingles, similar_components, similarity, sketch
     from tidemark.llm.simhash import drop_near_duplicates
 
@@ -487,6 +488,11 @@ def test_pipeline_drops_similar(spark, odd, empty):
     distinct = nodes.select("node", sketch(F.col("text"), rule).alias("s")).select("node", "s.size", "s.keys")
     found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
     assert {i: found.get(i, i) for i in sets} == label
+    for rounds in (1, 4):  # further leaders, until no key is mixed or rounds end
+        monkeypatch.setattr(module, "WIDE", -1)
+        monkeypatch.setattr(module, "ROUNDS", rounds)
+        found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
+        assert {i: found.get(i, i) for i in sets} == label
     assert drop_near_duplicates(empty).count() == 0 and drop_near_duplicates(odd).columns == odd.columns
 
 

@@ -2,8 +2,8 @@
 
 Two texts of similarity s have equal minima in a band of five with probability
 s**5, so one of 25 bands meets at 0.8 with probability 0.99995.  All that meet in
-a band are compared, by way of the first of them: those that it links are one
-component already, and only pairs of different components are compared after.
+a band are compared, by way of some of them in turn: those that these link are
+one component already, and only pairs of different components are compared after.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from tidemark.llm.shared import connected_components, cut, few
 
 #: Shingles whose minima are made together.
 STRIP = 1 << 12
+#: Rounds of further leaders at most, and pairs a member from which another is worth it; both change the work and no result.
+ROUNDS, WIDE = 12, 8
 _U = np.uint64
 
 
@@ -111,7 +113,14 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
 
 
 def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike, proposed: DataFrame | None = None) -> DataFrame:
-    """(node, component) of nodes that are linked; ``distinct`` has node, size and keys, ``texts`` node and text; ``proposed`` are more pairs (a, b) to compare."""
+    """(node, component) of nodes that are linked; ``distinct`` has node, size and keys, ``texts`` node and text; ``proposed`` are more pairs (a, b) to compare.
+
+    All that meet in a key are compared with its first node.  Where that leaves
+    large groups in several components, further nodes lead: each round compares
+    one of every such key with all others there, which joins most copies of a
+    text however they differ.  What is left in several components then meets
+    all others of its key.
+    """
     keyed = distinct.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(keyed.join(shared, "key"), "similar-members")
@@ -119,13 +128,26 @@ def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike, propo
     led = cut((led if proposed is None else led.unionByName(proposed)).distinct(), "similar-pairs")
     links = cut(similar_links(led, texts, rule), "similar-links")
     found = cut(connected_components(links), "similar-components")
-    own, its = found.toDF("node", "own"), found.toDF("leader", "its")
-    labelled = members.join(own, "node", "left").join(its, "leader", "left")
-    labelled = labelled.select("key", "node", "size", "leader", F.coalesce("own", "node").alias("own"), F.coalesce("its", "leader").alias("its"))
-    labelled = cut(labelled, "similar-labelled")
-    # what the leader doesn't reach meets all others of its key
-    apart = labelled.where("own <> its").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("c"))
-    crossed = apart.join(labelled, "key").where("c <> own AND node <> leader")
-    crossed = crossed.where(F.least("m", "size") >= rule.least * F.greatest("m", "size"))
+    left = members.where("node <> leader").drop("leader").join(found.toDF("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
+    left = cut(left.select("key", "node", "size", "own"), "similar-left")  # leaders have been compared with all of their keys
+    fits = lambda m, n: F.least(m, n) >= rule.least * F.greatest(m, n)
+    for turn in range(ROUNDS + 1):
+        parts = left.groupBy("key", "own").agg(F.count("*").alias("n")).groupBy("key")
+        mixed = cut(parts.agg(F.max_by("own", "n").alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "similar-mixed")
+        total, pairs = mixed.agg(F.sum("total"), F.sum(F.expr("(total - most) * total"))).first()
+        left = cut(left.join(mixed.select("key", "main"), "key"), "similar-left")
+        apart = left.where("own <> main")
+        if turn == ROUNDS or (pairs or 0) <= WIDE * (total or 0):
+            break
+        leads = cut(apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "size", "own")).alias("l")).select("key", "l.*"), "similar-leads").toDF("key", "h", "a", "m", "c")
+        met = left.join(leads, "key").where((F.col("own") != F.col("c")) & fits(F.col("m"), F.col("size"))).select("a", F.col("node").alias("b")).distinct()
+        new = cut(similar_links(cut(met, "similar-pairs"), texts, rule), "similar-links")
+        links = links.unionByName(new)
+        own = left.select("node", "own").distinct()
+        joined = new.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = connected_components(joined).toDF("own", "component")
+        rest = left.join(leads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").join(moved, "own", "left")
+        left = cut(rest.select("key", "node", "size", F.coalesce("component", "own").alias("own")), "similar-left")
+    crossed = apart.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("c")).join(left, "key").where((F.col("c") != F.col("own")) & fits(F.col("m"), F.col("size")))
     crossed = cut(crossed.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "similar-pairs")
     return connected_components(links.unionByName(similar_links(crossed, texts, rule)))
