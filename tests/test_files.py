@@ -143,3 +143,15 @@ def test_retention(spark):
     kept, stones = sinks.purge(items, policies, datetime.date(2024, 1, 8))
     assert {r.item_id: r.content for r in kept.collect()} == {1: None, 2: "y", 3: "z"}
     assert [(r.item_id, r.reason) for r in stones.collect()] == [(1, "retention")]
+
+
+def test_every_header_is_compared(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructType
+
+    schema = StructType().add("a", IntegerType()).add("b", StringType())
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "2.csv").write_text("a,b\n2,y\n")
+    assert sorted((r.a, r.b) for r in files.csv_exact(spark, str(tmp_path), schema).collect()) == [(1, "x"), (2, "y")]
+    (tmp_path / "3.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.csv_exact(spark, str(tmp_path), schema).collect()

@@ -44,17 +44,60 @@ def test_distribution_scores(spark):
             assert abs(got[r.event_id].crps - crps) < 0.02 * max(1, crps)
 
 
+def _eta(b, x, model):
+    raw = x[:, :2] @ b[:2]
+    return math.log(0.3 / 0.7) + model.amplitude * np.tanh(raw / model.amplitude) + x[:, 2] * b[2]
+
+
+def _trials():
+    import pandas as pd
+
+    events = pd.read_parquet(f"{SF}/events.parquet")
+    us = events["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    x = np.c_[np.abs(us % 86_400_000_000 / 86_400_000_000 - 0.5), events["user_id"] % 2, np.ones(len(events))]
+    return events, x, (np.round(events["value"].to_numpy() * 100) > 1500).astype(float)
+
+
 def test_fitted_offsets(spark):
+    from tidemark.plans.queries import OFFSETS
+
     got = {r.event_type: r for r in QUERIES["fitted_offsets"](spark, SF).collect()}
-    events = spark.read.parquet(f"{SF}/events.parquet").toPandas()
-    for kind, own in events.groupby("event_type"):
-        us = own["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        x = np.c_[np.abs(us % 86_400_000_000 / 86_400_000_000 - 0.5), own["user_id"] % 2]
-        y = (np.round(own["value"].to_numpy() * 100) > 1500).astype(float)
-        b = np.array([got[kind].noon, got[kind].even])
-        p = 1 / (1 + np.exp(-(math.log(0.3 / 0.7) + x @ b)))
-        slope = x.T @ (y - p) - b  # of the log posterior
-        assert abs(slope[1]) < 0.05 and (abs(slope[0]) < 0.05 or (b[0] == 0 and slope[0] < 0.05))
+    events, x, y = _trials()
+    assert set(got) == set(events["event_type"])
+
+    def loss(b, own):
+        eta = _eta(b, x[own], OFFSETS)
+        return np.logaddexp(0, eta).sum() - y[own] @ eta + 0.5 * (OFFSETS.precision @ b**2)
+
+    for kind, r in got.items():
+        own = (events["event_type"] == kind).to_numpy()
+        b, near = np.array([r.noon, r.even, r.every]), 1e-4 * np.eye(3)
+        slope = np.array([(loss(b + d, own) - loss(b - d, own)) / 2e-4 for d in near])
+        free = ~((b <= 0) & (slope > 0) & OFFSETS.bounded)
+        assert r.settled and r.gradient < 1e-6 and np.abs(slope[free]).max() < 1e-4 and b[0] >= 0 and math.isclose(r.objective, loss(b, own), rel_tol=1e-9)
+        curve = np.array([[(loss(b + d + e, own) - loss(b + d - e, own) - loss(b - d + e, own) + loss(b - d - e, own)) / 4e-8 for e in near] for d in near])
+        p = 1 / (1 + np.exp(-_eta(b, x[own], OFFSETS)))
+        dispersion = max(1.0, ((y[own] - p) ** 2 / (p * (1 - p))).sum() / (own.sum() - 3))
+        assert math.isclose(r.dispersion, dispersion, rel_tol=1e-9) and np.allclose(np.array(r.covariance).reshape(3, 3), np.linalg.inv(curve) * dispersion, rtol=1e-3, atol=1e-5)
+
+
+def test_predicted_rates(spark):
+    from tidemark.plans.queries import OFFSETS
+
+    fitted = {r.event_type: r for r in QUERIES["fitted_offsets"](spark, SF).collect()}
+    events, x, _ = _trials()
+    got = {r.event_id: r for r in QUERIES["predicted_rates"](spark, SF).collect()}
+    assert set(got) == set(events["event_id"])
+    rng = np.random.default_rng(1)
+    for kind, r in fitted.items():
+        b = rng.multivariate_normal([r.noon, r.even, r.every], np.array(r.covariance).reshape(3, 3), 60_000)
+        b = b[b[:, 0] >= 0]
+        for at in np.flatnonzero((events["event_type"] == kind).to_numpy())[:8]:
+            raw = b[:, :2] @ x[at, :2]
+            p = 1 / (1 + np.exp(-(math.log(0.3 / 0.7) + OFFSETS.amplitude * np.tanh(raw / OFFSETS.amplitude) + b[:, 2])))
+            row, spread = got[int(events["event_id"][at])], p.std()
+            assert np.abs(np.array([row.low, row.middle, row.high]) - np.quantile(p, [0.1, 0.5, 0.9])).max() < 0.25 * spread
+            assert math.isclose(row.delta, row.middle - 0.3) and abs(row.positive - (p > 0.3).mean()) < 0.05
 
 
 def test_matched_names(spark):

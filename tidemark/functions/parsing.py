@@ -38,7 +38,8 @@ def lineup(text: Column, slots: list[str]) -> Column:
     """(slot, name) of a lineup's text, slots as words; null unless the text begins with one."""
     word = "|".join(slots)
     starts = F.regexp_extract_all(text, F.lit(rf"(?:^|\s)({word})(?=\s)"), F.lit(1))
-    names = F.slice(F.split(text, rf"(?:^|\s)(?:{word})(?=\s)"), 2, 1_000)
+    parts = F.split(text, rf"(?:^|\s)(?:{word})(?=\s)")
+    names = F.slice(parts, F.lit(2), F.size(parts))
     pairs = F.zip_with(starts, names, lambda s, n: F.struct(s.alias("slot"), F.trim(n).alias("name")))
     return F.when(text.rlike(rf"^({word})\s"), pairs)
 

@@ -74,61 +74,166 @@ def canonical(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()) for t in texts], dtype=object)
 
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPACE = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s/>=][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _ZERO = re.compile(r"[+-]?0*\.?0*(px|em|rem|%|pt)?$")
-
-
-def _hides(style: str) -> bool:
+_FAR = re.compile(r"-\d{3,}(\.\d*)?(px|em|rem)$")
+
+#: Elements whose text is no markup, and which open elements a start tag ends first: those of its own kind and its like.
+RAW_ELEMENTS = ("script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title")
+BLOCKS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+ENDS = (
+    {b: ("p",) for b in BLOCKS}
+    | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",), "optgroup": ("optgroup", "option"), "body": ("head",)}
+    | {"tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
+)
+#: Elements that keep such an end inside: a list in a list item has items of its own.
+KEEPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "p": ("button", "li", "dd", "td", "th", "object", "table"), "option": ("select",), "optgroup": ("select",)}
+KEEPS |= {t: ("table",) for t in ("tr", "td", "th", "tbody", "tfoot")}
+
+
+def _style_hides(style: str) -> bool:
     """Whether a style's declarations take an element out of sight."""
+    given = {}
     for declaration in style.lower().split(";"):
-        name, _, value = (x.strip() for x in declaration.partition(":"))
-        value = value.removesuffix("!important").strip()
-        if (name, value) in (("display", "none"), ("visibility", "hidden"), ("visibility", "collapse")):
-            return True
-        if name in ("opacity", "width", "height", "font-size") and value and _ZERO.match(value):
-            return True
-        if name in ("left", "top", "text-indent") and re.match(r"-\d{4,}", value):
-            return True
-    return False
-
-
-def _hidden(tag: str, rest: str) -> bool:
-    given = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(rest)}
-    return tag in HIDDEN_ELEMENTS or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _hides(html.unescape(given.get("style", "")))
+        name, _, value = declaration.partition(":")
+        given["".join(name.split())] = "".join(value.split()).removesuffix("!important")
+    is_zero = lambda *names: any(given.get(n) and _ZERO.match(given[n]) for n in names)
+    return (
+        given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse") or given.get("content-visibility") == "hidden"
+        or is_zero("opacity", "font-size") or given.get("clip", "").startswith("rect(") or given.get("clip-path", "").startswith(("inset(50%", "inset(100%"))
+        or any(_FAR.match(given.get(n, "")) for n in ("left", "right", "top", "bottom", "text-indent"))
+        or (given.get("overflow") == "hidden" and is_zero("width", "max-width", "height", "max-height"))
+    )
+
+
+def _local(name: str) -> str:
+    """An element's name without its namespace."""
+    return name.rsplit("}", 1)[-1].rsplit(":", 1)[-1].lower()
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """A tag's attributes from a place behind its name, the place behind the tag (-1: it has no end), and whether it ends itself."""
+    given: dict[str, str] = {}
+    while True:
+        before = at
+        at = _SPACE.match(page, at).end()
+        if at >= len(page):
+            return given, -1, False
+        if page[at] == ">":
+            return given, at + 1, page[at - 1] == "/" and at > before
+        if page[at] == "=":  # a stray sign is part of a name
+            key, at = "=", at + 1
+        else:
+            found = _KEY.match(page, at)
+            key, at = found[0].lower(), found.end()
+        value, equals = "", _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            mark = page[at : at + 1]
+            if mark and mark in "\"'":
+                end = page.find(mark, at + 1)
+                if end < 0:
+                    return given, -1, False
+                value, at = page[at + 1 : end], end + 1
+            else:
+                found = _BARE.match(page, at)
+                value, at = found[0], found.end()
+        given.setdefault(key, value)
+
+
+class _Open:
+    """The open elements of a page: their names, which of them hide, and where each name stands."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.hides: list[bool] = []
+        self.hidden = 0
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, name: str, hides: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.hides.append(hides)
+        self.hidden += hides
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost element of these names; -1 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def end(self, at: int) -> None:
+        """End the element at a place and all in it."""
+        while len(self.names) > at:
+            self.places[self.names.pop()].pop()
+            self.hidden -= self.hides.pop()
+
+    def before(self, name: str) -> None:
+        """End what a start tag of this name ends."""
+        for kind in ENDS.get(name, ()):
+            at = self.last((kind,))
+            if at >= 0 and at > self.last(KEEPS.get(kind, ())):
+                self.end(at)
 
 
 def shown(page: str) -> str:
     """A page's text outside hidden elements, white space collapsed.
 
-    Two passes over the page's tokens: the first finds for each hidden element
-    the token that ends it, the second joins the text outside these ranges.  An
-    element without an end tag of its own ends with the page; an end tag ends
-    the nearest open element of its name.
+    One pass from tag to tag with the elements that are open.  A start tag ends
+    those that can't hold it (an item the item before, a block the paragraph
+    before); an end tag ends the innermost element of its name and what is open
+    in it, or nothing; void elements and those that end themselves hold nothing.
+    So an element without an end tag hides what it holds and no more.  Text of
+    scripts and their like has no tags.  A tag without an end, as at a page cut
+    off, is no text.  Time grows with the page's length.
     """
-    tokens = list(_TOKEN.finditer(page))
-    ends: dict[int, int] = {}
-    waiting: dict[str, list[int]] = {}
-    at = 0
-    while at < len(tokens):
-        tag = (tokens[at]["tag"] or "").lower()
-        if tag and tokens[at]["end"] and waiting.get(tag):
-            ends[waiting[tag].pop()] = at
-        elif tag and not tokens[at]["end"] and tag not in VOID_ELEMENTS:
-            waiting.setdefault(tag, []).append(at)
-            if tag in ("script", "style"):  # their text has no tags
-                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, tokens[at].end())
-                while close and at + 1 < len(tokens) and tokens[at + 1].start() < close.start():
-                    at += 1
-        at += 1
-    parts, until = [], -1
-    for i, token in enumerate(tokens):
-        tag = (token["tag"] or "").lower()
-        if i <= until or tag or token[0].startswith(("<!", "<?")):
-            if i > until and tag and not token["end"] and tag not in VOID_ELEMENTS and _hidden(tag, token["rest"]):
-                until = ends.get(i, len(tokens))
+    parts: list[str] = []
+    opened, at, closed = _Open(), 0, page.rfind(">")
+    while at < len(page):
+        tag = page.find("<", at)
+        text = page[at : tag if tag >= 0 else len(page)]
+        if text and not opened.hidden:
+            parts.append(html.unescape(text))
+        if tag < 0:
+            break
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?", "</"), tag) and not (page.startswith("</", tag) and page[tag + 2 : tag + 3].isalpha()):
+            end = page.find(">", tag)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        name = _NAME.match(page, tag + 1 + page.startswith("</", tag))
+        if not name:  # a sign, no tag
+            if not opened.hidden:
+                parts.append("<")
+            at = tag + 1
+            continue
+        if closed < tag:  # no tag ends any more
+            break
+        given, end, alone = _attributes(page, name.end())
+        if end < 0:
+            break
+        at, tag_name = end, _local(name[0])
+        if page.startswith("</", tag):
+            place = opened.last((tag_name,))
+            if place >= 0:
+                opened.end(place)
+            continue
+        opened.before(tag_name)
+        if tag_name in VOID_ELEMENTS or alone:
             continue
-        parts.append(html.unescape(token[0]))
+        hides = tag_name in HIDDEN_ELEMENTS or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or ("style" in given and _style_hides(html.unescape(given["style"])))
+        opened.add(tag_name, hides)
+        if tag_name in RAW_ELEMENTS and name[0].lower() == tag_name:
+            close = re.compile(rf"</{tag_name}(?=[\s/>])", re.I).search(page, at)
+            stop = close.start() if close else len(page)
+            if not opened.hidden:
+                parts.append(html.unescape(page[at:stop]))
+            at = stop
     return " ".join(" ".join(parts).split())
 
 

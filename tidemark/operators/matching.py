@@ -120,7 +120,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     Each step keeps only what is new, so a step's work is that of its frontier.
     """
-    from tidemark.plans.scratch import cut, discard
+    from tidemark.scratch import cut, discard
 
     known = cut(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
     front, depth = known, 0

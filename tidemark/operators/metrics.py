@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from tidemark.scratch import beside, cut, discard, few
+
 
 def share_of_total(df: DataFrame, keys: list[str], value: str) -> Column:
     """A row's part of its group's total, six places; null if the total is 0."""
@@ -144,56 +146,42 @@ def beta_quantile(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def calibration_line(df: DataFrame, keys: list[str], p: str, y: str, steps: int = 25) -> DataFrame:
-    """Slope and intercept of a logistic regression of y on logit(p) per group, by Newton steps.
+    """Slope and intercept of a logistic regression of y on logit(p) per group, by Newton steps; settled: whether the last step moved neither.
 
-    Each step is one aggregation of all rows per group, so groups of any size are
-    spread over the cluster; only the coefficients, a row a group, go round.
+    Where a group's outcomes are all alike, or told apart by p, no line is most
+    likely: its step goes on to the end, and it isn't settled.  Each step is one
+    aggregation of all rows per group, so groups of any size are spread over
+    the cluster; only the coefficients, a row a group, go round.  Null keys are
+    a group; rows with a null p or y aren't counted.
     """
-    from tidemark.plans.scratch import cut
-
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    rows = cut(df.select(*keys, F.log(q / (1 - q)).alias("x"), F.col(y).cast("double").alias("y")), "calibration")
-    now = cut(rows.select(*keys).distinct().withColumns({"a": F.lit(0.0), "b": F.lit(1.0)}), "calibration")
+    rows = cut(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*keys, F.log(q / (1 - q)).alias("x"), F.col(y).cast("double").alias("y")), "calibration-rows")
+    now = cut(rows.select(*keys).distinct().withColumns({"a": F.lit(0.0), "b": F.lit(1.0), "moved": F.lit(1.0)}), "calibration")
     for _ in range(steps):
-        z = rows.join(now, keys).withColumn("m", 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))).withColumn("w", F.col("m") * (1 - F.col("m")))
+        at = now.select(*keys, "a", "b")
+        z = beside(rows, few(at, at), keys).withColumn("m", 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))).withColumn("w", F.col("m") * (1 - F.col("m")))
         sums = z.groupBy(*keys, "a", "b").agg(*(F.sum(e).alias(k) for k, e in {"g0": F.col("y") - F.col("m"), "g1": (F.col("y") - F.col("m")) * F.col("x"), "h0": F.col("w"), "h1": F.col("w") * F.col("x"), "h2": F.col("w") * F.col("x") * F.col("x")}.items()))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1") + 1e-12
         da, db = (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det, (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det
         far = F.greatest(F.lit(1.0), F.abs(da), F.abs(db))  # a step goes no further than 1, which keeps steep groups from swinging away
         new = cut(sums.select(*keys, (F.col("a") + da / far).alias("a"), (F.col("b") + db / far).alias("b"), F.greatest(F.abs(da), F.abs(db)).alias("moved")), "calibration")
-        moved = new.agg(F.max("moved")).first()[0]
-        now = new.drop("moved")
-        if moved is None or moved < 1e-9:
+        discard(now)
+        now = new
+        if now.where("moved >= 1e-9").isEmpty():
             break
-    return now.select(*keys, F.round("a", 5).alias("intercept"), F.round("b", 5).alias("slope"))
-
-
-def shift_to_total(df: DataFrame, keys: list[str], p: str, target: Column, bound: float = 5.0, steps: int = 45) -> DataFrame:
-    """Per group one shift of the logits, bounded, so that the probabilities add up to the group's target; by bisection.
-
-    A step sums all rows of each group where they are; only a row a group goes round.
-    """
-    from tidemark.plans.scratch import cut
-
-    rows = cut(df.withColumn("__x", F.log(F.col(p) / (1 - F.col(p)))).withColumn("__t", target), "shift")
-    now = rows.select(*keys).distinct().withColumns({"low": F.lit(-bound), "high": F.lit(bound)})
-    for done in range(steps):
-        mid = (F.col("low") + F.col("high")) / 2
-        sums = rows.join(now, keys).groupBy(*keys, "low", "high").agg(F.sum(1 / (1 + F.exp(-(F.col("__x") + mid)))).alias("s"), F.max("__t").alias("t"))
-        now = sums.select(*keys, F.when(F.col("s") < F.col("t"), mid).otherwise(F.col("low")).alias("low"), F.when(F.col("s") < F.col("t"), F.col("high")).otherwise(mid).alias("high"))
-        if done % 5 == 4:
-            now = cut(now, "shift")
-    return now.select(*keys, F.round((F.col("low") + F.col("high")) / 2, 6).alias("shift"))
+    return now.select(*keys, F.round("a", 5).alias("intercept"), F.round("b", 5).alias("slope"), (F.col("moved") < 1e-9).alias("settled"))
 
 
 def settle(scores: DataFrame, draw: list[str], score: str, prizes: DataFrame) -> DataFrame:
     """Competition rank and prize of each entry of a draw: entries that tie share the sum of the prizes of the places they take.
 
     ``prizes`` has rank_from, rank_to and prize; the first band that holds a place
-    wins, other places have 0.  Per draw the distinct scores and their counts are
-    ranked, not the entries, and a tie's sum comes from the bands' running sums.
+    wins, other places have 0.  Entries without a score take no place: they have
+    no rank and win 0.  A null draw is a draw.  Per draw the distinct scores and
+    their counts are ranked, not the entries, and a tie's sum comes from the bands'
+    running sums.
     """
-    tied = scores.groupBy(*draw, score).agg(F.count("*").alias("tied"))
+    tied = scores.where(F.col(score).isNotNull()).groupBy(*draw, score).agg(F.count("*").alias("tied"))
     above = F.coalesce(F.sum("tied").over(W.partitionBy(*draw).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tied = tied.withColumn("rank", above + 1)
     each = prizes.select(F.explode(F.sequence("rank_from", "rank_to")).alias("place"), "prize", "rank_from")
@@ -205,7 +193,7 @@ def settle(scores: DataFrame, draw: list[str], score: str, prizes: DataFrame) ->
     t = tied.join(F.broadcast(last)).withColumn("top", F.least(F.col("rank") + F.col("tied") - 1, F.col("last"))).withColumn("under", F.least(F.col("rank") - 1, F.col("last")))
     t = t.join(upto.withColumnsRenamed({"place": "top", "upto": "u1"}), "top", "left").join(upto.withColumnsRenamed({"place": "under", "upto": "u0"}), "under", "left")
     share = (F.coalesce("u1", F.lit(0.0)) - F.coalesce("u0", F.lit(0.0))) / F.col("tied")
-    return scores.join(t.select(*draw, score, "rank", "tied", F.round(share, 6).alias("won")), [*draw, score])
+    return beside(scores, t.select(*draw, score, "rank", "tied", F.round(share, 6).alias("won")), [*draw, score], "left").na.fill(0.0, ["won"])
 
 
 def quantile_columns(value: str, parts: list[float]) -> list[Column]:

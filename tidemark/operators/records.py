@@ -54,10 +54,13 @@ def mapped_join(left: DataFrame, right: DataFrame, keys: list[str], column: str,
 
 
 def provenance(df: DataFrame, key: str, listed: str, other: DataFrame, other_key: str, values: list[str]) -> DataFrame:
-    """For each key the values of what its JSON array of numbers names, in the array's order; names that nothing has are left out."""
-    each = df.select(key, F.posexplode(F.from_json(listed, "array<bigint>")).alias("__pos", other_key))
-    met = each.join(other.select(other_key, F.struct(*values).alias("__v")), other_key)
-    found = F.array_sort(F.collect_list(F.struct("__pos", "__v")))
+    """For each key the values of what its JSON array of numbers names, in the array's order; names that nothing has are left out.
+
+    A key whose array is empty, null, unreadable or names nothing known has an empty list.
+    """
+    each = df.select(key, F.posexplode_outer(F.from_json(listed, "array<bigint>")).alias("__pos", other_key))
+    met = each.join(other.select(other_key, F.struct(*values).alias("__v")), other_key, "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("__pos", "__v"))))
     return met.groupBy(key).agg(F.transform(found, lambda x: x["__v"]).alias("evidence"))
 
 

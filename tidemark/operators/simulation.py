@@ -1,4 +1,4 @@
-"""Seeded draws of correlated outcomes, and models fitted per cohort."""
+"""Seeded draws of correlated outcomes."""
 
 from __future__ import annotations
 
@@ -52,43 +52,3 @@ def lognormal_outcomes(drawn: DataFrame, active: Column, scale: Column, shape: C
     given = drawn.withColumns({"__a": active, "__m": scale, "__s": shape})
     schema = T.StructType([*drawn.schema.fields, T.StructField("value", T.DoubleType())])
     return given.mapInPandas(quantile, schema)
-
-
-def offset_fit(df: DataFrame, keys: list[str], base: str, features: list[str], successes: str, trials: str, prior: float = 1.0, steps: int = 20) -> DataFrame:
-    """Per cohort the most likely coefficients of features added to logit(base), with normal priors; the first one is 0 at least.
-
-    Newton steps until none moves; the sums for each are made over all rows where
-    they are, and a row a cohort holds coefficients, gradient and curvature.
-    """
-    from tidemark.plans.scratch import cut, discard
-
-    k = len(features)
-    q = F.greatest(F.least(F.col(base), F.lit(1 - 1e-9)), F.lit(1e-9))
-    rows = cut(df.select(*keys, F.log(q / (1 - q)).alias("o"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(successes).cast("double").alias("s"), F.col(trials).cast("double").alias("n")), "offset")
-    now = rows.select(*keys).distinct().withColumn("b", F.array(*[F.lit(0.0)] * k))
-    kinds = ", ".join(f.simpleString().replace(":", " ", 1) for f in df.select(*keys).schema.fields)
-
-    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out, moved = [], []
-            for b, g, h in zip(f["b"], f["g"], f["h"], strict=True):
-                b, g, h = np.array(b), np.array(g), np.array(h).reshape(k, k)
-                new = b + np.linalg.solve(h + np.eye(k) / prior, g - b / prior)
-                new[0] = max(0.0, new[0])
-                out.append(new.tolist())
-                moved.append(float(np.abs(new - b).max()))
-            yield f[keys].assign(b=out, moved=moved)
-
-    for done in range(steps):
-        eta = F.col("o") + F.aggregate(F.zip_with("x", "b", lambda x, b: x * b), F.lit(0.0), lambda s, v: s + v)
-        z = rows.join(now, keys).withColumn("p", 1 / (1 + F.exp(-eta)))
-        grad = F.array(*(F.sum((F.col("s") - F.col("n") * F.col("p")) * F.get("x", F.lit(i))) for i in range(k)))
-        curve = F.array(*(F.sum(F.col("n") * F.col("p") * (1 - F.col("p")) * F.get("x", F.lit(i)) * F.get("x", F.lit(j))) for i in range(k) for j in range(k)))
-        sums = z.groupBy(*keys).agg(F.first("b").alias("b"), grad.alias("g"), curve.alias("h"))
-        new = cut(sums.mapInPandas(step, f"{kinds}, b array<double>, moved double"), "offset")
-        if done:
-            discard(now)
-        now = new.drop("moved")
-        if (new.agg(F.max("moved")).first()[0] or 0.0) < 1e-9:
-            break
-    return now.select(*keys, *(F.round(F.get("b", F.lit(i)), 5).alias(f) for i, f in enumerate(features)))

@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, text
-from tidemark.operators import matching, metrics, temporal
+from tidemark.operators import fits, matching, metrics, temporal
+from tidemark.scratch import cut
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: 20 January 2024, UTC.
@@ -491,6 +492,14 @@ def visible_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.visible_text("html").alias("text"))
 
 
+@query("""SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_size % 3 <> 0 THEN p_type END, CASE WHEN p_size % 5 <> 0 THEN p_brand END, 'end') AS text FROM part""")
+def built_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of pages built from parts: items without end tags, some of them hidden, and a hidden block with an open one in it."""
+    hide = lambda n, how: F.when(F.col("p_size") % n == 0, how).otherwise("")
+    page = F.concat(F.lit("<ul><li>"), "p_name", F.lit("<li "), hide(3, "hidden"), F.lit(">"), "p_type", F.lit("</ul><div hidden><p>gone</div><table><tr><td "), hide(5, "style='display:none'"), F.lit(">"), "p_brand", F.lit("</table>end"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.visible_text(page).alias("text"))
+
+
 @query()
 def matched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names, misspelt, matched to the brands' parts in stages."""
@@ -509,13 +518,13 @@ def beta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"), q(0.05).alias("low"), q(0.95).alias("high"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT lang, ln(q / (1 - q)) AS x, quality AS y FROM (SELECT lang, quality, greatest(least(n_chars / 8000.0, 0.99), 1e-6)::DOUBLE AS q FROM documents JOIN labels USING (doc_id))),
-n AS (SELECT DISTINCT lang, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0 AS i FROM d UNION ALL
-SELECT lang, a + da / greatest(1.0, abs(da), abs(db)), b + db / greatest(1.0, abs(da), abs(db)), i + 1 FROM (
+@query("""WITH RECURSIVE d AS (SELECT lang, ln(q / (1 - q)) AS x, quality AS y FROM (SELECT lang, quality, greatest(least(n_chars / 8000.0, 0.99), 1e-6)::DOUBLE AS q FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)),
+n AS (SELECT DISTINCT lang, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS moved, 0 AS i FROM d UNION ALL
+SELECT lang, a + da / greatest(1.0, abs(da), abs(db)), b + db / greatest(1.0, abs(da), abs(db)), greatest(abs(da), abs(db)), i + 1 FROM (
 SELECT lang, a, b, i, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1 + 1e-12) AS da, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1 + 1e-12) AS db FROM (
 SELECT lang, a, b, i, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum(m * (1 - m)) AS h0, sum(m * (1 - m) * x) AS h1, sum(m * (1 - m) * x * x) AS h2
-FROM (SELECT n.lang, a, b, i, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM n JOIN d ON n.lang = d.lang WHERE i < 25) GROUP BY lang, a, b, i)))
-SELECT lang, round(a, 5) AS intercept, round(b, 5) AS slope FROM n WHERE i = 25""")
+FROM (SELECT n.lang, a, b, i, x, y, 1 / (1 + exp(-(a + b * x))) AS m FROM n JOIN d ON n.lang IS NOT DISTINCT FROM d.lang WHERE i < 25) GROUP BY lang, a, b, i)))
+SELECT lang, round(a, 5) AS intercept, round(b, 5) AS slope, moved < 1e-9 AS settled FROM n WHERE i = 25""")
 def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     return metrics.calibration_line(d.withColumn("p", F.least(F.col("n_chars") / 8000.0, F.lit(0.99))), ["lang"], "p", "quality")
@@ -525,13 +534,57 @@ def calibration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT day, count(*) / 10 AS t FROM d GROUP BY day), x AS (SELECT day, ln(p / (1 - p)) AS x FROM d),
 b AS (SELECT day, -5.0::DOUBLE AS low, 5.0::DOUBLE AS high, 0 AS i FROM t UNION ALL
 SELECT day, CASE WHEN s < t THEN mid ELSE low END, CASE WHEN s < t THEN high ELSE mid END, i + 1 FROM (
-SELECT b.day, low, high, i, t, (low + high) / 2 AS mid, sum(1 / (1 + exp(-(x + (low + high) / 2)))) AS s FROM b JOIN x ON x.day = b.day JOIN t ON t.day = b.day WHERE i < 45 GROUP BY ALL))
-SELECT day, round((low + high) / 2, 6) AS shift FROM b WHERE i = 45""")
+SELECT b.day, low, high, i, t, (low + high) / 2 AS mid, sum(1 / (1 + exp(-(x + (low + high) / 2)))) AS s FROM b JOIN x ON x.day IS NOT DISTINCT FROM b.day JOIN t ON t.day IS NOT DISTINCT FROM b.day WHERE i < 45 GROUP BY ALL))
+SELECT day, round((low + high) / 2, 6) AS shift, true AS settled FROM b WHERE i = 45""")
 def shifted_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shift of logits per day so that the day's probabilities add up to a tenth of its events."""
     e = facts(spark, sf_dir).withColumns({"day": F.floor(F.col("observed_at") / DAY), "p": F.greatest(F.least(F.col("cents") / 10000.0, F.lit(0.95)), F.lit(0.01))})
     n = e.groupBy("day").agg((F.count("*") / 10).alias("target"))
-    return metrics.shift_to_total(e.join(n, "day"), ["day"], "p", F.col("target"))
+    found = fits.shift_to_total(e.join(n, "day"), ["day"], "p", F.col("target"))
+    return found.withColumn("shift", F.round("shift", 6))
+
+
+#: Fixed places and flexibility of each event type, and a day's free places.
+PLACES, FREE = [("click", 3.0, True), ("view", 1.0, True), ("purchase", 2.0, False), ("error", 0.0, True)], 4
+PLACES_SQL = "places AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n}::DOUBLE, {f})" for k, n, f in PLACES) + ") v(event_type, places, flexible))"
+TOTALS_SQL = f"""{E}, d AS (SELECT event_id, user_id % 40 AS slate, event_type, least(greatest(cents / 20000.0, 0.0), 1.0)::DOUBLE AS p FROM e), {PLACES_SQL},
+k AS (SELECT slate, event_type, count(*) AS n, sum(p) AS mass FROM d GROUP BY ALL),
+w AS (SELECT k.*, coalesce(places, 0) AS places, coalesce(flexible, false) AS flexible, greatest(mass, 1e-9) AS weight,
+CASE WHEN coalesce(flexible, false) THEN greatest(n - places, 0) ELSE 0 END AS room FROM k LEFT JOIN places USING (event_type)),
+l AS (SELECT *, ({FREE} - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+FROM w WINDOW o AS (PARTITION BY slate ORDER BY room / weight, event_type)),
+s AS (SELECT *, CASE WHEN room <= level * weight THEN room ELSE greatest(coalesce(max(CASE WHEN room > level * weight THEN level END) OVER (PARTITION BY slate), 0), 0) * weight END AS share FROM l)"""
+
+
+@query(f"WITH {TOTALS_SQL} SELECT slate, event_type, round(share, 6) AS share FROM s")
+def allocated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free places of slates of users, shared by the event types that may take them, up to what these can hold."""
+    d = _slates(spark, sf_dir).groupBy("slate", "event_type").agg(F.count("*").alias("n"), F.sum("p").alias("mass"))
+    slots = spark.createDataFrame(PLACES, "event_type string, places double, flexible boolean")
+    rows = d.join(F.broadcast(slots), "event_type", "left").na.fill({"places": 0.0, "flexible": False})  # four rows
+    room = F.when(F.col("flexible"), F.greatest(F.col("n") - F.col("places"), F.lit(0.0))).otherwise(0.0)
+    shared = fits.allocate(rows.withColumn("room", room), ["slate"], "mass", "room", F.lit(float(FREE)), "event_type")
+    return shared.select("slate", "event_type", F.round("share", 6).alias("share"))
+
+
+def _slates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the probability that they are chosen, in slates by user."""
+    p = F.least(F.greatest(F.col("cents") / 20000.0, F.lit(0.0)), F.lit(1.0))
+    return facts(spark, sf_dir).select("event_id", F.pmod("user_id", F.lit(40)).alias("slate"), "event_type", p.alias("p"))
+
+
+@query(f"""WITH RECURSIVE {TOTALS_SQL}, t AS (SELECT slate, event_type, n, least(places + share, n) AS total, places + share <= n + 1e-12 AS met FROM s),
+x AS (SELECT event_id, d.slate, d.event_type, ln(q / (1 - q)) AS x FROM (SELECT *, least(greatest(p, 1e-12), 1 - 1e-12) AS q FROM d) d),
+b AS (SELECT slate, event_type, -50.0::DOUBLE AS low, 50.0::DOUBLE AS high, 0 AS i FROM t UNION ALL
+SELECT slate, event_type, CASE WHEN s < total THEN mid ELSE low END, CASE WHEN s < total THEN high ELSE mid END, i + 1 FROM (
+SELECT slate, event_type, low, high, i, total, (low + high) / 2 AS mid, sum(1 / (1 + exp(-(x + (low + high) / 2)))) AS s FROM b JOIN x USING (slate, event_type) JOIN t USING (slate, event_type) WHERE i < 60 GROUP BY ALL)),
+f AS (SELECT slate, event_type, met, CASE WHEN total <= 0 THEN -50 WHEN total >= n THEN 50 ELSE (low + high) / 2 END AS shift FROM b JOIN t USING (slate, event_type) WHERE i = 60)
+SELECT event_id, round(1 / (1 + exp(-(x + shift))), 6) AS calibrated, met FROM x JOIN f USING (slate, event_type)""")
+def calibrated_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities shifted by slate and type so that a slate's add up to its places."""
+    slots = spark.createDataFrame(PLACES, "event_type string, places double, flexible boolean")
+    found = fits.calibrated_totals(_slates(spark, sf_dir), ["slate"], "event_type", "p", slots, F.lit(FREE), "event_id")
+    return found.select("event_id", F.round("calibrated", 6).alias("calibrated"), "met")
 
 
 @query("""WITH f AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type),
@@ -576,10 +629,24 @@ def simulated_contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.groupBy("c_custkey").agg(F.round(F.avg("won"), 6).alias("expected"), F.round(F.avg((F.col("won") > 0).cast("double")), 6).alias("cash_rate"), F.round(F.avg("won") / 25.0 - 1, 6).alias("roi"))
 
 
+#: Effect of the hour's distance from noon, which may not be negative, and of even users, on the rate of large values.
+OFFSETS = fits.Offset(("noon", "even"), ("every",), ("noon",), {"noon": 1.0, "even": 1.0, "every": 0.5}, amplitude=1.5)
+
+
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noon = F.abs(F.pmod(F.col("observed_at"), F.lit(DAY)) / DAY - 0.5)
+    return facts(spark, sf_dir).withColumns({"noon": noon, "even": (F.col("user_id") % 2).cast("double"), "every": F.lit(1.0), "large": (F.col("cents") > 1500).cast("int"), "one": F.lit(1), "base": F.lit(0.3)})
+
+
 @query()
 def fitted_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event type the effect of the hour's distance from noon on the rate of large values, beside a base rate."""
-    from tidemark.operators.simulation import offset_fit
+    """Per event type the most likely effects beside a base rate, with dispersion and covariance."""
+    return fits.offset_fit(_trials(spark, sf_dir), ["event_type"], "base", OFFSETS, "large", "one")
 
-    e = facts(spark, sf_dir).withColumns({"noon": F.abs(F.pmod(F.col("observed_at"), F.lit(DAY)) / DAY - 0.5), "even": (F.col("user_id") % 2).cast("double"), "large": (F.col("cents") > 1500).cast("int"), "one": F.lit(1), "base": F.lit(0.3)})
-    return offset_fit(e, ["event_type"], "base", ["noon", "even"], "large", "one")
+
+@query()
+def predicted_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each event's rate over the posterior of its type's effects."""
+    e = _trials(spark, sf_dir)
+    fitted = cut(fits.offset_fit(e, ["event_type"], "base", OFFSETS, "large", "one"), "fitted")
+    return fits.predict(e.select("event_id", "event_type", "base", *OFFSETS.features), fitted, ["event_type"], "base", OFFSETS).drop("base", *OFFSETS.features)

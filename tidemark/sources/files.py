@@ -25,14 +25,18 @@ def read(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def csv_exact(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
-    """A CSV whose header must be exactly the schema's names; rows that don't fit have their text in ``_rejected``."""
+    """A CSV whose header must be exactly the schema's names; rows that don't fit have their text in ``_rejected``.
+
+    The first file is looked at right away; every other one is refused by the
+    task that reads it, if its header is another.
+    """
     head = spark.read.option("header", False).options(**options).csv(path).first()
     found = [str(x or "").lstrip("﻿") for x in head] if head else []
     if found != schema.names:
         missing, more = sorted(set(schema.names) - set(found)), sorted(set(found) - set(schema.names))
         raise ValueError(f"header differs: missing {missing}, unexpected {more}" if missing or more else f"header order differs: {found}")
     with_reject = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").options(**options)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").option("enforceSchema", False).options(**options)
     return reader.schema(with_reject).csv(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import write_outcome
-from tidemark.plans.scratch import cut
+from tidemark.scratch import cut
 
 
 def append_new(stored: DataFrame | None, offered: DataFrame, path: str, keys: list[str], content: list[str]) -> dict[str, int]:
