@@ -27,7 +27,9 @@ def test_asof_ties_and_misses(spark):
     assert got == {1: ("y", 2), 2: (None, 9), 3: (None, None), 4: ("n", 1)}
 
 
-def test_sessions_break_strictly(spark):
+@pytest.mark.parametrize("large", [10**9, 100, -1])
+def test_sessions_break_strictly(spark, monkeypatch, large):
+    monkeypatch.setattr(temporal, "LARGE_KEY", large)
     rng = random.Random(1)
     rows = [(i, rng.randint(1, 5), rng.randint(0, 300)) for i in range(600)] + [(1000, 9, 0), (1001, 9, 10), (1002, 9, 20), (1003, 9, 21)]
     df = spark.createDataFrame(rows, "id int, k int, t int")
@@ -43,6 +45,27 @@ def test_sessions_break_strictly(spark):
     assert [got[i] for i in (1000, 1001, 1002, 1003)] == [0, 0, 0, 1]
 
 
+@pytest.mark.parametrize(("gap", "span"), [(3, 40), (40, 3), (1, 1), (5, 10_000), (0, 7)])
+def test_sessions_of_large_keys_are_those_of_one_pass(spark, monkeypatch, gap, span):
+    rng = random.Random(gap * 7 + span)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, "cold"]), rng.choice([None, "x"]), rng.choice([int(rng.gauss(0, 300)), rng.randint(-2000, 4000), None])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, k string, j string, t long").repartition(5)
+    found = []
+    for large in (10**9, 500, -1):
+        monkeypatch.setattr(temporal, "LARGE_KEY", large)
+        found.append({r.id: r.session for r in temporal.sessions(df, ["k", "j"], "t", "id", gap, span).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    for key in {r[1:3] for r in rows}:
+        first = before = None
+        n = 0
+        for i, *_, t in sorted((r for r in rows if r[1:3] == key and r[3] is not None), key=lambda r: (r[3], r[0])):
+            if first is not None and (t - before > gap or t - first > span):
+                n, first = n + 1, t
+            first, before = t if first is None else first, t
+            assert found[0][i] == n
+    assert all(found[0][r[0]] is None for r in rows if r[3] is None)
+
+
 def test_settlement_of_ties(spark):
     rng = random.Random(2)
     entries = [(d, i, rng.randint(0, 6)) for d in range(3) for i in range(25)]

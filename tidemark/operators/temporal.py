@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.scratch import beside, cut, few
+
 
 def visible(as_of: Column, ingested: bool = True, observed_at: str = "observed_at", ingested_at: str = "ingested_at", valid_from: str = "valid_from", valid_to: str = "valid_to") -> Column:
     """Whether a row was known and valid at an instant: knowledge bounds inclusive, validity half open.
@@ -86,34 +89,123 @@ def intervals(df: DataFrame, keys: list[str], order: list[str], value: str, star
     return kept.withColumn("valid_to", F.lead(start).over(W.partitionBy(*keys).orderBy(*order)))
 
 
+#: Rows from which a key's sessions are found in parts instead of in one pass; changes the work and no result.
+LARGE_KEY = 2_000_000
+
+
 def sessions(df: DataFrame, keys: list[str], instant: str, unique: str, gap: int, span: int) -> DataFrame:
-    """``session`` for each row: a new one begins when more than ``gap`` passed since the row before, or more than ``span`` since the session's first.
+    """``session`` for each row, from 0 within its key: a new one begins when more than ``gap`` passed since the row before, or more than ``span`` since the session's first.
 
-    ``instant`` is a number, in the unit of the limits.  Rows of a key pass
-    through one task in order and only the current session's first instant is
-    held, so no key has to fit in memory.
+    ``instant`` is a number, in the unit of the limits.  Rows of most keys pass
+    through one task in order, of which only the current session's first instant
+    is held.  Keys with many rows are found first and cut in stretches of time
+    (see _large_sessions), so that none passes through one task.  Null keys are a
+    key; rows without an instant have no session.
     """
+    rows = df.where(F.col(instant).isNotNull())
+    large = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > LARGE_KEY).drop("__n"), "large-keys")
+    lost = df.where(F.col(instant).isNull()).withColumn("session", F.lit(None).cast("long"))
+    if large.isEmpty():
+        return _walked_sessions(rows, keys, instant, unique, gap, span).unionByName(lost)
+    there = few(large.withColumn("__large", F.lit(True)), large)
+    split = beside(rows, there, keys, "left")
+    small = split.where("__large IS NULL").drop("__large")
+    return _walked_sessions(small, keys, instant, unique, gap, span).unionByName(_large_sessions(split.where("__large").drop("__large"), keys, instant, gap, span)).unionByName(lost)
+
+
+def _walked_sessions(df: DataFrame, keys: list[str], instant: str, unique: str, gap: int, span: int) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("session", T.LongType())])
-    names = [*keys, instant]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, first, before, number = None, 0, 0, 0
         for frame in frames:
-            out = []
-            for *key, now in frame[names].itertuples(index=False, name=None):
-                key = tuple(None if k != k else k for k in key)
-                if key != held:
-                    held, first, number = key, now, 0
-                elif now - before > gap or now - first > span:
-                    first, number = now, number + 1
-                before = now
-                out.append(number)
-            yield frame.assign(session=out)
+            t, n = frame[instant].to_numpy(np.int64), len(frame)
+            if not n:
+                continue
+            codes = [pd.factorize(frame[k], use_na_sentinel=False)[0] for k in keys]
+            fresh = np.r_[True, np.any([np.diff(c) != 0 for c in codes], axis=0)] if keys else np.r_[True, np.zeros(n - 1, bool)]
+            own = [tuple(None if v != v or v is None else v for v in frame[keys].iloc[i]) for i in (0, n - 1)]
+            goes_on = own[0] == held
+            fresh[0] = not goes_on
+            breaks = fresh | (np.diff(t, prepend=before if goes_on else t[0]) > gap)
+            starts = breaks.copy()
+            heads = np.flatnonzero(breaks | (np.arange(n) == 0))
+            for at, end in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):  # a run without gaps at a time
+                since = int(t[at]) if breaks[at] else first
+                while (at := at + int(np.searchsorted(t[at:end], since + span, "right"))) < end:
+                    starts[at], since = True, int(t[at])
+            count = np.cumsum(starts)
+            at_key = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+            session = np.where(at_key >= 0, count - count[at_key], number + count)
+            held, before, number = own[1], int(t[-1]), int(session[-1])
+            first = int(t[np.flatnonzero(starts)[-1]]) if starts.any() else first
+            yield frame.assign(session=session)
 
     ordered = df.repartition(*keys).sortWithinPartitions(*keys, instant, unique)
     return ordered.mapInPandas(walk, schema)
 
 
+def _large_sessions(df: DataFrame, keys: list[str], instant: str, gap: int, span: int) -> DataFrame:
+    """Sessions of keys of any size.
+
+    Instants of a key, each once, are dealt by stretches of time an eighth of the
+    span long; a stretch is told the last instant before it and the first one
+    after it by a row a stretch.  Runs between gaps that are no longer than the
+    span are sessions.  In longer runs each instant has a successor, the first
+    one beyond its span; a session begins at each instant that the run's first
+    leads to over successors.  These are found by doubling: every round adds the
+    successors of all found so far, and makes the successors of successors, so
+    rounds grow with the logarithm of a run's sessions.
+    """
+    width = max(1, span // 8)
+    key = F.to_json(F.struct(*keys))  # never null
+    t = df.select(key.alias("__key"), F.col(instant).cast("long").alias("t")).distinct().withColumn("part", F.floor(F.col("t") / width))
+    t = cut(t, "instants")
+    inside, over = W.partitionBy("__key", "part").orderBy("t"), W.partitionBy("__key").orderBy("part")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = t.groupBy("__key", "part").agg(F.min("t").alias("low"), F.max("t").alias("high"))  # a row a stretch
+    parts = cut(parts.select("__key", "part", F.lag("high").over(over).alias("was"), F.lead("low").over(over).alias("next")), "stretches")
+    marked = t.join(parts.drop("next"), ["__key", "part"]).withColumn("before", F.coalesce(F.lag("t").over(inside), "was"))
+    marked = marked.withColumn("head", F.when(F.col("before").isNull() | (F.col("t") - F.col("before") > gap), F.col("t")))
+    marked = cut(marked.select("__key", "part", "t", "head"), "marked")
+    heads = marked.groupBy("__key", "part").agg(F.max("head").alias("last"))
+    earlier = F.last("last", ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))
+    heads = heads.select("__key", "part", earlier.alias("earlier"))
+    runs = marked.join(heads, ["__key", "part"]).select("__key", "part", "t", F.coalesce(F.last("head", ignorenulls=True).over(upto(inside)), "earlier").alias("run"))
+    runs = cut(runs, "runs")
+    long_ = runs.groupBy("__key", "run").agg(F.max("t").alias("end")).where(F.col("end") - F.col("run") > span).drop("end")
+    within = cut(runs.join(long_, ["__key", "run"]), "long-runs")
+    starts = runs.where("t = run").select("__key", "t")
+    if not within.isEmpty():
+        # the first instant beyond t + span: in its stretch, or the first of the next one that has any
+        asked = within.select("__key", F.floor((F.col("t") + span) / width).alias("part"), (F.col("t") + span).alias("place"), F.lit(1).alias("side"), "t", "run")
+        there = within.select("__key", "part", F.col("t").alias("place"), F.lit(0).alias("side"), F.col("t").alias("found"))
+        back = W.partitionBy("__key", "part").orderBy(F.desc("place"), F.desc("side")).rowsBetween(W.unboundedPreceding, W.currentRow)
+        both = asked.unionByName(there, allowMissingColumns=True).withColumn("found", F.last("found", ignorenulls=True).over(back)).where("side = 1")
+        missing = both.where("found IS NULL")
+        bounds = parts.select("__key", F.col("part").alias("p"), F.col("next"))
+        after = asof_join(missing.drop("found", "side"), bounds, ["__key"], "part", "p", ["next"]).select("__key", "t", "run", F.col("next").alias("found"))
+        links = both.where("found IS NOT NULL").select("__key", "t", "run", "found").unionByName(after.where("found IS NOT NULL"))
+        own = within.select("__key", F.col("t").alias("found"), F.col("run").alias("of"))
+        links = links.join(own, ["__key", "found"]).where("of = run").select("__key", "t", F.col("found").alias("to"))
+        links = cut(links, "links")
+        reached = cut(within.where("t = run").select("__key", "t"), "reached")
+        while not links.isEmpty():
+            further = reached.join(links, ["__key", "t"]).select("__key", F.col("to").alias("t"))
+            reached = cut(reached.unionByName(further).distinct(), "reached")
+            on = links.select("__key", F.col("t").alias("to"), F.col("to").alias("then"))
+            links = cut(links.join(on, ["__key", "to"]).select("__key", "t", F.col("then").alias("to")), "links")
+        starts = starts.unionByName(reached).distinct()
+    begun = starts.withColumn("begins", F.lit(1))
+    counted = runs.select("__key", "part", "t").join(begun, ["__key", "t"], "left")
+    sums = counted.groupBy("__key", "part").agg(F.coalesce(F.sum("begins"), F.lit(0)).alias("n"))
+    sums = sums.select("__key", "part", (F.sum("n").over(upto(over)) - F.col("n")).alias("earlier"))
+    numbered = counted.join(sums, ["__key", "part"]).select("__key", "t", (F.col("earlier") + F.coalesce(F.sum("begins").over(upto(inside)), F.lit(0)) - 1).alias("session"))
+    numbered = cut(numbered, "sessions")
+    rows = df.withColumn("__key", key).withColumn("__t", F.col(instant).cast("long"))
+    return rows.join(numbered.withColumnRenamed("t", "__t"), ["__key", "__t"]).select(*df.columns, "session")
+
+
 def finite_differences(df: DataFrame, keys: list[str], instant: str, value: Column, at: int, step: int) -> DataFrame:
     """Totals up to an instant, their rise over one step, and the rise of the rise."""
     upto = [F.coalesce(F.sum(F.when(F.col(instant) <= at - k * step, value)), F.lit(0)) for k in range(3)]
