@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,34 @@ def test_late_rows_widen_their_session(spark, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_streamed_sessions_are_those_of_the_batch(spark, tmp_path, seed):
+    """Rows in any order within the watermark, split into batches anyhow."""
+    from tidemark.operators import temporal
+
+    rng = random.Random(seed)
+    origin = datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.randint(0, 3000), int(rng.gauss(1500, 60))])) for _ in range(300)]
+    late = 600
+    rows.sort(key=lambda r: r[1] + rng.randint(0, late - 1))  # none comes after one that is later by more
+    cuts = sorted(rng.sample(range(1, len(rows)), rng.choice([3, 9]))) + [len(rows)]
+    schema = "k string, ts timestamp"
+    batches = [rows[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] + [[("end", 50_000)], [("end", 100_000)]]
+    for n, part in enumerate(batches):
+        spark.createDataFrame([(k, origin + datetime.timedelta(seconds=t)) for k, t in part], schema).coalesce(1).write.parquet(str(tmp_path / f"in/b={n:03d}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = continuous.sessions(stream, "k", "ts", 20, 90, f"{late} seconds")
+    q = out.writeStream.foreachBatch(continuous.batch_once(str(tmp_path / "out"))).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.k, r.opened, r.closed, r["items"]) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.k != "end"]
+    base = int((origin - datetime.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    frame = spark.createDataFrame([(i, k, base + t * 1_000_000) for i, (k, t) in enumerate(rows)], "i int, k string, us long")
+    s = temporal.sessions(frame, ["k"], "us", "i", 20_000_000, 90_000_000)
+    wanted = s.groupBy("k", "session").agg(F.min("us").alias("opened"), F.max("us").alias("closed"), F.count("*").alias("items")).collect()
+    assert sorted(map(repr, got)) == sorted(repr((r.k, r.opened, r.closed, r["items"])) for r in wanted)
+
+
 def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
     write = continuous.batch_once(str(tmp_path / "out"))
     for number, rows in ((0, 5), (1, 7), (1, 7)):

@@ -27,40 +27,78 @@ def windowed(stream: DataFrame, instant: str, width: str, late: str, key: str, v
     return stream.withWatermark(instant, late).groupBy(w, key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
+class _Pending:
+    """A key's state: the open session and the instants that the watermark hasn't passed, each with its number of rows.
+
+    Sessions are made of instants before the watermark only, in their order, so
+    they don't depend on the order of arrival.
+    """
+
+    def __init__(self, held: tuple | None) -> None:
+        self.first, self.last, self.items, instants, counts = held or (None, None, 0, [], [])
+        self.waiting = dict(zip(instants or [], counts or [], strict=True))
+
+    def add(self, instants: list[int]) -> None:
+        for t in instants:
+            self.waiting[t] = self.waiting.get(t, 0) + 1
+
+    def passed(self, until: int, gap: int, span: int) -> Iterator[tuple[int, int, int]]:
+        """The sessions that no row can change once the watermark is at ``until``."""
+        ready = sorted(t for t in self.waiting if t < until)
+        for t in ready:
+            if self.items and (t - self.last > gap or t - self.first > span):
+                yield self.first, self.last, self.items
+                self.items = 0
+            self.first = t if not self.items else self.first
+            self.last, self.items = t, self.items + self.waiting.pop(t)
+        if self.items and until > self.end(gap, span):  # whatever comes is beyond it
+            yield self.first, self.last, self.items
+            self.items = 0
+
+    def end(self, gap: int, span: int) -> int:
+        return min(self.last + gap, self.first + span)
+
+    def next(self, gap: int, span: int) -> int | None:
+        """The instant that the watermark must pass for anything to happen."""
+        waits = [min(self.waiting)] if self.waiting else []
+        return min([*waits, self.end(gap, span)] if self.items else waits, default=None)
+
+    def state(self) -> tuple:
+        order = sorted(self.waiting)
+        open_ = (self.first, self.last) if self.items else (None, None)
+        return (*open_, self.items, order, [self.waiting[t] for t in order])
+
+
 def sessions(stream: DataFrame, key: str, instant: str, gap: int, span: int, late: str = "1 hour") -> DataFrame:
-    """(key, opened, closed, items) of closed sessions; one closes by a gap, by its span, or when the watermark passes its end plus the gap.
+    """(key, opened, closed, items) of sessions, each emitted once no row can change it any more.
 
     ``instant`` is a timestamp, limits are in seconds, the instants returned in
-    microseconds.  The state of a key is its open session: two instants and a
-    count.  A row that comes late, but within the watermark, widens the open
-    session where it is within the gap of it; one earlier than that is a session
-    of its own.
+    microseconds.  However rows are split into batches and in whatever order
+    they come, as long as none is later than the watermark allows, the sessions
+    are those of the batch operator.  A key's state is its open session and the
+    instants of the last ``late``, each once; timers wake it when the watermark
+    passes them.  Rows without an instant are left out.
     """
     gap_us, span_us = gap * 1_000_000, span * 1_000_000
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            out.append((*k, *state.get))
+        pending, mark = _Pending(state.getOption), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for f in frames:
+                pending.add(f["__us"].tolist())
+        out = [(*k, *s) for s in pending.passed(mark * 1000, gap_us, span_us)]
+        wake = pending.next(gap_us, span_us)
+        if wake is None:
             state.remove()
         else:
-            held = [state.get] if state.exists else []
-            rows = [(now, now, 1) for f in frames for now in f["__us"].tolist()]
-            opened, closed, items = None, 0, 0
-            for first, last, n in sorted([*held, *rows]):
-                if opened is not None and (first - closed > gap_us or max(closed, last) - opened > span_us):
-                    out.append((*k, opened, closed, items))
-                    opened, closed, items = None, 0, 0
-                opened, closed, items = (first if opened is None else opened), max(closed, last), items + n
-            if opened is not None:
-                state.update((opened, closed, items))
-                state.setTimeoutTimestamp(max((closed + gap_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            state.update(pending.state())
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, mark + 1))
         yield pd.DataFrame(out, columns=[key, "opened", "closed", "items"])
 
     kind = stream.schema[key].dataType.simpleString()
-    marked = stream.withWatermark(instant, late).select(key, instant, F.unix_micros(instant).alias("__us"))
+    marked = stream.where(F.col(instant).isNotNull()).withWatermark(instant, late).select(key, instant, F.unix_micros(instant).alias("__us"))
     return marked.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, opened long, closed long, items long", "opened long, closed long, items long", "append", GroupStateTimeout.EventTimeTimeout
+        step, f"{key} {kind}, opened long, closed long, items long", "first long, last long, items long, instants array<long>, counts array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
