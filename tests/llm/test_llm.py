@@ -158,7 +158,7 @@ def test_simhash(spark, odd, empty, monkeypatch):
     assert drop_near_duplicates(odd).columns == odd.columns
 
 
-def test_token_shards(spark, odd, empty, tmp_path):
+def test_token_shards(spark, odd, empty, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -184,6 +184,19 @@ def test_token_shards(spark, odd, empty, tmp_path):
     assert sorted(r.key for r in found) == [4, 4, 8]
     reader = open_shard(shards.first().path)
     assert reader.get(key_bytes(-5)) == [] and sum(1 for _ in reader) == reader.count
+    # a task's shards end at their bound, repeated keys may lie in several, and reading gives the same
+    import tidemark.llm.sstable as sst
+
+    rows = [(i // 3, "x " * (i % 50)) for i in range(600)] + [(None, "n")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, encode_documents(docs, path).collect()), key=lambda r: r[1])
+    monkeypatch.setattr(sst, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(sst, "PORTION", 7)
+    many = write_shards(docs, f"file://{tmp_path}/many", path, 2)
+    assert many.count() > 10 and many.agg(F.max("tokens")).first()[0] < 600
+    assert sorted(map(tuple, sst.read_shards(many).collect()), key=lambda r: r[1]) == whole
+    found = collections.Counter((r.key, len(r.ids)) for r in lookup(many, spark.createDataFrame([(i,) for i in range(-5, 300)], "doc_id long")).collect())
+    assert found == collections.Counter((k, n) for k, _, n, _ in whole if k is not None)
 
 
 def test_images(spark):
@@ -341,9 +354,13 @@ def test_lines(spark, odd, empty, monkeypatch):
     assert line_report(odd).count() == len(ODD) and line_report(empty).count() == 0 and drop_lines(odd).columns == odd.columns
 
 
-def test_language_model(spark, odd, empty):
+@pytest.mark.parametrize(("least", "shard_tokens"), [(2, None), (1, None), (1, 300)])
+def test_language_model(spark, odd, empty, monkeypatch, least, shard_tokens):
     import tidemark.llm.kneser_ney as kn
 
+    if shard_tokens:  # many shards, and contexts that are hot only because they would overfill one
+        monkeypatch.setattr(kn, "SHARD_TOKENS", shard_tokens)
+        monkeypatch.setattr(kn, "HOT_PART", 4)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     tokens = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in docs.collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
@@ -359,7 +376,7 @@ def test_language_model(spark, odd, empty):
     rest, n_all = sum(cut(v, d1) for v in before.values()), sum(c.values())
     after = collections.defaultdict(float)
     for (u, v, _), n in triples.items():
-        after[u, v] += (n - cut(n, d3)) * (n > 1)  # those seen once are not stored
+        after[u, v] += (n - cut(n, d3)) * (n >= least)  # rarer ones are not stored
 
     def one(w):
         return (before[w] - cut(before[w], d1) + rest / (len(c) + 1)) / len(pairs)
@@ -377,15 +394,21 @@ def test_language_model(spark, odd, empty):
             if order == 2 or u is None or not pairs[u, v]:
                 return two(v, w)
             n = triples[u, v, w]
-            return ((n - cut(n, d3)) * (n > 1) + (pairs[u, v] - after[u, v]) * two(v, w)) / pairs[u, v]
+            return ((n - cut(n, d3)) * (n >= least) + (pairs[u, v] - after[u, v]) * two(v, w)) / pairs[u, v]
 
-        for r in kn.score_documents(docs, order=order).collect():
+        if shard_tokens and order == 3:
+            model = kn.train(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 7 <> 2"), least=least)
+            assert model.shards == -(-n_all // 300) and len(model.hot) - 1 == sum(v > 300 for w, v in c.items() if w is not None)
+        for r in kn.score_documents(docs, order=order, least=least).collect():
             x = tokens[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(x), sum(c[w] > 0 for w in x), n_all, held(r.doc_id))
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n_all + len(c) + 1)) for w in x), rel_tol=1e-9)
             assert math.isclose(r.score, sum(math.log10(three(*t)) for t in zip([None, "<s>", *x], ["<s>", *x], x, strict=False)), rel_tol=1e-9)
         u, v = max((p for p in pairs if p[0] != "<s>" and p[1] is not None), key=pairs.get)
         assert math.isclose(sum(three(u, v, w) for w in c) + three(u, v, b"unseen"), 1) and math.isclose(sum(two(v, w) for w in c) + two(v, b"unseen"), 1)
+    # sums that pass 32 bits
+    wide = kn._sums(np.array([[1 << 33], [1 << 34], [3], [4]]))
+    assert wide["once"].dtype == wide["total"].dtype == np.dtype("<u8") and int(wide["once"][0]) == 1 << 34
     out = kn.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(r.n_tokens == 1 for r in out if r.doc_id <= 3) and kn.score_documents(empty).count() == 0
 

@@ -3,15 +3,18 @@
 Spark counts; the counts stand in shards of sorted hash arrays in the shared
 folder, which workers map into memory to score texts.
 
-Words after two others that were seen once only are not stored, as no
-text but their own has them; their weight goes to the shorter context, and
-their number, which the discounts need, is what the stored ones leave of all.
-So a second pass emits only those whose two pairs both occur twice at least.
+Triples seen less often than ``least`` are not stored.  With 2, the default,
+words after two others that were seen once only are left out, as no text but
+their own has them; their weight goes to the shorter context, and their number,
+which the discounts need, is what the stored ones leave of all.  A second pass
+then emits only those whose two pairs both occur twice at least.  With 1 all are
+stored.
 
 Shards follow a hash of the context, so a context's sums are whole where its
-pairs are.  Contexts with more than a thousandth of all words would overfill
-their shard: their pairs go by a hash of both words, and their sums are added
-up afterwards.  There are at most about a thousand of them, whatever the corpus.
+pairs are.  Contexts with more words than a shard is meant for, or more than a
+thousandth of all, would overfill it: their pairs go by a hash of both words,
+and their sums are added up afterwards.  There are at most as many of them as
+shards, or a thousand, and no more than frequent words.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from tidemark.llm.shared import cut, scratch_path, ship
 
 #: Training tokens per shard, about; share of a hot context; bytes of text hashed together; tokens scored or counted together.
 SHARD_TOKENS, HOT_PART, STRIP, TOGETHER = 1 << 21, 1024, 1 << 22, 1 << 22
+#: Files that a worker maps at once; those longest unused are let go.
+MAPPED = 8192
 #: Bits of a following word's hash that a pair keeps.
 WORD_BITS = 48
 
@@ -129,7 +134,7 @@ def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _sums(sums: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: x.astype("<u8" if k == "total" else "<u4") for k, x in zip(("total", "once", "twice", "more"), sums, strict=True)}
+    return {k: x.astype("<u8") for k, x in zip(("total", "once", "twice", "more"), sums, strict=True)}
 
 
 def _counts(file: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -171,8 +176,10 @@ class Model:
         return self.__dict__ | {"files": {}}
 
     def _file(self, name: str) -> dict[str, np.ndarray]:
-        if name not in self.files:
-            self.files[name] = _mapped(self.folder, name)
+        found = self.files.pop(name, None)
+        self.files[name] = _mapped(self.folder, name) if found is None else found
+        while len(self.files) > MAPPED:
+            self.files.pop(next(iter(self.files)))
         return self.files[name]
 
     def _each(self, kind: str, shard: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, int]]:
@@ -224,11 +231,11 @@ class Model:
     def kept(self, pairs: np.ndarray) -> np.ndarray:
         """What the stored words after each pair weigh, discounts taken off."""
         out = np.zeros(len(pairs))
-        _, two, more = self.triple_discounts
+        one, two, more = self.triple_discounts
         for file, part, _ in self._each("after", (pairs % _U(max(1, self.shards))).astype(np.int64)):
             known, at = _find(file["pair"], pairs[part])
             at = at[known]
-            out[part[known]] = file["total"][at] - two * file["twice"][at] - more * file["more"][at]
+            out[part[known]] = file["total"][at] - one * file["once"][at] - two * file["twice"][at] - more * file["more"][at]
         return out
 
     def score(self, texts: list[str | None]) -> pd.DataFrame:
@@ -293,28 +300,39 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _survey(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents, tokens, and the words with a large part of a portion of the text."""
+def _survey(frames: Iterator[pd.DataFrame], part_of: int) -> Iterator[pd.DataFrame]:
+    """Documents, tokens, and the words with more than a ``part_of``-th of a portion of the text."""
     for part in portions(frames, STRIP):
         _, words = tokens(list(part["text"]))
         kinds, counts = np.unique(words, return_counts=True)
-        large = (counts * HOT_PART > len(words)) & (kinds != END)
+        large = (counts * part_of > len(words)) & (kinds != END)
         yield pd.DataFrame({"word": np.r_[END, kinds[large]].view(np.int64), "n": np.r_[len(part), counts[large]], "tokens": np.r_[len(words), np.zeros(large.sum(), np.int64)]})
 
 
-def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3) -> Model:
-    """Count all rows of ``docs`` and write the model of ``order`` 2 or 3 to ``folder``, which all executors must share."""
+def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3, least: int = 2) -> Model:
+    """Count all rows of ``docs`` and write the model of ``order`` 2 or 3 to ``folder``, which all executors must share.
+
+    Triples are stored that occur ``least`` times at least: 1 or 2.
+    """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch_path(spark, "kneser-ney")
     texts = docs.select(F.col(text_col).alias("text"))
-    survey = texts.mapInPandas(_survey, "word long, n long, tokens long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     end = int(END.view(np.int64))
+
+    def surveyed(part_of: int) -> DataFrame:
+        found = texts.mapInPandas(lambda frames: _survey(frames, part_of), "word long, n long, tokens long")
+        return cut(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "survey")
+
+    survey = surveyed(4 * HOT_PART)
     first = survey.where(F.col("word") == end).first()
     documents, total = (int(first["n"]), int(first["tokens"])) if first else (0, 0)
     if not documents:
         return Model(folder, 0, 0, 0, 0, 0, 0, (0.5,) * 3, (0.5,) * 3, 0.0, np.zeros(0, np.uint64), np.zeros((4, 0), np.int64))
-    hot_words = [r["word"] for r in survey.where((F.col("word") != end) & (F.col("n") * HOT_PART > total)).select("word").collect()]  # at most HOT_PART
+    most = min(total // HOT_PART, SHARD_TOKENS)
+    if most * HOT_PART < total - HOT_PART:  # words with a smaller part of all may overfill a shard too
+        survey = surveyed(4 * -(-total // most))
+    hot_words = [r["word"] for r in survey.where((F.col("word") != end) & (F.col("n") > most)).select("word").collect()]  # at most HOT_PART, or as many as shards
     hot = np.unique(np.r_[np.array(hot_words, np.int64).view(np.uint64), START])
     shards = max(1, -(-total // SHARD_TOKENS))
     word_shards, higher = max(1, shards // 4), order > 2
@@ -387,7 +405,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, or
             words, before = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
             kinds, back = np.unique(words, return_inverse=True)
             total = np.bincount(back, before, len(kinds)).astype(np.int64)
-            _put(folder, f"words-{home:06d}", {"word": kinds, "before": total.astype("<u4")})
+            _put(folder, f"words-{home:06d}", {"word": kinds, "before": total.astype("<u8")})
             left = pd.DataFrame({"kind": ["left"], "values": [[int((total == k).sum()) for k in (1, 2, 3, 4)] + [int((total > 2).sum())]]})
             out = pd.concat([out, left])
         return out
@@ -409,11 +427,11 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, or
     d = estimate_discounts(left[:4])
     word_left = d[0] * left[0] + d[1] * left[1] + d[2] * left[4]
     pairs_only = Model(folder, shards, word_shards, documents, total, types, stat[5], estimate_discounts(stat[:4]), d, word_left, hot, sums)
-    return _with_triples(texts, pairs_only) if higher else pairs_only
+    return _with_triples(texts, pairs_only, least) if higher else pairs_only
 
 
-def _with_triples(texts: DataFrame, model: Model) -> Model:
-    """The model with the triples that occur twice at least, and pairs that count for the kinds of words before them."""
+def _with_triples(texts: DataFrame, model: Model, least: int) -> Model:
+    """The model with the triples that occur ``least`` times at least, and pairs that count for the kinds of words before them."""
     spark, folder, hot = texts.sparkSession, model.folder, model.hot
     shared = spark.sparkContext.broadcast(model)  # numbers and hot words, not the counts
 
@@ -424,7 +442,7 @@ def _with_triples(texts: DataFrame, model: Model) -> Model:
             contexts, words = (np.concatenate(x) for x in zip(*parts, strict=True))
             hashes = _pair(contexts, words)
             pairs, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            often = two.pair_counts(contexts[first], pairs)[0][back] > 1
+            often = two.pair_counts(contexts[first], pairs)[0][back] >= least if least > 1 else np.ones(len(hashes), bool)
             at = np.flatnonzero((contexts != START) & often)
             at = at[often[at - 1]]
             triples, some, n = np.unique(_triple(hashes[at - 1], hashes[at]), return_index=True, return_counts=True)
@@ -460,14 +478,14 @@ def _with_triples(texts: DataFrame, model: Model) -> Model:
         pair, before, n = np.concatenate(last), np.concatenate(firsts), np.concatenate(counts)
         triple, first, back = np.unique(_triple(before, pair), return_index=True, return_inverse=True)
         n = np.bincount(back, n, len(triple)).astype(np.int64)
-        stay = n > 1
+        stay = n >= least
         triple, pair, before, n = triple[stay], pair[first[stay]], before[first[stay]], n[stay]
         _put(folder, f"triples-{shard:06d}", {"triple": triple} | _small(n))
-        stat = [int((n == k).sum()) for k in (2, 3, 4)] + [int(n.sum())]
+        stat = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int(n.sum())]
         rows = []
         after, at = np.unique(before, return_inverse=True)
-        add = lambda x: np.bincount(at, x, len(after)).astype("<u4")
-        sums = [add(x) for x in (n, n == 2, n > 2)]
+        add = lambda x: np.bincount(at, x, len(after)).astype("<u8")
+        sums = [add(x) for x in (n, n == 1, n == 2, n > 2)]
         home = (after % _U(model.shards)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         for p in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else []:
@@ -483,15 +501,15 @@ def _with_triples(texts: DataFrame, model: Model) -> Model:
             _put(folder, f"kinds-{shard:06d}", _small(kinds) | _sums(sums[:, :cold]))
             stat += [int((kinds == k).sum()) for k in (1, 2, 3, 4)]
             rows += [("hot", shard, b"", [int(k), *x]) for k, x in zip(of["hot"].view(np.int64), sums[:, cold:].T.tolist(), strict=True)]
-        rows.append(("stat", shard, b"", (stat + [0] * 4)[:8]))
+        rows.append(("stat", shard, b"", (stat + [0] * 4)[:9]))
         return pd.DataFrame(rows, columns=["kind", "home", "data", "values"])
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
         """Write what the stored words after each pair add up to; give on the small rows."""
-        parts = [_unpack(d, "<u8", "<u4", "<u4", "<u4") for d in frame["data"][frame["kind"] == "after"]]
+        parts = [_unpack(d, "<u8", "<u8", "<u8", "<u8", "<u8") for d in frame["data"][frame["kind"] == "after"]]
         if parts:
             pair, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            sums = {k: np.bincount(back, np.concatenate([p[i] for p in parts]), len(pair)).astype("<u4") for i, k in ((1, "total"), (2, "twice"), (3, "more"))}
+            sums = {k: np.bincount(back, np.concatenate([p[i] for p in parts]), len(pair)).astype("<u8") for i, k in enumerate(("total", "once", "twice", "more"), 1)}
             _put(folder, f"after-{int(frame['home'].iloc[0]):06d}", {"pair": pair} | sums)
         return frame[frame["kind"] != "after"][["kind", "values"]]
 
@@ -499,16 +517,16 @@ def _with_triples(texts: DataFrame, model: Model) -> Model:
     every = spark.range(model.shards).select(F.col("id").alias("shard"), F.lit(b"").alias("data"))  # so that a shard without triples is gathered too
     gathered = counted.unionByName(every).repartition(model.shards, "shard").groupBy("shard").applyInPandas(gather, "kind string, home long, data binary, values array<long>")
     finished = cut(gathered.repartition(model.shards, "home").groupBy("home").applyInPandas(finish, "kind string, values array<long>"), "counts")
-    value = [F.get("values", F.lit(i)) for i in range(8)]
+    value = [F.get("values", F.lit(i)) for i in range(9)]
     stat = [int(x or 0) for x in finished.where("kind = 'stat'").agg(*(F.sum(v) for v in value)).first()]
     kinds = np.zeros((4, len(hot)), np.int64)
     for r in finished.where("kind = 'hot'").groupBy(value[0].alias("h")).agg(*(F.sum(v).alias(f"s{i}") for i, v in enumerate(value[1:5]))).collect():  # a row for each hot word
         kinds[:, np.searchsorted(hot, np.array([r["h"]], np.int64).view(np.uint64)[0])] = [r[f"s{i}"] for i in range(4)]
-    once = model.train_tokens - model.documents - stat[3]  # all but the first tokens of texts have two words before them
-    return replace(model, order=3, hot_kinds=kinds, discounts=estimate_discounts(stat[4:8]), triple_discounts=estimate_discounts([once, *stat[:3]]), files={})
+    once = stat[0] if least == 1 else model.train_tokens - model.documents - stat[4]  # all but the first tokens of texts have two words before them
+    return replace(model, order=3, hot_kinds=kinds, discounts=estimate_discounts(stat[5:9]), triple_discounts=estimate_discounts([once, *stat[1:4]]), files={})
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from all documents that aren't held out.  Null texts count
@@ -517,7 +535,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), is_held_out(F.col(id_col)).alias("held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows.where("NOT held_out"), order=order))  # numbers and hot words, not the counts
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows.where("NOT held_out"), order=order, least=least))  # numbers and hot words, not the counts
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in portions(frames, STRIP):
@@ -525,5 +543,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.concat([part[["doc_id", "held_out"]].reset_index(drop=True), found], axis=1).assign(train_tokens=shared.value.train_tokens)
 
     order = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.mapInPandas(lambda frames: (f[order] for f in score(frames)), kinds)

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, scratch_path
+from tidemark.llm.shared import FEW, cut, scratch_path
 
 MAGIC = b"TMSST001"
 #: Bytes of a block before compression, bits of the filter per key, hashes per key.
 BLOCK, FILTER_BITS, FILTER_HASHES = 1 << 18, 10, 7
+#: Ids and documents from which a shard ends; bytes of the input a task, about; rows that are given on at once.
+SHARD_TOKENS, SHARD_DOCUMENTS, TASK_BYTES, PORTION = 1 << 27, 1 << 20, 1 << 27, 1 << 16
 _FOOTER = struct.Struct("<QQQQQQ8s")
 #: Marks that often follow a word.
 MARKS = ".,;:!?"
@@ -248,44 +250,62 @@ def open_shard(uri: str) -> Reader:
     return Reader(store.open_input_file(path), store.get_file_info(path).size)
 
 
+def _bytes_of(df: DataFrame) -> int:
+    """The size of a table's files by Spark's own statistics; 0 where it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write all documents, in key order over the shards; (shard, path, documents, tokens, first, last) for each shard.
 
-    ``folder`` must be shared by all executors.  A task writes to a name of its
-    own and then moves the file to the shard's name, so a task that is run again
-    leaves one whole file.  Null texts count as empty and get the end id alone;
+    ``folder`` must be shared by all executors.  A task takes about 128 MB of the
+    input, and a shard ends at some 134 million ids or a million documents, so
+    what a task holds (a block, and its shard's keys for the filter) has a bound,
+    whatever the table.  It writes to a name of its own and then moves the file to
+    the shard's name, so a task that is run again leaves whole files.  Null texts count as empty and get the end id alone;
     null keys come first; repeated keys stay, ordered by a hash of their text.
     """
 
     def shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get()
+        task, encoder, number = TaskContext.get(), _encoder(tokenizer), 0
         store, top = fs.FileSystem.from_uri(folder)
-        path = f"{top}/shard-{task.partitionId():06d}.sst"
-        own, first, last, encoder, out = f"{path}.{task.taskAttemptId()}", None, None, _encoder(tokenizer), None
+        out, first, last, file, name = None, None, None, None, ""
+
+        def ended() -> pd.DataFrame:
+            out.close()
+            file.close()
+            store.move(f"{top}/{name}.{task.taskAttemptId()}", f"{top}/{name}")
+            return pd.DataFrame({"shard": [task.partitionId() << 20 | number], "path": [f"{folder}/{name}"], "documents": [len(out.keys)], "tokens": [out.tokens], "first": pd.array([first], "Int64"), "last": pd.array([last], "Int64")})
+
         for frame in frames:
             keys = [None if pd.isna(k) else int(k) for k in frame["k"]]
             for key, ids in zip(keys, encoder.encode(list(frame["t"])), strict=True):
+                if out is not None and (out.tokens >= SHARD_TOKENS or len(out.keys) >= SHARD_DOCUMENTS):
+                    yield ended()
+                    out, number = None, number + 1
                 if out is None:
                     store.create_dir(top, recursive=True)
-                    file = store.open_output_stream(own)
+                    name = f"shard-{task.partitionId():06d}-{number:06d}.sst"
+                    file = store.open_output_stream(f"{top}/{name}.{task.taskAttemptId()}")
                     out, first = Writer(file), key
                 out.add(key_bytes(key), np.append(ids, np.uint32(end_id)))
                 last = key
         if out is not None:
-            out.close()
-            file.close()
-            store.move(own, path)
-            name = f"{folder}/shard-{task.partitionId():06d}.sst"
-            yield pd.DataFrame({"shard": [task.partitionId()], "path": [name], "documents": [len(out.keys)], "tokens": [out.tokens], "first": pd.array([first], "Int64"), "last": pd.array([last], "Int64")})
+            yield ended()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(text_col, F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    ranged = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")
+    tasks = -(-_bytes_of(docs) // TASK_BYTES)  # more than the session's where the table is large
+    order = (tasks, "k", "h") if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ("k", "h")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions("k", "h").select("k", "t")
     return cut(ranged.mapInPandas(shards, "shard long, path string, documents long, tokens long, first long, last long"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
 
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
     def documents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, start in zip(frame["path"], frame["start"], strict=True):
@@ -293,7 +313,10 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 for key, ids in open_shard(path):
                     rows.append((key_number(key), start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    if len(rows) >= PORTION:
+                        yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
     before = F.sum("tokens").over(W.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     placed = shards.select("path", F.coalesce(before, F.lit(0)).alias("start"))
@@ -302,18 +325,40 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """(key, ids) for the wanted keys that the shards hold: each shard is asked for the keys in its range."""
+    """(key, ids) for the wanted keys that the shards hold: each shard is asked for the keys in its range.
+
+    Which shards these are is found by binary search in the shards' ranges, which
+    go to all tasks where they are few (400,000 shards hold some 5e13 ids);
+    beyond that keys and ranges are joined.
+    """
+    spark = shards.sparkSession
+    wanted = keys.select(F.col(key_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    held = shards.select("path", F.coalesce("first", F.lit(-(1 << 63))).alias("first"), F.coalesce("last", F.lit(-(1 << 63))).alias("last"))
+    if shards.limit(FEW + 1).count() <= FEW:
+        ranges = held.toPandas().sort_values(["first", "last"])
+        shared = spark.sparkContext.broadcast((list(ranges["path"]), ranges["first"].to_numpy(np.int64), ranges["last"].to_numpy(np.int64)))
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            paths, first, last = shared.value
+            for frame in frames:
+                key = frame["key"].to_numpy(np.int64)
+                low, high = np.searchsorted(last, key, "left"), np.searchsorted(first, key, "right")
+                count = np.maximum(high - low, 0)
+                at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                yield pd.DataFrame({"key": np.repeat(key, count), "path": [paths[i] for i in at.tolist()]})
+
+        placed = wanted.mapInPandas(place, "key long, path string")
+    else:
+        placed = wanted.join(held, F.col("key").between(F.col("first"), F.col("last"))).select("key", "path")
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, wanted in frame.groupby("path")["key"]:
+            for path, asked in frame.groupby("path")["key"]:
                 shard = open_shard(path)
-                rows = [(k, ids.tolist()) for k in wanted for ids in shard.get(key_bytes(k))]
+                rows = [(k, ids.tolist()) for k in asked for ids in shard.get(key_bytes(k))]
                 yield pd.DataFrame(rows, columns=["key", "ids"])
 
-    wanted = keys.select(F.col(key_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
-    held = shards.select("path", "first", "last")
-    return wanted.join(F.broadcast(held), F.col("key").between(F.col("first"), F.col("last"))).repartition("path").mapInPandas(find, "key long, ids array<long>")
+    return placed.repartition("path").mapInPandas(find, "key long, ids array<long>")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
