@@ -143,12 +143,20 @@ def test_simhash(spark, odd, empty, monkeypatch):
 
     import tidemark.llm.simhash as of_simhash
 
-    frame = pd.DataFrame({"turn": 0, "fp": np.r_[v, v ^ np.uint64(1 << 60)].view(np.int64), "first": np.arange(2 * len(v))})
-    joined = []
-    for size in (SLICE, 7):  # blocks by themselves give what all together do
+    every = np.unique(np.r_[v, v ^ np.uint64(1 << 60), v[:40] ^ np.uint64(5 << 30)])
+    frame = spark.createDataFrame(pd.DataFrame({"fp": every.view(np.int64), "first": np.arange(len(every))})).repartition(3)
+    far = partition([(i, j) for i in range(len(every)) for j in range(i) if (int(every[i]) ^ int(every[j])).bit_count() <= 3], range(len(every)))
+    for size in (SLICE, 7):  # blocks by themselves, and crowded ones in parts, give what all together do
         monkeypatch.setattr(of_simhash, "SLICE", size)
-        joined.append(partition(pd.concat(of_simhash._trie_tasks(iter([frame]))).to_numpy().tolist(), range(2 * len(v))))
-    assert joined[0] == joined[1]
+        assert partition([tuple(r) for r in of_simhash.fingerprint_links(frame).collect()], range(len(every))) == far
+    # what a task holds doesn't grow with its rows
+    rows = pd.DataFrame({"turn": 0, "block": np.repeat(np.arange(400), 5), "part": -1, "bits": 0})
+    rows["v"] = (rows["block"].to_numpy() << 48) | np.tile(np.arange(5), 400)
+    rows["first"] = np.arange(2000)
+    sizes, plain = [], of_simhash.trie_links
+    monkeypatch.setattr(of_simhash, "trie_links", lambda values, **more: sizes.append(len(values)) or plain(values, **more))
+    assert sum(len(f) for f in of_simhash._trie_tasks(rows.iloc[a : a + 50] for a in range(0, 2000, 50))) == 1600 and max(sizes) <= 60
+    monkeypatch.undo()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fp = {r.doc_id: fingerprint(r.text) for r in docs.collect()}
     want = partition([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3], fp)
@@ -261,6 +269,10 @@ def test_language(spark, odd, empty):
     assert all(got[i].held_out == (i in set(held)) for i in truth) and all(0 <= r.score <= 1 for r in got.values())
     assert sum(got[i].lang_pred == truth[i] for i in held) / len(held) > 0.98
     assert keep_identified(docs).count() > 0.995 * len(truth)
+    # scores say how often predictions are right: of held-out rows by score, right ones and mean score differ little
+    scored = sorted((got[i].score, got[i].lang_pred == truth[i]) for i in held)
+    for part in (scored, scored[: len(scored) // 4]):
+        assert abs(sum(s for s, _ in part) / len(part) - sum(ok for _, ok in part) / len(part)) < 0.03
     out = {r.doc_id: r for r in identify(odd).collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and not out[1].accepted
     assert identify(empty).count() == 0 and keep_identified(odd).columns == odd.columns
@@ -511,11 +523,9 @@ def test_pipeline_drops_similar(spark, odd, empty, monkeypatch):
     distinct = nodes.select("node", sketch(F.col("text"), rule).alias("s")).select("node", "s.size", "s.keys")
     found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
     assert {i: found.get(i, i) for i in sets} == label
-    for rounds in (1, 4):  # further leaders, until no key is mixed or rounds end
-        monkeypatch.setattr(module, "WIDE", -1)
-        monkeypatch.setattr(module, "ROUNDS", rounds)
-        found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
-        assert {i: found.get(i, i) for i in sets} == label
+    monkeypatch.setattr(module, "CROWD", -1)  # all keys are crowded
+    found = {r.node: r.component for r in similar_components(distinct, nodes, rule).collect()}
+    assert {i: found.get(i, i) for i in sets} == label
     assert drop_near_duplicates(empty).count() == 0 and drop_near_duplicates(odd).columns == odd.columns
 
 

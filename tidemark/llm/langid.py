@@ -30,19 +30,21 @@ class Settings:
     """What bounds and shapes the training.
 
     per_language: labelled rows in the sample, about, for each language.
-    held: every so manieth text is held back for calibration; after that the model is fitted again to all.
+    held: every so manieth text is held back for calibration of the model that is fitted to the others.
+    batch: texts of a step.
     max_chars: of the sample, the same part for each language; texts are whole, and a language has one at least.
     kept: the part of held-back texts that each of the two measures of rejection keeps at least.
     strange: the part of subwords never met in training that any text may have.
     """
 
     per_language: int = 1200
-    held: int = 2
+    held: int = 4
     max_chars: int = 40_000_000
     buckets: int = 1 << 15
     size: int = 16
     epochs: int = 6
-    rate: float = 4.0
+    batch: int = 16
+    rate: float = 2.0
     kept: float = 0.9995
     strange: float = 0.1
     seed: int = 7
@@ -76,7 +78,7 @@ class Model:
 _letters: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
+def letters() -> np.ndarray:
     """Which code points are letters; built once in each worker."""
     if not _letters:
         _letters.append(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
@@ -85,7 +87,7 @@ def _is_letter() -> np.ndarray:
 
 def subwords(text: str, buckets: int) -> Iterator[np.ndarray]:
     """Buckets of all two- and three-letter pieces of the words, word ends marked, a strip of the text at a time."""
-    letter, tail = _is_letter(), np.array([32], np.uint32)
+    letter, tail = letters(), np.array([32], np.uint32)
     for at in range(0, len(text), STRIP):
         c = np.frombuffer(text[at : at + STRIP].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letter[c]
@@ -114,7 +116,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], settings: Settings = Settings()) -> Model:
-    """Fit embeddings and softmax; every ``held``-th text is held back to fit temperature and thresholds, and learned from after that."""
+    """Fit embeddings and softmax to all texts but every ``held``-th; temperature and thresholds are fitted to these."""
     names = sorted(set(labels))
     bags, targets, sizes = [], [], []
     for text, label in zip(texts, labels, strict=True):
@@ -123,35 +125,34 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
             counts += np.bincount(h, minlength=settings.buckets)
         ids = np.flatnonzero(counts)
         if len(ids):
-            bags.append((ids, (counts[ids] / counts.sum())[:, None]))
+            bags.append((ids, (counts[ids] / counts.sum()).astype(np.float32)))
             sizes.append(int(counts.sum()))
             targets.append(names.index(label))
     if not bags:
         return Model([], np.zeros((settings.buckets, 0)), np.zeros(settings.buckets, bool), 1.0, 0.0, 1.0)
-
-    def fitted(of: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.default_rng(settings.seed)
-        e = rng.uniform(-1, 1, (settings.buckets, settings.size)) / settings.size
-        w = np.zeros((settings.size, len(names)))
-        steps, done = settings.epochs * len(of), 0
-        for _ in range(settings.epochs):
-            for i in rng.permutation(of).astype(int):
-                ids, part = bags[i]
-                rate = settings.rate * (1 - done / steps)
-                v = (e[ids] * part).sum(axis=0)
-                g = _softmax(v @ w)
-                g[targets[i]] -= 1
-                back = w @ g
-                w -= rate * np.outer(v, g)
-                e[ids] -= rate * part * back
-                done += 1
-        return e, w
-
-    fit = [i for i in range(len(bags)) if i % settings.held]
-    e, w = fitted(fit)
+    fit = np.array([i for i in range(len(bags)) if i % settings.held or len(bags) == 1])
     held = [i for i in range(len(bags)) if i % settings.held == 0]
-    logits = np.array([(e[bags[i][0]] * bags[i][1]).sum(axis=0) @ w for i in held])
-    truth = np.array([targets[i] for i in held])
+    rng, targets = np.random.default_rng(settings.seed), np.array(targets)
+    e = (rng.uniform(-1, 1, (settings.buckets, settings.size)) / settings.size).astype(np.float32)
+    w = np.zeros((settings.size, len(names)), np.float32)
+    steps, done = settings.epochs * -(-len(fit) // settings.batch), 0
+    for _ in range(settings.epochs):
+        order = rng.permutation(fit)
+        for at in range(0, len(order), settings.batch):
+            some = order[at : at + settings.batch]
+            kinds, place = np.unique(np.concatenate([bags[i][0] for i in some]), return_inverse=True)
+            x = np.zeros((len(some), len(kinds)), np.float32)
+            x[np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some]), place] = np.concatenate([bags[i][1] for i in some])
+            rate = settings.rate * (1 - done / steps)
+            v = x @ e[kinds]
+            g = _softmax(v @ w)
+            g[np.arange(len(some)), targets[some]] -= 1
+            back = g @ w.T
+            w -= rate * (v.T @ g)
+            e[kinds] -= rate * (x.T @ back)
+            done += 1
+    logits = np.array([bags[i][1] @ e[bags[i][0]] @ w for i in held], float)
+    truth = targets[held]
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-300).mean() for t in grid]
     temperature = float(grid[int(np.argmin(loss))])
@@ -161,9 +162,6 @@ def train(texts: list[str], labels: list[str], settings: Settings = Settings())
     for i in fit:
         known[bags[i][0]] = True
     strange = np.sort([strangeness(sizes[i] * float(bags[i][1][~known[bags[i][0]]].sum()), sizes[i]) for i in held])
-    e, w = fitted(list(range(len(bags))))
-    for ids, _ in bags:
-        known[ids] = True
     return Model(names, (e @ w).astype(np.float32), known, temperature, float(sure[most]), max(settings.strange, float(strange[-1 - most])))
 
 

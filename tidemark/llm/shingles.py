@@ -2,8 +2,8 @@
 
 Two texts of similarity s have equal minima in a band of five with probability
 s**5, so one of 25 bands meets at 0.8 with probability 0.99995.  All that meet in
-a band are compared, by way of some of them in turn: those that these link are
-one component already, and only pairs of different components are compared after.
+a band are compared, by way of the first of them: those that it links are one
+component already, and only pairs of different components are compared after.
 """
 
 from __future__ import annotations
@@ -15,17 +15,18 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from tidemark.llm.hashing import mix, release
 from tidemark.llm.shared import connected_components, cut, few
 
 #: Shingles whose minima are made together.
 STRIP = 1 << 12
-#: Rounds of further leaders at most, and pairs a member from which another is worth it; both change the work and no result.
-ROUNDS, WIDE = 12, 8
+#: Pairs of a key from which its nodes meet over rare shingles instead of all with all.
+CROWD = 1024
 _U = np.uint64
 
 
@@ -81,13 +82,13 @@ def band_keys(hashes: np.ndarray, rule: Alike) -> np.ndarray:
 
 
 def sketch(text: Column, rule: Alike) -> Column:
-    """(digest, size, fp, keys) of a text's shingles; fp is their SimHash, 0 without words."""
-    kind = StructType([StructField("digest", LongType()), StructField("size", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
+    """(digest, size, fp, keys) of a text's shingles; the digest has 128 bits, fp is their SimHash, 0 without words."""
+    kind = StructType([StructField("digest", BinaryType()), StructField("size", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))])
 
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, rule.width) for t in texts]
-            digest = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"digest": digest, "size": [len(s) for s in sets], "fp": fp, "keys": [band_keys(s, rule) if len(s) else [] for s in sets]})
         release()
@@ -107,47 +108,66 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
         release()
 
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
-    known = cut(texts.join(few(wanted, wanted), "node", "left_semi"), "similar-texts")
+    known = texts.join(few(wanted, wanted), "node", "left_semi")
     a, b = known.select(F.col("node").alias("a"), F.col("text").alias("x")), known.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
 
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
+    """Pairs (a, b) of nodes (node, own) of different ``own`` that may be alike: all that are, by what their sets begin with.
+
+    Of sets in the order of how many nodes have a shingle, rare ones first, two
+    that are alike share one of their first n - least * n + 1; what a text has by
+    itself comes first there, so texts that share a passage only don't meet.
+    Nor do those of which too few shingles are left behind the first common one.
+    """
+    kind = StructType([StructField("size", LongType()), StructField("all", ArrayType(LongType()))])
+
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [shingles(t, rule.width) for t in part]
+            yield pd.DataFrame({"size": [len(s) for s in found], "all": [s.view(np.int64) for s in found]})
+        release()
+
+    sets.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    held = texts.join(few(nodes, nodes), "node").select("node", "own", pandas_udf(sets, kind)(F.col("text")).alias("s"))
+    rows = cut(held.select("node", "own", "s.size", F.explode("s.all").alias("shingle")), "rare-shingles")
+    often = cut(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "rare-counts")
+    known = rows.join(few(often, often), "shingle", "left")
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "shingle"))
+    first = known.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(rule.least * F.col("size") - 1e-9) + 1)
+    first = cut(first.where("n > 1").select("shingle", "node", "own", "size", (F.col("size") - F.col("place") + 1).alias("rest")), "rare-first")
+    other = first.toDF("shingle", "b", "its", "n", "most")
+    fits = F.least("rest", "most") * (1 + rule.least) >= rule.least * (F.col("size") + F.col("n")) - 1e-9  # what both can have in common from here on
+    return first.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("own") != F.col("its")) & fits).select(F.col("node").alias("a"), "b").distinct()
+
+
 def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike, proposed: DataFrame | None = None) -> DataFrame:
     """(node, component) of nodes that are linked; ``distinct`` has node, size and keys, ``texts`` node and text; ``proposed`` are more pairs (a, b) to compare.
 
-    All that meet in a key are compared with its first node.  Where that leaves
-    large groups in several components, further nodes lead: each round compares
-    one of every such key with all others there, which joins most copies of a
-    text however they differ.  What is left in several components then meets
-    all others of its key.
+    All that meet in a key are compared with its first node.  What that leaves
+    apart meets all others of its key where these are few; nodes of crowded keys
+    meet over the rarest of their shingles (see rare_pairs).
     """
     keyed = distinct.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(keyed.join(shared, "key"), "similar-members")
     led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     led = cut((led if proposed is None else led.unionByName(proposed)).distinct(), "similar-pairs")
+    wanted = members.select("node").unionByName(led.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = cut(wanted, "similar-nodes")
+    texts = cut(texts.join(few(wanted, wanted), "node", "left_semi"), "similar-texts")
     links = cut(similar_links(led, texts, rule), "similar-links")
     found = cut(connected_components(links), "similar-components")
     left = members.where("node <> leader").drop("leader").join(found.toDF("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node"))
     left = cut(left.select("key", "node", "size", "own"), "similar-left")  # leaders have been compared with all of their keys
-    fits = lambda m, n: F.least(m, n) >= rule.least * F.greatest(m, n)
-    for turn in range(ROUNDS + 1):
-        parts = left.groupBy("key", "own").agg(F.count("*").alias("n")).groupBy("key")
-        mixed = cut(parts.agg(F.max_by("own", "n").alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "similar-mixed")
-        total, pairs = mixed.agg(F.sum("total"), F.sum(F.expr("(total - most) * total"))).first()
-        left = cut(left.join(mixed.select("key", "main"), "key"), "similar-left")
-        apart = left.where("own <> main")
-        if turn == ROUNDS or (pairs or 0) <= WIDE * (total or 0):
-            break
-        leads = cut(apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "size", "own")).alias("l")).select("key", "l.*"), "similar-leads").toDF("key", "h", "a", "m", "c")
-        met = left.join(leads, "key").where((F.col("own") != F.col("c")) & fits(F.col("m"), F.col("size"))).select("a", F.col("node").alias("b")).distinct()
-        new = cut(similar_links(cut(met, "similar-pairs"), texts, rule), "similar-links")
-        links = links.unionByName(new)
-        own = left.select("node", "own").distinct()
-        joined = new.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        moved = connected_components(joined).toDF("own", "component")
-        rest = left.join(leads.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").join(moved, "own", "left")
-        left = cut(rest.select("key", "node", "size", F.coalesce("component", "own").alias("own")), "similar-left")
-    crossed = apart.select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("c")).join(left, "key").where((F.col("c") != F.col("own")) & fits(F.col("m"), F.col("size")))
-    crossed = cut(crossed.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "similar-pairs")
+    parts = left.groupBy("key", "own").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = cut(parts.agg(F.max_by("own", "n").alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most"), "similar-mixed")
+    left = cut(left.join(mixed.select("key", "main", (F.expr("(total - most) * total") > CROWD).alias("crowd")), "key"), "similar-left")
+    apart = left.where("NOT crowd AND own <> main").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("own").alias("c"))
+    fits = F.least("m", "size") >= rule.least * F.greatest("m", "size")
+    crossed = apart.join(left.where("NOT crowd"), "key").where((F.col("c") != F.col("own")) & fits)
+    crossed = crossed.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    crowded = left.where("crowd").select("node", "own").distinct()
+    crossed = cut(crossed.unionByName(rare_pairs(cut(crowded, "similar-crowded"), texts, rule)).distinct(), "similar-pairs")
     return connected_components(links.unionByName(similar_links(crossed, texts, rule)))

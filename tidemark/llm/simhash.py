@@ -3,6 +3,8 @@
 Two fingerprints within three bits agree in at least one of four 16-bit blocks.
 So the trie is built four times, each with another block as its first levels;
 pairs whose first block agrees meet there, which deals tries to tasks by block.
+The 48 bits behind a block that very many share are cut in four again, of which
+one agrees too.  Tasks take their blocks one after the other.
 Inside a task, node pairs go down together, the bits in which they differ add
 up, and a pair ends as soon as it has more than the budget.
 """
@@ -24,7 +26,7 @@ from tidemark.llm.shingles import Alike, similar_components, sketch
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 WIDTH, BUDGET = 3, 3
-BITS, BLOCK = 64, 16
+BITS, BLOCK, PART = 64, 16, 12
 SEED = 42
 #: Node pairs that are taken down together; more are split, which bounds memory.
 FRONT = 1 << 21
@@ -113,30 +115,51 @@ def trie_links(values: np.ndarray, budget: int = BUDGET, shared: int = BLOCK) ->
 
 
 def _trie_tasks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links inside a task's tries; rows: turn, fp, first."""
-    rows = pd.concat([*frames, pd.DataFrame({"turn": [], "fp": [], "first": []}, dtype="int64")])
-    for turn, part in rows.groupby("turn"):
-        fp = part["fp"].to_numpy().view(np.uint64)
-        shift = np.uint64(int(turn) * BLOCK)
-        turned = (fp << shift) | (fp >> ((np.uint64(BITS) - shift) % np.uint64(BITS))) if turn else fp
-        order = np.argsort(turned)
-        turned, first = turned[order], part["first"].to_numpy()[order]
-        # whole blocks, about SLICE values at a time: a trie's counts take 256 bytes a value
-        heads = np.flatnonzero(np.diff(turned >> np.uint64(BITS - BLOCK)) != 0) + 1
-        cuts = heads[np.flatnonzero(np.diff(heads // SLICE, prepend=0) > 0)]
-        for values, names in zip(np.split(turned, cuts), np.split(first, cuts), strict=True):
-            links = trie_links(values)
-            yield pd.DataFrame({"a": names[links[:, 0]], "b": names[links[:, 1]]})
+    """Links inside a task's tries; rows, in the order of turn, block, part and bits: those and v, the turned fingerprint, and first.
+
+    What is held is some SLICE rows and the block that they end in.
+    """
+    names = ["turn", "block", "part", "bits"]
+
+    def linked(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for part, own in rows.groupby(["turn", "part"], sort=False):
+            v, first, shared = own["v"].to_numpy().view(np.uint64), own["first"].to_numpy(), BLOCK
+            if part[1] >= 0:  # the part of this trie comes behind the block
+                low, by, width = v & np.uint64((1 << (BITS - BLOCK)) - 1), np.uint64(int(part[1]) * PART), np.uint64(BITS - BLOCK)
+                low = ((low << by) | (low >> (width - by))) & np.uint64((1 << (BITS - BLOCK)) - 1)
+                v, shared = (v >> width << width) | low, BLOCK + PART
+            order = np.argsort(v)
+            links = trie_links(v[order], shared=shared)
+            yield pd.DataFrame({"a": first[order[links[:, 0]]], "b": first[order[links[:, 1]]]})
+
+    held: list[pd.DataFrame] = []
+    size = 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= SLICE and len(frame):
+            rows = pd.concat(held)
+            last = (rows[names] == rows[names].iloc[-1]).all(axis=1).to_numpy()  # this block may go on
+            yield from linked(rows[~last])
+            held, size = [rows[last]], int(last.sum())
+    if size:
+        yield from linked(pd.concat(held))
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that join all fingerprints within the budget; ``distinct`` has fp and first, fp being distinct."""
-    turned = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1))).alias("turn"), "fp", "first")
-    block = F.lit(None)
-    for turn in range(BITS // BLOCK):
-        block = F.when(F.col("turn") == turn, F.shiftrightunsigned("fp", BITS - BLOCK * (turn + 1))).otherwise(block)
-    dealt = turned.withColumn("block", block.bitwiseAND(F.lit(0xFFFF))).repartition("turn", "block")
-    return dealt.select("turn", "fp", "first").mapInPandas(_trie_tasks, "a long, b long")
+    turns = F.array(*(F.struct(F.lit(t).alias("turn"), (F.shiftleft("fp", BLOCK * t).bitwiseOR(F.shiftrightunsigned("fp", BITS - BLOCK * t)) if t else F.col("fp")).alias("v")) for t in range(BITS // BLOCK)))
+    turned = distinct.select(F.explode(turns).alias("t"), "first").select("t.*", "first").withColumn("block", F.shiftrightunsigned("v", BITS - BLOCK))
+    crowded = turned.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).select("turn", "block", F.lit(True).alias("crowded"))
+    crowded = cut(crowded, "blocks")  # of four times 65,536
+    parts = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit((BITS - BLOCK) // PART - 1))).otherwise(F.array(F.lit(-1)))
+    split = turned.join(F.broadcast(crowded), ["turn", "block"], "left").withColumn("part", F.explode(parts))
+    bits = F.lit(0).cast("long")
+    for k in range((BITS - BLOCK) // PART):
+        bits = F.when(F.col("part") == k, F.shiftrightunsigned("v", BITS - BLOCK - PART * (k + 1)).bitwiseAND(F.lit((1 << PART) - 1))).otherwise(bits)
+    by = ["turn", "block", "part", "bits"]
+    dealt = split.withColumn("bits", bits).repartition(*by).sortWithinPartitions(*by)
+    return dealt.select(*by, "v", "first").mapInPandas(_trie_tasks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tidemark.llm.hashing import release
-from tidemark.llm.langid import _is_letter, is_held_out
+from tidemark.llm.langid import is_held_out, letters
 from tidemark.llm.shared import few, ship
 
 #: Code points that are turned into n-grams at a time.
@@ -70,7 +70,7 @@ def _expit(x: np.ndarray | float) -> np.ndarray:
 
 def grams(text: str, settings: Settings) -> Iterator[np.ndarray]:
     """Buckets of all n-grams within the words, word ends marked, letters lower-cased; a strip of the text at a time."""
-    letter, longest, shift = _is_letter(), max(settings.orders), np.uint32(32 - settings.bits)
+    letter, longest, shift = letters(), max(settings.orders), np.uint32(32 - settings.bits)
     tail, fresh = np.array([32], np.uint32), 0  # of the tail, so many n-gram ends have been taken
     for at in range(0, len(text), STRIP):
         c = np.frombuffer(text[at : at + STRIP].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
