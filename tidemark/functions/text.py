@@ -6,11 +6,12 @@ import html
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Suffixes of names, and elements whose text isn't shown.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
@@ -266,6 +267,62 @@ def quote_place(texts: pd.Series, quotes: pd.Series, hints: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(texts, quotes, hints, strict=True)])
 
 
+def _window_bounds(text: np.ndarray, quote: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each window the most that it can have in common with the quote, in order: by its letters, and by its pairs of letters.
+
+    A letter of the quote that isn't common spoils two of its pairs at most, one
+    of the window parts one.
+    """
+
+    def shared(of: np.ndarray, wanted: np.ndarray, short: int) -> np.ndarray:
+        total, last = np.zeros(len(begin), np.int64), np.maximum(begin + size - short, begin)
+        for kind, n in zip(*np.unique(wanted, return_counts=True), strict=True):
+            upto = np.r_[0, np.cumsum(of == kind)]
+            total += np.minimum(upto[np.minimum(last, len(of))] - upto[np.minimum(begin, len(of))], n)
+        return total
+
+    m, pair = len(quote), lambda x: x[:-1].astype(np.int64) << 32 | x[1:]
+    letters = shared(text, quote, 0)
+    if m < 2 or len(text) < 2:
+        return letters
+    return np.minimum(letters, (shared(pair(text), pair(quote), 1) + m + size + 1) // 3)
+
+
+def nearest_passage(text: str, quote: str) -> tuple[int, int, float]:
+    """Where the stretch of the text most like the quote begins and ends, and how like it is.
+
+    Stretches are as long as the quote, shorter at the text's ends; likeness is
+    twice the longest common subsequence by the sum of lengths, and of equals the
+    first and longest counts.  Stretches are tried in the order of what they can
+    reach by the letters and pairs of letters that they share with the quote,
+    until none can reach more, with a bit for each of the quote's letters.
+    """
+    n, m = len(text), len(quote)
+    if not m or not n:
+        return 0, 0, float(n == m)
+    if n <= m:
+        begin, size = np.r_[np.zeros(n, np.int64), np.arange(1, n)], np.r_[np.arange(n, 0, -1), np.arange(n - 1, 0, -1)]
+    else:
+        begin = np.r_[np.zeros(m - 1, np.int64), np.arange(n - m + 1), np.arange(n - m + 1, n)]
+        size = np.r_[np.arange(1, m), np.full(n - m + 1, m), np.arange(m - 1, 0, -1)]
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (text, quote)]
+    bound = 2 * _window_bounds(*codes, begin, size) / (size + m)
+    best = (-1.0, 0, 0)
+    for i in np.lexsort((-size, begin, -bound)).tolist():
+        if bound[i] < best[0]:
+            break
+        a, k = int(begin[i]), int(size[i])
+        best = max(best, (2 * _common(quote, text[a : a + k]) / (k + m), -a, k))
+    return -best[1], -best[1] + best[2], best[0]
+
+
+@pandas_udf(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("similarity", DoubleType())]))
+def nearest(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+    """nearest_passage of each row; nulls where the text or the quote is null."""
+    found = [nearest_passage(t, q) if t is not None and q is not None else (None, None, None) for t, q in zip(texts, quotes, strict=True)]
+    return pd.DataFrame(found, columns=["begin", "end", "similarity"]).astype({"begin": "Int32", "end": "Int32", "similarity": "Float64"})
+
+
 def half_even(value: Column, places: int = 0) -> Column:
     """Rounding to the even neighbour at the middle."""
     return F.bround(value, places)

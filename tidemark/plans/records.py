@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions import numeric, parsing
-from tidemark.operators import metrics, records, temporal
-from tidemark.plans.queries import DAY, HOUR, E, O, facts, orders, query, table
+from tidemark.functions import numeric, parsing, text
+from tidemark.operators import metrics, records, replay, temporal
+from tidemark.plans.queries import DAY, HOUR, E, O, cents, facts, orders, query, table
+from tidemark.scratch import beside, cut, scratch_path
+from tidemark.sources import captures, formats, store
 
 
 @query("""WITH s AS (SELECT p_partkey, p_brand, p_size, 1 AS v FROM part WHERE p_partkey % 3 > 0),
@@ -355,16 +357,75 @@ def exported_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(line.alias("line")).withColumn("digest", F.sha2("line", 256))
 
 
-@query("""WITH d AS (SELECT source, lang, sha256(text) AS h FROM documents), f AS (SELECT source, lang, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM d GROUP BY ALL),
-m AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'other' ELSE digest END AS frozen FROM f) SELECT source, lang, n, CASE WHEN digest = frozen THEN 'ok' ELSE 'hash' END AS state FROM m""")
+@query("""WITH f AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang, n, CASE WHEN n % 3 = 0 THEN 'hash' ELSE 'ok' END AS state FROM f""")
 def verified_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frozen digests of each source and language, some of them of other rows, checked against the rows."""
-    d = table(spark, sf_dir, "documents").select("source", "lang", F.sha2("text", 256).alias("h"))
-    # an order-free sum of digests stands for the rows: no group has to be in one place
-    part = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
-    now = d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
-    frozen = now.select("source", "lang", F.when(F.col("n") % 3 == 0, F.lit(-1).cast("decimal(38,0)")).otherwise(F.col("digest")).alias("frozen"))
-    return now.join(frozen, ["source", "lang"]).select("source", "lang", "n", F.when(F.col("digest") == F.col("frozen"), "ok").otherwise("hash").alias("state"))
+    """Digests of each source and language stored, those of some groups of other texts, and read back to check the rows."""
+    d = table(spark, sf_dir, "documents").select("source", "lang", "text")
+
+    def digests(rows: DataFrame) -> DataFrame:
+        # an order-free sum of digests stands for the rows: no group has to be in one place
+        part = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+        return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+
+    now = digests(d)
+    other = beside(d, now.select("source", "lang", "n"), ["source", "lang"]).select("source", "lang", F.when(F.col("n") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    frozen = cut(digests(other), "frozen").withColumnRenamed("digest", "frozen").drop("n")
+    return beside(now, frozen, ["source", "lang"]).select("source", "lang", "n", F.when(F.col("digest") == F.col("frozen"), "ok").otherwise("hash").alias("state"))
+
+
+@query("""WITH d AS (SELECT o_orderkey FROM orders) SELECT o_orderkey AS key, 'changed' AS state FROM d WHERE o_orderkey % 97 = 0 AND o_orderkey % 89 <> 0
+UNION ALL SELECT o_orderkey, 'lost' FROM d WHERE o_orderkey % 89 = 0 UNION ALL SELECT o_orderkey + 1000000000, 'added' FROM d WHERE o_orderkey % 83 = 0""")
+def replayed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders frozen with a tree of digests, and replayed with some of them changed, lost and added."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice")
+    path = scratch_path(spark, "frozen")
+    replay.freeze(o, ["key"], path)
+    now = o.where("key % 89 <> 0").withColumn("o_custkey", F.when(F.col("key") % 97 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    now = now.unionByName(o.where("key % 83 = 0").withColumn("key", F.col("key") + 1_000_000_000))
+    return replay.replay(now, path).differences.select("key", "state")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price,
+concat_ws('; ', CASE WHEN p_partkey % 7 = 0 THEN 'size is no whole' END, CASE WHEN p_partkey % 11 = 0 THEN 'price is empty' END) AS reasons, 'parts' AS vendor FROM part""")
+def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts landed as a vendor's files, some cells spoilt, and read as a declared format in ranges of bytes."""
+    part = table(spark, sf_dir, "part")
+    path = scratch_path(spark, "landed")
+    size, price = F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_retailprice").cast("string"))
+    part.select(F.col("p_partkey").alias("Id"), F.col("p_name").alias("Name"), size.alias("Size"), price.alias("Price")).write.option("header", True).option("emptyValue", "").csv(path)
+    fields = (formats.Field("Id", "p_partkey", "whole", True), formats.Field("Name", "name"), formats.Field("Size", "size", "whole"), formats.Field("Price", "price", "number", True, 0.0))
+    formats.declare(formats.Format("parts", fields, (("vendor", "parts"),)))
+    found = formats.read_format(spark, "parts", path, 16_384)
+    return found.select("p_partkey", "size", "price", F.array_join("_reasons", "; ").alias("reasons"), "vendor")
+
+
+@query("""WITH c AS (SELECT p_partkey, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, p_partkey % 5 = 0 AS moves FROM part),
+h AS (SELECT DISTINCT p_brand FROM c WHERE p_partkey % 101 = 7)
+SELECT p_brand AS slate, p_partkey AS entity, cents, 1 AS capture FROM c WHERE p_brand NOT IN (SELECT p_brand FROM h)
+UNION ALL SELECT p_brand, p_partkey, cents + 25, 2 FROM c WHERE moves AND p_brand NOT IN (SELECT p_brand FROM h)
+UNION ALL SELECT p_brand, p_partkey, cents + CASE WHEN moves THEN 25 ELSE 0 END, 3 FROM c WHERE p_brand IN (SELECT p_brand FROM h)""")
+def loaded_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three captures of parts' prices loaded one after the other: groups with ambiguous ids wait for the last, after which they are known."""
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("Ext"), F.col("p_brand").alias("Brand"), cents("p_retailprice").alias("cents"), "p_partkey")
+    formats.declare(formats.Format("prices", (formats.Field("Ext", "ext", required=True), formats.Field("Brand", "brand"), formats.Field("Cents", "cents", "whole", True))))
+    path, sure = scratch_path(spark, "history"), part.select(F.col("Ext").alias("external"), F.col("p_partkey").alias("entity"))
+    unsure = sure.unionByName(sure.where("entity % 101 = 7").withColumn("entity", F.col("entity") + 1))
+    for n in (1, 2, 3):
+        folder = scratch_path(spark, f"capture-{n}")
+        moved = F.col("cents") + F.when((F.col("p_partkey") % 5 == 0) & F.lit(n > 1), 25).otherwise(0)
+        part.select("Ext", "Brand", moved.alias("Cents")).write.option("header", True).csv(folder)
+        files = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+        captures.load_capture(spark, folder, cut(files, "manifest"), "prices", path, F.col("brand"), "ext", sure if n == 3 else unsure, ["cents"], f"2024-01-0{n}")
+    return spark.read.parquet(path).select(F.col("group").alias("slate"), "entity", "cents", F.dayofmonth("observed_at").alias("capture"))
+
+
+@query()
+def nearest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a spoilt quote of each conversation's turn stands in it."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    quote = F.regexp_replace(F.substring(F.col("text"), 11, 40), "[ao]", "")
+    found = text.nearest(F.col("text"), quote)
+    return c.select("conv_id", "turn", found.alias("p")).select("conv_id", "turn", "p.begin", "p.end", F.round("p.similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {E}, w AS (SELECT event_type, unnest([observed_at // {6 * HOUR} * {6 * HOUR}, (observed_at // {6 * HOUR} - 1) * {6 * HOUR}]) AS start, cents FROM e)
@@ -379,11 +440,15 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH g AS (SELECT event_type, count(*) FILTER (WHERE value > 50) AS hits, count(*) AS n, avg(value) AS m FROM events GROUP BY event_type)
 SELECT event_type, hits, n, round((hits + 1.0) / (n + 2.0), 6) AS mean, round(sqrt((hits + 1.0) * (n - hits + 1.0) / ((n + 2.0) * (n + 2.0) * (n + 3.0))), 6) AS sd, sha256('v1:' || event_type || ':' || hits || ':' || n) AS config FROM g""")
 def stored_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters of a posterior with the digest of what they were made from."""
+    """Parameters of a posterior with the digest of what they were made from, stored by their content and read back by its digest."""
     g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("hits"), F.count("*").alias("n"))
     a, b = F.col("hits") + 1.0, F.col("n") - F.col("hits") + 1.0
     config = F.sha2(F.concat_ws(":", F.lit("v1"), "event_type", F.col("hits").cast("string"), F.col("n").cast("string")), 256)
-    return g.select("event_type", "hits", "n", F.round(a / (a + b), 6).alias("mean"), F.round(F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6).alias("sd"), config.alias("config"))
+    made = g.select("event_type", "hits", "n", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"), config.alias("config"))
+    path = scratch_path(spark, "distributions")
+    kept = store.put(made, path, made.columns)
+    store.put(made.where("n % 2 = 0"), path, made.columns)  # known already, so nothing is written
+    return store.get(spark, path, kept).select("event_type", "hits", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "config")
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY user_id),
@@ -403,16 +468,19 @@ def grading_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("share", F.round(numeric.ratio(F.col("n"), F.sum("n").over(W.partitionBy("rule"))), 6))
 
 
-@query("""WITH p AS (SELECT p_name, min(p_brand) AS name, min(p_type) AS team FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1),
-m AS (SELECT DISTINCT o_custkey, name, team FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN p USING (p_name))
-SELECT o_custkey, name AS subject FROM m UNION SELECT o_custkey, min(team) FROM m GROUP BY o_custkey HAVING count(DISTINCT team) = 1""")
+@query("""WITH n AS (SELECT o_orderkey AS claim, CASE WHEN o_orderkey % 4 = 0 THEN 'Nobody' ELSE c_name END AS ref FROM orders JOIN customer ON c_custkey = o_custkey
+UNION SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey % 7) FROM orders WHERE o_orderkey % 3 = 0),
+p AS (SELECT c_name, min(c_custkey::VARCHAR) AS name, min(c_mktsegment) AS team FROM customer GROUP BY c_name HAVING count(DISTINCT c_custkey) = 1),
+m AS (SELECT DISTINCT claim, name, team FROM n JOIN p ON c_name = ref)
+SELECT claim, name AS subject FROM m UNION SELECT claim, min(team) FROM m GROUP BY claim HAVING count(DISTINCT team) = 1""")
 def claim_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' parts by name: names of one brand stand for it, and for their type where there is only one."""
-    part = table(spark, sf_dir, "part")
-    names = part.select("p_name", F.col("p_brand").alias("name"), F.col("p_type").alias("team"))
-    lines = table(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_name")
-    refs = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "p_name").distinct()
-    return records.subjects(refs, "o_custkey", "p_name", names, "team")
+    """Orders as claims that name customers, some of them unknown: the customers that names stand for, and their segment where it is one."""
+    c = table(spark, sf_dir, "customer")
+    names = c.select(F.col("c_name").alias("ref"), F.col("c_custkey").cast("string").alias("name"), F.col("c_mktsegment").alias("team"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), "o_custkey")
+    own = o.join(c, F.col("c_custkey") == F.col("o_custkey")).select("claim", F.when(F.col("claim") % 4 == 0, "Nobody").otherwise(F.col("c_name")).alias("ref"))
+    other = o.where("claim % 3 = 0").join(c, F.col("c_custkey") == F.col("o_custkey") % 7).select("claim", F.col("c_name").alias("ref"))
+    return records.subjects(own.unionByName(other).distinct(), "claim", "ref", names, "team").select("claim", "subject")
 
 
 @query(f"""WITH {O}, w AS (SELECT *, placed // {30 * DAY} AS month FROM o), t AS (SELECT o_custkey, max(month) AS month FROM w GROUP BY o_custkey), n AS (SELECT w.* FROM w JOIN t USING (o_custkey, month))
