@@ -296,6 +296,23 @@ def test_nothing_is_lost(spark):
         assert abs(sum(off)) < 0.01 and abs(sum(o * v for o, (v, _) in zip(off, x, strict=True))) < 0.01
 
 
+def test_quantiles_and_ranks_of_large_groups(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 8 + ["cold", None]), float(rng.choice([rng.randint(0, 9), rng.randint(-500, 500)])) if rng.random() < 0.95 else None, i) for i in range(3000)] + [("one", 4.0, 9000), ("none", None, 9001)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(9)
+    by = {k: np.array([v for g, v, _ in rows if g == k and v is not None]) for k in {r[0] for r in rows}}
+    got = {r.k: r for r in metrics.quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.9, 1.0]).collect()}
+    assert set(got) == {k for k, v in by.items() if len(v)}
+    for k, r in got.items():
+        for p in (0, 10, 50, 90, 100):
+            assert math.isclose(r[f"p{p}"], np.quantile(by[k], p / 100), abs_tol=1e-9) and r[f"lower_{p}"] == np.quantile(by[k], p / 100, method="inverted_cdf")
+    ranks = {r.i: r.place for r in metrics.average_ranks(df, ["k"], "v", "place").collect()}
+    for k, v, i in rows:
+        assert ranks[i] == (None if v is None else (by[k] < v).sum() + ((by[k] == v).sum() + 1) / 2)
+
+
 def test_constant_columns(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("b", 2.0, 3.0)], "k string, x double, y double")
     assert {r.k: r.spearman for r in metrics.spearman(df, ["k"], "x", "y").collect()} == {"a": None, "b": 1.0}

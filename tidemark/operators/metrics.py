@@ -68,15 +68,17 @@ def classification(predicted: Column, actual: Column) -> list[Column]:
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1")]
 
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """Mean of the places that equal values take."""
-    by = W.partitionBy(*keys)
-    return F.rank().over(by.orderBy(value)) + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The rows with the mean of the places that equal values take in their group; null for nulls."""
+    counts = running_counts(df, keys, value)
+    place = counts.select(*keys, value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+    return beside(df, few(place, place), [*keys, value], "left")
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation per group; null where a side is constant."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x": average_rank(keys, x), "__y": average_rank(keys, y)})
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__u"), F.col(y).alias("__v"))
+    ranked = average_ranks(average_ranks(both, keys, "__u", "__x"), keys, "__v", "__y")
     constant = (F.min("__x") == F.max("__x")) | (F.min("__y") == F.max("__y"))
     # sums of ranks are exact; the correlation follows from them
     n, sx, sy = F.count("*"), F.sum("__x"), F.sum("__y")
@@ -196,9 +198,30 @@ def settle(scores: DataFrame, draw: list[str], score: str, prizes: DataFrame) ->
     return beside(scores, t.select(*draw, score, "rank", "tied", F.round(share, 6).alias("won")), [*draw, score], "left").na.fill(0.0, ["won"])
 
 
-def quantile_columns(value: str, parts: list[float]) -> list[Column]:
-    """Interpolated quantiles and the lower ones, which are values of the group."""
-    exact = F.percentile(value, F.array(*map(F.lit, parts)))
-    lower = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"lower_{int(p * 100)}") for p in parts]
-    return [*(F.round(exact[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(parts)), *lower]
+def running_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n, upto and total: each value's rows in its group, those up to it, and all; nulls aren't counted.
 
+    Values are range-partitioned by group and value, and a group's partitions
+    told how many rows come before them, so no group's values meet in one task.
+    Null keys are a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    order = [*keys, value]
+    placed = cut(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "counts")
+    parts = placed.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))  # a row a group and partition
+    upto = F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = cut(parts.select(*keys, "__part", (upto - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy(*keys)).alias("total")), "parts")
+    inside = F.sum("n").over(W.partitionBy(*keys, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return beside(placed.withColumn("upto", inside), few(parts, parts), [*keys, "__part"]).select(*keys, value, "n", (F.col("upto") + F.col("__before")).alias("upto"), "total")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, parts: list[float]) -> DataFrame:
+    """Per group the interpolated quantiles (p10 ...) and the lower ones (lower_10 ...), which are values of the group; exact, from running counts."""
+    counts = running_counts(df, keys, value)
+    found, out = [], []
+    for p in parts:
+        place, name = (F.col("total") - 1) * F.lit(p), f"{int(p * 100)}"
+        at = lambda where, c: F.min(F.when(where, F.col(c)))
+        found += [at(F.col("upto") > F.floor(place), value).alias(f"a{name}"), at(F.col("upto") > F.ceil(place), value).alias(f"b{name}"), at(F.col("upto") >= F.col("total") * F.lit(p) - 1e-9, value).alias(f"lower_{name}"), F.max(place - F.floor(place)).alias(f"f{name}")]
+        out.append((F.col(f"a{name}") + F.col(f"f{name}") * (F.col(f"b{name}") - F.col(f"a{name}"))).alias(f"p{name}"))
+    return counts.groupBy(*keys).agg(*found).select(*keys, *out, *(f"lower_{int(p * 100)}" for p in parts))

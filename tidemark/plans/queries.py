@@ -328,7 +328,9 @@ def pit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E} SELECT event_type, round(quantile_cont(cents, 0.1), 6) AS p10, round(quantile_cont(cents, 0.5), 6) AS p50, round(quantile_cont(cents, 0.9), 6) AS p90,
 CAST(quantile_disc(cents, 0.1) AS DOUBLE) AS lower_10, CAST(quantile_disc(cents, 0.5) AS DOUBLE) AS lower_50, CAST(quantile_disc(cents, 0.9) AS DOUBLE) AS lower_90 FROM e GROUP BY event_type""")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).withColumn("cents", F.col("cents").cast("double")).groupBy("event_type").agg(*metrics.quantile_columns("cents", [0.1, 0.5, 0.9]))
+    e = facts(spark, sf_dir).select("event_type", F.col("cents").cast("double").alias("cents"))
+    found = metrics.quantiles(e, ["event_type"], "cents", [0.1, 0.5, 0.9])
+    return found.select("event_type", *(F.round(c, 6).alias(c) if c.startswith("p") else c for c in found.columns[1:]))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY o_orderstatus")
@@ -602,7 +604,9 @@ def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitted(e: DataFrame) -> DataFrame:
     """A log-normal for each event type from its mean and quantiles; a row a type."""
-    fit = e.where("value > 0").groupBy("event_type").agg(F.avg("value").alias("m"), F.percentile("value", F.lit(0.1)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi"), F.count("*").alias("n"))
+    above = e.where("value > 0")
+    ends = metrics.quantiles(above, ["event_type"], "value", [0.1, 0.9]).select("event_type", F.col("p10").alias("lo"), F.col("p90").alias("hi"))
+    fit = above.groupBy("event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n")).join(ends, "event_type")
     total = e.groupBy("event_type").agg(F.count("*").alias("all"))
     scale, shape, off = numeric.lognormal(F.col("m"), F.col("lo"), F.col("hi"))
     return fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
