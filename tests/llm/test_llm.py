@@ -419,8 +419,8 @@ def test_language_model(spark, odd, empty, monkeypatch, least, shard_tokens):
         u, v = max((p for p in pairs if p[0] != "<s>" and p[1] is not None), key=pairs.get)
         assert math.isclose(sum(three(u, v, w) for w in c) + three(u, v, b"unseen"), 1) and math.isclose(sum(two(v, w) for w in c) + two(v, b"unseen"), 1)
     # sums that pass 32 bits
-    wide = kn._sums(np.array([[1 << 33], [1 << 34], [3], [4]]))
-    assert wide["once"].dtype == wide["total"].dtype == np.dtype("<u8") and int(wide["once"][0]) == 1 << 34
+    wide = kn._sums(np.array([[1 << 33, 1], [1 << 34, 2], [3, 3], [4, 4]]))
+    assert wide["once"].dtype == wide["total"].dtype == np.dtype("<u8") and int(wide["once"][0]) == 1 << 34 and wide["more"].dtype == np.dtype("<u4")
     out = kn.score_documents(odd).collect()
     assert len(out) == len(ODD) and all(r.n_tokens == 1 for r in out if r.doc_id <= 3) and kn.score_documents(empty).count() == 0
 

@@ -133,8 +133,13 @@ def _small(counts: np.ndarray) -> dict[str, np.ndarray]:
     return {"count": np.minimum(counts, 255).astype(np.uint8), "large_at": large.astype("<u4"), "large": counts[large].astype("<u8")}
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of a file fit, else in 64."""
+    return x.astype("<u4" if x.max(initial=0) < 1 << 32 else "<u8")
+
+
 def _sums(sums: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: x.astype("<u8") for k, x in zip(("total", "once", "twice", "more"), sums, strict=True)}
+    return {k: _narrow(x) for k, x in zip(("total", "once", "twice", "more"), sums, strict=True)}
 
 
 def _counts(file: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -235,7 +240,7 @@ class Model:
         for file, part, _ in self._each("after", (pairs % _U(max(1, self.shards))).astype(np.int64)):
             known, at = _find(file["pair"], pairs[part])
             at = at[known]
-            out[part[known]] = file["total"][at] - one * file["once"][at] - two * file["twice"][at] - more * file["more"][at]
+            out[part[known]] = file["total"][at] - (one * file["once"][at] if "once" in file else 0) - two * file["twice"][at] - more * file["more"][at]
         return out
 
     def score(self, texts: list[str | None]) -> pd.DataFrame:
@@ -405,7 +410,7 @@ def train(docs: DataFrame, text_col: str = "text", folder: str | None = None, or
             words, before = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
             kinds, back = np.unique(words, return_inverse=True)
             total = np.bincount(back, before, len(kinds)).astype(np.int64)
-            _put(folder, f"words-{home:06d}", {"word": kinds, "before": total.astype("<u8")})
+            _put(folder, f"words-{home:06d}", {"word": kinds, "before": _narrow(total)})
             left = pd.DataFrame({"kind": ["left"], "values": [[int((total == k).sum()) for k in (1, 2, 3, 4)] + [int((total > 2).sum())]]})
             out = pd.concat([out, left])
         return out
@@ -509,7 +514,7 @@ def _with_triples(texts: DataFrame, model: Model, least: int) -> Model:
         parts = [_unpack(d, "<u8", "<u8", "<u8", "<u8", "<u8") for d in frame["data"][frame["kind"] == "after"]]
         if parts:
             pair, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            sums = {k: np.bincount(back, np.concatenate([p[i] for p in parts]), len(pair)).astype("<u8") for i, k in enumerate(("total", "once", "twice", "more"), 1)}
+            sums = {k: _narrow(np.bincount(back, np.concatenate([p[i] for p in parts]), len(pair)).astype(np.int64)) for i, k in enumerate(("total", "once", "twice", "more"), 1) if k != "once" or least == 1}
             _put(folder, f"after-{int(frame['home'].iloc[0]):06d}", {"pair": pair} | sums)
         return frame[frame["kind"] != "after"][["kind", "values"]]
 
