@@ -107,7 +107,8 @@ def similar_links(pairs: DataFrame, texts: DataFrame, rule: Alike) -> DataFrame:
             yield f.loc[keep, ["a", "b"]]
         release()
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
+    wanted = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct())
+    wanted = cut(wanted.distinct(), "similar-wanted")
     known = texts.join(few(wanted, wanted), "node", "left_semi")
     a, b = known.select(F.col("node").alias("a"), F.col("text").alias("x")), known.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInPandas(verified, "a long, b long")
@@ -154,7 +155,7 @@ def similar_components(distinct: DataFrame, texts: DataFrame, rule: Alike, propo
     members = cut(keyed.join(shared, "key"), "similar-members")
     led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     led = cut((led if proposed is None else led.unionByName(proposed)).distinct(), "similar-pairs")
-    wanted = members.select("node").unionByName(led.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = members.select("node").unionByName(led.select(F.col("a").alias("node"))).unionByName(led.select(F.col("b").alias("node"))).distinct()
     wanted = cut(wanted, "similar-nodes")
     texts = cut(texts.join(few(wanted, wanted), "node", "left_semi"), "similar-texts")
     links = cut(similar_links(led, texts, rule), "similar-links")
