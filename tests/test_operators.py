@@ -20,7 +20,26 @@ def test_visibility_bounds(spark):
         temporal.PitTable(df).as_of(None)
 
 
-def test_asof_ties_and_misses(spark):
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_of_large_keys_is_that_of_one_pass(spark, monkeypatch, strict):
+    rng = random.Random(11)
+    when = lambda: rng.choice([rng.randint(0, 400), rng.randint(100, 120)])
+    left = [(i, rng.choice(["hot"] * 5 + ["cold", None, "left"]), when()) for i in range(1500)]
+    right = [(rng.choice(["hot"] * 5 + ["cold", None, "right"]), when(), i, rng.choice([None, f"v{i}"])) for i in range(1500)]
+    a, b = spark.createDataFrame(left, "id int, k string, t int").repartition(7), spark.createDataFrame(right, "k string, t int, o int, v string").repartition(5)
+    found = []
+    for large in (10**9, -1):
+        monkeypatch.setattr(temporal, "LARGE_KEY", large)
+        found.append({r.id: (r.v, r.o) for r in temporal.asof_join(a, b, ["k"], "t", "t", ["v", "o"], ["o"], strict).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(left)
+    for i, k, t in left:
+        own = [(u, o, v) for g, u, o, v in right if g == k and (u < t or (u == t and not strict))]
+        assert found[0][i] == (max(own)[2:0:-1] if own else (None, None))
+
+
+@pytest.mark.parametrize("large", [10**9, -1])
+def test_asof_ties_and_misses(spark, monkeypatch, large):
+    monkeypatch.setattr(temporal, "LARGE_KEY", large)
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 4), (3, "b", 9), (4, None, 5)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 5, 1, "x"), ("a", 5, 2, "y"), ("a", 3, 9, None), (None, 1, 1, "n")], "k string, t int, o int, v string")
     got = {r.id: (r.v, r.o) for r in temporal.asof_join(left, right, ["k"], "t", "t", ["v", "o"], ["o"]).collect()}

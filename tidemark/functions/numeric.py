@@ -67,6 +67,22 @@ def mixture_cdf(x: pd.Series, active: pd.Series, scale: pd.Series, shape: pd.Ser
     return pd.Series(np.where(x < 0, 0.0, np.where(x == 0, 1 - active, 1 - active + active * _phi(z.to_numpy()))))
 
 
+def mixture_left_cdf(x: Column, active: Column, scale: Column, shape: Column) -> Column:
+    """What lies strictly below x: the mass at 0 counts from above 0 on."""
+    return F.when(x <= 0, 0.0).otherwise(mixture_cdf(x, active, scale, shape))
+
+
+def active_log_density(x: Column, scale: Column, shape: Column) -> Column:
+    """Log of the log-normal part's density; minus infinity where it has none."""
+    z = F.log(F.when(x > 0, x) / scale) / shape
+    return F.when(x > 0, -F.log(F.when(x > 0, x)) - F.log(shape) - math.log(2 * math.pi) / 2 - z * z / 2).otherwise(F.lit(float("-inf")))
+
+
+def mixture_mean(active: Column, scale: Column, shape: Column) -> Column:
+    """The mean of both parts; that of the log-normal part with 1 for ``active``."""
+    return active * scale * F.exp(shape * shape / 2)
+
+
 @pandas_udf(DoubleType())
 def mixture_quantile(p: pd.Series, active: pd.Series, scale: pd.Series, shape: pd.Series) -> pd.Series:
     inside = np.clip((p - (1 - active)) / np.maximum(active, 1e-300), 1e-15, 1 - 1e-15)

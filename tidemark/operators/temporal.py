@@ -36,6 +36,10 @@ class PitTable:
         return self._df.where(visible(instant, **columns))
 
 
+#: Rows from which a key is taken in parts instead of in one pass, by as-of joins and sessions; changes the work and no result.
+LARGE_KEY = 2_000_000
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, which should end in a unique id.
 
@@ -62,17 +66,32 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 
     Ties in time go to the row that is last in ``order``.  Both sides are put
     into one stream per key and the last right row is carried on, so that a key
-    costs a sort of its rows and not their product.  Left rows without a match
-    have nulls.
+    costs a sort of its rows and not their product.  Where a key has many rows,
+    the stream is cut in ranges of key and time, and a range told what the ranges
+    before it carry on, so that no key passes through one task.  Left rows
+    without a match have nulls.
     """
-    order = order or []
+    ties = order or []
     carried = F.struct(*(F.col(v).alias(v) for v in values))
-    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*order).alias("__o") if order else F.struct(F.lit(0).alias("z")).alias("__o"), carried.alias("__r"))
+    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), F.struct(*ties).alias("__o") if ties else F.struct(F.lit(0).alias("z")).alias("__o"), carried.alias("__r"))
     whole = F.struct(*left.columns)
     l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0 if strict else 1).alias("__side"), whole.alias("__l"))  # noqa: E741
     both = r.unionByName(l, allowMissingColumns=True)
-    upto = W.partitionBy(*keys).orderBy("__t", "__side", F.asc_nulls_first("__o")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(upto)).where("__l IS NOT NULL")
+    order = ["__t", "__side", "__o"]
+    counts = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count("*").alias("__n"))
+    if counts.where(F.col("__n") > LARGE_KEY).isEmpty():
+        upto = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(upto)).where("__l IS NOT NULL")
+    else:
+        placed = both.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
+        placed = cut(placed, "asof")
+        last = F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct(*order)))
+        parts = placed.groupBy(*keys, "__part").agg(last.alias("__last"))  # a row a key and range
+        before = F.last("__last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+        parts = cut(parts.select(*keys, "__part", before.alias("__before")), "asof-ranges")
+        inside = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        near = beside(placed, few(parts, parts), [*keys, "__part"])
+        found = near.withColumn("__m", F.coalesce(F.last("__r", ignorenulls=True).over(inside), "__before")).where("__l IS NOT NULL")
     return found.select("__l.*", *(F.col(f"__m.{v}").alias(v) for v in values))
 
 
@@ -89,10 +108,6 @@ def intervals(df: DataFrame, keys: list[str], order: list[str], value: str, star
     return kept.withColumn("valid_to", F.lead(start).over(W.partitionBy(*keys).orderBy(*order)))
 
 
-#: Rows from which a key's sessions are found in parts instead of in one pass; changes the work and no result.
-LARGE_KEY = 2_000_000
-
-
 def sessions(df: DataFrame, keys: list[str], instant: str, unique: str, gap: int, span: int) -> DataFrame:
     """``session`` for each row, from 0 within its key: a new one begins when more than ``gap`` passed since the row before, or more than ``span`` since the session's first.
 

@@ -612,6 +612,21 @@ def _fitted(e: DataFrame) -> DataFrame:
     return fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
 
 
+@query("""WITH f AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type),
+t AS (SELECT event_type, count(*) AS every FROM events GROUP BY event_type), s AS (SELECT *, ln(hi / lo) / (2 * 1.2815515655446004) AS shape FROM f JOIN t USING (event_type)),
+d AS (SELECT *, m * exp(-shape * shape / 2) AS scale, n / (every + 1) AS active FROM s)
+SELECT event_id, round(CASE WHEN value > 0 THEN -ln(value * shape * sqrt(2 * pi())) - pow(ln(value / scale) / shape, 2) / 2 ELSE '-inf'::DOUBLE END, 5) AS log_density,
+round(active * scale * exp(shape * shape / 2), 5) AS mean, round(scale * exp(shape * shape / 2), 5) AS active_mean, value <= 0 AS nothing_below FROM events JOIN d USING (event_type)""")
+def density_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of each event's value under its type's log-normal, and the means of this and of the mixture."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    a, m, s = (F.col(c) for c in ("active", "scale", "shape"))
+    return e.join(_fitted(e), "event_type").select(
+        "event_id", F.round(numeric.active_log_density(F.col("value"), m, s), 5).alias("log_density"), F.round(numeric.mixture_mean(a, m, s), 5).alias("mean"),
+        F.round(numeric.mixture_mean(F.lit(1.0), m, s), 5).alias("active_mean"), (numeric.mixture_left_cdf(F.col("value"), a, m, s) == 0).alias("nothing_below"),
+    )
+
+
 @query()
 def distribution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log-normal for each event type from its mean and quantiles, and scores of each event's value under it."""
