@@ -1,9 +1,13 @@
 """Fits, predictions and totals against numpy and plain loops."""
 
+import glob
 import math
+import os
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark.operators import fits
@@ -116,3 +120,21 @@ def test_calibrated_totals(spark):
         assert abs(total(s, "RB") - 2 - wanted["RB"]) < 1e-8
     assert all(abs(r.calibrated - r.p) < 1e-8 for r in got if r.slate == "right")
     assert total("short") > 1 - 1e-9 and total("other", "K") < 1e-8 and abs(total("other", "QB") - 1) < 1e-8 and len(got) == len(rows)
+
+
+def _pieces(folder, name):
+    """How many files with rows the newest table of this name has in the shared folder."""
+    newest = max(glob.glob(f"{folder}/tidemark/{name}-*"), key=os.path.getmtime)
+    return sum(pq.read_metadata(f).num_rows > 0 for f in glob.glob(f"{newest}/*.parquet"))
+
+
+def test_rows_read_in_one_part_are_dealt(spark):
+    """A table of one row group is one task's to read, but not to fit."""
+    rng = np.random.default_rng(8)
+    n = 200_000
+    frame = pd.DataFrame({"i": np.arange(n), "k": "all", "base": rng.uniform(0.1, 0.9, n), "a": rng.normal(size=n), "b": rng.normal(size=n), "s": rng.integers(0, 2, n).astype(float), "n": 1.0})
+    df = spark.createDataFrame(frame).coalesce(1)
+    model = fits.Offset(("a",), ("b",), amplitude=1.5)
+    (r,) = fits.offset_fit(df, ["k"], "base", model, "s", "n").collect()
+    assert r.settled and r.rows == n
+    assert _pieces(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "offset-rows") > 1

@@ -7,8 +7,9 @@ only a row a cohort, with coefficients and sums, goes round.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,17 +61,28 @@ def _softplus(x: Column) -> Column:
 
 
 def _with_predictor(rows: DataFrame, model: Offset) -> DataFrame:
-    """Rows (o, x, b) get eta, and j: what a coefficient's small change adds to it; and bend, the second change of the slopes' part."""
-    dot = lambda low, high: sum((F.get("x", F.lit(i)) * F.get("b", F.lit(i)) for i in range(low, high)), F.lit(0.0))
+    """Rows (o, s, n; a column x a feature, one b a coefficient) get eta and p, off and w (slope and curvature of the loss by eta), a column j a feature (what a coefficient's small change adds to eta), and bend, the second change of the slopes' part.
+
+    Plain columns, no arrays: a pass over the rows is compiled as a whole.
+    """
+    dot = lambda low, high: sum((F.col(f"__x{i}") * F.col(f"__b{i}") for i in range(low, high)), F.lit(0.0))
     cut_at, k = len(model.slopes), len(model.features)
     raw, rest = dot(0, cut_at), dot(cut_at, k)
     if model.amplitude is None:
-        return rows.withColumns({"eta": F.col("o") + raw + rest, "j": F.col("x"), "bend": F.lit(0.0)})
-    a = F.lit(float(model.amplitude))
-    tangent = F.tanh(raw / a)
-    first = 1 - tangent * tangent
-    j = F.array(*(F.get("x", F.lit(i)) * (first if i < cut_at else F.lit(1.0)) for i in range(k)))
-    return rows.withColumns({"eta": F.col("o") + a * tangent + rest, "j": j, "bend": -2 / a * first * tangent})
+        z = rows.withColumns({"eta": F.col("o") + raw + rest, "bend": F.lit(0.0), **{f"__j{i}": F.col(f"__x{i}") for i in range(k)}})
+    else:
+        a = F.lit(float(model.amplitude))
+        z = rows.withColumns({"tangent": F.tanh(raw / a), "rest": rest}).withColumn("first", 1 - F.col("tangent") * F.col("tangent"))
+        j = {f"__j{i}": F.col(f"__x{i}") * (F.col("first") if i < cut_at else F.lit(1.0)) for i in range(k)}
+        z = z.withColumns({"eta": F.col("o") + a * F.col("tangent") + F.col("rest"), "bend": -2 / a * F.col("first") * F.col("tangent"), **j})
+    z = z.withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
+    return z.withColumns({"off": F.col("n") * F.col("p") - F.col("s"), "w": F.col("n") * F.col("p") * (1 - F.col("p"))})
+
+
+def _square(cell: Callable[[int, int], Column], k: int) -> Column:
+    """The sums of a symmetric matrix' cells, row by row; each is computed once."""
+    sums = {(a, b): F.sum(cell(a, b)) for a in range(k) for b in range(a, k)}
+    return F.array(*(sums[min(a, b), max(a, b)] for a in range(k) for b in range(k)))
 
 
 def offset_fit(df: DataFrame, keys: list[str], base: str, model: Offset, successes: str, trials: str, steps: int = 200, close: float = 1e-7) -> DataFrame:
@@ -89,32 +101,33 @@ def offset_fit(df: DataFrame, keys: list[str], base: str, model: Offset, success
     are not counted.  An empty table gives an empty result.
     """
     k, precision, bounded = len(model.features), model.precision, model.bounded
-    given = df.select(*keys, _logit(F.col(base), model.least).alias("o"), F.array(*(F.col(f).cast("double") for f in model.features)).alias("x"), F.col(successes).cast("double").alias("s"), F.col(trials).cast("double").alias("n"))
-    whole = F.col("o").isNotNull() & F.col("s").isNotNull() & F.col("n").isNotNull() & F.forall("x", lambda v: v.isNotNull())
-    rows = cut(given.where(whole), "offset-rows")
+    x = [f"__x{i}" for i in range(k)]
+    given = df.select(*keys, _logit(F.col(base), model.least).alias("o"), *(F.col(f).cast("double").alias(c) for f, c in zip(model.features, x, strict=True)), F.col(successes).cast("double").alias("s"), F.col(trials).cast("double").alias("n"))
+    # every pass reads these rows: they are dealt evenly, however few parts the table was read in
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("o", "s", "n", *x)])
+    rows = cut(given.where(whole).hint("rebalance"), "offset-rows")
     numbers = "b array<double>, direction array<double>, part double, objective double, gradient double, settled boolean"
     zero = [0.0] * k
     start = {"b": F.array(*map(F.lit, zero)), "direction": F.array(*map(F.lit, zero)), "part": F.lit(0.0), "objective": F.lit(float("inf")), "gradient": F.lit(float("inf")), "settled": F.lit(False)}
     now = cut(rows.select(*keys).distinct().withColumns(start), "offset")
     kinds = T.StructType([*(f for f in df.select(*keys).schema.fields), *T.StructType.fromDDL(numbers).fields])
-    entry = lambda c, i: F.get(c, F.lit(i))
 
     def sums(open_: DataFrame) -> DataFrame:
-        at = F.transform(F.zip_with("b", "direction", lambda b, d: F.struct(b.alias("b"), d.alias("d"))), lambda v: v["b"] + F.col("part") * v["d"])
-        floor = F.zip_with(at, F.array(*map(F.lit, bounded.tolist())), lambda v, f: F.when(f, F.greatest(v, F.lit(0.0))).otherwise(v))
-        trial = open_.select(*keys, floor.alias("b"))
-        z = _with_predictor(beside(rows, few(trial, trial), keys), model).withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
-        off, w = F.col("n") * F.col("p") - F.col("s"), F.col("n") * F.col("p") * (1 - F.col("p"))
-        grad = F.array(*(F.sum(off * entry("j", i)) for i in range(k)))
-        curve = F.array(*(F.sum(w * entry("j", i) * entry("j", j)) for i in range(k) for j in range(k)))
+        at = [F.get("b", F.lit(i)) + F.col("part") * F.get("direction", F.lit(i)) for i in range(k)]
+        trial = open_.select(*keys, *((F.greatest(v, F.lit(0.0)) if f else v).alias(f"__b{i}") for i, (v, f) in enumerate(zip(at, bounded.tolist(), strict=True))))
+        z = _with_predictor(beside(rows, few(trial, trial), keys), model)
+        grad = F.array(*(F.sum(F.col("off") * F.col(f"__j{i}")) for i in range(k)))
+        curve = _square(lambda a, b: F.col("w") * F.col(f"__j{a}") * F.col(f"__j{b}"), k)
         loss = F.sum(F.col("n") * _softplus(F.col("eta")) - F.col("s") * F.col("eta"))
-        return z.groupBy(*keys).agg(F.first("b").alias("tried"), grad.alias("g"), curve.alias("h"), loss.alias("f"))
+        return z.groupBy(*keys).agg(grad.alias("g"), curve.alias("h"), loss.alias("f"))
 
     def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                tried, g, h = np.array(r.tried), np.array(r.g) + precision * np.array(r.tried), np.array(r.h).reshape(k, k) + np.diag(precision)
+                tried = np.array(r.b) + r.part * np.array(r.direction)
+                tried[bounded] = np.maximum(tried[bounded], 0.0)
+                g, h = np.array(r.g) + precision * tried, np.array(r.h).reshape(k, k) + np.diag(precision)
                 f = r.f + 0.5 * float(precision @ tried**2)
                 if not f <= r.objective + 1e-12 * max(1.0, abs(r.objective)) and r.part > 1e-12:
                     out.append((r.b, r.direction, r.part / 2, r.objective, r.gradient, False))
@@ -133,7 +146,7 @@ def offset_fit(df: DataFrame, keys: list[str], base: str, model: Offset, success
     closed = None
     for _ in range(steps):
         found = beside(now, sums(now), keys)
-        new = cut(found.select(*keys, "b", "direction", "part", "objective", "gradient", "tried", "g", "h", "f").mapInPandas(step, kinds), "offset")
+        new = cut(found.select(*keys, "b", "direction", "part", "objective", "gradient", "g", "h", "f").mapInPandas(step, kinds), "offset")
         done = new.where("settled OR part = 0")
         closed = done if closed is None else closed.unionByName(done)
         now = new.where("NOT settled AND part > 0")
@@ -147,12 +160,11 @@ def offset_fit(df: DataFrame, keys: list[str], base: str, model: Offset, success
 def _approximated(rows: DataFrame, fitted: DataFrame, keys: list[str], model: Offset) -> DataFrame:
     """The fits with rows, dispersion and covariance, from one more pass over the rows."""
     k, slopes, precision = len(model.features), len(model.slopes), model.precision
-    z = _with_predictor(beside(rows, few(fitted, fitted), keys), model).withColumn("p", 1 / (1 + F.exp(-F.col("eta"))))
-    off, w = F.col("n") * F.col("p") - F.col("s"), F.col("n") * F.col("p") * (1 - F.col("p"))
-    x, j = (lambda i: F.get("x", F.lit(i))), (lambda i: F.get("j", F.lit(i)))
-    cell = lambda a, b: w * j(a) * j(b) + (off * F.col("bend") * x(a) * x(b) if max(a, b) < slopes else F.lit(0.0))
-    curve = F.array(*(F.sum(cell(a, b)) for a in range(k) for b in range(k)))
-    sums = z.groupBy(*keys).agg(F.count("*").alias("rows"), curve.alias("h"), F.sum(off * off / F.greatest(w, F.lit(1e-12))).alias("pearson"))
+    at = fitted.select(*keys, *(F.get("b", F.lit(i)).alias(f"__b{i}") for i in range(k)))
+    z = _with_predictor(beside(rows, few(at, at), keys), model)
+    x, j = (lambda i: F.col(f"__x{i}")), (lambda i: F.col(f"__j{i}"))
+    cell = lambda a, b: F.col("w") * j(a) * j(b) + (F.col("off") * F.col("bend") * x(a) * x(b) if max(a, b) < slopes else F.lit(0.0))
+    sums = z.groupBy(*keys).agg(F.count("*").alias("rows"), _square(cell, k).alias("h"), F.sum(F.col("off") * F.col("off") / F.greatest(F.col("w"), F.lit(1e-12))).alias("pearson"))
     kinds = T.StructType([*fitted.select(*keys).schema.fields, *(T.StructField(f, T.DoubleType()) for f in model.features), *T.StructType.fromDDL("objective double, gradient double, settled boolean, rows long, dispersion double, covariance array<double>").fields])
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
