@@ -1,6 +1,7 @@
 """Fits, predictions and totals against numpy and plain loops."""
 
 import glob
+import hashlib
 import math
 import os
 import random
@@ -138,3 +139,26 @@ def test_rows_read_in_one_part_are_dealt(spark):
     (r,) = fits.offset_fit(df, ["k"], "base", model, "s", "n").collect()
     assert r.settled and r.rows == n
     assert _pieces(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "offset-rows") > 1
+    fitted = spark.createDataFrame([tuple(r)], fits.offset_fit(df.limit(0), ["k"], "base", model, "s", "n").schema)
+    got = fits.predict(df.drop("s", "n"), fitted, ["k"], "base", model).withColumn("part", F.spark_partition_id())
+    assert got.agg(F.count("*"), F.count("middle"), F.countDistinct("i")).first()[:] == (n, n, n) and got.select("part").distinct().count() > 1
+
+
+def test_quantiles_are_those_of_all_probabilities(spark):
+    """Predictions against numpy's quantiles over all draws; odd numbers of draws, and one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "x", float(q), float(a), float(b)) for i, (q, a, b) in enumerate(zip(rng.uniform(0, 1, 40), rng.normal(size=40), rng.normal(size=40), strict=True))]
+    mean, covariance = [0.4, -0.2], [0.09, 0.02, 0.02, 0.04]
+    fitted = spark.createDataFrame([("x", *mean, covariance)], "k string, a double, b double, covariance array<double>")
+    ask = spark.createDataFrame(rows, "i int, k string, base double, a double, b double")
+    for amplitude in (None, 0.7):
+        model = fits.Offset(("a",), ("b",), floors=("a",), amplitude=amplitude)
+        for draws in (1000, 33, 1):
+            seed = [7, int.from_bytes(hashlib.sha256(b'{"k":"x"}').digest()[:8], "little")]
+            drawn = fits.posterior_draws(np.array(mean), np.array(covariance).reshape(2, 2), model.bounded, draws, seed)
+            for r in fits.predict(ask, fitted, ["k"], "base", model, draws).collect():
+                raw = r.a * drawn[:, 0]
+                bent = raw if amplitude is None else amplitude * np.tanh(raw / amplitude)
+                p = 1 / (1 + np.exp(-(math.log(r.base / (1 - r.base)) + bent + r.b * drawn[:, 1])))
+                assert np.allclose([r.low, r.middle, r.high], np.quantile(p, [0.1, 0.5, 0.9]), rtol=1e-12, atol=0)
+                assert math.isclose(r.delta, r.middle - r.base, abs_tol=1e-15) and r.positive == (p > r.base).mean()
