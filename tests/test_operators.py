@@ -381,3 +381,22 @@ def test_draws_share_factors(spark):
 def test_overlaps_and_bands(spark):
     bands = spark.createDataFrame([(1, 1, 3), (1, 3, 5), (1, 7, 9), (2, 1, 9), (2, 4, 5)], "k int, low int, high int")
     assert {(r.k, r.low) for r in matching.overlapping(bands, ["k"], "low", "high").collect()} == {(1, 3), (2, 4)}
+
+
+def test_a_draw_is_ranked_in_ranges(spark):
+    """One draw's scores are several tasks'; ranks and prizes are those of a plain loop."""
+    import glob
+    import os
+
+    n = 300_000
+    score = F.when(F.col("id") % 10 == 0, F.lit(0.0)).otherwise(F.round(F.rand(3) * 1e9, 2))
+    scores = spark.range(n, numPartitions=1).select(F.lit(1).alias("draw"), F.col("id").alias("entry"), score.alias("score")).localCheckpoint()
+    prizes = spark.createDataFrame([(1, 1, 50.0), (2, 10, 5.0)], "rank_from int, rank_to int, prize double")
+    got = metrics.settle(scores, ["draw"], "score", prizes).toPandas()
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    newest = max(glob.glob(f"{folder}/tidemark/counts-*"), key=os.path.getmtime)
+    assert len(glob.glob(f"{newest}/*.parquet")) > 1
+    assert len(got) == n and (got["rank"] == got["score"].rank(method="min", ascending=False)).all()
+    top = got.sort_values("rank")
+    assert math.isclose(got["won"].sum(), 95.0) and top["won"].iloc[0] == 50.0 and (got.loc[got["rank"] > 10, "won"] == 0).all()
+    assert (got.loc[got["score"] == 0, "tied"] == n // 10).all()

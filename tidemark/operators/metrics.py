@@ -180,19 +180,21 @@ def settle(scores: DataFrame, draw: list[str], score: str, prizes: DataFrame) ->
     ``prizes`` has rank_from, rank_to and prize; the first band that holds a place
     wins, other places have 0.  Entries without a score take no place: they have
     no rank and win 0.  A null draw is a draw.  Per draw the distinct scores and
-    their counts are ranked, not the entries, and a tie's sum comes from the bands'
-    running sums.
+    their counts are ranked, not the entries, in ranges of the scores so that no
+    draw is one task's; a tie's sum comes from the bands' running sums.
     """
-    tied = scores.where(F.col(score).isNotNull()).groupBy(*draw, score).agg(F.count("*").alias("tied"))
-    above = F.coalesce(F.sum("tied").over(W.partitionBy(*draw).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    tied = tied.withColumn("rank", above + 1)
+    counts = running_counts(scores, draw, score)
+    tied = counts.select(*draw, score, F.col("n").alias("tied"), (F.col("total") - F.col("upto") + 1).alias("rank"))
     each = prizes.select(F.explode(F.sequence("rank_from", "rank_to")).alias("place"), "prize", "rank_from")
     paid = each.groupBy("place").agg(F.min_by("prize", "rank_from").alias("prize"))
     places = paid.agg(F.max("place").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(1), "last")).alias("place"))
     each = places.join(paid, "place", "left").na.fill(0.0, ["prize"])
     upto = each.select("place", F.sum("prize").over(W.partitionBy(F.lit(0)).orderBy("place")).alias("upto"))  # a row a paid place
     last = upto.agg(F.max("place").alias("last"), F.max("upto").alias("all"))
-    t = tied.join(F.broadcast(last)).withColumn("top", F.least(F.col("rank") + F.col("tied") - 1, F.col("last"))).withColumn("under", F.least(F.col("rank") - 1, F.col("last")))
+    # nearly all ranks come after the last paid place: these get keys of their own that no place has, so that a join doesn't gather them
+    at = lambda place: F.when(F.col("rank") <= F.col("last"), place).otherwise(-F.col("rank"))
+    t = tied.join(F.broadcast(last)).withColumn("top", at(F.least(F.col("rank") + F.col("tied") - 1, F.col("last")))).withColumn("under", at(F.col("rank") - 1))
+    upto = few(upto, upto)
     t = t.join(upto.withColumnsRenamed({"place": "top", "upto": "u1"}), "top", "left").join(upto.withColumnsRenamed({"place": "under", "upto": "u0"}), "under", "left")
     share = (F.coalesce("u1", F.lit(0.0)) - F.coalesce("u0", F.lit(0.0))) / F.col("tied")
     return beside(scores, t.select(*draw, score, "rank", "tied", F.round(share, 6).alias("won")), [*draw, score], "left").na.fill(0.0, ["won"])

@@ -29,7 +29,7 @@ def factor_draws(members: DataFrame, draws: int, seed: int, loadings: dict[str,
     own = 1 - sum(loadings.values())
     if own < 0:
         raise ValueError("loadings add up to more than 1")
-    rows = members.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = members.hint("rebalance").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     z = math.sqrt(own) * normal(F.lit(seed), F.lit("own"), F.col("draw"), F.col(member).cast("string"))
     for column, part in loadings.items():
         z = z + math.sqrt(part) * normal(F.lit(seed), F.lit(column), F.col("draw"), F.col(column).cast("string"))
