@@ -400,3 +400,17 @@ def test_a_draw_is_ranked_in_ranges(spark):
     top = got.sort_values("rank")
     assert math.isclose(got["won"].sum(), 95.0) and top["won"].iloc[0] == 50.0 and (got.loc[got["rank"] > 10, "won"] == 0).all()
     assert (got.loc[got["score"] == 0, "tied"] == n // 10).all()
+
+
+def test_means_of_a_type_do_not_depend_on_order(spark):
+    from tidemark.plans.queries import _fitted
+
+    values = [0.01] * 100_000 + [1e14]
+    found = []
+    for order in (values, values[::-1]):
+        rows = spark.createDataFrame([(i, "x", v) for i, v in enumerate(order)], "event_id long, event_type string, value double").coalesce(1)
+        found.append(_fitted(rows).first().scale)
+    assert found[0] == found[1] and math.isclose(found[0], math.fsum(values) / len(values), rel_tol=1e-15)
+    for odd in (float("nan"), 1e300):
+        rows = spark.createDataFrame([(0, "x", 1.0), (1, "x", odd)], "event_id long, event_type string, value double")
+        assert _fitted(rows).count() == 1

@@ -603,16 +603,20 @@ def density_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(e: DataFrame) -> DataFrame:
-    """A log-normal for each event type from its mean and quantiles; a row a type."""
+    """A log-normal for each event type from its mean and quantiles; a row a type.
+
+    Means are of values to twelve places, whose sum is exact: one of doubles depends on the order of rows.  Where values are too large for that it is one of doubles.
+    """
     above = e.where("value > 0")
     ends = metrics.quantiles(above, ["event_type"], "value", [0.1, 0.9]).select("event_type", F.col("p10").alias("lo"), F.col("p90").alias("hi"))
-    fit = above.groupBy("event_type").agg(F.avg("value").alias("m"), F.count("*").alias("n")).join(ends, "event_type")
+    mean = F.when(F.max("value") < 1e15, F.sum(F.col("value").try_cast("decimal(28,12)")).cast("double") / F.count("*")).otherwise(F.avg("value"))
+    fit = above.groupBy("event_type").agg(mean.alias("m"), F.count("*").alias("n")).join(ends, "event_type")
     total = e.groupBy("event_type").agg(F.count("*").alias("all"))
     scale, shape, off = numeric.lognormal(F.col("m"), F.col("lo"), F.col("hi"))
     return fit.join(total, "event_type").select("event_type", scale.alias("scale"), shape.alias("shape"), off.alias("off"), (F.col("n") / (F.col("all") + 1)).alias("active"))
 
 
-@query("""WITH f AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type),
+@query("""WITH f AS (SELECT event_type, CASE WHEN max(value) < 1e15 THEN sum(TRY_CAST(value AS DECIMAL(28, 12)))::DOUBLE / count(*) ELSE avg(value) END AS m, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi, count(*) AS n FROM events WHERE value > 0 GROUP BY event_type),
 t AS (SELECT event_type, count(*) AS every FROM events GROUP BY event_type), s AS (SELECT *, ln(hi / lo) / (2 * 1.2815515655446004) AS shape FROM f JOIN t USING (event_type)),
 d AS (SELECT *, m * exp(-shape * shape / 2) AS scale, n / (every + 1) AS active FROM s)
 SELECT event_id, round(CASE WHEN value > 0 THEN -ln(value * shape * sqrt(2 * pi())) - pow(ln(value / scale) / shape, 2) / 2 ELSE '-inf'::DOUBLE END, 5) AS log_density,
